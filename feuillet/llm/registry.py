@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from .packing import op8_packing
+from .pieces import op6_pieces
+from .pii import op10_pii
+from .tokencounts import op5_token_counts
+from .toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op8_packing,)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op5_token_counts, op6_pieces, op8_packing, op10_pii)}
 ORACLES: dict[str, str] = {}
