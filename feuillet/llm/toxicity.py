@@ -1,7 +1,7 @@
 """Toxicity by a chain of classifiers.
 
-The chain predicts categories one after the other and the given label last. Each link is a linear model over words
-and over the probabilities of the links before it. A link learns from probabilities that the earlier ones give to
+The chain predicts categories one after the other and the given label last. Each link is a linear model over words and
+their beginnings and over the probabilities of the links before it. A link learns from probabilities that the earlier ones give to
 documents they weren't fitted on (out of fold), so that it meets in training what it will meet later. The table of
 labels has one label, toxic; a category's own label is weak: toxic, and the text has one of the category's words.
 """
@@ -22,19 +22,34 @@ CATEGORIES = {"insult": ("idiot", "moron", "stupid", "clown", "loser"), "degrada
 EDGES = "\"'`.,;:!?()[]{}<>«»“”’…*-_|/"
 
 
+PREFIXES = (4, 5, 6, 7)
+MOST_WORDS = 700_000  # a worker's memory; then it starts anew
+
+
+def traits(word: str) -> list[str]:
+    """A word as such, marked by =, and its beginnings: endings vary in many languages."""
+    word = word.strip(EDGES)
+    return [f"={word}", *(word[:n] for n in PREFIXES if len(word) >= n)]
+
+
 def words(text: str) -> set[str]:
-    return {w.strip(EDGES) for w in set(text.lower().split())}
-
-
-def fit_linear(x: np.ndarray, y: np.ndarray, steps: int = 150, l2: float = 1e-4) -> np.ndarray:
-    """Logistic regression by accelerated gradient steps; the last weight is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    rate = 4 * len(x) / max(1e-9, float((x * x).sum(axis=1).max()) * len(x))
-    w = ahead = np.zeros(x.shape[1])
-    for k in range(steps):
-        grad = x.T @ (1 / (1 + np.exp(-(x @ ahead))) - y) / len(x) + l2 * ahead
-        new = ahead - rate * grad
-        ahead, w = new + k / (k + 3) * (new - w), new
+    return {t for w in set(text.lower().split()) for t in traits(w)}
+
+
+def fit_linear(x: np.ndarray, y: np.ndarray, steps: int = 12, l2: float = 0.1) -> np.ndarray:
+    """Logistic regression by Newton steps; the last weight is the bias, which isn't shrunk."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    shrink = np.full(x.shape[1], l2)
+    shrink[-1] = 1e-3
+    w = np.zeros(x.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        curve = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + np.diag(shrink)
+        step = np.linalg.solve(curve, x.T @ (y - p) - shrink * w)
+        step *= min(1.0, 4 / max(1e-9, np.abs(step).max()))
+        w = w + step
+        if np.abs(step).max() < 1e-4:
+            break
     return w
 
 
@@ -49,6 +64,21 @@ class Chain:
     weights: list[np.ndarray]
     threshold: float
 
+    def hits(self, many: list[str]) -> list[list[int]]:
+        """The indices of each text's traits; each distinct word is looked up once, and known words are kept."""
+        known, get, out = _known.setdefault(tuple(self.vocabulary), {}), self.vocabulary.get, []
+        for text in many:
+            if len(known) > MOST_WORDS:
+                known.clear()
+            found = set()
+            for w in set(text.lower().split()):
+                if (k := known.get(w)) is None:
+                    k = known[w] = tuple(i for t in traits(w) if (i := get(t)) is not None)
+                if k:
+                    found.update(k)
+            out.append(list(found))
+        return out
+
     def probabilities(self, hits: list[list[int]]) -> np.ndarray:
         """One row for each document, one column for each link."""
         x = dense(hits, len(self.vocabulary))
@@ -57,6 +87,9 @@ class Chain:
         return x[:, len(self.vocabulary) :]
 
 
+_known: dict[tuple[str, ...], dict[str, tuple[int, ...]]] = {}
+
+
 def dense(hits: list[list[int]], width: int) -> np.ndarray:
     x = np.zeros((len(hits), width))
     for row, found in zip(x, hits, strict=True):
@@ -64,8 +97,8 @@ def dense(hits: list[list[int]], width: int) -> np.ndarray:
     return x
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: Mapping[str, tuple[str, ...]] = CATEGORIES, max_rows: int = 6_000, max_words: int = 200, folds: int = 5) -> Chain | None:
-    """The chain from at most ``max_rows`` labelled documents (the least by a hash of doc_id) and their ``max_words`` most telling words.
+def fit(docs: DataFrame, labels: DataFrame, categories: Mapping[str, tuple[str, ...]] = CATEGORIES, max_rows: int = 5_000, max_words: int = 100, folds: int = 5) -> Chain | None:
+    """The chain from at most ``max_rows`` labelled documents (the least by a hash of doc_id) and their ``max_words`` most telling traits.
 
     Several labels of one doc_id count as the largest; rows without label or text don't count. With one class only
     there is nothing to learn: None.
@@ -82,16 +115,20 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Mapping[str, tuple[str,
     if not 0 < t < n:
         return None
     # |log odds| of a word among toxic and other documents, by how often it is there
-    seen = rows.select("toxic", F.explode("words").alias("word")).where("length(word) between 2 and 40").groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where("a + b >= 3")
+    seen = rows.select("toxic", F.explode("words").alias("word")).where("length(word) between 3 and 40").groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where("a + b >= 3")
     rate = lambda c, size: (F.col(c) + 0.5) / (size + 1.0)
     telling = F.abs(F.log(rate("a", t) / rate("b", n - t))) * F.sqrt(F.col("a") / t + F.col("b") / (n - t))
-    vocabulary = [r["word"] for r in seen.orderBy(F.desc(F.round(telling, 9)), "word").limit(max_words).collect()]
+    vocabulary, told = [], set()
+    for r in seen.orderBy(F.desc(F.round(telling, 9)), F.desc(F.length("word")), "word").limit(6 * max_words).collect():
+        if len(vocabulary) < max_words and not any((stem, r["a"], r["b"]) in told for stem in (r["word"].lstrip("=")[:n] for n in PREFIXES)):
+            vocabulary.append(r["word"])  # a trait that says just what a kept one with the same beginning says is left out
+            told.update((r["word"].lstrip("=")[:n], r["a"], r["b"]) for n in PREFIXES)
     index = {w: k for k, w in enumerate(sorted(vocabulary))}
-    seeds = sorted({s for c in categories.values() for s in c})
+    seeds = sorted({f"={s}" for c in categories.values() for s in c})
     kept = rows.select("doc_id", "toxic", F.array_intersect("words", F.array(*map(F.lit, vocabulary)) if vocabulary else F.array().cast("array<string>")).alias("hits"), F.array_intersect("words", F.array(*map(F.lit, seeds)) if seeds else F.array().cast("array<string>")).alias("marks"))
     sample = sorted(kept.collect(), key=lambda r: r["doc_id"])  # bounded by max_rows and max_words
     toxic = np.array([r["toxic"] for r in sample], float)
-    targets = [(name, np.array([r["toxic"] and not set(r["marks"]).isdisjoint(marks) for r in sample], float)) for name, marks in categories.items()]
+    targets = [(name, np.array([r["toxic"] and not set(r["marks"]).isdisjoint(f"={m}" for m in marks) for r in sample], float)) for name, marks in categories.items()]
     x = dense([[index[w] for w in r["hits"]] for r in sample], len(index))
     fold = np.arange(len(x)) % folds
     weights = []
@@ -126,8 +163,7 @@ def score(docs: DataFrame, chain: Chain | None, names: list[str] | None = None)
         if chain is None:
             p = np.zeros((batch.num_rows, len(names)))
         else:
-            get, has = chain.vocabulary.get, chain.vocabulary.keys()
-            p = chain.probabilities([[get(w) for w in has & words(t)] for t in texts(batch)])
+            p = chain.probabilities(chain.hits(texts(batch)))
         return {"doc_id": batch.column("doc_id"), **{f"p_{n}": p[:, k] for k, n in enumerate(names)}, "toxic": p[:, -1] >= (chain.threshold if chain else 1)}
 
     return map_batches(docs.select("doc_id", "text"), run, f"doc_id long, {', '.join(f'p_{n} double' for n in names)}, toxic boolean")
@@ -137,10 +173,9 @@ def without_toxic(docs: DataFrame, chain: Chain | None) -> DataFrame:
     """The same columns, without the documents that ``score`` calls toxic; a filter within the scan, no shuffle."""
     if chain is None:
         return docs
-    get, has = chain.vocabulary.get, chain.vocabulary.keys()
 
     def run(batch):
-        p = chain.probabilities([[get(w) for w in has & words(t)] for t in texts(batch)])
+        p = chain.probabilities(chain.hits(texts(batch)))
         return {c: batch.column(c).filter(_mask(p[:, -1] < chain.threshold)) for c in batch.schema.names}
 
     return map_batches(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
