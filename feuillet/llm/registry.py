@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from .chosenpath import op4_chosen_path
+from .kmeanstree import op2_kmeans_tree
 from .packing import op8_packing
 from .pieces import op6_pieces
 from .pii import op10_pii
 from .tokencounts import op5_token_counts
 from .toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op4_chosen_path, op5_token_counts, op6_pieces, op8_packing, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_kmeans_tree, op4_chosen_path, op5_token_counts, op6_pieces, op8_packing, op10_pii)}
 ORACLES: dict[str, str] = {}
