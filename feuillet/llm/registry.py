@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from . import backoff
+from .backoff import op3_stupid_backoff
 from .chosenpath import op4_chosen_path
 from .kmeanstree import op2_kmeans_tree
 from .packing import op8_packing
+from .pcatiles import op9_pca_tiles
 from .pieces import op6_pieces
 from .pii import op10_pii
 from .tokencounts import op5_token_counts
 from .toxicity import op1_toxicity
+from .transcripts import op7_transcripts
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_kmeans_tree, op4_chosen_path, op5_token_counts, op6_pieces, op8_packing, op10_pii)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_kmeans_tree, op3_stupid_backoff, op4_chosen_path, op5_token_counts, op6_pieces, op7_transcripts, op8_packing, op9_pca_tiles, op10_pii)}
+ORACLES = {"op3_stupid_backoff": backoff.ORACLE}
