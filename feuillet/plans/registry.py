@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from feuillet.plans import acts, family  # noqa: E402, F401
+from feuillet.plans import acts, family, text  # noqa: E402, F401

@@ -165,7 +165,8 @@ SQL = {
   SELECT doc_id, string_agg('--- PAGE ' || page_number || ' ---' || chr(10) || t, chr(10) ORDER BY page_number) AS text
   FROM (SELECT doc_id, page_number, string_agg(text, chr(10) ORDER BY acte_id) AS t FROM register GROUP BY ALL) GROUP BY doc_id)""",
 }
-NEEDS = {"actes": ("persons",), "register": ("persons", "actes"), "books": ("persons", "actes", "register")}
+SQL["lines"] = "lines AS (SELECT acte_id AS doc_id, text FROM register)"
+NEEDS = {"actes": ("persons",), "register": ("persons", "actes"), "books": ("persons", "actes", "register"), "lines": ("persons", "actes", "register")}
 
 
 def with_tables(sql: str) -> str:
