@@ -96,7 +96,7 @@ def gedcom_date(c: Column | str) -> Column:
     text = F.lower(col(c))
     month = F.element_at(month_map(), F.nullif(F.regexp_extract(text, "(" + "|".join([*MONTHS, *SHORT_MONTHS]) + ")", 1), F.lit("")))
     day = F.nullif(F.regexp_extract(text, r"(?:^|[^0-9])([0-9]{1,2})(?:[^0-9]|$)", 1), F.lit(""))
-    return F.concat_ws(" ", day, F.element_at(F.array(*map(F.lit, GEDCOM)), month), extract_year(c, None).cast("string"))
+    return F.concat_ws(" ", day, F.when(month.isNotNull(), F.element_at(F.array(*map(F.lit, GEDCOM)), month)), extract_year(c, None).cast("string"))
 
 
 def infer_birth_year(events: DataFrame) -> DataFrame:
