@@ -2,15 +2,14 @@
 
 A document's set is hashed to minwise tokens, one for each of 128 coordinates: two sets agree on a coordinate with the
 probability of their Jaccard similarity. Independent trees branch on them: the root and every large node choose one or
-two coordinates, and documents go on together to a child where they have the same minwise token there. In a node with
-few documents all are compared; in a large one all are compared with a pivot, and if nearly all are close to it, the
-few others are compared with all, else the node branches again. Nothing is cut off: what is still large at the last
-level is compared in blocks. Similar sets share many nodes over the trees, and the number of trees follows from the
-recall that is wished.
-
-Equal sets are one class from the start. A comparison looks at the 128 tokens only and has wide margins; every link
-is then confirmed on full sets. Comparisons within a group that is already joined by sure links are left out, since
-the result is the components, so a group of m near copies costs about m links and not m squared.
+two coordinates, and documents go on together to a child where they have the same minwise token there. Similar sets
+share many nodes over the trees, and the number of trees follows from the recall that is wished.
+
+Nodes are compared in two rounds, each confirmed on full sets. First, every member is compared with its node's leader,
+and the best leader of each document gives a link, so a group of m near copies costs about m links and not m squared.
+Then the members of a node that these links have not joined are compared with all others: in a small node at once; in
+a large one, if most are joined, its few others with all, in blocks; else it branches again. What is still large at the
+last level is compared in blocks too, so nothing is cut off. Equal sets are one class from the start.
 """
 
 from __future__ import annotations
@@ -28,8 +27,8 @@ from .common import components, map_batches, stash, table
 
 WIDTH, SIZE = 5, 128
 PERCENT = 75
-#: Tokens in common of 128: below, a pair at the threshold is one in 10 million; at least, a pair below it is as rare.
-MAYBE, SURE = 70, 119
+#: Tokens in common of 128: a pair at the threshold has fewer once in 50,000; with so many, a leader is near enough.
+MAYBE, NEAR = 76, 103
 SMALL = 512
 LEVELS = 8
 BLOCK = 4096
@@ -97,7 +96,7 @@ ROOTS = [(t, t) for t in range(TREES)] + [(t, TREES + t) for t in range(0, TREES
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, k1 and k2 (equal for equal sets), sig (16 bits of each minwise token), roots (the children of the trees' roots)."""
+    """doc_id, n_shingles, k1 and k2 (equal for equal sets), sig (8 bits of each minwise token), roots (the children of the trees' roots)."""
 
     def run(batch):
         n, k1, k2, sigs, roots = [], [], [], [], []
@@ -111,7 +110,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 k1.append(int(np.add.reduce(mix(s)).astype(np.int64)))
                 k2.append(int(np.bitwise_xor.reduce(mix(s * MIX)).astype(np.int64)))
                 low = minwise(s)
-                sigs.append((mix(low) >> np.uint64(48)).astype("<u2").tobytes())
+                sigs.append((mix(low) >> np.uint64(56)).astype("u1").tobytes())
                 roots.append([int(np.int64(x)) for x in mix(low[[c for _, c in ROOTS]] * MIX + np.array([t * SIZE + c for t, c in ROOTS], np.uint64)).view(np.int64)])
         return {"doc_id": batch.column("doc_id"), "n_shingles": n, "k1": k1, "k2": k2, "sig": sigs, "roots": roots}
 
@@ -119,38 +118,11 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def unpack(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, SIZE)
+    return np.frombuffer(b"".join(column.to_pylist()), "u1").reshape(-1, SIZE)
 
 
-def compare(ids: np.ndarray, sigs: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Pairs of a node that may be similar; none between members that sure pairs have joined before."""
-    group = np.arange(len(ids))
-    for i in range(len(ids) - 1):
-        others = i + 1 + np.flatnonzero(group[i + 1 :] != group[i])
-        if not len(others):
-            continue
-        same = (sigs[others] == sigs[i]).sum(axis=1)
-        for j in others[same >= MAYBE]:
-            yield int(ids[i]), int(ids[j])
-        for j in others[same >= SURE]:
-            if group[j] != group[i]:
-                group[group == group[j]] = group[i]
-
-
-def exhaustive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, rep, sig) with nodes side by side -> pairs (a, b)."""
-
-    def pairs(t: pa.Table):
-        nodes, ids, sigs = t.column("node").to_numpy(), t.column("rep").to_numpy(), unpack(t.column("sig"))
-        starts = np.flatnonzero(np.r_[True, nodes[1:] != nodes[:-1]])
-        sizes = np.diff(np.r_[starts, len(nodes)])
-        two = starts[sizes == 2]
-        close = (sigs[two] == sigs[two + 1]).sum(axis=1) >= MAYBE
-        found = set(zip(ids[two[close]].tolist(), ids[two[close] + 1].tolist(), strict=True))
-        for start, size in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
-            found.update(compare(ids[start : start + size], sigs[start : start + size]))
-        return pa.RecordBatch.from_pydict({"a": [min(p) for p in found], "b": [max(p) for p in found]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-
+def by_node(batches: Iterator[pa.RecordBatch], compare) -> Iterator[pa.RecordBatch]:
+    """``compare`` over batches whose nodes stand side by side, cut between nodes."""
     rest = None
     for batch in batches:
         t = pa.Table.from_batches([batch])
@@ -160,36 +132,74 @@ def exhaustive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         last = int(np.searchsorted(nodes, nodes[-1]))  # its rows may go on in the next batch
         if last:
-            yield pairs(t.slice(0, last))
+            yield compare(t.slice(0, last))
         rest = t.slice(last)
     if rest is not None and rest.num_rows:
-        yield pairs(rest)
+        yield compare(rest)
+
+
+def sorted_nodes(df: DataFrame) -> DataFrame:
+    return df.repartition("node").sortWithinPartitions("node", "rep")
+
+
+def starts_of(nodes: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, nodes[1:] != nodes[:-1]])
+
+
+def leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, rep, sig) of small nodes -> rep, leader (the least rep of its node), same; where they may be similar."""
+
+    def one(t: pa.Table) -> pa.RecordBatch:
+        nodes, ids, sigs = t.column("node").to_numpy(), t.column("rep").to_numpy(), unpack(t.column("sig"))
+        starts = starts_of(nodes)
+        lead = np.repeat(starts, np.diff(np.r_[starts, len(nodes)]))
+        same = (sigs == sigs[lead]).sum(axis=1)
+        keep = np.flatnonzero((same >= MAYBE) & (ids != ids[lead]))
+        return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(ids[lead[keep]]), pa.array(same[keep].astype("int32"))], names=["rep", "leader", "same"])
 
+    yield from by_node(batches, one)
 
-def with_pivot(large: DataFrame) -> DataFrame:
-    """(node, size, rep, sig) -> with the signature of the node's pivot. Members are dealt by node and a salt, so that no node is one task's work."""
-    pivots = large.groupBy("node", "size").agg(F.min_by(F.struct("rep", "sig"), F.xxhash64("node", "rep")).alias("p"))
-    salts = lambda c: F.floor(F.col(c) / BLOCK).cast("int")
-    dealt = pivots.select("node", F.col("p.rep").alias("pivot"), F.col("p.sig").alias("pivot_sig"), F.explode(F.sequence(F.lit(0), salts("size"))).alias("salt"))
-    return large.withColumn("salt", F.pmod(F.xxhash64("rep"), salts("size") + 1).cast("int")).join(dealt, ["node", "salt"])
+
+def exhaustive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, rep, group, sig) of small nodes -> pairs (a, b) of different groups that may be similar."""
+
+    def one(t: pa.Table) -> pa.RecordBatch:
+        nodes, ids, groups, sigs = t.column("node").to_numpy(), t.column("rep").to_numpy(), t.column("group").to_numpy(), unpack(t.column("sig"))
+        starts, found = starts_of(nodes), set()
+        for start, end in zip(starts, [*starts[1:], len(nodes)], strict=True):
+            for i in range(start, end - 1):
+                others = i + 1 + np.flatnonzero(groups[i + 1 : end] != groups[i])
+                hit = others[(sigs[others] == sigs[i]).sum(axis=1) >= MAYBE]
+                found.update(zip([int(ids[i])] * len(hit), ids[hit].tolist(), strict=True))  # ids rise within a node
+        return pa.RecordBatch.from_pydict({"a": [p[0] for p in found], "b": [p[1] for p in found]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    yield from by_node(batches, one)
 
 
-def near_pivot(batch: pa.RecordBatch) -> dict:
-    same = (unpack(batch.column("sig")) == unpack(batch.column("pivot_sig"))).sum(axis=1)
-    return {**{c: batch.column(c) for c in ("node", "size", "salt", "rep", "sig", "pivot")}, "same": same}
+def large_leaders(large: DataFrame, block: int) -> DataFrame:
+    """``leaders`` for large nodes: members are dealt by node and a salt, so that no node is one task's work."""
+    salts = F.floor(F.col("size") / block).cast("int")
+    heads = large.groupBy("node", "size").agg(F.min(F.struct("rep", "sig")).alias("p"))
+    heads = heads.select("node", F.col("p.rep").alias("leader"), F.col("p.sig").alias("leader_sig"), F.explode(F.sequence(F.lit(0), salts)).alias("salt"))
+    met = large.withColumn("salt", F.pmod(F.xxhash64("rep"), salts + 1).cast("int")).join(heads, ["node", "salt"]).select("rep", "sig", "leader", "leader_sig")
+
+    def run(batch):
+        same = (unpack(batch.column("sig")) == unpack(batch.column("leader_sig"))).sum(axis=1)
+        return {"rep": batch.column("rep"), "leader": batch.column("leader"), "same": same}
+
+    return map_batches(met, run, "rep long, leader long, same int").where(f"same >= {MAYBE} and rep <> leader")
 
 
 def few_with_all(members, few):
-    """Within a block of a large node: its members against the node's few that are not close to the pivot."""
+    """Within a block of a large node: its members against the node's few that are outside its largest group."""
     import pandas as pd
 
     if not len(members) or not len(few):
         return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-    rows = lambda x: np.frombuffer(b"".join(x), "<u2").reshape(-1, SIZE)
-    ids, sigs, pairs = members["rep"].to_numpy(), rows(members["sig"]), []
-    for i, sig in zip(few["rep"], rows(few["sig"]), strict=True):
-        hit = ids[(sigs == sig).sum(axis=1) >= MAYBE]
-        hit = hit[hit != i]
+    rows = lambda x: np.frombuffer(b"".join(x), "u1").reshape(-1, SIZE)
+    ids, groups, sigs, pairs = members["rep"].to_numpy(), members["group"].to_numpy(), rows(members["sig"]), []
+    for i, group, sig in zip(few["few_rep"], few["few_group"], rows(few["few_sig"]), strict=True):
+        hit = ids[((sigs == sig).sum(axis=1) >= MAYBE) & (groups != group)]
         pairs.append(np.stack([np.minimum(hit, i), np.maximum(hit, i)], axis=1))
     pairs = np.unique(np.concatenate(pairs), axis=0)
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
@@ -205,41 +215,38 @@ def branch(batch: pa.RecordBatch) -> dict:
         rows = np.arange(len(nodes))
         both = np.flatnonzero((draw >> np.uint64(40)) % np.uint64(3) == 0)
         at, c = np.r_[rows, both], np.r_[first, second[both]]
-        child = mix(mix(nodes[at] + np.uint64(1)) * MIX + c.astype(np.uint64) * np.uint64(65536) + sigs[at, c].astype(np.uint64))
-    return {"node": child.view(np.int64), "rep": batch.column("rep").take(pa.array(at)), "sig": batch.column("sig").take(pa.array(at))}
+        child = mix(mix(nodes[at] + np.uint64(1)) * MIX + c.astype(np.uint64) * np.uint64(256) + sigs[at, c].astype(np.uint64))
+    take = lambda name: batch.column(name).take(pa.array(at))
+    return {"node": child.view(np.int64), "rep": take("rep"), "group": take("group"), "sig": take("sig")}
+
 
+def first_pairs(nodes: DataFrame, small_node: int = SMALL, block: int = BLOCK) -> DataFrame:
+    """Each document with the best of its leaders: the least id among those that are near enough, else the nearest. ``nodes`` has node, size, rep, sig."""
+    small = sorted_nodes(nodes.where(F.col("size") <= small_node).select("node", "rep", "sig")).mapInArrow(leaders, "rep long, leader long, same int")
+    met = small.unionByName(large_leaders(nodes.where(F.col("size") > small_node), block))
+    best = met.groupBy("rep").agg(F.min_by("leader", F.struct(F.when(F.col("same") >= NEAR, 0).otherwise(SIZE - F.col("same")), "leader")).alias("leader"))
+    return best.select(F.col("leader").alias("a"), F.col("rep").alias("b"))
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of ``reps`` (rep, sig, roots) that may be similar; enough of them to join every group."""
-    spark = reps.sparkSession
+
+def further_pairs(nodes: DataFrame, groups: DataFrame, small_node: int = SMALL, block: int = BLOCK, levels: int = LEVELS) -> DataFrame:
+    """Pairs of a node's members that no link has joined yet; ``groups`` has rep, group."""
     pairs = "a long, b long"
-    frontier = reps.select("rep", F.explode("roots").alias("node"))
-    found, first = [], True
-    for level in range(1, LEVELS + 1):
-        sizes = frontier.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-        frontier = frontier.join(sizes, "node")
-        if first:
-            frontier = frontier.join(reps.select("rep", "sig"), "rep")
-        frontier = stash(frontier.select("node", "size", "rep", "sig"))
-        first = False
-        small = frontier.where(F.col("size") <= SMALL).select("node", "rep", "sig")
-        found.append(small.repartition("node").sortWithinPartitions("node", "rep").mapInArrow(exhaustive, pairs))
-        large = frontier.where(F.col("size") > SMALL)
+    frontier = nodes.join(sized(groups), "rep", "left").select("node", "rep", F.coalesce("group", "rep").alias("group"), "sig")
+    found = []
+    for level in range(1, levels + 1):
+        counts = frontier.groupBy("node", "group").agg(F.count("*").alias("n"))
+        mixed = counts.groupBy("node").agg(F.sum("n").alias("size"), F.max(F.struct("n", "group")).alias("most")).where("size > most.n").select("node", "size", F.col("most.group").alias("main"), (F.col("size") - F.col("most.n")).alias("far"))
+        frontier = stash(frontier.join(mixed, "node"))
+        found.append(sorted_nodes(frontier.where(F.col("size") <= small_node).select("node", "rep", "group", "sig")).mapInArrow(exhaustive, pairs))
+        large = frontier.where(F.col("size") > small_node)
         if not large.limit(1).count():
             break
-        seen = stash(map_batches(with_pivot(large), near_pivot, "node long, size long, salt int, rep long, sig binary, pivot long, same int"))
-        found.append(seen.where(f"same >= {MAYBE} and rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")))
-        far = seen.groupBy("node").agg(F.sum((F.col("same") < SURE).cast("long")).alias("far"))
-        seen = seen.join(far, "node")
-        done = F.col("far") <= (SMALL if level < LEVELS else 2**62)
-        ends = seen.where(done & (F.col("far") > 0))
-        few = ends.where(f"same < {SURE}")
-        parts = F.floor(F.col("far") / BLOCK).cast("int")
-        few = few.select("node", "rep", "sig", F.explode(F.sequence(F.lit(0), F.floor(F.col("size") / BLOCK).cast("int"))).alias("salt"), F.pmod(F.xxhash64("rep"), parts + 1).cast("int").alias("part"))
-        members = ends.select("node", "salt", "rep", "sig", F.explode(F.sequence(F.lit(0), parts)).alias("part"))
-        found.append(members.groupBy("node", "salt", "part").cogroup(few.groupBy("node", "salt", "part")).applyInPandas(few_with_all, pairs))
-        frontier = map_batches(seen.where(~done).select("node", "rep", "sig"), branch, "node long, rep long, sig binary")
-        frontier = frontier.distinct() if level == 1 else frontier
+        done = F.col("far") <= (small_node if level < levels else 2**62)
+        ends, parts = large.where(done), F.floor(F.col("far") / block).cast("int")
+        few = ends.where(F.col("group") != F.col("main")).select(F.col("node").alias("few_node"), F.col("rep").alias("few_rep"), F.col("group").alias("few_group"), F.col("sig").alias("few_sig"), F.explode(F.sequence(F.lit(0), F.floor(F.col("size") / block).cast("int"))).alias("few_salt"), F.pmod(F.xxhash64("rep"), parts + 1).cast("int").alias("few_part"))
+        members = ends.select("node", F.pmod(F.xxhash64("rep"), F.floor(F.col("size") / block) + 1).cast("int").alias("salt"), "rep", "group", "sig", F.explode(F.sequence(F.lit(0), parts)).alias("part"))
+        found.append(members.groupBy("node", "salt", "part").cogroup(few.groupBy("few_node", "few_salt", "few_part")).applyInPandas(few_with_all, pairs))
+        frontier = map_batches(large.where(~done).select("node", "rep", "group", "sig"), branch, "node long, rep long, group long, sig binary")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -253,22 +260,40 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), run, "doc_id long, s array<long>")
 
 
-def among(docs: DataFrame, ids: DataFrame, how: str = "left_semi", most: int = 1_000_000) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is (or isn't) among ``ids``: without moving the texts while there are at most ``most`` ids, else by a shuffled join."""
-    return docs.join(F.broadcast(ids) if ids.count() <= most else ids, "doc_id", how)
+def sized(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """To be broadcast while it has at most ``most`` rows of a few numbers; else the join is shuffled."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def among(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows of ``docs`` whose doc_id is (or isn't) among ``ids``; while these are few, without moving the texts."""
+    return docs.join(sized(ids), "doc_id", how)
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets meet the threshold. Sets go to pairs by the rarer side first; a frequent b is dealt by a salt."""
+    """The pairs (a, b) whose full sets meet the threshold. A frequent a is dealt by a salt."""
     pairs = stash(pairs)
-    ids = stash(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    sets = stash(full_sets(among(docs, ids)).dropDuplicates(["doc_id"]))
-    often = pairs.groupBy("a").agg(F.floor(F.count("*") / 500).cast("int").alias("salts"))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = stash(full_sets(among(docs, stash(ids))).dropDuplicates(["doc_id"]))
+    often = sized(stash(pairs.groupBy("a").agg(F.floor(F.count("*") / 500).cast("int").alias("salts"))))
     left = sets.join(often, sets["doc_id"] == often["a"]).select("a", F.col("s").alias("sa"), F.explode(F.sequence(F.lit(0), "salts")).alias("salt"))
     right = pairs.join(often, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts") + 1).cast("int").alias("salt")).join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     both = right.join(left, ["a", "salt"]).select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb")).alias("total"))
-    return both.where(100 * F.col("common") >= PERCENT * (F.col("total") - F.col("common"))).select("a", "b")
+    return stash(both.where(100 * F.col("common") >= PERCENT * (F.col("total") - F.col("common"))).select("a", "b"))
+
+
+def joined(docs: DataFrame, reps: DataFrame, small_node: int = SMALL, block: int = BLOCK, levels: int = LEVELS) -> DataFrame:
+    """``reps`` (rep, sig, roots) -> id, component_id for all that links join."""
+    frontier = reps.select("rep", F.explode("roots").alias("node"))
+    sizes = frontier.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
+    nodes = stash(frontier.join(sizes, "node").join(reps.select("rep", "sig"), "rep").select("node", "size", "rep", "sig"))
+    links = confirmed(docs, first_pairs(nodes, small_node, block))
+    groups = components(links)
+    more = stash(further_pairs(nodes, groups.select(F.col("id").alias("rep"), F.col("component_id").alias("group")), small_node, block, levels))
+    if not more.limit(1).count():
+        return groups
+    return components(links.unionByName(confirmed(docs, more)))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -281,9 +306,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = stash(signatures(docs))
     full = signed.where("n_shingles > 0 and doc_id is not null")
     classes = stash(full.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("sig", "roots"), "doc_id").alias("first")).select("k1", "k2", "rep", "first.sig", "first.roots"))
-    links = confirmed(docs, candidates(classes.select("rep", "sig", "roots")))
-    joined = components(links)
-    of_class = classes.select("k1", "k2", "rep").join(joined.select(F.col("id").alias("rep"), "component_id"), "rep", "left").select("k1", "k2", F.coalesce("component_id", "rep").alias("component_id"))
+    groups = joined(docs, classes.select("rep", "sig", "roots"))
+    of_class = classes.select("k1", "k2", "rep").join(sized(groups.select(F.col("id").alias("rep"), "component_id")), "rep", "left").select("k1", "k2", F.coalesce("component_id", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "k1", "k2").join(of_class, ["k1", "k2"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 

@@ -72,25 +72,23 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return ["" if t is None else t for t in batch.column(column).to_pylist()]
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60, most: int = 1_000_000) -> DataFrame:
     """Connected components of ``edges`` (a, b): (id, component_id), the smallest id reachable; ids without an edge don't appear.
 
-    Each round, every id takes the smallest label among its own and its neighbours', then the label of that label, so
-    a chain of n shortens in about log n rounds. Nothing is collected; every round is written to the shared folder.
+    Each round, every id takes the smallest label among its own and its neighbours', and then that label's own label,
+    so stars take one round and a chain of n about log n. Nothing is collected; every round is written to the shared
+    folder. Labels are broadcast while there are at most ``most``, else the joins are shuffled.
     """
     edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
-    links = stash(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = stash(links.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("label")))
+    links = stash(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = stash(links.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    side = F.broadcast if labels.count() <= most else lambda df: df
     for _ in range(rounds):
-        near = links.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        hooked = labels.join(near, "id").select("id", "label", F.least("label", "near").alias("low"))
-        # the old label's owner also learns of the smaller one: whole trees hook at once
-        roots = hooked.groupBy(F.col("label").alias("root")).agg(F.min("low").alias("root_low"))
-        hooked = hooked.join(roots, hooked["label"] == roots["root"], "left").select("id", "label", F.least("low", F.coalesce("root_low", "low")).alias("low"))
-        jump = labels.select(F.col("id").alias("low"), F.col("label").alias("jumped"))
-        new = stash(hooked.join(jump, "low", "left").select("id", F.least("low", F.coalesce("jumped", "low")).alias("new"), (F.col("label") != F.least("low", F.coalesce("jumped", "low"))).alias("moved")))
-        moved = new.where("moved").limit(1).count()
+        near = links.join(side(labels.select(F.col("id").alias("b"), "label")), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
+        low = near.join(side(labels), "id").select("id", "label", F.least("label", "near").alias("low"))
+        jump = labels.select(F.col("id").alias("low"), F.col("label").alias("next"))
+        new = stash(low.join(side(jump), "low", "left").select("id", "label", F.least("low", F.coalesce("next", "low")).alias("new")))
         labels = new.select("id", F.col("new").alias("label"))
-        if not moved:
+        if not new.where("new <> label").limit(1).count():
             return labels.withColumnRenamed("label", "component_id")
     raise RuntimeError("components: not stable after so many rounds")
