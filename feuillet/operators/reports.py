@@ -97,7 +97,7 @@ def life(birth: Column, death: Column) -> Column:
 
 def person_report(persons: DataFrame) -> DataFrame:
     """person_id, line, homonym: name, life, professions and titles of each person."""
-    twins = homonym_groups(persons).select(F.explode(F.split("ids", ",")).cast("long").alias("person_id")).withColumn("homonym", F.lit(True))
+    twins = homonym_groups(persons).select(F.explode(F.transform(F.split("ids", ","), lambda i: i.cast("long"))).alias("person_id")).withColumn("homonym", F.lit(True))
     line = F.concat_ws(" ", full_name(), life(F.col("naissance"), F.col("deces")), F.nullif(F.array_join("professions", ", "), F.lit("")), F.col("statut"), F.when(F.size("terres") > 0, F.concat(F.lit("de "), F.array_join("terres", ", "))))
     return persons.join(twins, "person_id", "left").select("person_id", line.alias("line"), F.coalesce("homonym", F.lit(False)).alias("homonym"))
 

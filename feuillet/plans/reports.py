@@ -202,7 +202,7 @@ def _(t):
     return d.groupBy("source_id").agg(F.min("doc_id").alias("doc_id"))
 
 
-@query("str3_registry_counts", "SELECT event_type AS key, count(*) AS hits, min(ts)::VARCHAR AS first_seen FROM events GROUP BY 1")
+@query("str3_registry_counts", "SELECT event_type AS key, count(*) AS hits, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen FROM events GROUP BY 1")
 def _(t):
     return streams.registry_counts(t.read("events").select("ts", F.col("event_type").alias("full_name"))).withColumn("first_seen", F.date_format("first_seen", "yyyy-MM-dd HH:mm:ss"))
 
