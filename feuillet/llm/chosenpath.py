@@ -9,7 +9,9 @@ Nodes are compared in two rounds, each confirmed on full sets. First, every memb
 and the best leader of each document gives a link, so a group of m near copies costs about m links and not m squared.
 Then the members of a node that these links have not joined are compared with all others: in a small node at once; in
 a large one, if most are joined, its few others with all, in blocks; else it branches again. What is still large at the
-last level is compared in blocks too, so nothing is cut off. Equal sets are one class from the start.
+last level is compared in blocks too. Of what may be similar, a document's best few are confirmed first, more in a second
+turn, and in the last turn all that still are in different groups, so nothing is cut off. Equal sets are one class from
+the start.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ PERCENT = 75
 #: Tokens in common of 128: a pair at the threshold has fewer once in 50,000; with so many, a leader is near enough.
 MAYBE, NEAR = 76, 103
 SMALL = 512
+#: Pairs of a document that a turn confirms; None: all.
+ROUNDS = (3, 30, None)
 LEVELS = 8
 BLOCK = 4096
 MOST_WORDS = 700_000  # a worker's memory; then it starts anew
@@ -160,20 +164,34 @@ def leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from by_node(batches, one)
 
 
-def exhaustive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, rep, group, sig) of small nodes -> pairs (a, b) of different groups that may be similar."""
+def best(ids: np.ndarray, same: np.ndarray, most: int | None) -> tuple[np.ndarray, bool]:
+    """The ``most`` ids with the most tokens in common (ties to the smaller id) and whether any were left out."""
+    if most is None or len(ids) <= most:
+        return ids, False
+    return ids[np.lexsort((ids, -same))[:most]], True
+
+
+def pairs_of(found: dict[tuple[int, int], bool]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"a": [p[0] for p in found], "b": [p[1] for p in found], "cut": list(found.values())}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cut", pa.bool_())]))
+
+
+def exhaustive(most: int | None):
+    """(node, rep, group, sig) of small nodes -> pairs (a, b) of different groups that may be similar: the best ``most`` of each member; cut: it has more."""
 
     def one(t: pa.Table) -> pa.RecordBatch:
         nodes, ids, groups, sigs = t.column("node").to_numpy(), t.column("rep").to_numpy(), t.column("group").to_numpy(), unpack(t.column("sig"))
-        starts, found = starts_of(nodes), set()
+        starts, found = starts_of(nodes), {}
         for start, end in zip(starts, [*starts[1:], len(nodes)], strict=True):
-            for i in range(start, end - 1):
-                others = i + 1 + np.flatnonzero(groups[i + 1 : end] != groups[i])
-                hit = others[(sigs[others] == sigs[i]).sum(axis=1) >= MAYBE]
-                found.update(zip([int(ids[i])] * len(hit), ids[hit].tolist(), strict=True))  # ids rise within a node
-        return pa.RecordBatch.from_pydict({"a": [p[0] for p in found], "b": [p[1] for p in found]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+            for i in range(start, end):
+                others = start + np.flatnonzero(groups[start:end] != groups[i])
+                same = (sigs[others] == sigs[i]).sum(axis=1)
+                hit, cut = best(ids[others[same >= MAYBE]], same[same >= MAYBE], most)
+                for j in hit.tolist():
+                    pair = (min(int(ids[i]), j), max(int(ids[i]), j))
+                    found[pair] = found.get(pair, False) or cut
+        return pairs_of(found)
 
-    yield from by_node(batches, one)
+    return lambda batches: by_node(batches, one)
 
 
 def large_leaders(large: DataFrame, block: int) -> DataFrame:
@@ -190,19 +208,26 @@ def large_leaders(large: DataFrame, block: int) -> DataFrame:
     return map_batches(met, run, "rep long, leader long, same int").where(f"same >= {MAYBE} and rep <> leader")
 
 
-def few_with_all(members, few):
-    """Within a block of a large node: its members against the node's few that are outside its largest group."""
-    import pandas as pd
+def few_with_all(most: int | None):
+    """Within a block of a large node: its few that are outside its largest group against all members of the block."""
+
+    def run(members, few):
+        import pandas as pd
 
-    if not len(members) or not len(few):
-        return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-    rows = lambda x: np.frombuffer(b"".join(x), "u1").reshape(-1, SIZE)
-    ids, groups, sigs, pairs = members["rep"].to_numpy(), members["group"].to_numpy(), rows(members["sig"]), []
-    for i, group, sig in zip(few["few_rep"], few["few_group"], rows(few["few_sig"]), strict=True):
-        hit = ids[((sigs == sig).sum(axis=1) >= MAYBE) & (groups != group)]
-        pairs.append(np.stack([np.minimum(hit, i), np.maximum(hit, i)], axis=1))
-    pairs = np.unique(np.concatenate(pairs), axis=0)
-    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+        rows = lambda x: np.frombuffer(b"".join(x), "u1").reshape(-1, SIZE)
+        found: dict[tuple[int, int], bool] = {}
+        if len(members) and len(few):
+            ids, groups, sigs = members["rep"].to_numpy(), members["group"].to_numpy(), rows(members["sig"])
+            for i, group, sig in zip(few["few_rep"].tolist(), few["few_group"], rows(few["few_sig"]), strict=True):
+                same = (sigs == sig).sum(axis=1)
+                keep = (same >= MAYBE) & (groups != group)
+                hit, cut = best(ids[keep], same[keep], most)
+                for j in hit.tolist():
+                    pair = (min(i, j), max(i, j))
+                    found[pair] = found.get(pair, False) or cut
+        return pd.DataFrame({"a": pd.array([p[0] for p in found], "int64"), "b": pd.array([p[1] for p in found], "int64"), "cut": pd.array(list(found.values()), "bool")})
+
+    return run
 
 
 def branch(batch: pa.RecordBatch) -> dict:
@@ -228,16 +253,16 @@ def first_pairs(nodes: DataFrame, small_node: int = SMALL, block: int = BLOCK) -
     return best.select(F.col("leader").alias("a"), F.col("rep").alias("b"))
 
 
-def further_pairs(nodes: DataFrame, groups: DataFrame, small_node: int = SMALL, block: int = BLOCK, levels: int = LEVELS) -> DataFrame:
-    """Pairs of a node's members that no link has joined yet; ``groups`` has rep, group."""
-    pairs = "a long, b long"
+def further_pairs(nodes: DataFrame, groups: DataFrame, most: int | None, small_node: int = SMALL, block: int = BLOCK, levels: int = LEVELS) -> DataFrame:
+    """Pairs (a, b, cut) of a node's members that no link has joined yet; ``groups`` has rep, group."""
+    pairs = "a long, b long, cut boolean"
     frontier = nodes.join(sized(groups), "rep", "left").select("node", "rep", F.coalesce("group", "rep").alias("group"), "sig")
     found = []
     for level in range(1, levels + 1):
         counts = frontier.groupBy("node", "group").agg(F.count("*").alias("n"))
         mixed = counts.groupBy("node").agg(F.sum("n").alias("size"), F.max(F.struct("n", "group")).alias("most")).where("size > most.n").select("node", "size", F.col("most.group").alias("main"), (F.col("size") - F.col("most.n")).alias("far"))
         frontier = stash(frontier.join(mixed, "node"))
-        found.append(sorted_nodes(frontier.where(F.col("size") <= small_node).select("node", "rep", "group", "sig")).mapInArrow(exhaustive, pairs))
+        found.append(sorted_nodes(frontier.where(F.col("size") <= small_node).select("node", "rep", "group", "sig")).mapInArrow(exhaustive(most), pairs))
         large = frontier.where(F.col("size") > small_node)
         if not large.limit(1).count():
             break
@@ -245,12 +270,12 @@ def further_pairs(nodes: DataFrame, groups: DataFrame, small_node: int = SMALL,
         ends, parts = large.where(done), F.floor(F.col("far") / block).cast("int")
         few = ends.where(F.col("group") != F.col("main")).select(F.col("node").alias("few_node"), F.col("rep").alias("few_rep"), F.col("group").alias("few_group"), F.col("sig").alias("few_sig"), F.explode(F.sequence(F.lit(0), F.floor(F.col("size") / block).cast("int"))).alias("few_salt"), F.pmod(F.xxhash64("rep"), parts + 1).cast("int").alias("few_part"))
         members = ends.select("node", F.pmod(F.xxhash64("rep"), F.floor(F.col("size") / block) + 1).cast("int").alias("salt"), "rep", "group", "sig", F.explode(F.sequence(F.lit(0), parts)).alias("part"))
-        found.append(members.groupBy("node", "salt", "part").cogroup(few.groupBy("few_node", "few_salt", "few_part")).applyInPandas(few_with_all, pairs))
+        found.append(members.groupBy("node", "salt", "part").cogroup(few.groupBy("few_node", "few_salt", "few_part")).applyInPandas(few_with_all(most), pairs))
         frontier = map_batches(large.where(~done).select("node", "rep", "group", "sig"), branch, "node long, rep long, group long, sig binary")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return out.distinct()
+    return out.groupBy("a", "b").agg(F.max("cut").alias("cut"))
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -289,11 +314,18 @@ def joined(docs: DataFrame, reps: DataFrame, small_node: int = SMALL, block: int
     sizes = frontier.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
     nodes = stash(frontier.join(sizes, "node").join(reps.select("rep", "sig"), "rep").select("node", "size", "rep", "sig"))
     links = confirmed(docs, first_pairs(nodes, small_node, block))
-    groups = components(links)
-    more = stash(further_pairs(nodes, groups.select(F.col("id").alias("rep"), F.col("component_id").alias("group")), small_node, block, levels))
-    if not more.limit(1).count():
-        return groups
-    return components(links.unionByName(confirmed(docs, more)))
+    tested = None
+    for most in ROUNDS:
+        groups = components(links)
+        more = stash(further_pairs(nodes, groups.select(F.col("id").alias("rep"), F.col("component_id").alias("group")), most, small_node, block, levels))
+        new = more.select("a", "b") if tested is None else more.select("a", "b").join(tested, ["a", "b"], "left_anti")
+        if not more.limit(1).count():
+            return groups
+        links = links.unionByName(confirmed(docs, new))
+        if not more.where("cut").limit(1).count():
+            break
+        tested = more.select("a", "b") if tested is None else tested.unionByName(more.select("a", "b"))
+    return components(links)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
