@@ -7,6 +7,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from feuillet.functions.names import PARTICLES, normalization_confidence, normalize_person_name
 from feuillet.functions.text import remove_accents, squeeze, words
@@ -61,7 +62,7 @@ def similar_pairs(persons: DataFrame, threshold: float = 0.85) -> DataFrame:
     return both.join(a, "name_a").join(b, "name_b").where("id_a < id_b").select("id_a", "id_b", "score")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def string_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """2 M / T of the longest common blocks, the one measure here that has no SQL form; nulls give null."""
     import difflib

@@ -18,7 +18,7 @@ def ingest_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: st
 
 def dedup_source_stream(docs: DataFrame, delay: str = "1 day") -> DataFrame:
     """docs (ts, text, ...) with each text once within the watermark; later copies and late rows go."""
-    return docs.withColumn("source_id", F.substring(F.md5("text"), 1, 16)).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["source_id"])
+    return docs.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("source_id", F.substring(F.md5("text"), 1, 16)).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["source_id"])
 
 
 def registry_counts(names: DataFrame) -> DataFrame:
@@ -32,5 +32,6 @@ def registry_upsert_stream(names: DataFrame, checkpoint: str, table: str) -> Str
 
 def running_stats(events: DataFrame, window: str = "1 day", delay: str = "1 hour") -> DataFrame:
     """Counts and sums in tumbling windows; as a stream, a window comes out once it is past the watermark."""
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     w = events.withWatermark("ts", delay) if events.isStreaming else events
     return w.groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
