@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from feuillet.plans import acts, extract, family, reports, resolve, text  # noqa: E402, F401
+from feuillet.plans import acts, extract, family, reports, resolve, text, transcription  # noqa: E402, F401
