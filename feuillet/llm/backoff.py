@@ -16,7 +16,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ from .common import partitions, stash, table
 
 ALPHA, LEAST = 0.4, 2
 BITS = 56
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 8_000_000
 MOST_WORDS = 700_000  # a worker's memory; then it starts anew
 DEALT = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("part", pa.int32()), ("n", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
 
@@ -53,24 +54,42 @@ def grams(h: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
 
 
 def planes(x: np.ndarray, kind: str) -> bytes:
-    """Bytes by significance: shuffle files squeeze the planes that are mostly zero."""
+    """Compressed bytes by significance: the planes of small numbers are mostly zero."""
     x = np.ascontiguousarray(x, kind)
-    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
 
 
 def numbers(raw: bytes, kind: str) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    return np.frombuffer(raw, np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
+
+
+def ids_of(rows: list) -> np.ndarray:
+    return np.array([-(2**63) if i is None else i for i in rows], "<i8")
+
+
+def blocks(batches: Iterator[pa.RecordBatch], emit) -> Iterator[pa.RecordBatch]:
+    """Cuts (doc_id, text) into blocks, known by their content, and gives out ``emit``'s rows for each."""
+    for batch in batches:
+        ids, texts, size = [], [], 0
+        rows = zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)
+        for k, (i, text) in enumerate(rows, 1):
+            ids.append(i)
+            texts.append(hashes(text))
+            size += len(text or "")
+            if size >= BLOCK_CHARS or k == batch.num_rows:
+                ends, h = np.cumsum([len(t) for t in texts]), np.concatenate(texts)
+                block = int(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes() + ids_of(ids).tobytes() + ends.tobytes())).astype(np.int64))
+                made = list(emit(block, ids, ends, h))
+                if made:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), DEALT, strict=True)], schema=DEALT)
+                ids, texts, size = [], [], 0
 
 
 def deal(ranges: int):
-    """Batches of (doc_id, text) -> a block's n-grams by range, and the block itself."""
+    """(doc_id, text) -> the n-grams of each block by range."""
 
-    def emit(block: int, ids: list, texts: list[np.ndarray]) -> Iterator[tuple]:
-        ends = np.cumsum([len(t) for t in texts])
-        h = np.concatenate(texts) if texts else np.zeros(0, np.uint64)
-        words, at = np.unique(h, return_inverse=True)
-        yield -1 - block, block, 0, 0, len(ids), pa.array(ids, pa.int64()).fill_null(-(2**63)).to_numpy().tobytes() + planes(ends, "<i8") + words.tobytes(), planes(at, "<u4")
+    def emit(block: int, ids: list, ends: np.ndarray, h: np.ndarray) -> Iterator[tuple]:
         for order, g in enumerate(grams(h, ends), 1):
             own, n = np.unique(g[g > 0], return_counts=True)
             cuts = np.searchsorted(own, [(r << BITS) // ranges for r in range(ranges + 1)])
@@ -79,31 +98,24 @@ def deal(ranges: int):
                 if len(part):
                     yield r * 3 + order - 1, block, order, r, len(part), planes(np.diff(part, prepend=np.uint64(0)), "<u8"), planes(n[cuts[r] : cuts[r + 1]], "<u4")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 24
-        for batch in batches:
-            ids, texts, size = [], [], 0
-            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids.append(i)
-                texts.append(hashes(text))
-                size += len(text or "")
-                if size >= BLOCK_CHARS:
-                    yield from made(emit(block, ids, texts))
-                    block, ids, texts, size = block + 1, [], [], 0
-            if ids:
-                yield from made(emit(block, ids, texts))
-                block += 1
+    return lambda batches: blocks(batches, emit)
+
+
+def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) -> each block itself: its documents and words, the frequent ones by small numbers."""
 
-    def made(rows) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), DEALT, strict=True)], schema=DEALT)
+    def emit(block: int, ids: list, ends: np.ndarray, h: np.ndarray) -> Iterator[tuple]:
+        words, at, n = np.unique(h, return_inverse=True, return_counts=True)
+        by = np.argsort(-n, kind="stable")
+        rank = np.empty(len(by), "<u4")
+        rank[by] = np.arange(len(by))
+        yield block, block, 0, 0, len(ids), ids_of(ids).tobytes() + ends.astype("<i8").tobytes() + words[by].tobytes(), planes(rank[at] if len(h) else np.zeros(0, "<u4"), "<u4")
 
-    return run
+    return blocks(batches, emit)
 
 
 def count(part: pd.DataFrame) -> pd.DataFrame:
-    """A range of one order: the corpus counts of its n-grams, for each block in the block's own order. Blocks go through as they are."""
-    if part["kind"].iloc[0] == 0:
-        return part
+    """A range of one order: the corpus counts of its n-grams, for each block in the block's own order."""
     keys = [np.cumsum(numbers(a, "<u8")) for a in part["a"]]
     table, at = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(at, np.concatenate([numbers(b, "<u4") for b in part["b"]]), len(table)).astype("<u4")
@@ -113,17 +125,22 @@ def count(part: pd.DataFrame) -> pd.DataFrame:
 
 def score(part: pd.DataFrame) -> pd.DataFrame:
     """A block and the counts of its n-grams -> doc_id, n_tokens, the sum of logs, and how many of them still lack - log(corpus size)."""
+    if not (part["kind"] == 0).any():
+        raise RuntimeError("the rows of the input came in another order when they were read again")
+    twins = int((part["kind"] == 0).sum())  # blocks with the same content have one name
     home = part[part["kind"] == 0].iloc[0]
     n = int(home["n"])
     ids = np.frombuffer(home["a"][: 8 * n], "<i8")
-    ends = numbers(home["a"][8 * n : 16 * n], "<i8")
+    ends = np.frombuffer(home["a"][8 * n : 16 * n], "<i8")
     h = np.frombuffer(home["a"][16 * n :], "<u8")[numbers(home["b"], "<u4")]
     c = []
     for order, g in enumerate(grams(h, ends), 1):
-        rows = part[part["kind"] == order].sort_values("part")
+        rows = part[part["kind"] == order].drop_duplicates("part").sort_values("part")
         found = np.concatenate([np.zeros(1, "<u4"), *(numbers(a, "<u4") for a in rows["a"])]).astype(float)  # the first is for 0
         own, at = np.unique(np.r_[np.uint64(0), g], return_inverse=True)
-        c.append(found[at[1:]] if len(found) == len(own) else None)
+        if len(found) != len(own):
+            raise RuntimeError("the rows of the input came in another order when they were read again")
+        c.append(found[at[1:]])
     c1, c2, c3 = c
     before = lambda x: np.r_[np.ones(min(1, len(x))), x[:-1]]
     has = np.arange(len(h)) - np.repeat(np.r_[0, ends[:-1]], np.diff(np.r_[0, ends]))  # words before it
@@ -132,7 +149,8 @@ def score(part: pd.DataFrame) -> pd.DataFrame:
         logs = np.where(three, np.log(c3) - np.log(before(c2)), np.where(two, np.log(c2) - np.log(before(c1)) + np.where(has > 1, np.log(ALPHA), 0), np.log(c1) + np.log(ALPHA) * np.minimum(has, 2)))
     low = ~three & ~two
     sums = lambda x: np.diff(np.r_[0, np.cumsum(x)][np.r_[0, ends]])
-    return pd.DataFrame({"doc_id": pd.array([None if i == -(2**63) else i for i in ids.tolist()], "Int64"), "n_tokens": np.diff(np.r_[0, ends]), "logs": sums(logs), "low": sums(low.astype(float)).round().astype("int64")})
+    out = pd.DataFrame({"doc_id": pd.array([None if i == -(2**63) else i for i in ids.tolist()], "Int64"), "n_tokens": np.diff(np.r_[0, ends]), "logs": sums(logs), "low": sums(low.astype(float)).round().astype("int64")})
+    return pd.concat([out] * twins)
 
 
 def scores(docs: DataFrame) -> DataFrame:
@@ -140,13 +158,15 @@ def scores(docs: DataFrame) -> DataFrame:
 
     Words are what stands between ASCII white space, A-Z lower-cased; the n-grams of all rows count, a document's own
     and those of copies too, and orders 2 and 3 need LEAST occurrences. A null or empty text has 0 words and score 0.
-    Only doc_id and text are read. An empty table gives an empty result.
+    Only doc_id and text are read, twice: ``docs`` must give its rows in the same batches each time, as a table does (else
+    an error, not a wrong score). An empty table gives an empty result.
     """
     spark = docs.sparkSession
     schema = "key long, block long, kind int, part int, n long, a binary, b binary"
     dealt = docs.select("doc_id", "text").mapInArrow(deal(2 * partitions(spark)), schema)
     counted = dealt.groupBy("key").applyInPandas(count, schema)
-    scored = stash(counted.groupBy("block").applyInPandas(score, "doc_id long, n_tokens long, logs double, low long"))
+    home = docs.select("doc_id", "text").mapInArrow(homes, schema)
+    scored = stash(counted.unionByName(home).groupBy("block").applyInPandas(score, "doc_id long, n_tokens long, logs double, low long"))
     total = scored.agg(F.sum("n_tokens")).first()[0] or 1
     return scored.select("doc_id", "n_tokens", F.round(F.col("logs") - F.col("low") * F.log(F.lit(float(total))), 4).alias("log_score"))
 
