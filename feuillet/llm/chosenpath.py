@@ -6,7 +6,7 @@ two coordinates, and documents go on together to a child where they have the sam
 share many nodes over the trees, and the number of trees follows from the recall that is wished.
 
 Nodes are compared in two rounds, each confirmed on full sets. First, every member is compared with its node's leader,
-and the best leader of each document gives a link, so a group of m near copies costs about m links and not m squared.
+and the best leaders of each document give its links, so a group of m near copies costs about m links and not m squared.
 Then the members of a node that these links have not joined are compared with all others: in a small node at once; in
 a large one, if most are joined, its few others with all, in blocks; else it branches again. What is still large at the
 last level is compared in blocks too. Of what may be similar, a document's best few are confirmed first, more in a second
@@ -22,16 +22,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import components, map_batches, stash, table
 
 WIDTH, SIZE = 5, 128
 PERCENT = 75
-#: Tokens in common of 128: a pair at the threshold has fewer once in 50,000; with so many, a leader is near enough.
-MAYBE, NEAR = 76, 103
+#: Tokens in common of 128: a pair at the threshold has fewer once in 50,000.
+MAYBE = 76
 SMALL = 512
+LEADERS = 2
 #: Pairs of a document that a turn confirms; None: all.
 ROUNDS = (3, 30, None)
 LEVELS = 8
@@ -197,7 +198,7 @@ def exhaustive(most: int | None):
 def large_leaders(large: DataFrame, block: int) -> DataFrame:
     """``leaders`` for large nodes: members are dealt by node and a salt, so that no node is one task's work."""
     salts = F.floor(F.col("size") / block).cast("int")
-    heads = large.groupBy("node", "size").agg(F.min(F.struct("rep", "sig")).alias("p"))
+    heads = large.groupBy("node", "size").agg(F.min_by(F.struct("rep", "sig"), F.xxhash64("node", "rep")).alias("p"))  # another one in each node
     heads = heads.select("node", F.col("p.rep").alias("leader"), F.col("p.sig").alias("leader_sig"), F.explode(F.sequence(F.lit(0), salts)).alias("salt"))
     met = large.withColumn("salt", F.pmod(F.xxhash64("rep"), salts + 1).cast("int")).join(heads, ["node", "salt"]).select("rep", "sig", "leader", "leader_sig")
 
@@ -246,11 +247,11 @@ def branch(batch: pa.RecordBatch) -> dict:
 
 
 def first_pairs(nodes: DataFrame, small_node: int = SMALL, block: int = BLOCK) -> DataFrame:
-    """Each document with the best of its leaders: the least id among those that are near enough, else the nearest. ``nodes`` has node, size, rep, sig."""
+    """Each document with the LEADERS nearest of its leaders. ``nodes`` has node, size, rep, sig."""
     small = sorted_nodes(nodes.where(F.col("size") <= small_node).select("node", "rep", "sig")).mapInArrow(leaders, "rep long, leader long, same int")
-    met = small.unionByName(large_leaders(nodes.where(F.col("size") > small_node), block))
-    best = met.groupBy("rep").agg(F.min_by("leader", F.struct(F.when(F.col("same") >= NEAR, 0).otherwise(SIZE - F.col("same")), "leader")).alias("leader"))
-    return best.select(F.col("leader").alias("a"), F.col("rep").alias("b"))
+    met = small.unionByName(large_leaders(nodes.where(F.col("size") > small_node), block)).groupBy("rep", "leader").agg(F.max("same").alias("same"))
+    near = met.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("same"), "leader"))).where(F.col("n") <= LEADERS)  # a document has few leaders: one for each of its nodes
+    return near.select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct()
 
 
 def further_pairs(nodes: DataFrame, groups: DataFrame, most: int | None, small_node: int = SMALL, block: int = BLOCK, levels: int = LEVELS) -> DataFrame:
