@@ -35,7 +35,7 @@ SMALL = 512
 LEADERS = 2
 #: Pairs of a document that a turn confirms; None: all.
 ROUNDS = (3, 30, None)
-LEVELS = 8
+LEVELS = 3
 BLOCK = 4096
 MOST_WORDS = 700_000  # a worker's memory; then it starts anew
 MIX = np.uint64(0x9E3779B97F4A7C15)
