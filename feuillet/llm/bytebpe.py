@@ -1,7 +1,8 @@
 """Byte-level BPE ids, a word at a time: words repeat, so each worker keeps the ids of those it has met.
 
 The pre-token pattern never joins what stands on both sides of a lone space, so a text whose spaces are all lone
-is cut before each of them; other texts go through the pattern itself.
+is cut before each of them; other texts go through the pattern itself. Added tokens are found first, as the library
+does: they take their own ids, and what stands between them is encoded by itself.
 """
 
 from __future__ import annotations
@@ -32,9 +33,14 @@ class Words(dict):
         alphabet = byte_alphabet()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        special = {t["id"] for t in spec.get("added_tokens", [])}
+        added = spec.get("added_tokens", [])
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+            raise ValueError("added tokens that depend on what stands beside them aren't supported")
+        special = {t["id"] for t in added}
+        self.added = {t["content"]: array("I", [t["id"]]).tobytes() for t in added}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
         ranks = {bytes(alphabet[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if i not in special}
-        self.size = max(spec["model"]["vocab"].values()) + 1
+        self.size = max([*spec["model"]["vocab"].values(), *special]) + 1
         self.core = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def whole(self, text: str) -> bytes:
@@ -47,6 +53,11 @@ class Words(dict):
     def encode(self, text: str) -> bytes:
         if len(self) > MOST_WORDS:
             self.clear()
+        if self.cut and len(parts := self.cut.split(text)) > 1:  # at odd places the added tokens
+            return b"".join(self.added[part] if k % 2 else self.between(part) for k, part in enumerate(parts) if part)
+        return self.between(text)
+
+    def between(self, text: str) -> bytes:
         if SPACES.search(text):
             return self.whole(text)
         first, *rest = text.split(" ")

@@ -36,6 +36,17 @@ def test_byte_bpe_words_equal_the_library():
         assert np.frombuffer(w.encode(text), "<u4").tolist() == e.ids, text
 
 
+def test_added_tokens_in_texts_equal_the_library(spark):
+    t, w = Tokenizer.from_file(BPE), bytebpe.words(BPE)
+    random.seed(7)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y", "<|endoftext|", "<|ENDOFTEXT|>", "\n<|endoftext|>\n"]
+    texts += ["".join(random.choice(["a", " ", "\n", "'s", "<|", "|>", "<|endoftext|>", "é1"]) for _ in range(random.randint(0, 12))) for _ in range(2000)]
+    for text, e in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(w.encode(text), "<u4").tolist() == e.ids, text
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts[:6])), "doc_id long, text string"), BPE).collect()
+    assert {r.doc_id: r.doc_tokens for r in rows} == {i: len(t.encode(x, add_special_tokens=False).ids) + 1 for i, x in enumerate(texts[:6])}
+
+
 def packed_well(rows, window):
     by_sequence, by_doc = {}, Counter()
     for r in rows:
