@@ -3,18 +3,20 @@
 Generators propose spans that may overlap: whatever looks like an address, an IP number, a card or a phone number,
 checked or not. Candidates that a rule settles teach the trees: those that pass their check are positive; those that
 fail it, or sit inside a longer word such as a key, are negative. The trees see format and context, and their
-thresholds, one for each kind, are set on held-out candidates to a wished precision. A candidate that no rule settles
-and that reaches its threshold is added where it meets no other span.
+thresholds, one for each kind, are set on the held-out candidates of all documents to a wished precision. A candidate
+that no rule settles and that reaches its threshold is added where it meets no other span.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .boosting import Boosted
@@ -34,6 +36,7 @@ WIDER = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+\x20?[\[({]at[\])}]\x20?[A-Za-z0-9-]+(?:\x20?(?:\.|[\[({]dot[\])}])\x20?[A-Za-z0-9-]+)+"),
 }
 CUES = ("mail", "contact", "call", "phone", "tel", "ip", "host", "card", "visa", "pay", "token", "password", "key", "secret", "version", "id")
+BINS = 1000  # of the scores, where thresholds are set
 SPANS = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
 
@@ -48,7 +51,7 @@ def luhn(digits: str) -> bool:
 def passes(kind: str, s: str) -> bool:
     digits = re.sub("[^0-9]", "", s)
     if kind == "ip":
-        return all(int(p) <= 255 for p in s.split("."))
+        return all(len(n) <= 3 and int(n or "0") <= 255 for n in (p.lstrip("0") for p in s.split(".")))
     if kind == "card":
         return 12 <= len(digits) <= 19 and luhn(digits)
     return kind == "email" or 9 <= len(digits) <= 15
@@ -131,33 +134,64 @@ class Detector:
         return out
 
 
-def fit(docs: DataFrame, max_docs: int = 20_000, max_candidates: int = 20_000, precision: float = 0.98) -> Detector:
-    """Trees and thresholds from the candidates of about ``max_docs`` documents (a hash of doc_id picks them), at most ``max_candidates``.
+def settled(batch) -> list[tuple[int, str, int, str, int, int]]:
+    """The candidates that a rule settles: a hash, kind, label, text, start, end."""
+    key = lambda i, text, a, b, kind: int.from_bytes(hashlib.blake2b(f"{i}:{a}:{b}:{kind}:{text[a:b]}".encode(errors="replace"), digest_size=7).digest())
+    return [(key(i, text, a, b, kind), kind, label, text, a, b) for i, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True) for a, b, kind, label in candidates(text) if label >= 0]
 
-    A kind without a threshold that keeps ``precision`` on the held-out third adds nothing; neither does a sample
-    without both labels.
-    """
-    share = min(1.0, max_docs / max(1, docs.count()))
 
-    def run(batch):
-        rows = [(label, kind, features(text, a, b, kind)) for text in texts(batch) for a, b, kind, label in candidates(text) if label >= 0]
-        label, kind, x = zip(*rows, strict=True) if rows else ((), (), ())
-        return {"label": label, "kind": kind, "x": x}
+def fit(docs: DataFrame, max_candidates: int = 20_000, precision: float = 0.98) -> Detector:
+    """Trees from at most ``max_candidates`` settled candidates, as many of each kind and label; thresholds from those of all documents.
 
-    picked = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = sorted(map(tuple, map_batches(picked, run, "label int, kind string, x array<double>").limit(max_candidates).collect()))
+    A hash of doc_id and span holds a third of the candidates out; of the others, those with the smallest hashes of
+    each kind and label teach the trees. The scores of all that are held out are counted in bins. A kind without a
+    threshold that keeps ``precision`` on them adds nothing; neither does a sample without both labels.
+    """
+    most = max(1, max_candidates // (2 * len(KINDS)))
+    seen: dict[tuple[str, int], tuple[list[int], set[int]]] = {}  # a task's smallest hashes; each task has its own copy
+
+    def small(kind: str, label: int, h: int) -> bool:
+        heap, own = seen.setdefault((kind, label), ([], set()))
+        if h in own or len(heap) == most and h > -heap[0]:
+            return False
+        own.add(h)
+        if len(heap) < most:
+            heapq.heappush(heap, -h)
+        else:
+            own.discard(-heapq.heapreplace(heap, -h))
+        return True
+
+    def pick(batch):
+        rows = [(h, kind, label, features(text, a, b, kind)) for h, kind, label, text, a, b in settled(batch) if h % 3 and small(kind, label, h)]
+        h, kind, label, x = zip(*rows, strict=True) if rows else ((), (), (), ())
+        return {"h": h, "kind": kind, "label": label, "x": x}
+
+    docs = docs.select("doc_id", "text")
+    picked = map_batches(docs, pick, "h long, kind string, label int, x array<double>").groupBy("kind", "label", "h").agg(F.min("x").alias("x"))
+    for salt in (F.pmod(F.xxhash64("h"), F.lit(64)), F.lit(0)):  # first by salt: no kind's candidates are one task's work
+        picked = picked.withColumn("n", F.row_number().over(Window.partitionBy("kind", "label", salt).orderBy("h"))).where(F.col("n") <= most)
+    rows = sorted((r["label"], r["kind"], r["x"]) for r in picked.select("kind", "label", "x").collect())  # bounded by max_candidates
     y, x = np.array([r[0] for r in rows]), np.array([r[2] for r in rows])
     if len(set(y.tolist())) < 2:
         return Detector()
-    held = np.arange(len(y)) % 3 == 0
-    model = Boosted().fit(x[~held], y[~held])
-    p, kinds, thresholds = model.probability(x[held]), np.array([r[1] for r in rows])[held], {}
-    for kind in KINDS:
-        scores, truth = p[kinds == kind], y[held][kinds == kind]
-        for t in sorted({*scores[truth == 1].tolist()}):
-            if truth[scores >= t].mean() >= precision:
-                thresholds[kind] = max(t, 0.5)
-                break
+    model = Boosted().fit(x, y)
+
+    def count(batch):
+        held = [c for c in settled(batch) if c[0] % 3 == 0]
+        p = model.probability(np.array([features(text, a, b, kind) for _, kind, _, text, a, b in held])) if held else ()
+        counts = Counter((kind, label, int(score * BINS)) for (_, kind, label, *_), score in zip(held, p, strict=True))
+        kind, label, bin_ = zip(*counts, strict=True) if counts else ((), (), ())
+        return {"kind": kind, "label": label, "bin": bin_, "n": list(counts.values())}
+
+    bins = {kind: np.zeros((2, BINS + 1), int) for kind in KINDS}
+    for r in map_batches(docs, count, "kind string, label int, bin int, n long").groupBy("kind", "label", "bin").agg(F.sum("n").alias("n")).collect():  # bounded by the bins
+        bins[r["kind"]][r["label"], r["bin"]] = r["n"]
+    thresholds = {}
+    for kind, counted in bins.items():
+        wrong, right = np.cumsum(counted[:, ::-1], axis=1)[:, ::-1]  # at the bin and above
+        good = np.flatnonzero((counted[1] > 0) & (right >= precision * (right + wrong)))
+        if len(good):
+            thresholds[kind] = max(good[0] / BINS, 0.5)
     return Detector(model, thresholds)
 
 

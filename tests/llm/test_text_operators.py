@@ -163,6 +163,24 @@ def test_personal_data(spark, odd, data):
     assert pii.detect(odd, pii.Detector()).count() == odd.count()
 
 
+def test_personal_data_of_a_sorted_table(spark):
+    """A source with one kind comes first and fills the bound: the kinds after it get thresholds all the same."""
+    random.seed(8)
+    digits = lambda n: "".join(random.choice("0123456789") for _ in range(n))
+    first = [f"mail a{digits(3)}@b.org, or {random.choice(['10.0.0.' + digits(1), '999.1.2.' + digits(2)])}" for _ in range(300)]
+    then = [f"call +{digits(2)} {digits(3)} {digits(4)} {digits(3)} or +{digits(1)} {digits(4)}" for _ in range(100)]
+    docs = spark.createDataFrame(list(enumerate(first + then)), "doc_id long, text string").coalesce(1)
+    detector = pii.fit(docs, max_candidates=80)
+    assert "phone" in detector.thresholds and "ip" in detector.thresholds
+    call = spark.createDataFrame([(1, f"call ({digits(3)}) {digits(3)}-{digits(4)} or +{digits(2)} {digits(3)} {digits(4)} {digits(3)}")], "doc_id long, text string")
+    assert pii.detect(call, detector).first()["n_phone"] == 1
+
+
+def test_numbers_too_long_to_be_read():
+    assert pii.base_spans("1" * 5000 + ".1.1.1") == []
+    assert [s[2] for s in pii.base_spans("0" * 5000 + "1.2.3.4")] == ["ip"]
+
+
 def test_toxicity_on_held_out_labels(spark, data):
     sf = data.replace("sf0.001", "sf0.01")
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
