@@ -4,14 +4,13 @@ The tree is fitted on a bounded sample and broadcast; every vector is put in a l
 centre. A query orders the leaves by a priority queue of nodes: the nearest node is taken, a leaf is visited, an inner
 node puts its children in the queue. How many leaves to visit is calibrated: for a bounded set of queries the true
 neighbours are found by comparison with all rows, and the visits widen until the neighbours' leaves, in each query's own
-order, give the wished recall. Leaves are dealt to shards of bounded size, large ones over several; a query goes to
+order, give the wished recall. A query whose leaves hold too few vectors goes on to further ones. Leaves are dealt to shards of bounded size, large ones over several; a query goes to
 the shards that hold its leaves, and their answers merge.
 """
 
 from __future__ import annotations
 
 import heapq
-import itertools
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -152,7 +151,11 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, recall: float = 0.
         x, made = rows(batch.column("embedding")), []
         for query, q in zip(batch.column("vec_id").to_pylist(), x, strict=True):
             by: dict[int, list[int]] = {}
-            for leaf in itertools.islice((v for v in tree.best_first(q) if v in shards), visits):
+            held = 0
+            for n, leaf in enumerate(v for v in tree.best_first(q) if v in shards):
+                if n >= visits and held > k:  # k without the query itself
+                    break
+                held += sizes[leaf]
                 for shard in range(shards[leaf][0], sum(shards[leaf])):
                     by.setdefault(shard, []).append(leaf)
             made += [(shard, query, sorted(leaves), q.tobytes()) for shard, leaves in by.items()]

@@ -87,6 +87,16 @@ def test_search_against_brute_force(spark):
     assert kmeanstree.search(vectors(spark, x[:1])).count() == 0
 
 
+def test_search_goes_on_where_leaves_hold_few(spark):
+    """Leaves of about three vectors, one to visit by the calibration, and a vector far from all others."""
+    x = np.random.default_rng(3).normal(size=(400, 8)).astype("f4")
+    x[0] = 1000
+    got = kmeanstree.search(vectors(spark, x, BAD), every=50, recall=0.01, leaf_size=3).collect()
+    assert {q: sorted(r.rank for r in got if r.query_id == q) for q in range(0, 400, 50)} == {q: list(range(1, 11)) for q in range(0, 400, 50)}
+    few = kmeanstree.search(vectors(spark, x[:7], BAD), every=1, recall=0.01, leaf_size=1).collect()
+    assert len(few) == 7 * 6
+
+
 @pytest.mark.parametrize("tile", [16, 4096])
 def test_tiles_against_all_pairs(spark, monkeypatch, tile):
     monkeypatch.setattr(pcatiles, "TILE", tile)
