@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import difflib
 from functools import reduce
 
 import pandas as pd
@@ -65,20 +66,36 @@ def similar_pairs(persons: DataFrame, threshold: float = 0.85) -> DataFrame:
 @F.pandas_udf(DoubleType())
 def string_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """2 M / T of the longest common blocks, the one measure here that has no SQL form; nulls give null."""
-    import difflib
-
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+#: fixed values: forms of one first name
+FIRST_VARIANTS = (("charles", "carl"), ("charles", "karol"), ("guillaume", "william"), ("guillaume", "willem"), ("jacques", "jacob"), ("jacques", "james"), ("jean", "john"), ("jean", "johan"), ("françois", "francis"), ("françois", "francisco"), ("marie", "maria"), ("marie", "mary"))
+
+
+def glued(c: Column) -> Column:
+    return F.replace(F.lower(c), F.lit(" "), F.lit(""))
+
+
+def no_de(c: Column) -> Column:
+    return F.lower(F.replace(c, F.lit("de "), F.lit("")))
+
+
+def y_i(c: Column) -> Column:
+    return F.translate(F.lower(remove_accents(c)), "y", "i")
+
+
+def plain(c: Column) -> Column:
+    return remove_accents(F.lower(c))
+
+
+def single(c: Column) -> Column:
+    return reduce(lambda x, d: F.replace(x, F.lit(d * 2), F.lit(d)), "lnmtsr", F.lower(c))
+
+
 def rule_boost(a: Column, b: Column, pa: Column, pb: Column) -> Column:
     """struct(boost, rules): equalities of derived keys that are known slips of transcription."""
-    glued = lambda c: F.replace(F.lower(c), F.lit(" "), F.lit(""))
-    no_de = lambda c: F.lower(F.replace(c, F.lit("de "), F.lit("")))
-    y_i = lambda c: F.translate(F.lower(remove_accents(c)), "y", "i")
-    plain = lambda c: remove_accents(F.lower(c))
-    single = lambda c: reduce(lambda x, d: F.replace(x, F.lit(d * 2), F.lit(d)), "lnmtsr", F.lower(c))
-    variants = (("charles", "carl"), ("charles", "karol"), ("guillaume", "william"), ("guillaume", "willem"), ("jacques", "jacob"), ("jacques", "james"), ("jean", "john"), ("jean", "johan"), ("françois", "francis"), ("françois", "francisco"), ("marie", "maria"), ("marie", "mary"))
-    first = reduce(lambda x, v: x | ((F.lower(pa) == v[0]) & (F.lower(pb) == v[1])) | ((F.lower(pa) == v[1]) & (F.lower(pb) == v[0])), variants, F.lit(False))
+    first = reduce(lambda x, v: x | ((F.lower(pa) == v[0]) & (F.lower(pb) == v[1])) | ((F.lower(pa) == v[1]) & (F.lower(pb) == v[0])), FIRST_VARIANTS, F.lit(False))
     rules = ((((glued(a) == glued(b)) & glued(a).startswith("de")) | (no_de(a) == F.lower(b)) | (no_de(b) == F.lower(a)), "de_prefix_correction", 0.95), (y_i(a) == y_i(b), "y_i_variation", 0.90), (plain(a) == plain(b), "accent_loss", 0.92), (single(a) == single(b), "consonant_variation", 0.88), (first, "firstname_variant", 0.85))
     return F.struct(F.greatest(F.lit(0.0), *[F.when(when, score).otherwise(0.0) for when, _, score in rules]).alias("boost"), F.array_join(F.array_compact(F.array(*[F.when(when, name) for when, name, _ in rules])), ",").alias("rules"))
 
@@ -91,14 +108,63 @@ def score_name_pairs(pairs: DataFrame) -> DataFrame:
     return x.select(*pairs.columns, F.round(s, 4).alias("similarity"), F.round(F.least(F.lit(1.0), s + F.when(F.col("r.rules") != "", 0.05).otherwise(0.0)), 4).alias("confidence"), F.col("r.rules").alias("rules"))
 
 
+def rule_keys(c: Column) -> Column:
+    """Keys of which two family names share one if a rule of ``rule_boost`` joins them."""
+    forms = {"g": glued(c), "d": no_de(c), "y": y_i(c), "p": plain(c), "s": single(c)}
+    return F.array(*[F.concat(F.lit(f"{k}|"), f) for k, f in forms.items()], F.concat(F.lit("d|"), F.lower(c)))
+
+
+def letters(c: Column) -> Column:
+    """The letters with their occurrence, rare ones first: two words' common ones are at least those of their common blocks."""
+    cs = F.filter(F.split(F.lower(c), ""), lambda x: x != "")
+    rare = lambda x: F.when(F.instr(F.lit("easirtnoulcdmphgbvfqyjzxkw"), x) > 0, -F.instr(F.lit("easirtnoulcdmphgbvfqyjzxkw"), x)).otherwise(-100)
+    marked = F.transform(cs, lambda x, i: F.struct(rare(x).alias("r"), x.alias("x"), F.size(F.filter(F.slice(cs, 1, i + 1), lambda y: y == x)).alias("n")))
+    return F.transform(F.array_sort(marked), lambda m: F.concat(m["x"], m["n"]))
+
+
+def near_words(a: DataFrame, b: DataFrame, least: float, rules: bool = False) -> DataFrame:
+    """a and b (v) -> va, vb: all pairs whose ``string_ratio`` can reach ``least``, and those that a rule joins.
+
+    A ratio of 2 M / T with M common letters leaves a word of n letters at least n * least / (2 - least) in common with
+    the other, so one is among its first n - that + 1; the lengths and all common letters are compared after that.
+    """
+
+    def keyed(df: DataFrame, k: str) -> DataFrame:
+        x = df.where("v is not null").distinct().select(F.col("v").alias(f"v{k}"), letters(F.col("v")).alias(f"l{k}"))
+        n = F.size(f"l{k}")
+        first = F.slice(f"l{k}", 1, (n - F.ceil(n * least / (2 - least) - 1e-9) + 1).cast("int"))
+        keys = F.when(n == 0, F.array(F.lit(""))).otherwise(first) if least > 0 else F.array(F.lit(""))
+        keys = F.concat(keys, rule_keys(F.col(f"v{k}"))) if rules else keys
+        return x.select(f"v{k}", f"l{k}", F.explode(F.array_distinct(keys)).alias("key"))
+
+    both = keyed(a, "a").join(keyed(b, "b"), "key")
+    common = 2 * F.size(F.array_intersect("la", "lb")) >= least * (F.size("la") + F.size("lb")) - 1e-9
+    return both.where(common | (F.substring("key", 2, 1) == "|") if rules else common).select("va", "vb").distinct()
+
+
+def name_matches(targets: DataFrame, candidates: DataFrame, threshold: float) -> DataFrame:
+    """Names of both (nom_a, prenom_a, nom_b, prenom_b, similarity): all pairs at the threshold. What the similarity asks of each part bounds the part's pairs."""
+    a, b = (df.select(F.col("nom").alias(f"nom_{k}"), F.col("prenom").alias(f"prenom_{k}")).distinct() for df, k in ((targets, "a"), (candidates, "b")))
+    pairs = []
+    for part, weight, rules in (("nom", 0.6, True), ("prenom", 0.4, False)):
+        least = (threshold - 1e-4 - (1 - weight)) / weight  # the other part gives at most its weight
+        near = near_words(a.select(F.col(f"{part}_a").alias("v")), b.select(F.col(f"{part}_b").alias("v")), least, rules)
+        pairs.append(near.select(F.col("va").alias(f"{part}_a"), F.col("vb").alias(f"{part}_b")))
+    found = a.join(pairs[0], "nom_a").join(pairs[1], "prenom_a").join(b, ["nom_b", "prenom_b"]).select("nom_a", "prenom_a", "nom_b", "prenom_b")
+    ratio = lambda v: max(difflib.SequenceMatcher(None, *w).ratio() for w in (v, v[::-1]))
+    for v in (v for v in FIRST_VARIANTS if 0.6 * 0.85 + 0.4 * ratio(v) >= threshold - 1e-4):  # enough whatever the family names are
+        for x, y in (v, v[::-1]):
+            found = found.unionByName(a.where(F.lower("prenom_a") == x).crossJoin(b.where(F.lower("prenom_b") == y)).select(*found.columns))
+    return score_name_pairs(found.distinct()).where(F.col("similarity") >= threshold).drop("confidence", "rules")
+
+
 def find_best_matches(targets: DataFrame, candidates: DataFrame, threshold: float = 0.85, k: int = 3) -> DataFrame:
-    """target_id, candidate_id, score, rank: blocked by the first letters of either name part."""
-    key = lambda c: F.explode(F.array(F.concat(F.lit("n"), F.lower(F.substring(remove_accents(F.col("nom")), 1, 3))), F.concat(F.lit("p"), F.lower(F.substring(remove_accents(F.col("nom")), -3, 3))))).alias("key")
-    t = targets.select(F.col("person_id").alias("target_id"), F.col("nom").alias("nom_a"), F.col("prenom").alias("prenom_a"), key(0))
-    c = candidates.select(F.col("person_id").alias("candidate_id"), F.col("nom").alias("nom_b"), F.col("prenom").alias("prenom_b"), key(0))
-    names = t.select("nom_a", "prenom_a", "key").distinct().join(c.select("nom_b", "prenom_b", "key").distinct(), "key").drop("key").distinct()  # names, not persons, are scored
-    scored = score_name_pairs(names).where(F.col("similarity") >= threshold)
-    rows = t.drop("key").distinct().join(scored, ["nom_a", "prenom_a"]).join(c.drop("key").distinct(), ["nom_b", "prenom_b"]).where("target_id <> candidate_id")
+    """target_id, candidate_id, score, rank: the k best of all candidates at the threshold, ties by candidate_id."""
+    t = targets.select(F.col("person_id").alias("target_id"), F.col("nom").alias("nom_a"), F.col("prenom").alias("prenom_a")).distinct()
+    c = candidates.select(F.col("person_id").alias("candidate_id"), F.col("nom").alias("nom_b"), F.col("prenom").alias("prenom_b")).distinct()
+    own = F.row_number().over(Window.partitionBy("nom_b", "prenom_b").orderBy("candidate_id"))
+    c = c.withColumn("own", own).where(F.col("own") <= k + 1).drop("own")  # of one name, no others can be among the k best
+    rows = t.join(name_matches(targets, candidates, threshold), ["nom_a", "prenom_a"]).join(c, ["nom_b", "prenom_b"]).where("target_id <> candidate_id")
     rank = F.row_number().over(Window.partitionBy("target_id").orderBy(F.desc("similarity"), "candidate_id"))
     return rows.select("target_id", "candidate_id", F.col("similarity").alias("score"), rank.alias("rank")).where(F.col("rank") <= k)
 
@@ -167,8 +233,8 @@ def homonym_resolution(persons: DataFrame, least: float = 0.7) -> DataFrame:
 def merge_name_groups(persons: DataFrame, threshold: float = 0.95) -> DataFrame:
     """key, group: homonym keys whose name pairs score at the threshold or more go together (all of a chain)."""
     names = persons.select(remove_accents(F.lower("nom")).alias("nom"), remove_accents(F.lower("prenom")).alias("prenom")).distinct().withColumn("person_id", F.xxhash64("nom", "prenom"))
-    near = find_best_matches(names, names, threshold, 50)
-    groups = connected(near.select(F.col("target_id").alias("a"), F.col("candidate_id").alias("b")))
+    near = name_matches(names, names, threshold)
+    groups = connected(near.select(F.xxhash64("nom_a", "prenom_a").alias("a"), F.xxhash64("nom_b", "prenom_b").alias("b")))
     return names.join(groups.withColumnRenamed("id", "person_id"), "person_id", "left").select(F.concat_ws(" ", "prenom", "nom").alias("key"), F.coalesce("group_id", "person_id").alias("group"))
 
 

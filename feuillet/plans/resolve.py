@@ -128,7 +128,7 @@ def _(t):
 
 @query("joi13_find_best_matches")
 def _(t):
-    return R.find_best_matches(t.persons.where("statut = 'écuyer'"), t.persons.where("sexe = 'M'"), 0.85, 3)
+    return R.find_best_matches(t.persons, t.persons, 0.85, 3)
 
 
 @query("joi14_jaccard_pairs", f"WITH nm AS (SELECT min(person_id) AS id, {NAME} || ' ' || lieu_naissance AS name FROM persons GROUP BY 2), s AS (SELECT id, list_distinct({s_words('lower(name)')}) AS ws FROM nm) SELECT a.id AS id_a, b.id AS id_b, round(len(list_intersect(a.ws, b.ws)) / len(list_distinct(list_concat(a.ws, b.ws))), 6)::DOUBLE AS score FROM s a JOIN s b ON a.id < b.id WHERE len(list_intersect(a.ws, b.ws)) / len(list_distinct(list_concat(a.ws, b.ws))) > 0.4")

@@ -3,6 +3,7 @@
 import glob
 import math
 import os
+import random
 
 import duckdb
 import pytest
@@ -95,6 +96,28 @@ def test_blocking_loses_no_similar_pair(spark, data):
         assert got == wanted
 
 
+def test_name_matches_against_all_pairs(spark):
+    random.seed(9)
+    base = [("Yvry", "Jean"), ("Ivri", "Jean"), ("Lefebvre", "Marie"), ("Iefebvra", "Marie"), ("de la Rue", "Anne"), ("dela Rue", "Anne"), ("Rue", "Anne"), ("Mallet", "Carl"), ("Malet", "Charles"), ("Picot", "Maria"), ("Varin", "Marie"), ("Hébert", "Hélène"), ("Hebert", "Helene"), ("", "Jean"), ("", "Jeanne"), (None, "Jean"), ("Yvry", None)]
+    misread = lambda w: "".join(random.choice("aeilnt") if random.random() < 0.12 else c for c in w)
+    base += [(misread("Boucher"), random.choice(["Jean", "Jehan", "Jeanne"])) for _ in range(90)]
+    names = spark.createDataFrame([(i, *n) for i, n in enumerate(dict.fromkeys(base))], "person_id long, nom string, prenom string").cache()
+    a, b = (names.select(F.col("nom").alias(f"nom_{k}"), F.col("prenom").alias(f"prenom_{k}")) for k in "ab")
+    every = [(tuple(r)[:4], r.similarity) for r in R.score_name_pairs(a.crossJoin(b)).collect() if r.similarity is not None]
+    for t in (0.9, 0.85, 0.7):
+        wanted = {k: v for k, v in every if v >= t}
+        assert {tuple(r)[:4]: r.similarity for r in R.name_matches(names, names, t).collect()} == wanted
+    ids = {(r.nom, r.prenom): r.person_id for r in names.collect()}
+    best = {}
+    for (na, pa, nb, pb), v in every:
+        if v >= 0.85 and (na, pa) != (nb, pb):
+            best.setdefault(ids[na, pa], []).append((-v, ids[nb, pb]))
+    got = {(r.target_id, r.rank): (-r.score, r.candidate_id) for r in R.find_best_matches(names, names, 0.85, 3).collect()}
+    assert got == {(i, n + 1): x for i, found in best.items() for n, x in enumerate(sorted(found)[:3])}
+    group = {r.key: r.group for r in R.merge_name_groups(names, 0.85).collect()}
+    assert group["jean yvry"] == group["jean ivri"] and group["marie lefebvre"] == group["marie iefebvra"]
+
+
 def test_exports_and_files(spark, data, tmp_path):
     t = Tables(spark, data)
     S.write_csv_export(S.filiation_rows(t.persons), t.persons, str(tmp_path / "csv"))
