@@ -138,7 +138,7 @@ def global_counts(persons: DataFrame, actes: DataFrame, families: DataFrame) ->
 
 def number_rows(df: DataFrame, order: str, partition: str) -> DataFrame:
     """``number`` from 1 in ``order`` over the whole table, by counts of the partitions first: no single task sorts everything."""
-    counts = df.groupBy(partition).agg(F.count("*").alias("n"))
-    before = counts.select(partition, (F.sum("n").over(Window.orderBy(partition)) - F.col("n")).alias("before"))  # one row for each partition value
+    counts = df.groupBy(F.col(partition).alias("at")).agg(F.count("*").alias("n"))
+    before = counts.select("at", (F.sum("n").over(Window.orderBy("at")) - F.col("n")).alias("before"))  # one row for each partition value, null first
     own = F.row_number().over(Window.partitionBy(partition).orderBy(order))
-    return df.withColumn("own", own).join(before, partition).withColumn("number", (F.col("before") + F.col("own")).cast("long")).drop("own", "before")
+    return df.withColumn("own", own).join(before, F.col(partition).eqNullSafe(F.col("at"))).withColumn("number", (F.col("before") + F.col("own")).cast("long")).drop("own", "before", "at")

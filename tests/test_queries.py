@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from feuillet.functions import dates as D
 from feuillet.functions import names as N
 from feuillet.functions import text as X
+from feuillet.operators import acts as A
 from feuillet.operators import extract as E
 from feuillet.operators import family as G
 from feuillet.operators import resolve as R
@@ -118,6 +119,13 @@ def test_name_matches_against_all_pairs(spark):
     assert group["jean yvry"] == group["jean ivri"] and group["marie lefebvre"] == group["marie iefebvra"]
 
 
+def test_number_rows_keeps_null_partitions(spark):
+    rows = spark.createDataFrame([(1, "b"), (2, None), (3, "a"), (4, None), (5, "b")], "acte_id long, lieu string")
+    got = A.number_rows(rows, "acte_id", "lieu")
+    assert got.columns == ["acte_id", "lieu", "number"]
+    assert [r.acte_id for r in got.orderBy("number").collect()] == [2, 4, 3, 1, 5] and {r.number for r in got.collect()} == {1, 2, 3, 4, 5}
+
+
 def test_exports_and_files(spark, data, tmp_path):
     t = Tables(spark, data)
     S.write_csv_export(S.filiation_rows(t.persons), t.persons, str(tmp_path / "csv"))
