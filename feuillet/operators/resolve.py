@@ -284,12 +284,16 @@ def revalidate_registry(persons: DataFrame) -> DataFrame:
 
 
 def detect_duplicates(persons: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """id_a, id_b, score: 0.7 of the name's word sets alike, 0.3 of births within a year, at more than the threshold."""
-    key = F.array_join(F.array_sort(words(F.lower(full_name()))), " ")
+    """id_a, id_b, score: 0.7 of the name's word sets alike, 0.3 of births within ten years, at more than the threshold."""
+    key = F.array_join(F.array_sort(F.array_distinct(words(F.lower(full_name())))), " ")
     p = persons.select("person_id", key.alias("key"), "naissance")
-    a, b = (p.select("key", F.col("person_id").alias(f"id_{k}"), F.col("naissance").alias(f"n{k}")) for k in "ab")
-    score = 0.7 + 0.3 * F.greatest(F.lit(0.0), 1 - F.abs(F.col("na") - F.col("nb")) / 10)
-    return a.join(b, "key").where("id_a < id_b").select("id_a", "id_b", F.round(score, 4).alias("score")).where(F.col("score") > threshold)
+    names = p.select("key").distinct()
+    near = jaccard_pairs(names.select(F.col("key").alias("id"), F.col("key").alias("name")), (threshold - 0.3) / 0.7 - 1e-6)  # births give at most 0.3
+    near = near.unionByName(near.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"), "score")).unionByName(names.select(F.col("key").alias("id_a"), F.col("key").alias("id_b"), F.lit(1.0).alias("score")))
+    near = near.select(F.col("id_a").alias("key_a"), F.col("id_b").alias("key_b"), F.col("score").alias("alike"))
+    a, b = (p.select(F.col("key").alias(f"key_{k}"), F.col("person_id").alias(f"id_{k}"), F.col("naissance").alias(f"n{k}")) for k in "ab")
+    score = 0.7 * F.col("alike") + 0.3 * F.greatest(F.lit(0.0), 1 - F.abs(F.col("na") - F.col("nb")) / 10)
+    return a.join(near, "key_a").join(b, "key_b").where("id_a < id_b").select("id_a", "id_b", F.round(score, 4).alias("score")).where(F.col("score") > threshold)
 
 
 #: fixed values: phrases that mark a woman or a man

@@ -119,6 +119,21 @@ def test_name_matches_against_all_pairs(spark):
     assert group["jean yvry"] == group["jean ivri"] and group["marie lefebvre"] == group["marie iefebvra"]
 
 
+def test_duplicates_by_word_sets_and_births(spark):
+    random.seed(10)
+    people = [(1, "Jean Pierre", "Martin", 1600), (2, "Jean Pierre Louis", "Martin", 1600), (3, "Jean Pierre", "Martin", 1607), (4, "Martin", "Jean Pierre", None)]
+    people += [(i, " ".join(random.sample(["Jean", "Pierre", "Louis", "Marie", "Anne"], random.randint(2, 4))), random.choice(["Martin", "Le Boucher"]), random.choice([1600, 1601, 1605, None])) for i in range(5, 90)]
+    sets = {i: (set(f"{a} {b}".lower().split()), n) for i, a, b, n in people}
+    wanted = {}
+    for a, (x, m) in sets.items():
+        for b, (y, n) in sets.items():
+            score = round(0.7 * len(x & y) / len(x | y) + (0.3 * max(0, 1 - abs(m - n) / 10) if m and n else 0), 4)
+            if a < b and score > 0.8:
+                wanted[a, b] = score
+    got = {(r.id_a, r.id_b): r.score for r in R.detect_duplicates(spark.createDataFrame(people, "person_id long, prenom string, nom string, naissance int")).collect()}
+    assert wanted[1, 2] == 0.825 and got == pytest.approx(wanted, abs=2e-4)
+
+
 def test_number_rows_keeps_null_partitions(spark):
     rows = spark.createDataFrame([(1, "b"), (2, None), (3, "a"), (4, None), (5, "b")], "acte_id long, lieu string")
     got = A.number_rows(rows, "acte_id", "lieu")
