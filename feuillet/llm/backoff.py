@@ -21,23 +21,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chosenpath import MIX, Hashes, mix
+from .chosenpath import MIX, mix, word_hashes
 from .common import partitions, stash, table
 
 ALPHA, LEAST = 0.4, 2
 BITS = 56
 BLOCK_CHARS = 8_000_000
-MOST_WORDS = 700_000  # a worker's memory; then it starts anew
 DEALT = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("part", pa.int32()), ("n", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
 
-_words = Hashes()
-
-
-def hashes(text: str | None) -> np.ndarray:
-    if len(_words) > MOST_WORDS:
-        _words.clear()
-    return np.array([_words[w] for w in (text or "").encode("utf-8", "replace").lower().split()], np.uint64)
-
 
 def grams(h: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
     """Hashes of the n-grams that end at each word, orders 1 to 3; 0 where the document has too few words before it."""
@@ -75,7 +66,7 @@ def blocks(batches: Iterator[pa.RecordBatch], emit) -> Iterator[pa.RecordBatch]:
         rows = zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)
         for k, (i, text) in enumerate(rows, 1):
             ids.append(i)
-            texts.append(hashes(text))
+            texts.append(word_hashes(text))
             size += len(text or "")
             if size >= BLOCK_CHARS or k == batch.num_rows:
                 ends, h = np.cumsum([len(t) for t in texts]), np.concatenate(texts)

@@ -5,13 +5,16 @@ probability of their Jaccard similarity. Independent trees branch on them: the r
 two coordinates, and documents go on together to a child where they have the same minwise token there. Similar sets
 share many nodes over the trees, and the number of trees follows from the recall that is wished.
 
-Nodes are compared in two rounds, each confirmed on full sets. First, every member is compared with its node's leader,
+Nodes are compared in rounds, each confirmed on full sets. First, every member is compared with its node's leader,
 and the best leaders of each document give its links, so a group of m near copies costs about m links and not m squared.
 Then the members of a node that these links have not joined are compared with all others: in a small node at once; in
 a large one, if most are joined, its few others with all, in blocks; else it branches again. What is still large at the
-last level is compared in blocks too. Of what may be similar, a document's best few are confirmed first, more in a second
-turn, and in the last turn all that still are in different groups, so nothing is cut off. Equal sets are one class from
-the start.
+last level is compared in blocks too. Of what may be similar, a document's best few are confirmed first and more of them
+in a second turn. A document that has even more in a node goes there with its full set, and meets the full sets of all
+those in blocks of bounded size: nothing is cut off, and no row is made for a pair that isn't a link.
+
+Equal sets are one class from the start, known by a 64-bit hash of the set: among a billion different sets two share
+one with a chance of 3 %.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, map_batches, stash, table
+from .common import components, discard, map_batches, stash, table
 
 WIDTH, SIZE = 5, 128
 PERCENT = 75
@@ -33,11 +36,11 @@ PERCENT = 75
 MAYBE = 76
 SMALL = 512
 LEADERS = 2
-#: Pairs of a document that a turn confirms; None: all.
-ROUNDS = (3, 30, None)
+#: Pairs of a document in a node that a turn confirms; what goes beyond the last is compared in blocks.
+ROUNDS = (3, 30)
 LEVELS = 3
 BLOCK = 4096
-MOST_WORDS = 700_000  # a worker's memory; then it starts anew
+BLOCK_SHINGLES = 1 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -52,13 +55,10 @@ def trees(recall: float, similarity: float) -> int:
 TREES = trees(0.9999, PERCENT / 100)
 
 
-class Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        out = self[word] = xxhash.xxh3_64_intdigest(word)
-        return out
-
-
-_words = Hashes()
+def word_hashes(text: str | None) -> np.ndarray:
+    """Hashes of the words between ASCII white space, A-Z lower-cased (as bytes, so nothing else is)."""
+    digest = xxhash.xxh3_64_intdigest
+    return np.array([digest(w) for w in (text or "").encode("utf-8", "replace").lower().split()], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -71,13 +71,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def shingles(text: str | None) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles."""
-    if len(_words) > MOST_WORDS:
-        _words.clear()
-    words = (text or "").encode("utf-8", "replace").lower().split()  # bytes: A-Z only, and ASCII white space
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.array([_words[w] for w in words], np.uint64)
-    width = min(WIDTH, len(words))
+    h = word_hashes(text)
+    if not len(h):
+        return h
+    width = min(WIDTH, len(h))
     with np.errstate(over="ignore"):
         out = np.full(len(h) - width + 1, width, np.uint64)
         for k in range(width):
@@ -85,6 +82,11 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(out)
 
 
+def set_hash(s: np.ndarray) -> int:
+    with np.errstate(over="ignore"):
+        return int(np.add.reduce(mix(s)).astype(np.int64))
+
+
 _odd = np.random.default_rng(20).integers(0, 2**63, (2, SIZE), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -101,25 +103,24 @@ ROOTS = [(t, t) for t in range(TREES)] + [(t, TREES + t) for t in range(0, TREES
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, k1 and k2 (equal for equal sets), sig (8 bits of each minwise token), roots (the children of the trees' roots)."""
+    """doc_id, n_shingles, k1 (equal for equal sets), sig (8 bits of each minwise token), roots (the children of the trees' roots)."""
 
     def run(batch):
-        n, k1, k2, sigs, roots = [], [], [], [], []
+        n, k1, sigs, roots = [], [], [], []
         for text in batch.column("text").to_pylist():
             s = shingles(text)
             n.append(len(s))
             if not len(s):
-                k1.append(None), k2.append(None), sigs.append(None), roots.append(None)
+                k1.append(None), sigs.append(None), roots.append(None)
                 continue
             with np.errstate(over="ignore"):
-                k1.append(int(np.add.reduce(mix(s)).astype(np.int64)))
-                k2.append(int(np.bitwise_xor.reduce(mix(s * MIX)).astype(np.int64)))
+                k1.append(set_hash(s))
                 low = minwise(s)
                 sigs.append((mix(low) >> np.uint64(56)).astype("u1").tobytes())
                 roots.append([int(np.int64(x)) for x in mix(low[[c for _, c in ROOTS]] * MIX + np.array([t * SIZE + c for t, c in ROOTS], np.uint64)).view(np.int64)])
-        return {"doc_id": batch.column("doc_id"), "n_shingles": n, "k1": k1, "k2": k2, "sig": sigs, "roots": roots}
+        return {"doc_id": batch.column("doc_id"), "n_shingles": n, "k1": k1, "sig": sigs, "roots": roots}
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, k1 long, k2 long, sig binary, roots array<long>")
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, k1 long, sig binary, roots array<long>")
 
 
 def unpack(column) -> np.ndarray:
@@ -172,25 +173,52 @@ def best(ids: np.ndarray, same: np.ndarray, most: int | None) -> tuple[np.ndarra
     return ids[np.lexsort((ids, -same))[:most]], True
 
 
-def pairs_of(found: dict[tuple[int, int], bool]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"a": [p[0] for p in found], "b": [p[1] for p in found], "cut": list(found.values())}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cut", pa.bool_())]))
+class Found:
+    """What the comparison of nodes gives out: pairs to confirm, or members to compare in blocks."""
+
+    def __init__(self, most: int | None):
+        self.most = most  # None: members
+        self.pairs: dict[tuple[int, int], int] = {}  # 1: a has more in this node; 2: b has
+        self.active: dict[tuple[int, int], bool] = {}
+
+    def add(self, node: int, i: int, probe: bool, ids: np.ndarray, same: np.ndarray, probes: np.ndarray) -> None:
+        """``ids``: members of other groups; ``same``: tokens that they have in common with i."""
+        hit = same >= MAYBE
+        if self.most is None:
+            for j, other in zip(ids[hit].tolist(), probes[hit].tolist(), strict=True):
+                if probe or other:
+                    self.active[node, i], self.active[node, j] = probe, other
+            return
+        near, cut = best(ids[hit], same[hit], self.most)
+        for j in near.tolist():
+            pair = (min(i, j), max(i, j))
+            self.pairs[pair] = self.pairs.get(pair, 0) | cut * (1 if i < j else 2)
+
+    def columns(self) -> dict[str, list]:
+        if self.most is None:
+            return {"node": [k[0] for k in self.active], "rep": [k[1] for k in self.active], "probe": list(self.active.values())}
+        cut = list(self.pairs.values())
+        return {"a": [p[0] for p in self.pairs], "b": [p[1] for p in self.pairs], "cut_a": [c & 1 > 0 for c in cut], "cut_b": [c & 2 > 0 for c in cut]}
+
+    @staticmethod
+    def schema(most: int | None) -> list[tuple[str, str]]:
+        return [("node", "long"), ("rep", "long"), ("probe", "boolean")] if most is None else [("a", "long"), ("b", "long"), ("cut_a", "boolean"), ("cut_b", "boolean")]
+
+
+KINDS = {"long": (pa.int64(), "int64"), "boolean": (pa.bool_(), "bool")}
 
 
 def exhaustive(most: int | None):
-    """(node, rep, group, sig) of small nodes -> pairs (a, b) of different groups that may be similar: the best ``most`` of each member; cut: it has more."""
+    """(node, rep, group, probe, sig) of small nodes -> what of different groups may be similar."""
 
     def one(t: pa.Table) -> pa.RecordBatch:
-        nodes, ids, groups, sigs = t.column("node").to_numpy(), t.column("rep").to_numpy(), t.column("group").to_numpy(), unpack(t.column("sig"))
-        starts, found = starts_of(nodes), {}
+        nodes, ids, groups, probes, sigs = (*(t.column(c).to_numpy() for c in ("node", "rep", "group", "probe")), unpack(t.column("sig")))
+        starts, found = starts_of(nodes), Found(most)
         for start, end in zip(starts, [*starts[1:], len(nodes)], strict=True):
-            for i in range(start, end):
+            for i in range(start, end) if most is not None else start + np.flatnonzero(probes[start:end]):
                 others = start + np.flatnonzero(groups[start:end] != groups[i])
-                same = (sigs[others] == sigs[i]).sum(axis=1)
-                hit, cut = best(ids[others[same >= MAYBE]], same[same >= MAYBE], most)
-                for j in hit.tolist():
-                    pair = (min(int(ids[i]), j), max(int(ids[i]), j))
-                    found[pair] = found.get(pair, False) or cut
-        return pairs_of(found)
+                found.add(int(nodes[i]), int(ids[i]), bool(probes[i]), ids[others], (sigs[others] == sigs[i]).sum(axis=1), probes[others])
+        return pa.RecordBatch.from_pydict(found.columns(), schema=pa.schema([(n, KINDS[k][0]) for n, k in Found.schema(most)]))
 
     return lambda batches: by_node(batches, one)
 
@@ -216,17 +244,13 @@ def few_with_all(most: int | None):
         import pandas as pd
 
         rows = lambda x: np.frombuffer(b"".join(x), "u1").reshape(-1, SIZE)
-        found: dict[tuple[int, int], bool] = {}
+        found = Found(most)
         if len(members) and len(few):
-            ids, groups, sigs = members["rep"].to_numpy(), members["group"].to_numpy(), rows(members["sig"])
-            for i, group, sig in zip(few["few_rep"].tolist(), few["few_group"], rows(few["few_sig"]), strict=True):
-                same = (sigs == sig).sum(axis=1)
-                keep = (same >= MAYBE) & (groups != group)
-                hit, cut = best(ids[keep], same[keep], most)
-                for j in hit.tolist():
-                    pair = (min(i, j), max(i, j))
-                    found[pair] = found.get(pair, False) or cut
-        return pd.DataFrame({"a": pd.array([p[0] for p in found], "int64"), "b": pd.array([p[1] for p in found], "int64"), "cut": pd.array(list(found.values()), "bool")})
+            node, ids, groups, probes, sigs = int(members["node"].iloc[0]), members["rep"].to_numpy(), members["group"].to_numpy(), members["probe"].to_numpy(bool), rows(members["sig"])
+            for i, group, probe, sig in zip(few["few_rep"].tolist(), few["few_group"], few["few_probe"].tolist(), rows(few["few_sig"]), strict=True):
+                others = groups != group
+                found.add(node, i, probe, ids[others], (sigs[others] == sig).sum(axis=1), probes[others])
+        return pd.DataFrame({c: pd.array(v, KINDS[k][1]) for (c, k), v in zip(Found.schema(most), found.columns().values(), strict=True)})
 
     return run
 
@@ -243,7 +267,7 @@ def branch(batch: pa.RecordBatch) -> dict:
         at, c = np.r_[rows, both], np.r_[first, second[both]]
         child = mix(mix(nodes[at] + np.uint64(1)) * MIX + c.astype(np.uint64) * np.uint64(256) + sigs[at, c].astype(np.uint64))
     take = lambda name: batch.column(name).take(pa.array(at))
-    return {"node": child.view(np.int64), "rep": take("rep"), "group": take("group"), "sig": take("sig")}
+    return {"node": child.view(np.int64), **{c: take(c) for c in ("rep", "group", "probe", "sig")}}
 
 
 def first_pairs(nodes: DataFrame, small_node: int = SMALL, block: int = BLOCK) -> DataFrame:
@@ -254,36 +278,50 @@ def first_pairs(nodes: DataFrame, small_node: int = SMALL, block: int = BLOCK) -
     return near.select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct()
 
 
-def further_pairs(nodes: DataFrame, groups: DataFrame, most: int | None, small_node: int = SMALL, block: int = BLOCK, levels: int = LEVELS) -> DataFrame:
-    """Pairs (a, b, cut) of a node's members that no link has joined yet; ``groups`` has rep, group."""
-    pairs = "a long, b long, cut boolean"
-    frontier = nodes.join(sized(groups), "rep", "left").select("node", "rep", F.coalesce("group", "rep").alias("group"), "sig")
+def further(nodes: DataFrame, groups: DataFrame, most: int | None, probes: DataFrame | None = None, small_node: int = SMALL, block: int = BLOCK, levels: int = LEVELS) -> DataFrame:
+    """What may be similar among a node's members that no link has joined yet; ``groups`` has rep, group.
+
+    With ``most``, pairs (a, b) of each document with its best ones in a node, and whether a or b has more there.
+    Without, the members (node, rep, probe) that meet one of ``probes`` (rep), or are one that meets another.
+    """
+    names = Found.schema(most)
+    shape = ", ".join(f"{n} {k}" for n, k in names)
+    own = ["node", "rep", "group", "probe", "sig"]
+    frontier = nodes.join(sized(groups), "rep", "left").withColumn("group", F.coalesce("group", "rep"))
+    frontier = frontier.withColumn("probe", F.lit(False)) if probes is None else frontier.join(sized(probes.withColumn("probe", F.lit(True))), "rep", "left").withColumn("probe", F.coalesce("probe", F.lit(False)))
+    frontier = frontier.select(own)
     found = []
     for level in range(1, levels + 1):
-        counts = frontier.groupBy("node", "group").agg(F.count("*").alias("n"))
-        mixed = counts.groupBy("node").agg(F.sum("n").alias("size"), F.max(F.struct("n", "group")).alias("most")).where("size > most.n").select("node", "size", F.col("most.group").alias("main"), (F.col("size") - F.col("most.n")).alias("far"))
-        frontier = stash(frontier.join(mixed, "node"))
-        found.append(sorted_nodes(frontier.where(F.col("size") <= small_node).select("node", "rep", "group", "sig")).mapInArrow(exhaustive(most), pairs))
+        counts = frontier.groupBy("node", "group").agg(F.count("*").alias("n"), F.max("probe").alias("probe"))
+        mixed = counts.groupBy("node").agg(F.sum("n").alias("size"), F.max(F.struct("n", "group")).alias("most"), F.max("probe").alias("any")).where("size > most.n" if most is not None else "size > most.n and any")
+        mixed = stash(mixed.select("node", "size", F.col("most.group").alias("main"), (F.col("size") - F.col("most.n")).alias("far")))
+        frontier = stash(frontier.join(sized(mixed), "node"))
+        found.append(sorted_nodes(frontier.where(F.col("size") <= small_node).select(own)).mapInArrow(exhaustive(most), shape))
         large = frontier.where(F.col("size") > small_node)
         if not large.limit(1).count():
             break
         done = F.col("far") <= (small_node if level < levels else 2**62)
         ends, parts = large.where(done), F.floor(F.col("far") / block).cast("int")
-        few = ends.where(F.col("group") != F.col("main")).select(F.col("node").alias("few_node"), F.col("rep").alias("few_rep"), F.col("group").alias("few_group"), F.col("sig").alias("few_sig"), F.explode(F.sequence(F.lit(0), F.floor(F.col("size") / block).cast("int"))).alias("few_salt"), F.pmod(F.xxhash64("rep"), parts + 1).cast("int").alias("few_part"))
-        members = ends.select("node", F.pmod(F.xxhash64("rep"), F.floor(F.col("size") / block) + 1).cast("int").alias("salt"), "rep", "group", "sig", F.explode(F.sequence(F.lit(0), parts)).alias("part"))
-        found.append(members.groupBy("node", "salt", "part").cogroup(few.groupBy("few_node", "few_salt", "few_part")).applyInPandas(few_with_all(most), pairs))
-        frontier = map_batches(large.where(~done).select("node", "rep", "group", "sig"), branch, "node long, rep long, group long, sig binary")
+        salts = F.floor(F.col("size") / block).cast("int")
+        few = ends.where(F.col("group") != F.col("main")).select(*(F.col(c).alias(f"few_{c}") for c in own), F.explode(F.sequence(F.lit(0), salts)).alias("few_salt"), F.pmod(F.xxhash64("rep"), parts + 1).cast("int").alias("few_part"))
+        members = ends.select(*own, F.pmod(F.xxhash64("rep"), salts + 1).cast("int").alias("salt"), F.explode(F.sequence(F.lit(0), parts)).alias("part"))
+        found.append(members.groupBy("node", "salt", "part").cogroup(few.groupBy("few_node", "few_salt", "few_part")).applyInPandas(few_with_all(most), shape))
+        frontier = map_batches(large.where(~done).select(own), branch, "node long, rep long, group long, probe boolean, sig binary")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return out.groupBy("a", "b").agg(F.max("cut").alias("cut"))
+    keys = [n for n, k in names if k == "long"]
+    return out.groupBy(keys).agg(*(F.max(n).alias(n) for n, k in names if k == "boolean"))
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
+    """rep (the hash of the set), s."""
+
     def run(batch):
-        return {"doc_id": batch.column("doc_id"), "s": [shingles(t).view(np.int64) for t in batch.column("text").to_pylist()]}
+        sets = [shingles(t) for t in batch.column("text").to_pylist()]
+        return {"rep": [set_hash(s) if len(s) else None for s in sets], "s": [s.view(np.int64) for s in sets]}
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, s array<long>")
+    return map_batches(docs.select("text"), run, "rep long, s array<long>")
 
 
 def sized(df: DataFrame, most: int = 1_000_000) -> DataFrame:
@@ -296,36 +334,97 @@ def among(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
     return docs.join(sized(ids), "doc_id", how)
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, classes: DataFrame, reps: DataFrame) -> DataFrame:
+    """The full sets (rep, s) of ``reps`` (rep); one document of each class is read again."""
+    wanted = stash(reps.distinct().join(classes.select("rep", "doc_id"), "rep"))
+    found = full_sets(among(docs, wanted.select("doc_id").distinct()))
+    return stash(found.join(sized(wanted.select("rep")), "rep", "left_semi").dropDuplicates(["rep"]))
+
+
+def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets meet the threshold. A frequent a is dealt by a salt."""
     pairs = stash(pairs)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = stash(full_sets(among(docs, stash(ids))).dropDuplicates(["doc_id"]))
-    often = sized(stash(pairs.groupBy("a").agg(F.floor(F.count("*") / 500).cast("int").alias("salts"))))
-    left = sets.join(often, sets["doc_id"] == often["a"]).select("a", F.col("s").alias("sa"), F.explode(F.sequence(F.lit(0), "salts")).alias("salt"))
-    right = pairs.join(often, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts") + 1).cast("int").alias("salt")).join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
+    sets = sets_of(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("rep")))
+    often = stash(pairs.groupBy("a").agg(F.floor(F.count("*") / 500).cast("int").alias("salts")))
+    left = sets.join(sized(often), sets["rep"] == often["a"]).select("a", F.col("s").alias("sa"), F.explode(F.sequence(F.lit(0), "salts")).alias("salt"))
+    right = pairs.join(sized(often), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts") + 1).cast("int").alias("salt")).join(sets.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     both = right.join(left, ["a", "salt"]).select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb")).alias("total"))
-    return stash(both.where(100 * F.col("common") >= PERCENT * (F.col("total") - F.col("common"))).select("a", "b"))
-
-
-def joined(docs: DataFrame, reps: DataFrame, small_node: int = SMALL, block: int = BLOCK, levels: int = LEVELS) -> DataFrame:
-    """``reps`` (rep, sig, roots) -> id, component_id for all that links join."""
-    frontier = reps.select("rep", F.explode("roots").alias("node"))
+    links = stash(both.where(100 * F.col("common") >= PERCENT * (F.col("total") - F.col("common"))).select("a", "b"))
+    discard(pairs, sets, often)
+    return links
+
+
+def meet(members, probes):
+    """Full sets of a block's members against those of its probes -> links (a, b) between groups, those that join something new."""
+    import pandas as pd
+
+    links, label = [], {}
+
+    def top(g: int) -> int:
+        while (up := label.get(g, g)) != g:
+            g = up
+        return g
+
+    if len(members) and len(probes):
+        sizes = np.array([len(s) for s in members["s"]])
+        values, owner = np.concatenate(members["s"].to_list()), np.repeat(np.arange(len(members)), sizes)
+        by = np.argsort(values, kind="stable")
+        values, owner = values[by], owner[by]
+        ids, groups = members["rep"].to_numpy(), members["group"].to_numpy()
+        for i, group, s in zip(probes["p_rep"].tolist(), probes["p_group"].tolist(), probes["p_s"], strict=True):
+            low, high = np.searchsorted(values, s), np.searchsorted(values, s, side="right")
+            n = high - low
+            at = np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())  # the places of all that s has in common with members
+            common = np.bincount(owner[at], minlength=len(sizes))
+            for k in np.flatnonzero((100 * common >= PERCENT * (len(s) + sizes - common)) & (groups != group)).tolist():
+                a, b = top(group), top(int(groups[k]))
+                if a != b:
+                    label[max(a, b)] = min(a, b)
+                    links.append((i, int(ids[k])))
+    return pd.DataFrame({"a": pd.array([x[0] for x in links], "int64"), "b": pd.array([x[1] for x in links], "int64")})
+
+
+def met_in_blocks(docs: DataFrame, classes: DataFrame, groups: DataFrame, active: DataFrame, block: int = BLOCK_SHINGLES) -> DataFrame:
+    """Links between the probes of a node and its active members; a node is dealt in blocks of about ``block`` shingles on both sides."""
+    active = stash(active)
+    sets = sets_of(docs, classes, active.select("rep"))
+    rows = active.join(sized(groups), "rep", "left").withColumn("group", F.coalesce("group", "rep")).join(classes.select("rep", "n_shingles"), "rep")
+    sizes = stash(rows.groupBy("node").agg(F.floor(F.sum("n_shingles") / block).cast("int").alias("salts"), F.floor(F.sum(F.when(F.col("probe"), F.col("n_shingles"))) / block).cast("int").alias("parts")))
+    rows = rows.join(sized(sizes), "node")
+    salt, part = (F.pmod(F.xxhash64("rep"), F.col(c) + 1).cast("int") for c in ("salts", "parts"))
+    members = rows.select("node", salt.alias("salt"), F.explode(F.sequence(F.lit(0), "parts")).alias("part"), "rep", "group").join(sets, "rep")
+    probes = rows.where("probe").select(F.col("node").alias("p_node"), F.explode(F.sequence(F.lit(0), "salts")).alias("p_salt"), part.alias("p_part"), F.col("rep").alias("p_rep"), F.col("group").alias("p_group"))
+    probes = probes.join(sets.select(F.col("rep").alias("p_rep"), F.col("s").alias("p_s")), "p_rep")
+    members, probes = members.groupBy("node", "salt", "part"), probes.groupBy("p_node", "p_salt", "p_part")
+    links = stash(members.cogroup(probes).applyInPandas(meet, "a long, b long"))
+    discard(active, sets, sizes)
+    return links
+
+
+def joined(docs: DataFrame, classes: DataFrame, known: DataFrame | None = None, small_node: int = SMALL, block: int = BLOCK, levels: int = LEVELS, rounds: tuple[int, ...] = ROUNDS) -> DataFrame:
+    """``classes`` (rep, doc_id, n_shingles, sig, roots) -> id, component_id for all reps that links, or the ``known`` ones (a, b), join."""
+    frontier = classes.select("rep", F.explode("roots").alias("node"))
     sizes = frontier.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-    nodes = stash(frontier.join(sizes, "node").join(reps.select("rep", "sig"), "rep").select("node", "size", "rep", "sig"))
-    links = confirmed(docs, first_pairs(nodes, small_node, block))
-    tested = None
-    for most in ROUNDS:
+    nodes = stash(frontier.join(sizes, "node").join(classes.select("rep", "sig"), "rep").select("node", "size", "rep", "sig"))
+    links = confirmed(docs, classes, first_pairs(nodes, small_node, block))
+    if known is not None:
+        links = links.unionByName(known)
+    group = lambda found: found.select(F.col("id").alias("rep"), F.col("component_id").alias("group"))
+    tested = cut = None
+    for most in rounds:
         groups = components(links)
-        more = stash(further_pairs(nodes, groups.select(F.col("id").alias("rep"), F.col("component_id").alias("group")), most, small_node, block, levels))
-        new = more.select("a", "b") if tested is None else more.select("a", "b").join(tested, ["a", "b"], "left_anti")
+        more = stash(further(nodes, group(groups), most, None, small_node, block, levels))
         if not more.limit(1).count():
             return groups
-        links = links.unionByName(confirmed(docs, new))
-        if not more.where("cut").limit(1).count():
-            break
-        tested = more.select("a", "b") if tested is None else tested.unionByName(more.select("a", "b"))
+        pairs = more.select("a", "b")
+        links = links.unionByName(confirmed(docs, classes, pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")))
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        cut = more.where("cut_a").select(F.col("a").alias("rep")).unionByName(more.where("cut_b").select(F.col("b").alias("rep"))).distinct()
+        if not cut.limit(1).count():
+            return components(links)
+    groups = group(components(links))
+    links = links.unionByName(met_in_blocks(docs, classes, groups, further(nodes, groups, None, stash(cut), small_node, block, levels)))
     return components(links)
 
 
@@ -333,20 +432,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included), kept (doc_id = component_id).
 
     A null or empty text, or one of white space, has no shingles and is linked with nothing. A row without doc_id is
-    in no group: its component is null and kept is true. Rows that share a doc_id share its component, by the first
-    of their texts to be read where these differ. Only doc_id and text are read. An empty table gives an empty result.
+    in no group: its component is null and kept is true. Rows that share a doc_id are one document: what is linked
+    with one of their texts is in the component of all; n_shingles is each row's own, and a row without shingles stays by
+    itself. Only doc_id and text are read. An empty table gives an empty result.
     """
     signed = stash(signatures(docs))
     full = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = stash(full.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("sig", "roots"), "doc_id").alias("first")).select("k1", "k2", "rep", "first.sig", "first.roots"))
-    groups = joined(docs, classes.select("rep", "sig", "roots"))
-    of_class = classes.select("k1", "k2", "rep").join(sized(groups.select(F.col("id").alias("rep"), "component_id")), "rep", "left").select("k1", "k2", F.coalesce("component_id", "rep").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "k1", "k2").join(of_class, ["k1", "k2"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
+    classes = stash(full.groupBy(F.col("k1").alias("rep")).agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("n_shingles", "sig", "roots"), "doc_id").alias("first")).select("rep", "doc_id", "first.*"))
+    twice = full.groupBy("doc_id").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b").select("doc_id", "a")
+    groups = joined(docs, classes, full.join(sized(stash(twice)), "doc_id").select("a", F.col("k1").alias("b")))
+    named = classes.select("rep", "doc_id").join(sized(groups.select(F.col("id").alias("rep"), F.col("component_id").alias("group"))), "rep")
+    least = stash(named.groupBy("group").agg(F.min("doc_id").alias("component_id")))
+    named = stash(named.join(sized(least), "group").select("rep", "component_id"))
+    of_class = classes.select("rep", "doc_id").join(sized(named), "rep", "left").select(F.col("rep").alias("k1"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = signed.select("doc_id", "n_shingles", "k1").join(of_class, "k1", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """The same rows and columns, one document of each group: the one with the smallest doc_id."""
+    """The same rows and columns, one document of each group: the one with the smallest doc_id.
+
+    Documents without words and rows without doc_id stay; rows that share a doc_id stay or go together.
+    """
     dropped = stash(near_duplicates(docs).where("not kept").select("doc_id").distinct())
     return among(docs, dropped, "left_anti")
 

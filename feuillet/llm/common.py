@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,13 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none (tests)."""
+    """The folder that driver and executors share; a local one only where the session names none and is local itself (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         context = spark.sparkContext
         set_before = context._jsc.sc().getCheckpointDir()
         if set_before.isDefined():
             return set_before.get()
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         folder = tempfile.mkdtemp(prefix="spark-feuillet-")
         context.setCheckpointDir(folder)
     return folder
@@ -34,7 +37,17 @@ def stash(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stashed = path
+    return out
+
+
+def discard(*stashes: DataFrame) -> None:
+    """Delete what ``stash`` wrote, once nothing that is still to run reads it."""
+    for df in stashes:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.stashed)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -81,14 +94,16 @@ def components(edges: DataFrame, rounds: int = 60, most: int = 1_000_000) -> Dat
     """
     edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
     links = stash(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = stash(links.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    before = labels = stash(links.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     side = F.broadcast if labels.count() <= most else lambda df: df
     for _ in range(rounds):
         near = links.join(side(labels.select(F.col("id").alias("b"), "label")), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         low = near.join(side(labels), "id").select("id", "label", F.least("label", "near").alias("low"))
         jump = labels.select(F.col("id").alias("low"), F.col("label").alias("next"))
         new = stash(low.join(side(jump), "low", "left").select("id", "label", F.least("low", F.coalesce("next", "low")).alias("new")))
-        labels = new.select("id", F.col("new").alias("label"))
+        discard(before)
+        before, labels = new, new.select("id", F.col("new").alias("label"))
         if not new.where("new <> label").limit(1).count():
+            discard(links)
             return labels.withColumnRenamed("label", "component_id")
     raise RuntimeError("components: not stable after so many rounds")

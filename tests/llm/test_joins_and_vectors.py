@@ -46,22 +46,52 @@ def copies():
 def test_near_duplicates_against_all_pairs(spark, copies):
     docs = spark.createDataFrame([(i, t, 1, 2) for i, t in copies.items()] + [(None, "null id", 1, 2), (6, copies[6], 1, 2)], "doc_id long, text string, node long, rep long")
     sets = {i: sets_of(t) for i, t in copies.items()}
-    linked = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
-    label = plain_components(sets, linked)
+    label = plain_components(sets, plain_links(sets))
     for r in chosenpath.near_duplicates(docs).collect():
         if r.doc_id is not None:
             assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), label[r.doc_id], label[r.doc_id] == r.doc_id)
     kept = [r.doc_id for r in chosenpath.without_copies(docs).collect()]
     assert Counter(kept) == Counter([i for i in sets if label[i] == i] + [None] + [6] * (label[6] == 6))
-    # the same with nodes that are large from three members on, so that blocks and branches take part
-    signed = chosenpath.signatures(docs.where("doc_id is not null").dropDuplicates(["doc_id"])).where("n_shingles > 0")
-    reps = chosenpath.stash(signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("sig", "roots"), "doc_id").alias("f")).select("rep", "f.sig", "f.roots"))
-    got = dict(map(tuple, chosenpath.joined(docs, reps, 3, 5, 2).collect()))
-    by_rep = {r.rep: label[r.rep] for r in reps.collect()}
-    assert {i: got.get(i, i) for i in by_rep} == by_rep
     assert chosenpath.near_duplicates(docs.limit(0)).count() == 0
 
 
+def plain_links(sets):
+    return [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+
+
+def classes_of(signed):
+    return chosenpath.stash(signed.where("n_shingles > 0").groupBy(F.col("k1").alias("rep")).agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("n_shingles", "sig", "roots"), "doc_id").alias("f")).select("rep", "doc_id", "f.*"))
+
+
+@pytest.mark.parametrize("rounds", [(3, 30), (1,)])
+def test_near_duplicates_in_large_nodes(spark, copies, rounds, monkeypatch):
+    """Nodes that are large from three members on, so that blocks and branches take part; with one pair for each document, the rest meets in blocks of full sets."""
+    monkeypatch.setattr(chosenpath.met_in_blocks, "__defaults__", (300,))
+    docs = spark.createDataFrame(list(copies.items()), "doc_id long, text string")
+    classes = classes_of(chosenpath.signatures(docs))
+    sets = {i: sets_of(t) for i, t in copies.items()}
+    label = plain_components(sets, plain_links(sets))
+    by_rep = {r.rep: r.doc_id for r in classes.collect()}
+    got = {by_rep[r.id]: by_rep[r.component_id] for r in chosenpath.joined(docs, classes, None, 3, 5, 2, rounds).collect()}
+    assert {len({label[i] for i in got if got[i] == g}) for g in got.values()} <= {1}  # no group has two of the true ones
+    assert Counter(Counter(label[i] for i in got).values()) == Counter(n for n in Counter(label[i] for i in by_rep.values()).values() if n > 1)
+    assert len(set(got.values())) == len({label[i] for i in got})
+
+
+def test_documents_with_several_texts_are_one(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    docs = spark.createDataFrame([(1, a), (2, a), (2, b), (3, b), (4, c), (5, None), (5, c + " d")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in chosenpath.near_duplicates(docs).collect()) == [(1, 36, 1, True), (2, 36, 1, False), (2, 36, 1, False), (3, 36, 1, False), (4, 36, 4, True), (5, 0, 5, True), (5, 37, 4, False)]
+
+
+def test_near_duplicates_of_very_long_texts(spark):
+    long = " ".join(f"w{k * k % 7919}" for k in range(200_000))
+    docs = spark.createDataFrame([(1, long), (2, long + " end"), (3, long[: len(long) // 2])], "doc_id long, text string")
+    sets = {r.doc_id: sets_of(r.text) for r in docs.collect()}
+    label = plain_components(sets, plain_links(sets))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in chosenpath.near_duplicates(docs).collect()} == {i: (len(sets[i]), label[i]) for i in sets}
+
+
 def vectors(spark, x, extra=()):
     return spark.createDataFrame([(i, [float(v) for v in row], i % 3, 1) for i, row in enumerate(x)] + list(extra), "vec_id long, embedding array<float>, leaf int, cell int")
 
