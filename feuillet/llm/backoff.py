@@ -1,12 +1,13 @@
 """Stupid-backoff scores of documents from n-gram counts over the whole corpus.
 
-The n-grams of orders 1 to 3 are exploded by blocks of documents and dealt by hash range: a row holds what one block has in one
-range, each n-gram once, so a word that is everywhere comes once from each block. A range's table of counts is the sum
-over its rows; joining it back gives every block the corpus counts of its own n-grams. A block then scores its words:
+Documents are cut into blocks, written once to the shared folder, so that every later step sees the same ones. The
+n-grams of orders 1 to 3 are exploded by block and dealt by hash range: a row holds what one block has in one range,
+each n-gram once, so a word that is everywhere comes once from each block. A range's table of counts is the sum over
+its rows; joined back, it gives every block the corpus counts of its own n-grams. A block then scores its words:
 the count of the three last words over that of their first two, where the three occur often enough; else, times 0.4,
 the same one order lower; at last the word's share of the corpus. Scores are summed by document.
 
-N-grams go by 56 bits of hash: among 100 billion different ones about one in a million shares its hash with another.
+N-grams go by 52 bits of hash: among 100 billion different ones about one in 45,000 shares its hash with another.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chosenpath import MIX, mix, word_hashes
-from .common import partitions, stash, table
+from .common import SLICE, discard, partitions, stash, table
 
 ALPHA, LEAST = 0.4, 2
-BITS = 56
+BITS = 52
 BLOCK_CHARS = 8_000_000
 DEALT = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("part", pa.int32()), ("n", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
 
@@ -33,12 +34,12 @@ DEALT = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("kind", pa.int32
 def grams(h: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
     """Hashes of the n-grams that end at each word, orders 1 to 3; 0 where the document has too few words before it."""
     at = np.arange(len(h)) - np.repeat(np.r_[0, ends[:-1]], np.diff(np.r_[0, ends]))  # place in the document
-    out = [(mix(h) >> np.uint64(64 - BITS)) | np.uint64(1)]
+    out = [(mix(h) >> np.uint64(64 - BITS)) + np.uint64(1)]
     with np.errstate(over="ignore"):
         run = h
         for order in (2, 3):
             run = mix(np.r_[np.zeros(min(1, len(h)), np.uint64), run[:-1]] * MIX + h + np.uint64(order))
-            g = (run >> np.uint64(64 - BITS)) | np.uint64(1)
+            g = (run >> np.uint64(64 - BITS)) + np.uint64(1)
             g[at < order - 1] = 0
             out.append(g)
     return out
@@ -59,50 +60,55 @@ def ids_of(rows: list) -> np.ndarray:
     return np.array([-(2**63) if i is None else i for i in rows], "<i8")
 
 
-def blocks(batches: Iterator[pa.RecordBatch], emit) -> Iterator[pa.RecordBatch]:
-    """Cuts (doc_id, text) into blocks, known by their content, and gives out ``emit``'s rows for each."""
-    for batch in batches:
-        ids, texts, size = [], [], 0
-        rows = zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)
-        for k, (i, text) in enumerate(rows, 1):
-            ids.append(i)
-            texts.append(word_hashes(text))
-            size += len(text or "")
-            if size >= BLOCK_CHARS or k == batch.num_rows:
-                ends, h = np.cumsum([len(t) for t in texts]), np.concatenate(texts)
-                block = int(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes() + ids_of(ids).tobytes() + ends.tobytes())).astype(np.int64))
-                made = list(emit(block, ids, ends, h))
-                if made:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), DEALT, strict=True)], schema=DEALT)
-                ids, texts, size = [], [], 0
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) -> blocks: their documents and words, the frequent words by small numbers; known by their content."""
 
+    def made(ids: list, found: list[np.ndarray]) -> pa.RecordBatch:
+        ends, h = np.cumsum([len(t) for t in found]), np.concatenate(found)
+        words, at, n = np.unique(h, return_inverse=True, return_counts=True)
+        by = np.argsort(-n, kind="stable")
+        rank = np.empty(len(by), "<u4")
+        rank[by] = np.arange(len(by))
+        a, b = ids_of(ids).tobytes() + ends.astype("<i8").tobytes() + words[by].tobytes(), planes(rank[at] if len(h) else np.zeros(0, "<u4"), "<u4")
+        block = int(np.uint64(xxhash.xxh3_64_intdigest(a + b)).astype(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip((block, block, 0, 0, len(ids), a, b), DEALT, strict=True)], schema=DEALT)
 
-def deal(ranges: int):
-    """(doc_id, text) -> the n-grams of each block by range."""
+    ids, found, size = [], [], 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            part = batch.slice(at, SLICE)
+            for i, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                ids.append(i)
+                found.append(word_hashes(text))
+                size += len(text or "")
+                if size >= BLOCK_CHARS:
+                    yield made(ids, found)
+                    ids, found, size = [], [], 0
+    if ids:
+        yield made(ids, found)
 
-    def emit(block: int, ids: list, ends: np.ndarray, h: np.ndarray) -> Iterator[tuple]:
-        for order, g in enumerate(grams(h, ends), 1):
-            own, n = np.unique(g[g > 0], return_counts=True)
-            cuts = np.searchsorted(own, [(r << BITS) // ranges for r in range(ranges + 1)])
-            for r in range(ranges):
-                part = own[cuts[r] : cuts[r + 1]]
-                if len(part):
-                    yield r * 3 + order - 1, block, order, r, len(part), planes(np.diff(part, prepend=np.uint64(0)), "<u8"), planes(n[cuts[r] : cuts[r + 1]], "<u4")
 
-    return lambda batches: blocks(batches, emit)
+def opened(n: int, a: bytes, b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's doc_ids, where each document's words end, and the words' hashes."""
+    return np.frombuffer(a[: 8 * n], "<i8"), np.frombuffer(a[8 * n : 16 * n], "<i8"), np.frombuffer(a[16 * n :], "<u8")[numbers(b, "<u4")]
 
 
-def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) -> each block itself: its documents and words, the frequent ones by small numbers."""
+def deal(ranges: int):
+    """Blocks -> the n-grams of each by range."""
 
-    def emit(block: int, ids: list, ends: np.ndarray, h: np.ndarray) -> Iterator[tuple]:
-        words, at, n = np.unique(h, return_inverse=True, return_counts=True)
-        by = np.argsort(-n, kind="stable")
-        rank = np.empty(len(by), "<u4")
-        rank[by] = np.arange(len(by))
-        yield block, block, 0, 0, len(ids), ids_of(ids).tobytes() + ends.astype("<i8").tobytes() + words[by].tobytes(), planes(rank[at] if len(h) else np.zeros(0, "<u4"), "<u4")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                block, n, a, b = (batch.column(c)[k].as_py() for c in ("block", "n", "a", "b"))
+                _, ends, h = opened(n, a, b)
+                for order, g in enumerate(grams(h, ends), 1):
+                    own, times = np.unique(g[g > 0], return_counts=True)
+                    cuts = np.searchsorted(own, [((r << BITS) // ranges) + 1 for r in range(ranges + 1)])
+                    rows = [(r * 3 + order - 1, block, order, r, hi - lo, planes(np.diff(own[lo:hi], prepend=np.uint64(0)), "<u8"), planes(times[lo:hi], "<u4")) for r, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if hi > lo]
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), DEALT, strict=True)], schema=DEALT)
 
-    return blocks(batches, emit)
+    return run
 
 
 def count(part: pd.DataFrame) -> pd.DataFrame:
@@ -116,21 +122,14 @@ def count(part: pd.DataFrame) -> pd.DataFrame:
 
 def score(part: pd.DataFrame) -> pd.DataFrame:
     """A block and the counts of its n-grams -> doc_id, n_tokens, the sum of logs, and how many of them still lack - log(corpus size)."""
-    if not (part["kind"] == 0).any():
-        raise RuntimeError("the rows of the input came in another order when they were read again")
     twins = int((part["kind"] == 0).sum())  # blocks with the same content have one name
     home = part[part["kind"] == 0].iloc[0]
-    n = int(home["n"])
-    ids = np.frombuffer(home["a"][: 8 * n], "<i8")
-    ends = np.frombuffer(home["a"][8 * n : 16 * n], "<i8")
-    h = np.frombuffer(home["a"][16 * n :], "<u8")[numbers(home["b"], "<u4")]
+    ids, ends, h = opened(int(home["n"]), home["a"], home["b"])
     c = []
     for order, g in enumerate(grams(h, ends), 1):
         rows = part[part["kind"] == order].drop_duplicates("part").sort_values("part")
         found = np.concatenate([np.zeros(1, "<u4"), *(numbers(a, "<u4") for a in rows["a"])]).astype(float)  # the first is for 0
         own, at = np.unique(np.r_[np.uint64(0), g], return_inverse=True)
-        if len(found) != len(own):
-            raise RuntimeError("the rows of the input came in another order when they were read again")
         c.append(found[at[1:]])
     c1, c2, c3 = c
     before = lambda x: np.r_[np.ones(min(1, len(x))), x[:-1]]
@@ -149,15 +148,15 @@ def scores(docs: DataFrame) -> DataFrame:
 
     Words are what stands between ASCII white space, A-Z lower-cased; the n-grams of all rows count, a document's own
     and those of copies too, and orders 2 and 3 need LEAST occurrences. A null or empty text has 0 words and score 0.
-    Only doc_id and text are read, twice: ``docs`` must give its rows in the same batches each time, as a table does (else
-    an error, not a wrong score). An empty table gives an empty result.
+    Only doc_id and text are read, once. An empty table gives an empty result; repeated rows give repeated rows and count.
     """
     spark = docs.sparkSession
     schema = "key long, block long, kind int, part int, n long, a binary, b binary"
-    dealt = docs.select("doc_id", "text").mapInArrow(deal(2 * partitions(spark)), schema)
+    home = stash(docs.select("doc_id", "text").mapInArrow(blocks, schema))
+    dealt = home.mapInArrow(deal(2 * partitions(spark)), schema)
     counted = dealt.groupBy("key").applyInPandas(count, schema)
-    home = docs.select("doc_id", "text").mapInArrow(homes, schema)
     scored = stash(counted.unionByName(home).groupBy("block").applyInPandas(score, "doc_id long, n_tokens long, logs double, low long"))
+    discard(home)
     total = scored.agg(F.sum("n_tokens")).first()[0] or 1
     return scored.select("doc_id", "n_tokens", F.round(F.col("logs") - F.col("low") * F.log(F.lit(float(total))), 4).alias("log_score"))
 

@@ -16,7 +16,7 @@ import tiktoken
 #: fixed values: the vocabulary's pre-token pattern
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPACES = re.compile(r"\s\x20|\x20\s")
-MOST_WORDS = 700_000  # a worker's memory; then it starts anew
+MOST_WORDS = 100_000  # a worker's memory; then it starts anew
 
 
 def byte_alphabet() -> dict[str, int]:

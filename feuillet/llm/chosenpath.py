@@ -36,8 +36,8 @@ PERCENT = 75
 MAYBE = 76
 SMALL = 512
 LEADERS = 2
-#: Pairs of a document in a node that a turn confirms; what goes beyond the last is compared in blocks.
-ROUNDS = (3, 30)
+#: Pairs of a document in a node that each turn confirms; what goes beyond the last is compared in blocks.
+ROUNDS = (3,)
 LEVELS = 3
 BLOCK = 4096
 BLOCK_SHINGLES = 1 << 20

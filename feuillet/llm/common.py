@@ -63,10 +63,13 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], dict | Iterator[dic
     return df.mapInArrow(functools.partial(_run, f, arrow), schema)
 
 
+SLICE = 1024  # rows whose Python values are in memory at a time
+
+
 def _run(f, arrow, batches):
-    for batch in batches:
-        if batch.num_rows:
-            made = f(batch)
+    for whole in batches:
+        for at in range(0, whole.num_rows, SLICE):
+            made = f(whole.slice(at, SLICE))
             for columns in [made] if isinstance(made, dict) else made:
                 arrays = [_array(columns[field.name], field.type) for field in arrow]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)

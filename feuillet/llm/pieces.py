@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import map_batches, table, texts
 
 SPACE = "▁"
-MOST_WORDS = 500_000  # a worker's memory; then it starts anew
+MOST_WORDS = 100_000  # a worker's memory; then it starts anew
 
 
 def fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:

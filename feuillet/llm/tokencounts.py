@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import map_batches, table, texts
 from .pieces import SPACE, model
 
-MOST_NODES = 1_500_000  # a worker's memory; then it starts anew
+MOST_NODES = 300_000  # a worker's memory; then it starts anew
 
 
 def zipf_scores(path: str) -> dict[str, float]:

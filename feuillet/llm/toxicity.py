@@ -23,7 +23,7 @@ EDGES = "\"'`.,;:!?()[]{}<>«»“”’…*-_|/"
 
 
 PREFIXES = (4, 5, 6, 7)
-MOST_WORDS = 700_000  # a worker's memory; then it starts anew
+MOST_WORDS = 100_000  # a worker's memory; then it starts anew
 
 
 def traits(word: str) -> list[str]:
