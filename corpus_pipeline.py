@@ -1,6 +1,7 @@
 """A training corpus in four stages: toxic documents go, one of each group of near copies stays, personal data is redacted, and the rest is packed.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next one's ``docs``.
+Every stage but the last returns all columns of its input, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -15,22 +16,29 @@ from feuillet.llm.common import stash, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the chain, fitted on the labels, doesn't call toxic."""
+    """The documents that the chain, fitted on the labels, doesn't call toxic.
+
+    A null or empty text has no words and gets the base rate, so it stays; repeated rows share their fate. Without labels
+    of both classes all stay.
+    """
     return toxicity.without_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id."""
+    """One document of each group of near copies: the one with the smallest doc_id.
+
+    Texts without words and rows without doc_id stay; rows that share a doc_id stay or go together.
+    """
     return chosenpath.without_copies(docs)
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind."""
+    """All documents, with personal data replaced by its kind; null texts stay null, repeated rows stay repeated."""
     return pii.redact(docs, pii.fit(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and the sequences they go to."""
+    """The pieces of all documents and the sequences they go to; a null or empty text is its end mark alone, each repeated row is packed for itself."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, discard, map_batches, stash, table
+from .common import components, discard, map_batches, sized, stash, table
 
 WIDTH, SIZE = 5, 128
 PERCENT = 75
@@ -324,11 +324,6 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("text"), run, "rep long, s array<long>")
 
 
-def sized(df: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """To be broadcast while it has at most ``most`` rows of a few numbers; else the join is shuffled."""
-    return F.broadcast(df) if df.count() <= most else df
-
-
 def among(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
     """Rows of ``docs`` whose doc_id is (or isn't) among ``ids``; while these are few, without moving the texts."""
     return docs.join(sized(ids), "doc_id", how)

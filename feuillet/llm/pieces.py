@@ -106,7 +106,6 @@ class Model:
         self.by_word = not (self.map.units or self.trim or inner or any(kind == 4 for *_, kind in self.pieces)) and self.dummy and self.escape
         self.bytes = {i for i, (*_, kind) in enumerate(self.pieces) if kind == 6}
         self.chars = [len(p) for p, *_ in self.pieces]
-        self.widths = [1 if i in self.bytes else len(p.replace(SPACE, " ").encode("utf-8")) for i, (p, *_) in enumerate(self.pieces)]
         self.known: dict[str, tuple[bytes, bytes]] = {}
 
     def spans(self, text: str, ids: list[int]) -> tuple[list[int], list[int]]:
@@ -141,16 +140,10 @@ class Model:
         return begins, ends
 
     def meet(self, words: list[str]) -> None:
-        """Keep the ids and widths in bytes of words that follow a space (or start a text): no normalisation here, so widths are the pieces' own."""
+        """Keep the ids of words that follow a space (or start a text), and the widths of the bytes that the character map's record gives each."""
         for word, ids in zip(words, self.sp.encode(words, num_threads=1), strict=True):
-            if self.sp.unk_id() in ids:
-                begins, ends = self.spans(word, ids)
-                widths = [b - a for a, b in zip(begins, ends, strict=True)]
-            else:
-                widths = [self.widths[i] for i in ids]
-                if widths:
-                    widths[0] -= 1  # the mark of the space before the word
-            self.known[word] = array("I", ids).tobytes(), array("I", widths).tobytes()
+            begins, ends = self.spans(word, ids)
+            self.known[word] = array("I", ids).tobytes(), array("I", [b - a for a, b in zip(begins, ends, strict=True)]).tobytes()
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, begins and ends."""
@@ -212,23 +205,28 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 def digest(docs: DataFrame, path: str) -> DataFrame:
     """``encode`` with both marks and then ``decode``, by hash: the ids of a corpus are larger than its text.
 
-    doc_id, n_tokens, ids_sha256, decoded_sha256, and n_bytes: the original bytes that the spans cover without a gap.
+    doc_id, n_tokens, ids_sha256, decoded_sha256, and spans_sha256: of begin and end of each id in the original bytes, in
+    turns, as little-endian unsigned 32-bit integers. A null doc_id stays null, a null text counts as empty; repeated
+    rows give repeated rows, an empty table none.
     """
 
     def run(batch):
         m = model(path)
-        n, hashes, covered, lists = [], [], [], []
+        n, hashes, spans, lists = [], [], [], []
         for text in texts(batch):
             ids, begins, ends = m.encode(text)
             ids = np.concatenate([[m.sp.bos_id()], ids, [m.sp.eos_id()]]).astype("<u4")
             n.append(len(ids))
             hashes.append(hashlib.sha256(ids.tobytes()).hexdigest())
-            covered.append(int((ends - begins).sum()))
+            size = len(text.encode("utf-8", "replace"))
+            both = np.empty(2 * len(ids), "<u4")
+            both[::2], both[1::2] = [0, *begins, size], [0, *ends, size]
+            spans.append(hashlib.sha256(both.tobytes()).hexdigest())
             lists.append(ids.tolist())
         decoded = [hashlib.sha256(t.encode("utf-8")).hexdigest() for t in m.sp.decode(lists, num_threads=1)]
-        return {"doc_id": batch.column("doc_id"), "n_tokens": n, "ids_sha256": hashes, "decoded_sha256": decoded, "n_bytes": covered}
+        return {"doc_id": batch.column("doc_id"), "n_tokens": n, "ids_sha256": hashes, "decoded_sha256": decoded, "spans_sha256": spans}
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long")
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")
 
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

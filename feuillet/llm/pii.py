@@ -1,10 +1,12 @@
 """Personal data: spans by fixed rules, and spans that boosted trees add from high-recall candidates.
 
 Generators propose spans that may overlap: whatever looks like an address, an IP number, a card or a phone number,
-checked or not. Candidates that a rule settles teach the trees: those that pass their check are positive; those that
-fail it, or sit inside a longer word such as a key, are negative. The trees see format and context, and their
-thresholds, one for each kind, are set on the held-out candidates of all documents to a wished precision. A candidate
-that no rule settles and that reaches its threshold is added where it meets no other span.
+checked or not. Candidates that a rule settles teach the trees. Positive are those that pass their check, wider ones
+within such a span (a phone number without its +), and such spans written otherwise (a card in groups, an address
+with [at]). Negative are those that fail their check, sit inside a longer word such as a key, meet a span of another
+kind, or are a card with a wrong digit. The trees see format and context, and their thresholds, one for each kind, are
+set on the candidates of held-out texts, a third of all, to a wished precision. A candidate that no rule settles and
+that reaches its threshold is added where it meets no other span.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -94,12 +97,14 @@ def candidates(text: str) -> list[tuple[int, int, str, int]]:
     out: dict[tuple[int, int, str], int] = {}
     for s in matches(text):
         out[s] = int(passes(s[2], text[s[0] : s[1]]))
+    sure = [s for s, label in out.items() if label]
     for kind, wider in WIDER.items():
         if kind == "email" and not re.search(r"[\[({]at[\])}]", text) or kind == "ip" and text.count(":") < 7:
             continue
         for m in [m for zone in ZONE.finditer(text) for m in wider.finditer(text, max(0, zone.start() - 1), zone.end())] if kind in ("card", "phone") else wider.finditer(text):
             inside = text[m.start() - 1 : m.start()].isalnum() or text[m.end() : m.end() + 1].isalnum()
-            out.setdefault((m.start(), m.end(), kind), 0 if inside else -1)
+            met = [k for a, b, k in sure if a < m.end() and m.start() < b]
+            out.setdefault((m.start(), m.end(), kind), 0 if inside or met and kind not in met else 1 if met else -1)
     return [(*s, label) for s, label in out.items()]
 
 
@@ -134,17 +139,40 @@ class Detector:
         return out
 
 
-def settled(batch) -> list[tuple[int, str, int, str, int, int]]:
-    """The candidates that a rule settles: a hash, kind, label, text, start, end."""
-    key = lambda i, text, a, b, kind: int.from_bytes(hashlib.blake2b(f"{i}:{a}:{b}:{kind}:{text[a:b]}".encode(errors="replace"), digest_size=7).digest())
-    return [(key(i, text, a, b, kind), kind, label, text, a, b) for i, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True) for a, b, kind, label in candidates(text) if label >= 0]
+def rewritten(s: str, kind: str) -> list[tuple[str, int]]:
+    """A passing span as others write it, and as what is none, with labels."""
+    if kind == "email":
+        name, _, domain = s.partition("@")
+        return [(f"{name} [at] {domain}", 1), (f"{name}(at){domain.replace('.', '(dot)')}", 1)]
+    digits = re.sub("[^0-9]", "", s)
+    if kind != "card" or len(digits) < 13:
+        return []
+    grouped = lambda d, mark: mark.join([d[:4], d[4:8], d[8:12], d[12:]])
+    wrong = digits[:-1] + str((int(digits[-1]) + 3) % 10)
+    return [(grouped(d, mark), label) for d, label in ((digits, 1), (wrong, 0)) for mark in ".-"]
+
+
+def settled(batch) -> list[tuple[int, bool, str, int, str, int, int]]:
+    """The candidates that a rule settles: a hash, whether the text is held out, kind, label, text, start, end."""
+    key = lambda *x: int.from_bytes(hashlib.blake2b(":".join(map(str, x)).encode(errors="replace"), digest_size=7).digest())
+    out = []
+    for i, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
+        found = [c for c in candidates(text) if c[3] >= 0]
+        held = bool(found) and xxhash.xxh3_64_intdigest(text.encode(errors="replace")) % 3 == 0
+        for a, b, kind, label in found:
+            s = text[a:b]
+            out.append((key(i, a, b, kind, s), held, kind, label, text, a, b))
+            for new, its in rewritten(s, kind) if label and passes(kind, s) else ():
+                before = text[max(0, a - 24) : a]
+                out.append((key(i, a, b, kind, new), held, kind, its, before + new + text[b : b + 1], len(before), len(before) + len(new)))
+    return out
 
 
 def fit(docs: DataFrame, max_candidates: int = 20_000, precision: float = 0.98) -> Detector:
     """Trees from at most ``max_candidates`` settled candidates, as many of each kind and label; thresholds from those of all documents.
 
-    A hash of doc_id and span holds a third of the candidates out; of the others, those with the smallest hashes of
-    each kind and label teach the trees. The scores of all that are held out are counted in bins. A kind without a
+    A third of the texts, by hash, is held out; of the candidates of the others, those with the smallest hashes of
+    each kind and label teach the trees. The scores of all in held-out texts are counted in bins. A kind without a
     threshold that keeps ``precision`` on them adds nothing; neither does a sample without both labels.
     """
     most = max(1, max_candidates // (2 * len(KINDS)))
@@ -162,7 +190,7 @@ def fit(docs: DataFrame, max_candidates: int = 20_000, precision: float = 0.98)
         return True
 
     def pick(batch):
-        rows = [(h, kind, label, features(text, a, b, kind)) for h, kind, label, text, a, b in settled(batch) if h % 3 and small(kind, label, h)]
+        rows = [(h, kind, label, features(text, a, b, kind)) for h, held, kind, label, text, a, b in settled(batch) if not held and small(kind, label, h)]
         h, kind, label, x = zip(*rows, strict=True) if rows else ((), (), (), ())
         return {"h": h, "kind": kind, "label": label, "x": x}
 
@@ -177,9 +205,9 @@ def fit(docs: DataFrame, max_candidates: int = 20_000, precision: float = 0.98)
     model = Boosted().fit(x, y)
 
     def count(batch):
-        held = [c for c in settled(batch) if c[0] % 3 == 0]
-        p = model.probability(np.array([features(text, a, b, kind) for _, kind, _, text, a, b in held])) if held else ()
-        counts = Counter((kind, label, int(score * BINS)) for (_, kind, label, *_), score in zip(held, p, strict=True))
+        held = [c for c in settled(batch) if c[1]]
+        p = model.probability(np.array([features(text, a, b, kind) for _, _, kind, _, text, a, b in held])) if held else ()
+        counts = Counter((kind, label, int(score * BINS)) for (_, _, kind, label, *_), score in zip(held, p, strict=True))
         kind, label, bin_ = zip(*counts, strict=True) if counts else ((), (), ())
         return {"kind": kind, "label": label, "bin": bin_, "n": list(counts.values())}
 
@@ -202,8 +230,8 @@ def said(spans) -> str:
 def detect(docs: DataFrame, detector: Detector) -> DataFrame:
     """Personal data in whole texts: doc_id, counts of the rules' spans by kind, their hash, and all spans as kind:start:end.
 
-    Positions are code points, ends exclusive. A null text counts as empty and has no spans. Only doc_id and text are
-    read; repeated rows give repeated rows.
+    Positions are code points, ends exclusive. A null text counts as empty and has no spans; a null doc_id stays null.
+    Only doc_id and text are read; repeated rows give repeated rows, an empty table none.
     """
 
     def run(batch):

@@ -1,8 +1,8 @@
 """Transcripts to canonical chat turns: a hidden Markov model finds the roles.
 
-A state is a role and whether the line begins a turn. What a line shows is its speaker marker, its length and how it
-ends; transition and emission counts come from a bounded sample of conversations whose roles are known. Roles are the
-Viterbi path. A conversation is dealt in chunks: for one with several, each chunk is first reduced to the best score
+A state is a role and whether the line begins a turn with a marker, without one, or goes on. What a line shows is its
+speaker marker, its length and how it ends; what looks like a marker in a line that goes on is content and stays. Transition and emission counts come from a bounded sample of conversations whose roles are known. Roles are the
+Viterbi path. A conversation is dealt in chunks of lines: for one with several, each chunk is first reduced to the best score
 from every state before it to every state at its end (these compose like matrices), the chunks' states at the edges
 follow from these few numbers, and then all chunks are decoded side by side.
 """
@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stash, table
+from .common import sized, stash, table
 
 CHUNK = 1024
 #: fixed values: markers that may stand before a turn, by class
-MARKERS = (("user", r"(?:user|human|customer|q)\s*[:>]\s*"), ("assistant", r"(?:assistant|ai|bot|a)\s*[:>]\s*"), ("system", r"(?:system|instructions?)\s*[:>]\s*"), ("dash", r"[-*>]\s+"))
+MARKERS = (("user", r"(?:user|human|customer|q)\s*[:>]\s?"), ("assistant", r"(?:assistant|ai|bot|a)\s*[:>]\s?"), ("system", r"(?:system|instructions?)\s*[:>]\s?"), ("dash", r"[-*>]\s"))
 ANY_MARKER = r"(?i)^\s*(?:" + "|".join(p for _, p in MARKERS) + ")"
 _markers = [re.compile(r"(?i)\s*" + p) for _, p in MARKERS]
 LENGTHS = (1, 20, 60, 120, 300, 800)
@@ -37,7 +37,7 @@ def shown(line: str) -> tuple[int, int, int]:
 @dataclass
 class Model:
     roles: list[str]
-    start: np.ndarray  # log-probabilities; state 2r begins a turn of role r, 2r + 1 goes on
+    start: np.ndarray  # log-probabilities; state 3r begins a turn of role r with a marker, 3r + 1 without, 3r + 2 goes on
     step: np.ndarray
     emit: list[np.ndarray]
 
@@ -70,10 +70,11 @@ def line_key() -> list[str]:
 
 
 def lines_of(conversations: DataFrame, marked: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
-    """conv_id, turn, line_no, line, role, first: a transcript's lines, with ``marked(role, conv_id, turn)`` before each turn's first line."""
-    text = F.coalesce("text", F.lit(""))
-    text = F.concat(marked(F.col("role"), F.col("conv_id"), F.col("turn")), text) if marked else text
-    return conversations.select("conv_id", "turn", "role", F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line")).withColumn("first", F.col("line_no") == 0)
+    """conv_id, turn, line_no, line, role, first, marked: a transcript's lines, with ``marked(role, conv_id, turn)`` before each turn's first line."""
+    mark = F.coalesce(marked(F.col("role"), F.col("conv_id"), F.col("turn")), F.lit("")) if marked else F.lit("")
+    text = F.concat(mark, F.coalesce("text", F.lit("")))
+    rows = conversations.select("conv_id", "turn", "role", mark.alias("mark"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line")).withColumn("first", F.col("line_no") == 0)
+    return rows.withColumn("marked", F.col("first") & (F.col("mark") != "")).drop("mark")
 
 
 def as_transcribed(role: Column, conv_id: Column, turn: Column) -> Column:
@@ -87,17 +88,17 @@ def as_transcribed(role: Column, conv_id: Column, turn: Column) -> Column:
 
 
 def fit(lines: DataFrame, max_conversations: int = 2_000, max_lines: int = 60_000) -> Model | None:
-    """Counts plus one from the least ``max_conversations`` conversations by a hash of conv_id, at most ``max_lines`` of their lines; None without any role."""
+    """Smoothed counts from the least ``max_conversations`` conversations by a hash of conv_id, at most ``max_lines`` of their lines; None without any role."""
     picked = F.broadcast(lines.where("role is not null and conv_id is not null").select("conv_id").distinct().orderBy(F.xxhash64("conv_id"), "conv_id").limit(max_conversations))
-    rows = lines.where("role is not null").join(picked, "conv_id").orderBy(F.xxhash64("conv_id"), *line_key()).limit(max_lines).select(*line_key(), "line", "role", "first").collect()
+    rows = lines.where("role is not null").join(picked, "conv_id").orderBy(F.xxhash64("conv_id"), *line_key()).limit(max_lines).select(*line_key(), "line", "role", "first", "marked").collect()
     roles = sorted({r["role"] for r in rows})
     if not roles:
         return None
-    n = 2 * len(roles)
-    start, step, emit = np.ones(n), np.ones((n, n)) * 1e-3, [np.ones((n, k)) for k in SHOWN]
+    n = 3 * len(roles)
+    start, step, emit = np.ones(n), np.full((n, n), 0.1), [np.full((n, k), 0.1) for k in SHOWN]
     last = None
     for r in rows:
-        state = 2 * roles.index(r["role"]) + (not r["first"])
+        state = 3 * roles.index(r["role"]) + (0 if r["marked"] else 1 if r["first"] else 2)
         if last and last[0] == r["conv_id"]:
             step[last[1], state] += 1
         else:
@@ -105,9 +106,15 @@ def fit(lines: DataFrame, max_conversations: int = 2_000, max_lines: int = 60_00
         for e, v in zip(emit, shown(r["line"]), strict=True):
             e[state, v] += 1
         last = r["conv_id"], state
-    start[1::2] = 1e-12
+    emit[0] -= 0.09
+    for k, (name, _) in enumerate(MARKERS):
+        if name in roles:
+            emit[0][3 * roles.index(name), k] += 1
+    for state in (1, 2):  # what looks like a marker in content says nothing about the role
+        emit[0][state::3] = emit[0][state::3].sum(axis=0)
+    start[2::3] = 1e-12
     for k in range(n):  # a turn goes on only with its own role
-        step[k, [j for j in range(1, n, 2) if j // 2 != k // 2]] = 1e-12
+        step[k, [j for j in range(2, n, 3) if j // 3 != k // 3]] = 1e-12
     return Model(roles, np.log(start / start.sum()), np.log(step / step.sum(axis=1, keepdims=True)), [np.log(e / e.sum(axis=1, keepdims=True)) for e in emit])
 
 
@@ -134,20 +141,31 @@ def joined(made: list[dict], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([v for m in made for v in m[f.name]], f.type) for f in schema], schema=schema)
 
 
+def chunked(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``lines`` with ``chunk``, about CHUNK lines each, and the conversations with several. Lines before a turn are counted by turn, and over many turns by group of turns."""
+    turns = lines.groupBy("conv_id", "turn").agg((F.max("line_no") + 1).cast("long").alias("n"))
+    several = stash(turns.groupBy("conv_id").agg(F.sum("n").alias("n")).where(F.col("n") > CHUNK).select("conv_id"))
+    turns = turns.join(sized(several), "conv_id", "left_semi").withColumn("many", F.floor(F.col("turn") / 1024))
+    groups = turns.groupBy("conv_id", "many").agg(F.sum("n").alias("all"))
+    groups = groups.select("conv_id", "many", (F.sum("all").over(Window.partitionBy("conv_id").orderBy("many")) - F.col("all")).alias("before"))
+    own = F.sum("n").over(Window.partitionBy("conv_id", "many").orderBy("turn")) - F.col("n")
+    before = stash(turns.withColumn("own", own).join(groups, ["conv_id", "many"]).select("conv_id", "turn", (F.col("before") + F.col("own")).alias("before")))
+    chunk = F.coalesce(F.floor((F.col("before") + F.col("line_no")) / CHUNK), F.lit(0)).cast("long")
+    return lines.join(sized(before), ["conv_id", "turn"], "left").withColumn("chunk", chunk).drop("before"), several
+
+
 def roles_of(lines: DataFrame, model: Model | None) -> DataFrame:
-    """``lines`` (conv_id, turn, line_no, line) with role and first as the model reads them, by the lines alone."""
-    lines = lines.select(*line_key(), "line").withColumn("chunk", F.floor(F.col("turn") / CHUNK).cast("long"))
+    """``lines`` (conv_id, turn, line_no, line) with role, first and marked as the model reads them, by the lines alone."""
+    lines, several = chunked(lines.select(*line_key(), "line"))
     if model is None:
-        return lines.select(*line_key(), "line", F.lit(None).cast("string").alias("role"), (F.col("line_no") == 0).alias("first"), "chunk")
+        return lines.select(*line_key(), "line", F.lit(None).cast("string").alias("role"), (F.col("line_no") == 0).alias("first"), F.lit(False).alias("marked"), "chunk")
     n = len(model.start)
     side_by_side = lambda df: df.repartition("conv_id", "chunk").sortWithinPartitions("conv_id", "chunk", "turn", "line_no")
-    several = lines.groupBy("conv_id").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high")).where("low < high").select("conv_id", "low")
-    several = stash(several)
 
     def reduce(batches):
         def one(t):
-            conv_id, chunk, low = (t.column(c)[0].as_py() for c in ("conv_id", "chunk", "low"))
-            return {"conv_id": [conv_id], "chunk": [chunk], "m": [model.matrix(model.seen(t.column("line").to_pylist()), chunk == low).ravel().tolist()]}
+            conv_id, chunk = (t.column(c)[0].as_py() for c in ("conv_id", "chunk"))
+            return {"conv_id": [conv_id], "chunk": [chunk], "m": [model.matrix(model.seen(t.column("line").to_pylist()), chunk == 0).ravel().tolist()]}
 
         yield from runs(batches, ("conv_id", "chunk"), one, pa.schema([("conv_id", pa.int64()), ("chunk", pa.int64()), ("m", pa.list_(pa.float64()))]))
 
@@ -168,27 +186,27 @@ def roles_of(lines: DataFrame, model: Model | None) -> DataFrame:
 
         yield from runs(batches, ("conv_id",), one, pa.schema([("conv_id", pa.int64()), ("chunk", pa.int64()), ("before", pa.int32()), ("last", pa.int32())]))
 
-    parts = side_by_side(lines.join(several, "conv_id")).mapInArrow(reduce, "conv_id long, chunk long, m array<double>")
+    parts = side_by_side(lines.join(sized(several), "conv_id")).mapInArrow(reduce, "conv_id long, chunk long, m array<double>")
     at_edges = stash(parts.repartition("conv_id").sortWithinPartitions("conv_id", "chunk").mapInArrow(edges, "conv_id long, chunk long, before int, last int"))
 
     def decode(batches):
         def one(t):
             path = model.viterbi(model.seen(t.column("line").to_pylist()), t.column("before")[0].as_py(), t.column("last")[0].as_py())
-            return {**{c: t.column(c).to_pylist() for c in (*line_key(), "line", "chunk")}, "role": [model.roles[s // 2] for s in path], "first": [s % 2 == 0 for s in path]}
+            return {**{c: t.column(c).to_pylist() for c in (*line_key(), "line", "chunk")}, "role": [model.roles[s // 3] for s in path], "first": [s % 3 < 2 for s in path], "marked": [s % 3 == 0 for s in path]}
 
-        yield from runs(batches, ("conv_id", "chunk"), one, pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("line_no", pa.int32()), ("line", pa.string()), ("role", pa.string()), ("first", pa.bool_()), ("chunk", pa.int64())]))
+        yield from runs(batches, ("conv_id", "chunk"), one, pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("line_no", pa.int32()), ("line", pa.string()), ("role", pa.string()), ("first", pa.bool_()), ("marked", pa.bool_()), ("chunk", pa.int64())]))
 
-    known = lines.join(at_edges, ["conv_id", "chunk"], "left")
-    return side_by_side(known).mapInArrow(decode, "conv_id long, turn long, line_no int, line string, role string, first boolean, chunk long")
+    known = lines.join(sized(at_edges), ["conv_id", "chunk"], "left")
+    return side_by_side(known).mapInArrow(decode, "conv_id long, turn long, line_no int, line string, role string, first boolean, marked boolean, chunk long")
 
 
 def render(lines: DataFrame) -> DataFrame:
-    """conv_id, turn_no (from 0), role, n_lines, rendered: the turns that ``roles_of`` found, in canonical form and without their markers."""
+    """conv_id, turn_no (from 0), role, n_lines, rendered: the turns that ``roles_of`` found, in canonical form; a marker goes where the model used it as one."""
     starts = lines.groupBy("conv_id", "chunk").agg(F.sum(F.col("first").cast("long")).alias("n"))
     before = starts.select("conv_id", "chunk", (F.sum("n").over(Window.partitionBy("conv_id").orderBy("chunk")) - F.col("n")).alias("before"))
     own = F.sum(F.col("first").cast("long")).over(Window.partitionBy("conv_id", "chunk").orderBy("turn", "line_no"))
     numbered = lines.withColumn("own", own).join(before, ["conv_id", "chunk"]).withColumn("turn_no", F.col("before") + F.col("own") - 1)
-    content = F.when(F.col("first"), F.regexp_replace("line", ANY_MARKER, "")).otherwise(F.col("line"))
+    content = F.when(F.col("marked"), F.regexp_replace("line", ANY_MARKER, "")).otherwise(F.col("line"))
     turns = numbered.groupBy("conv_id", "turn_no").agg(F.min_by("role", F.struct("turn", "line_no")).alias("role"), F.count("*").alias("n_lines"), F.array_sort(F.collect_list(F.struct("turn", "line_no", content.alias("line")))).alias("ls"))
     body = F.array_join(F.transform("ls", lambda x: F.coalesce(x["line"], F.lit(""))), "\n")
     return turns.select("conv_id", "turn_no", "role", "n_lines", F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), body, F.lit("\n<|end|>")).alias("rendered"))
@@ -199,7 +217,7 @@ def parse(lines: DataFrame, model: Model | None) -> DataFrame:
 
     ``lines`` has conv_id, turn, line_no (order within a conversation: turn, line_no; in a transcript that is one
     block of text, turn may be the line's number) and line; other columns, a role among them, aren't read. Null lines count
-    as empty. Rows without conv_id or turn are in no conversation and left out. Rows that repeat are lines that repeat.
+    as empty, as does a null text of a conversation. Rows without conv_id or turn are in no conversation and left out. Rows that repeat are lines that repeat.
     Without a model (no sample with roles) every first line of a turn begins a turn, with role null.
     """
     return render(roles_of(lines.where("conv_id is not null and turn is not null"), model))

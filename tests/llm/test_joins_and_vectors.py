@@ -1,5 +1,6 @@
 """Near copies, vectors and transcripts against brute force; the pipeline against a plain version."""
 
+import itertools
 import random
 from collections import Counter
 
@@ -152,15 +153,40 @@ def test_transcripts(spark, data, monkeypatch):
     truth = {(r.conv_id, r.turn, r.line_no): r.role for r in lines.collect()}
     whole = sorted((r.conv_id, r.turn, r.line_no, r.role, r.first) for r in found.collect())
     assert sum(truth[w[:3]] == w[3] for w in whole) >= 0.8 * len(whole)
+    for conv in sorted({w[0] for w in whole})[:5]:  # the path is the best of all: forward by brute force over prefixes of short ones
+        seen = model.seen([r.line for r in sorted((r for r in lines.collect() if r.conv_id == conv), key=lambda r: (r.turn, r.line_no))])[:4]
+        n = len(model.start)
+        score = lambda p, seen=seen: model.start[p[0]] + seen[0][p[0]] + sum(model.step[a, b] + e[b] for a, b, e in zip(p, p[1:], seen[1:], strict=False))
+        best = max(score(p) for p in itertools.product(range(n), repeat=len(seen)))
+        assert abs(score(model.viterbi(seen)) - best) < 1e-9
     monkeypatch.setattr(transcripts, "CHUNK", 2)
     assert whole == sorted((r.conv_id, r.turn, r.line_no, r.role, r.first) for r in transcripts.roles_of(lines, model).collect())
     turns = transcripts.render(found).collect()
     assert all(t.rendered.startswith(f"<|{t.role}|>\n") and t.rendered.endswith("\n<|end|>") for t in turns)
     assert sum(t.n_lines for t in turns) == len(whole)
+    block = [(7, 0, k, f"line {k}", "x") for k in range(9)] + [(8, 0, 0, "User: what is this?", "x"), (8, 1, 0, "Assistant: a list.", "x"), (8, 1, 1, "A> one", "x")]  # a turn with many lines
+    rendered = [r.rendered for r in transcripts.parse(spark.createDataFrame(block, "conv_id long, turn long, line_no int, line string, chunk string"), model).orderBy("conv_id", "turn_no").collect()]
+    assert "what is this?" in rendered[-2] and sum(t.count("line ") for t in rendered) == 9
     odd = spark.createDataFrame([(1, 0, 0, None, "x"), (None, 0, 0, "a", "x"), (2, None, 0, "b", "x"), (3, 1, 0, "User: hi", "x"), (3, 1, 0, "User: hi", "x")], "conv_id long, turn long, line_no int, line string, chunk string")
     assert sum(t.n_lines for t in transcripts.parse(odd, model).collect()) == 3
     assert transcripts.parse(odd.limit(0), model).count() == 0
-    assert transcripts.fit(spark.createDataFrame([], "conv_id long, turn long, line_no int, line string, role string, first boolean")) is None
+    assert transcripts.fit(spark.createDataFrame([], "conv_id long, turn long, line_no int, line string, role string, first boolean, marked boolean")) is None
+
+
+def test_stages_on_odd_tables(spark, data):
+    """Nulls, empty texts, repeated rows, no rows, and columns with names that operators use inside."""
+    import corpus_pipeline
+
+    rows = [(1, None, 0, "x"), (2, "", 0, None), (3, "a plain text of some words", 26, "y"), (3, "a plain text of some words", 26, "y"), (None, "no id", 5, "z"), (None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, node string").selectExpr("*", "1 AS rep", "2 AS toxic", "3 AS length", "4 AS bucket")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, data)
+        if name == "packing":
+            assert sorted(out.groupBy("doc_id").count().collect(), key=str) == sorted([(None, 2), (1, 1), (2, 1), (3, 2)], key=str)
+            assert out.agg(F.countDistinct("sequence_id", "offset")).first()[0] == 6
+        else:
+            assert out.columns == docs.columns and sorted(map(str, out.collect())) == sorted(map(str, docs.collect())), name
+        assert stage(spark, docs.limit(0), data).count() == 0
 
 
 def test_pipeline_against_a_plain_version(spark, data):
@@ -184,8 +210,11 @@ def test_pipeline_against_a_plain_version(spark, data):
     for r in corpus_pipeline.run(spark, data).collect():
         got[r.doc_id] += r.length
     assert got.keys() == left.keys()
+    kept = spark.createDataFrame(docs.where(F.col("doc_id").isin(*left)).collect(), docs.schema)
+    found = {r.doc_id: [x.split(":") for x in r.spans.split(",") if x] for r in pii.detect(kept, pii.fit(kept)).collect()}
     for i, t in left.items():
-        spans, at, out = pii.base_spans(t or ""), 0, ""
+        spans, at, out = [(int(a), int(b), kind) for kind, a, b in found[i]], 0, ""
+        assert {*pii.base_spans(t or "")} <= {*spans}
         for a, b, kind in spans:
             if a >= at:
                 out += (t or "")[at:a] + f"[{kind.upper()}]"

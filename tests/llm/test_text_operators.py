@@ -103,6 +103,8 @@ def test_pieces_equal_the_library(spark, odd):
     assert back == {(r.doc_id, sp.decode([1, *sp.encode(r.text or ""), 2])) for r in odd.collect()}
     got = {(r.doc_id, r.n_tokens, r.ids_sha256) for r in pieces.digest(odd, SP).collect()}
     assert got == {(r.doc_id, len(i), hashlib.sha256(np.array(i, "<u4").tobytes()).hexdigest()) for r in odd.collect() for i in [[1, *sp.encode(r.text or ""), 2]]}
+    spans = {(r.doc_id, r.spans_sha256) for r in pieces.digest(odd, SP).collect()}
+    assert spans == {(r.doc_id, hashlib.sha256(np.array([x for pair in zip(r.begins, r.ends, strict=True) for x in pair], "<u4").tobytes()).hexdigest()) for r in coded.collect()}
     assert pieces.digest(empty(spark), SP).count() == 0
 
 
@@ -176,6 +178,18 @@ def test_personal_data_of_a_sorted_table(spark):
     assert pii.detect(call, detector).first()["n_phone"] == 1
 
 
+def test_personal_data_that_no_rule_settles(spark):
+    """Telephone numbers without +, in texts that the trees haven't seen, and what only looks like them."""
+    random.seed(9)
+    digits = lambda n: "".join(random.choice("0123456789") for _ in range(n))
+    phone = lambda: f"({digits(3)}) {digits(3)}-{digits(4)}"
+    known = [f"word call +1 {phone()} now" for _ in range(150)] + [f"part no x{digits(3)}-{digits(3)}-{digits(4)} here" for _ in range(150)]
+    detector = pii.fit(spark.createDataFrame(list(enumerate(known)), "doc_id long, text string"))
+    new = [f"word call {phone()} now" for _ in range(40)] + [f"part no x{digits(3)}-{digits(3)}-{digits(4)} here" for _ in range(40)]
+    rows = sorted(pii.detect(spark.createDataFrame(list(enumerate(new)), "doc_id long, text string"), detector).collect())
+    assert [r.spans for r in rows] == ["phone:10:24"] * 40 + [""] * 40 and not any(r.n_phone for r in rows)
+
+
 def test_numbers_too_long_to_be_read():
     assert pii.base_spans("1" * 5000 + ".1.1.1") == []
     assert [s[2] for s in pii.base_spans("0" * 5000 + "1.2.3.4")] == ["ip"]
