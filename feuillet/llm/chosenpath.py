@@ -9,9 +9,10 @@ Nodes are compared in rounds, each confirmed on full sets. First, every member i
 and the best leaders of each document give its links, so a group of m near copies costs about m links and not m squared.
 Then the members of a node that these links have not joined are compared with all others: in a small node at once; in
 a large one, if most are joined, its few others with all, in blocks; else it branches again. What is still large at the
-last level is compared in blocks too. Of what may be similar, a document's best few are confirmed first and more of them
-in a second turn. A document that has even more in a node goes there with its full set, and meets the full sets of all
-those in blocks of bounded size: nothing is cut off, and no row is made for a pair that isn't a link.
+last level is compared in blocks too. Of what may be similar, the best is confirmed first: each document's best few in a
+node of few documents, and in others a tree that spans the node's groups, so never more pairs than documents. Whatever
+may be similar beyond that, and still is in different groups, goes there with its full set and meets the others' in
+blocks of bounded size: nothing is cut off, and no row is made for a pair that isn't a link.
 
 Equal sets are one class from the start, known by a 64-bit hash of the set: among a billion different sets two share
 one with a chance of 3 %.
@@ -36,8 +37,9 @@ PERCENT = 75
 MAYBE = 76
 SMALL = 512
 LEADERS = 2
-#: Pairs of a document in a node that each turn confirms; what goes beyond the last is compared in blocks.
-ROUNDS = (3,)
+#: Pairs of a document that are confirmed first, in a node of at most CROWD documents.
+NEAREST = 3
+CROWD = 32
 LEVELS = 3
 BLOCK = 4096
 BLOCK_SHINGLES = 1 << 20
@@ -180,19 +182,40 @@ class Found:
         self.most = most  # None: members
         self.pairs: dict[tuple[int, int], int] = {}  # 1: a has more in this node; 2: b has
         self.active: dict[tuple[int, int], bool] = {}
+        self.edges: list[tuple[int, int, int, int, int]] = []
 
-    def add(self, node: int, i: int, probe: bool, ids: np.ndarray, same: np.ndarray, probes: np.ndarray) -> None:
-        """``ids``: members of other groups; ``same``: tokens that they have in common with i."""
+    def add(self, node: int, crowded: bool, i: int, group: int, probe: bool, ids: np.ndarray, groups: np.ndarray, probes: np.ndarray, same: np.ndarray) -> None:
+        """``ids``: members of other groups; ``same``: tokens that they have in common with i; ``probes``: of a crowded node, whether they look for i themselves."""
         hit = same >= MAYBE
+        ids, groups, same, probes = ids[hit], groups[hit], same[hit], probes[hit]
         if self.most is None:
-            for j, other in zip(ids[hit].tolist(), probes[hit].tolist(), strict=True):
-                if probe or other:
+            for j, other in zip(ids.tolist(), probes.tolist(), strict=True):
+                if crowded and not other:
+                    self.active[node, i] = True
+                    self.active.setdefault((node, j), False)
+                elif not crowded and (probe or other):
                     self.active[node, i], self.active[node, j] = probe, other
-            return
-        near, cut = best(ids[hit], same[hit], self.most)
-        for j in near.tolist():
-            pair = (min(i, j), max(i, j))
-            self.pairs[pair] = self.pairs.get(pair, 0) | cut * (1 if i < j else 2)
+        elif crowded:
+            by = np.lexsort((ids, -same))
+            _, first = np.unique(groups[by], return_index=True)  # the best of each group
+            for k in by[np.sort(first)[:8]].tolist():
+                self.edges.append((-int(same[k]), i, int(ids[k]), group, int(groups[k])))
+        else:
+            near, cut = best(ids, same, self.most)
+            for j in near.tolist():
+                self.pair(i, j, cut)
+
+    def pair(self, i: int, j: int, cut: bool) -> None:
+        pair = (min(i, j), max(i, j))
+        self.pairs[pair] = self.pairs.get(pair, 0) | cut * (1 if i < j else 2)
+
+    def close(self) -> None:
+        """Of a crowded node's pairs, those that span its groups, the best first."""
+        forest = Forest()
+        for _, i, j, a, b in sorted(self.edges):
+            if forest.join(a, b):
+                self.pair(i, j, False)
+        self.edges = []
 
     def columns(self) -> dict[str, list]:
         if self.most is None:
@@ -208,6 +231,23 @@ class Found:
 KINDS = {"long": (pa.int64(), "int64"), "boolean": (pa.bool_(), "bool")}
 
 
+class Forest:
+    """Groups that links have joined."""
+
+    def __init__(self):
+        self.above: dict[int, int] = {}
+
+    def top(self, g: int) -> int:
+        while (up := self.above.get(g, g)) != g:
+            g = up
+        return g
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.top(a), self.top(b)
+        self.above[max(a, b)] = min(a, b)
+        return a != b
+
+
 def exhaustive(most: int | None):
     """(node, rep, group, probe, sig) of small nodes -> what of different groups may be similar."""
 
@@ -215,9 +255,19 @@ def exhaustive(most: int | None):
         nodes, ids, groups, probes, sigs = (*(t.column(c).to_numpy() for c in ("node", "rep", "group", "probe")), unpack(t.column("sig")))
         starts, found = starts_of(nodes), Found(most)
         for start, end in zip(starts, [*starts[1:], len(nodes)], strict=True):
-            for i in range(start, end) if most is not None else start + np.flatnonzero(probes[start:end]):
-                others = start + np.flatnonzero(groups[start:end] != groups[i])
-                found.add(int(nodes[i]), int(ids[i]), bool(probes[i]), ids[others], (sigs[others] == sigs[i]).sum(axis=1), probes[others])
+            crowded = end - start > CROWD
+            own = groups[start:end]
+            if crowded:  # of two groups, the smaller one's members look for the other's
+                _, of, count = np.unique(own, return_inverse=True, return_counts=True)
+                size = count[of]
+            for i in range(start, end) if most is not None or crowded else start + np.flatnonzero(probes[start:end]):
+                others = np.flatnonzero(own != groups[i])
+                looks = probes[start + others]
+                if crowded and most is None:
+                    mine = (size[i - start], groups[i])
+                    looks = (size[others] < mine[0]) | (size[others] == mine[0]) & (own[others] < mine[1])
+                found.add(int(nodes[i]), crowded, int(ids[i]), int(groups[i]), bool(probes[i]), ids[start + others], own[others], looks, (sigs[start + others] == sigs[i]).sum(axis=1))
+            found.close()
         return pa.RecordBatch.from_pydict(found.columns(), schema=pa.schema([(n, KINDS[k][0]) for n, k in Found.schema(most)]))
 
     return lambda batches: by_node(batches, one)
@@ -246,10 +296,11 @@ def few_with_all(most: int | None):
         rows = lambda x: np.frombuffer(b"".join(x), "u1").reshape(-1, SIZE)
         found = Found(most)
         if len(members) and len(few):
-            node, ids, groups, probes, sigs = int(members["node"].iloc[0]), members["rep"].to_numpy(), members["group"].to_numpy(), members["probe"].to_numpy(bool), rows(members["sig"])
-            for i, group, probe, sig in zip(few["few_rep"].tolist(), few["few_group"], few["few_probe"].tolist(), rows(few["few_sig"]), strict=True):
-                others = groups != group
-                found.add(node, i, probe, ids[others], (sigs[others] == sig).sum(axis=1), probes[others])
+            node, ids, groups, sigs = int(members["node"].iloc[0]), members["rep"].to_numpy(), members["group"].to_numpy(), rows(members["sig"])
+            for i, group, sig in zip(few["few_rep"].tolist(), few["few_group"].tolist(), rows(few["few_sig"]), strict=True):
+                others = np.flatnonzero(groups != group)
+                found.add(node, True, i, group, True, ids[others], groups[others], np.zeros(len(others), bool), (sigs[others] == sig).sum(axis=1))
+            found.close()
         return pd.DataFrame({c: pd.array(v, KINDS[k][1]) for (c, k), v in zip(Found.schema(most), found.columns().values(), strict=True)})
 
     return run
@@ -281,8 +332,9 @@ def first_pairs(nodes: DataFrame, small_node: int = SMALL, block: int = BLOCK) -
 def further(nodes: DataFrame, groups: DataFrame, most: int | None, probes: DataFrame | None = None, small_node: int = SMALL, block: int = BLOCK, levels: int = LEVELS) -> DataFrame:
     """What may be similar among a node's members that no link has joined yet; ``groups`` has rep, group.
 
-    With ``most``, pairs (a, b) of each document with its best ones in a node, and whether a or b has more there.
-    Without, the members (node, rep, probe) that meet one of ``probes`` (rep), or are one that meets another.
+    With ``most``, pairs (a, b) of each document with its best ones in a node, and whether a or b has more there; or
+    those that span the groups of a crowded node. Without, the members (node, rep, probe) that meet one of ``probes``
+    (rep), or are one that meets another; in crowded nodes, all that meet any.
     """
     names = Found.schema(most)
     shape = ", ".join(f"{n} {k}" for n, k in names)
@@ -293,7 +345,7 @@ def further(nodes: DataFrame, groups: DataFrame, most: int | None, probes: DataF
     found = []
     for level in range(1, levels + 1):
         counts = frontier.groupBy("node", "group").agg(F.count("*").alias("n"), F.max("probe").alias("probe"))
-        mixed = counts.groupBy("node").agg(F.sum("n").alias("size"), F.max(F.struct("n", "group")).alias("most"), F.max("probe").alias("any")).where("size > most.n" if most is not None else "size > most.n and any")
+        mixed = counts.groupBy("node").agg(F.sum("n").alias("size"), F.max(F.struct("n", "group")).alias("most"), F.max("probe").alias("any")).where("size > most.n" if most is not None else f"size > most.n and (any or size > {CROWD})")
         mixed = stash(mixed.select("node", "size", F.col("most.group").alias("main"), (F.col("size") - F.col("most.n")).alias("far")))
         frontier = stash(frontier.join(sized(mixed), "node"))
         found.append(sorted_nodes(frontier.where(F.col("size") <= small_node).select(own)).mapInArrow(exhaustive(most), shape))
@@ -354,13 +406,7 @@ def meet(members, probes):
     """Full sets of a block's members against those of its probes -> links (a, b) between groups, those that join something new."""
     import pandas as pd
 
-    links, label = [], {}
-
-    def top(g: int) -> int:
-        while (up := label.get(g, g)) != g:
-            g = up
-        return g
-
+    links, forest = [], Forest()
     if len(members) and len(probes):
         sizes = np.array([len(s) for s in members["s"]])
         values, owner = np.concatenate(members["s"].to_list()), np.repeat(np.arange(len(members)), sizes)
@@ -373,9 +419,7 @@ def meet(members, probes):
             at = np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())  # the places of all that s has in common with members
             common = np.bincount(owner[at], minlength=len(sizes))
             for k in np.flatnonzero((100 * common >= PERCENT * (len(s) + sizes - common)) & (groups != group)).tolist():
-                a, b = top(group), top(int(groups[k]))
-                if a != b:
-                    label[max(a, b)] = min(a, b)
+                if forest.join(group, int(groups[k])):
                     links.append((i, int(ids[k])))
     return pd.DataFrame({"a": pd.array([x[0] for x in links], "int64"), "b": pd.array([x[1] for x in links], "int64")})
 
@@ -397,7 +441,7 @@ def met_in_blocks(docs: DataFrame, classes: DataFrame, groups: DataFrame, active
     return links
 
 
-def joined(docs: DataFrame, classes: DataFrame, known: DataFrame | None = None, small_node: int = SMALL, block: int = BLOCK, levels: int = LEVELS, rounds: tuple[int, ...] = ROUNDS) -> DataFrame:
+def joined(docs: DataFrame, classes: DataFrame, known: DataFrame | None = None, small_node: int = SMALL, block: int = BLOCK, levels: int = LEVELS, most: int = NEAREST) -> DataFrame:
     """``classes`` (rep, doc_id, n_shingles, sig, roots) -> id, component_id for all reps that links, or the ``known`` ones (a, b), join."""
     frontier = classes.select("rep", F.explode("roots").alias("node"))
     sizes = frontier.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
@@ -406,21 +450,17 @@ def joined(docs: DataFrame, classes: DataFrame, known: DataFrame | None = None,
     if known is not None:
         links = links.unionByName(known)
     group = lambda found: found.select(F.col("id").alias("rep"), F.col("component_id").alias("group"))
-    tested = cut = None
-    for most in rounds:
-        groups = components(links)
-        more = stash(further(nodes, group(groups), most, None, small_node, block, levels))
-        if not more.limit(1).count():
-            return groups
-        pairs = more.select("a", "b")
-        links = links.unionByName(confirmed(docs, classes, pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        cut = more.where("cut_a").select(F.col("a").alias("rep")).unionByName(more.where("cut_b").select(F.col("b").alias("rep"))).distinct()
-        if not cut.limit(1).count():
-            return components(links)
-    groups = group(components(links))
-    links = links.unionByName(met_in_blocks(docs, classes, groups, further(nodes, groups, None, stash(cut), small_node, block, levels)))
-    return components(links)
+    groups = components(links)
+    more = stash(further(nodes, group(groups), most, None, small_node, block, levels))
+    if not more.limit(1).count():
+        return groups
+    links = links.unionByName(confirmed(docs, classes, more.select("a", "b")))
+    groups = components(links)
+    cut = stash(more.where("cut_a").select(F.col("a").alias("rep")).unionByName(more.where("cut_b").select(F.col("b").alias("rep"))).distinct())
+    rest = stash(further(nodes, group(groups), None, cut, small_node, block, levels))
+    if not rest.limit(1).count():
+        return groups
+    return components(links.unionByName(met_in_blocks(docs, classes, group(groups), rest)))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

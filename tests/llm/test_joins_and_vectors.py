@@ -64,8 +64,8 @@ def classes_of(signed):
     return chosenpath.stash(signed.where("n_shingles > 0").groupBy(F.col("k1").alias("rep")).agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("n_shingles", "sig", "roots"), "doc_id").alias("f")).select("rep", "doc_id", "f.*"))
 
 
-@pytest.mark.parametrize("rounds", [(3, 30), (1,)])
-def test_near_duplicates_in_large_nodes(spark, copies, rounds, monkeypatch):
+@pytest.mark.parametrize(("small", "most"), [(3, 3), (50, 1)])
+def test_near_duplicates_in_large_nodes(spark, copies, small, most, monkeypatch):
     """Nodes that are large from three members on, so that blocks and branches take part; with one pair for each document, the rest meets in blocks of full sets."""
     monkeypatch.setattr(chosenpath.met_in_blocks, "__defaults__", (300,))
     docs = spark.createDataFrame(list(copies.items()), "doc_id long, text string")
@@ -73,7 +73,7 @@ def test_near_duplicates_in_large_nodes(spark, copies, rounds, monkeypatch):
     sets = {i: sets_of(t) for i, t in copies.items()}
     label = plain_components(sets, plain_links(sets))
     by_rep = {r.rep: r.doc_id for r in classes.collect()}
-    got = {by_rep[r.id]: by_rep[r.component_id] for r in chosenpath.joined(docs, classes, None, 3, 5, 2, rounds).collect()}
+    got = {by_rep[r.id]: by_rep[r.component_id] for r in chosenpath.joined(docs, classes, None, small, 5, 2, most).collect()}
     assert {len({label[i] for i in got if got[i] == g}) for g in got.values()} <= {1}  # no group has two of the true ones
     assert Counter(Counter(label[i] for i in got).values()) == Counter(n for n in Counter(label[i] for i in by_rep.values()).values() if n > 1)
     assert len(set(got.values())) == len({label[i] for i in got})
