@@ -95,7 +95,7 @@ def validate_name(name: Column, context: Column | None = None) -> Column:
     bad = sum((name.rlike(p).cast("int") for p in ("[0-9]{3,}", "^[^A-ZÀ-ÖØ-Þß]", "[<>@#$%^&*()]", "^.{1,2}$", "^.{80,}$", "^[A-Z]{3,}$", "^[0-9]+$")), F.lit(0))
     errors = bad + F.size(F.filter(low, lambda w: w.isin(*FORBIDDEN))) + F.size(F.filter(low, lambda w: w.isin(*PLACES)))
     titled = F.get(low, F.lit(0)).isin(*TITLE_WORDS, "dom", "père", "abbé", "prieur", "frère", "sœur", "mère")
-    rest = F.when(titled, F.slice(ws, 2, 100)).otherwise(ws)
+    rest = F.when(titled, F.slice(ws, F.lit(2), F.greatest(F.size(ws) - 1, F.lit(1)))).otherwise(ws)
     part = F.array_join(rest, " ").rlike(r"(?i)(^|\s)(de|du|des|le|la|les|d'|von|van)(\s|$)")
     both = split_name_mention(F.array_join(rest, " "))
     first, family = F.get(F.split(both["first_names"], " "), F.lit(0)), both["family_name"]
@@ -164,12 +164,15 @@ def extract_professions(docs: DataFrame) -> DataFrame:
     return dedup_best(out, ["doc_id", "profession"])
 
 
-RELATIONS = [("filiation", rf"({FULL}),? (?:fils|fille|filz) de ({FULL})(?: et (?:de )?({FULL}))?"), ("marriage", rf"({FULL}),? (?:épouse|femme|veuve) de ({FULL})"), ("godfather", rf"(?:parrain|parr\.?) ?:? ?({FULL})"), ("godmother", rf"(?:marraine|marr\.?) ?:? ?({FULL})")]
+RELATIONS = [("filiation", rf"({FULL}),? (?:fils|fille|filz) de ({FULL})(?:(?:, [^,;.]{{1,40}}\.?){{0,4}}?,? et (?:de )?({FULL}))?"), ("marriage", rf"({FULL}),? (?:épouse|femme|veuve) de ({FULL})"), ("godfather", rf"(?:parrain|parr\.?) ?:? ?({FULL})"), ("godmother", rf"(?:marraine|marr\.?) ?:? ?({FULL})")]
 ROLES = {"filiation": ("child", "father", "mother"), "marriage": ("wife", "husband"), "godfather": ("godfather",), "godmother": ("godmother",)}
 
 
 def extract_relations(docs: DataFrame) -> DataFrame:
-    """doc_id, type, a, b, c (child, father, mother; wife, husband; godparent), confidence: by pattern and how full the names are."""
+    """doc_id, type, a, b, c (child, father, mother; wife, husband; godparent), confidence: by pattern and how full the names are.
+
+    Up to four titles or lands of the father may stand between him and the mother. Line breaks are for ``normalize_text``.
+    """
     m = mentions(docs, RELATIONS)
     part = lambda k: reduce(lambda rest, r: F.when(F.col("kind") == r[0], F.nullif(F.regexp_extract("hit", r[1], k), F.lit(""))).otherwise(rest) if k <= len(ROLES[r[0]]) else rest, RELATIONS, F.lit(None).cast("string"))
     x = m.withColumns({"a": part(1), "b": part(2), "c": part(3)})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,15 +12,22 @@ from pyspark.sql import functions as F
 from feuillet.operators.acts import acte_after_death, create_actes
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Written to the shared folder that the cluster names in spark.checkpoint.dir and read again: an iteration's lineage ends here."""
-    spark = df.sparkSession
+def shared_path(spark) -> str:
+    """A new path in the shared folder that the cluster names in spark.checkpoint.dir."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:  # a local session, as in tests
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not known.isDefined() and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         folder = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="spark-feuillet-")
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder}/step-{uuid.uuid4().hex}"
+    return f"{folder}/step-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and read again: an iteration's lineage ends here."""
+    spark = df.sparkSession
+    path = shared_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

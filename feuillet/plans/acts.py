@@ -27,9 +27,9 @@ def _(t):
     return A.acte_participants(t.actes)
 
 
-@query("joi2_person_actes", f"WITH {PARTS} SELECT parts.* FROM parts WHERE person_id IN (SELECT person_id FROM persons WHERE statut = 'sieur')")
+@query("joi2_person_actes", f"WITH {PARTS} SELECT parts.* FROM parts WHERE person_id IN (SELECT person_id FROM persons)")
 def _(t):
-    return A.person_actes(t.actes, t.persons.where("statut = 'sieur'"))
+    return A.person_actes(t.actes, t.persons)
 
 
 @query("joi2_actes_by_year", f"WITH {TYPED} SELECT acte_id, type_acte FROM typed WHERE year = 1646")
@@ -110,6 +110,6 @@ def _(t):
     return A.global_counts(t.persons, t.actes, G.parent_pairs(t.persons))
 
 
-@query("win2_number_rows", "SELECT acte_id, row_number() OVER (ORDER BY lieu NULLS FIRST, acte_id) AS number FROM actes WHERE lieu IS NOT NULL")
+@query("win2_number_rows", "SELECT acte_id, row_number() OVER (ORDER BY lieu NULLS FIRST, acte_id) AS number FROM actes")
 def _(t):
-    return A.number_rows(t.actes.where("lieu is not null"), "acte_id", "lieu").select("acte_id", "number")
+    return A.number_rows(t.actes, "acte_id", "lieu").select("acte_id", "number")

@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from feuillet.functions.names import normalization_confidence, normalize_person_name
+from feuillet.operators import extract as E
 from feuillet.operators import reports as R
+from feuillet.operators.family import shared_path
 from feuillet.plans.acts import TYPED
 from feuillet.plans.registry import query
 from feuillet.plans.resolve import NORM, raw
@@ -107,12 +109,22 @@ def _(t):
     return S.filiation_rows(t.persons)
 
 
-@query("snk3_gedcom_lines", "SELECT 'INDI' AS section, count(*) * 3 + count(naissance) + count(deces) + count(*) FILTER (len(professions) > 0) AS n FROM persons")
+PAD = lambda c: f"(repeat('0', greatest(0, 6 - length({c}::VARCHAR))) || {c})"
+NUMBERED = lambda ls: f"unnest({ls}) AS line, (generate_subscripts({ls}, 1) - 1)::INTEGER AS line_no"
+INDI = f"""list_filter(['0 @I' || {PAD('person_id')} || '@ INDI', '1 NAME ' || prenom || ' /' || nom || '/', '1 SEX ' || sexe, '1 BIRT' || chr(10) || '2 DATE ' || naissance, '1 DEAT' || chr(10) || '2 DATE ' || deces,
+  CASE WHEN len(professions) > 0 THEN '1 OCCU ' || array_to_string(professions, ', ') END], lambda x: x IS NOT NULL)"""
+
+
+@query("snk3_gedcom_lines", f"SELECT 'INDI' AS section, record_key, NULL::BIGINT AS other_key, {NUMBERED('ls')} FROM (SELECT person_id AS record_key, {INDI} AS ls FROM persons)")
 def _(t):
-    return S.gedcom_lines(t.persons).where("section = 'INDI'").groupBy("section").agg(F.count("*").alias("n"))
+    return S.gedcom_lines(t.persons).where("section = 'INDI'")
 
 
-@query("snk3_gedcom_families")
+@query("snk3_gedcom_families", f"""WITH kids AS (SELECT pere_id AS husband, mere_id AS wife, list_sort(list(person_id)) AS ids FROM persons WHERE pere_id IS NOT NULL AND mere_id IS NOT NULL GROUP BY ALL),
+  wed AS (SELECT DISTINCT CASE WHEN sexe = 'M' THEN person_id ELSE conjoint_id END AS husband, CASE WHEN sexe = 'M' THEN conjoint_id ELSE person_id END AS wife FROM persons WHERE conjoint_id IS NOT NULL),
+  fam AS (SELECT husband, wife, coalesce(ids, []::BIGINT[]) AS ids, greatest(h.mariage, w.mariage) AS wedding FROM kids FULL JOIN wed USING (husband, wife) LEFT JOIN persons h ON h.person_id = husband LEFT JOIN persons w ON w.person_id = wife WHERE husband IS NOT NULL AND wife IS NOT NULL),
+  l AS (SELECT husband, wife, list_filter(['0 @F' || {PAD('husband')} || '_' || {PAD('wife')} || '@ FAM', '1 HUSB @I' || {PAD('husband')} || '@', '1 WIFE @I' || {PAD('wife')} || '@', '1 MARR' || chr(10) || '2 DATE ' || wedding], lambda x: x IS NOT NULL) || list_transform(ids, lambda k: '1 CHIL @I' || {PAD('k')} || '@') AS ls FROM fam)
+  SELECT 'FAM' AS section, husband AS record_key, wife AS other_key, {NUMBERED('ls')} FROM l""")
 def _(t):
     return S.gedcom_lines(t.persons).where("section = 'FAM'")
 
@@ -120,9 +132,12 @@ def _(t):
 PAGES = "pages_ AS (SELECT doc_id, page_number, string_agg(text, chr(10) ORDER BY acte_id) AS text FROM register GROUP BY ALL)"
 
 
-@query("src1_read_documents", "SELECT doc_id, text, round(strlen(text) / 1e6, 6)::DOUBLE AS size_mb FROM documents")
+@query("src1_read_documents", "SELECT text || chr(10) AS text, 'txt' AS file_type, round((strlen(text) + 1) / 1e6, 6)::DOUBLE AS size_mb FROM books")
 def _(t):
-    return t.documents.select("doc_id", "text", F.round(F.octet_length("text") / 1e6, 6).alias("size_mb"))
+    """The books as text files, one each, and read again."""
+    path = shared_path(t.spark)
+    t.books.select("doc_id", "text").write.partitionBy("doc_id").text(path)
+    return P.read_documents(t.spark, f"{path}/*").select("text", "file_type", "size_mb")
 
 
 @query("src2_split_pages", f"WITH {PAGES} SELECT * FROM pages_")
@@ -196,17 +211,43 @@ def _(t):
     return P.nearest_page(t.register.where("acte_id % 4 <> 0").select("doc_id", at), t.register.where("acte_id % 4 = 0").select("doc_id", at, F.col("acte_id").cast("int").alias("page_number")))
 
 
-@query("str2_dedup_source", "SELECT substring(md5(text), 1, 16) AS source_id, min(doc_id) AS doc_id FROM documents GROUP BY 1")
+def files_of(t, name: str) -> str:
+    """A table's file or files as a pattern: the stream source takes a folder or a pattern, and no file by its own name."""
+    return f"{t.sf_dir}/{name}.parque[t]"
+
+
+def stream(t, name: str):
+    return t.spark.readStream.schema(t.read(name).schema).parquet(files_of(t, name))
+
+
+def drained(t, df, mode: str = "append"):
+    """All that a stream gives out for what is there now, read back."""
+    path = shared_path(t.spark)
+    df.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", shared_path(t.spark)).trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema(df.schema).parquet(path)
+
+
+@query("str1_ingest_stream", "SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), 'N(?: N)+')) AS full_name FROM documents".replace("N(?: N)", f"{E.NAME}(?: {E.NAME})".replace("'", "''")))
+def _(t):
+    out = shared_path(t.spark)
+    streams.ingest_stream(t.spark, files_of(t, "documents"), out, shared_path(t.spark)).awaitTermination()
+    return t.spark.read.schema("doc_id long, full_name string").parquet(out)
+
+
+@query("str2_dedup_source", "SELECT DISTINCT substring(md5(text), 1, 16) AS source_id FROM documents")
 def _(t):
-    d = t.documents.withColumn("source_id", F.substring(F.md5("text"), 1, 16))
-    return d.groupBy("source_id").agg(F.min("doc_id").alias("doc_id"))
+    """A text's second is its doc_id, after the watermark's start: copies within a day of each other go."""
+    return drained(t, streams.dedup_source_stream(stream(t, "documents").select(F.timestamp_seconds(F.col("doc_id") + 86_400).alias("ts"), "text"))).select("source_id")
 
 
-@query("str3_registry_counts", "SELECT event_type AS key, count(*) AS hits, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen FROM events GROUP BY 1")
+@query("str3_registry_counts", "SELECT event_type AS key, count(*) AS hits, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen, event_type AS first_name, array_to_string(list_sort(list(DISTINCT 'day ' || strftime(ts, '%d'))), ',') AS sources FROM events GROUP BY event_type")
 def _(t):
-    return streams.registry_counts(t.read("events").select("ts", F.col("event_type").alias("full_name"))).withColumn("first_seen", F.date_format("first_seen", "yyyy-MM-dd HH:mm:ss"))
+    names, path = stream(t, "events").select("ts", F.col("event_type").alias("full_name"), F.concat(F.lit("day "), F.date_format("ts", "dd")).alias("source")), shared_path(t.spark)
+    streams.registry_upsert_stream(names, shared_path(t.spark), path).awaitTermination()
+    return streams.registry_of(t.spark, path).withColumn("first_seen", F.date_format("first_seen", "yyyy-MM-dd HH:mm:ss")).withColumn("sources", F.array_join("sources", ","))
 
 
-@query("str4_running_stats", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS start, event_type, count(*) AS n, round(sum(value), 2)::DOUBLE AS total FROM events GROUP BY 1, 2")
+@query("str4_running_stats", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS start, event_type, count(*) AS n, round(sum(value), 2)::DOUBLE AS total FROM events GROUP BY 1, 2 HAVING date_trunc('day', min(ts)) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
 def _(t):
-    return streams.running_stats(t.read("events")).withColumn("start", F.date_format("start", "yyyy-MM-dd"))
+    """The days that are past the watermark."""
+    return drained(t, streams.running_stats(stream(t, "events"))).withColumn("start", F.date_format("start", "yyyy-MM-dd"))

@@ -237,13 +237,13 @@ def _(t):
     return t.persons.select("person_id").exceptAll(acte_participants(t.actes).where("role = 'parrain'").select("person_id").distinct())
 
 
-CTX = "ctx AS (SELECT a.personne_principale_id AS person_id, r.text FROM register r JOIN actes a USING (acte_id) WHERE acte_id % 4 = 1 OR acte_id % 4 = 2), one AS (SELECT person_id, min(text) AS text FROM ctx GROUP BY person_id)"
+CTX = "ctx AS (SELECT a.personne_principale_id AS person_id, r.text FROM register r JOIN actes a USING (acte_id)), one AS (SELECT person_id, text FROM ctx)"
 COUNT = lambda ps: " + ".join(f"contains(near, '{p}')::INT" for p in ps)
 GENDER = f"{CTX}, hit AS (SELECT person_id, lower(text) AS t, {FOLD} AS n, strpos(lower(text), {FOLD}) AS p FROM one JOIN persons USING (person_id)), nr AS (SELECT person_id, t[greatest(p - 100, 1):p + length(n) + 99] AS near FROM hit WHERE p > 0), gen AS (SELECT person_id, CASE WHEN {COUNT(R.FEMININE)} > {COUNT(R.MASCULINE)} THEN 'F' WHEN {COUNT(R.FEMININE)} < {COUNT(R.MASCULINE)} THEN 'M' END AS gender FROM nr)"
 
 
 def contexts(t):
-    return t.register.join(t.actes.select("acte_id", F.col("personne_principale_id").alias("person_id")), "acte_id").where("acte_id % 4 in (1, 2)").groupBy("person_id").agg(F.min("text").alias("text"))
+    return t.register.join(t.actes.select("acte_id", F.col("personne_principale_id").alias("person_id")), "acte_id").select("person_id", "text")
 
 
 @query("val9_gender_from_context", f"WITH {GENDER} SELECT * FROM gen")

@@ -45,8 +45,8 @@ def s_tidy(x):
     return s_sub(s_squeeze(x), ("\\x20+([,.;:])", "$1"), ("([,.;:])\\x20*([A-ZÀ-ÖØ-Þ])", "$1 $2"), ("[“”„‚‘’]", '"'), ("[–—―]", "-"))
 
 
-def s_ocr(x):
-    x = s_sub(s_literal(s_literal(x, X.LIGATURES), X.CORRECTIONS), *[(f"(?i){a}", b) for a, b in X.PHRASES.items()])
+def s_ocr(x, added=None):
+    x = s_sub(s_literal(s_literal(x, X.LIGATURES), (added or {}) | X.CORRECTIONS), *[(f"(?i){a}", b) for a, b in X.PHRASES.items()])
     for a, b in X.MISREAD.items():
         x = s_alone(x, a, b)
     return f"trim({s_tidy(s_sub(x, ('[ \\t\\n\\r\\f]+([,.;:])', '$1')))})"

@@ -7,6 +7,7 @@ from feuillet.operators import extract as E
 from feuillet.operators import transcription as T
 from feuillet.plans.extract import s_find
 from feuillet.plans.registry import query
+from feuillet.plans.text import s_ocr
 
 SUGGEST = " UNION ".join(f"SELECT doc_id, unnest(regexp_extract_all(text, '({a}\\.)', 1)) AS original, '{b}' AS corrected, {c}::DOUBLE AS confidence, 'abbreviation:{a}\\.' AS rule FROM lines" for a, b, c in (("bapt", "baptême", 0.95), ("mar", "mariage", 0.90), ("inh", "inhumation", 0.95)))
 
@@ -26,10 +27,9 @@ def _(t):
     return T.validate_correction(t.lines.select("doc_id", F.lit("inh.").alias("original"), F.when(F.col("doc_id") % 2 == 0, "inhumation").otherwise("inhumé").alias("corrected"), F.col("text").alias("context")))
 
 
-@query("udx1_with_corrections", "SELECT doc_id, replace(text, 'laboureur', 'cultivateur') AS out FROM lines WHERE contains(text, 'laboureur') AND NOT regexp_matches(text, 'Jeau|Cliarles|Martin i|  ')")
+@query("udx1_with_corrections", f"SELECT doc_id, {s_ocr('text', {'laboureur': 'cultivateur'})} AS out FROM lines")
 def _(t):
-    docs = t.lines.where("contains(text, 'laboureur') and not text rlike 'Jeau|Cliarles|Martin i|  '")
-    return docs.select("doc_id", ocr_correct_text("text", T.with_corrections(CORRECTIONS, {"laboureur": "cultivateur"})).alias("out"))
+    return t.lines.select("doc_id", ocr_correct_text("text", T.with_corrections(CORRECTIONS, {"laboureur": "cultivateur"})).alias("out"))
 
 
 @query("udx2_with_pattern", f"SELECT doc_id, 'trade' AS kind, start, \"end\", hit FROM {s_find('lines', 'laboureur')}")

@@ -31,23 +31,28 @@ def write_csv_export(filiations: DataFrame, persons: DataFrame, path: str) -> No
 
 
 def gedcom_lines(persons: DataFrame) -> DataFrame:
-    """section, record_key, line_no, line: INDI and FAM records; ids carry the person's own number, so no global count is needed."""
-    key = lambda c, letter: F.concat(F.lit(f"@{letter}"), F.lpad(c.cast("string"), 6, "0"), F.lit("@"))
+    """section, record_key, other_key, line_no, line: INDI and FAM records.
+
+    A person's id is the own number, at least six digits; a family's is made of both spouses' numbers. So ids differ
+    whatever the size, and no global count is needed.
+    """
+    number = lambda c: F.concat(F.repeat(F.lit("0"), F.greatest(F.lit(0), 6 - F.length(c.cast("string")))), c.cast("string"))
+    key = lambda c, letter: F.concat(F.lit(f"@{letter}"), number(c), F.lit("@"))
     p = persons.select("person_id", F.array_compact(F.array(
         F.concat(F.lit("0 "), key(F.col("person_id"), "I"), F.lit(" INDI")), F.concat(F.lit("1 NAME "), "prenom", F.lit(" /"), "nom", F.lit("/")), F.concat(F.lit("1 SEX "), "sexe"),
         F.when(F.col("naissance").isNotNull(), F.concat(F.lit("1 BIRT\n2 DATE "), "naissance")), F.when(F.col("deces").isNotNull(), F.concat(F.lit("1 DEAT\n2 DATE "), "deces")), F.when(F.size("professions") > 0, F.concat(F.lit("1 OCCU "), F.array_join("professions", ", "))),
     )).alias("ls"))
-    indi = p.select(F.lit("INDI").alias("section"), F.col("person_id").alias("record_key"), F.posexplode("ls").alias("line_no", "line"))
+    indi = p.select(F.lit("INDI").alias("section"), F.col("person_id").alias("record_key"), F.lit(None).cast("long").alias("other_key"), F.posexplode("ls").alias("line_no", "line"))
     units = family_units(persons).where("husband is not null and wife is not null")
     kids = persons.where("pere_id is not null").groupBy(F.col("pere_id").alias("husband"), F.col("mere_id").alias("wife")).agg(F.array_sort(F.collect_list("person_id")).alias("kids"))
-    f = units.join(kids, ["husband", "wife"], "left").select("husband", F.concat(
-        F.array_compact(F.array(F.concat(F.lit("0 "), key(F.col("husband") * 1000 + F.col("wife") % 1000, "F"), F.lit(" FAM")), F.concat(F.lit("1 HUSB "), key(F.col("husband"), "I")), F.concat(F.lit("1 WIFE "), key(F.col("wife"), "I")), F.when(F.col("marriage").isNotNull(), F.concat(F.lit("1 MARR\n2 DATE "), "marriage")))),
+    f = units.join(kids, ["husband", "wife"], "left").select("husband", "wife", F.concat(
+        F.array_compact(F.array(F.concat(F.lit("0 "), F.concat(F.lit("@F"), number(F.col("husband")), F.lit("_"), number(F.col("wife")), F.lit("@ FAM"))), F.concat(F.lit("1 HUSB "), key(F.col("husband"), "I")), F.concat(F.lit("1 WIFE "), key(F.col("wife"), "I")), F.when(F.col("marriage").isNotNull(), F.concat(F.lit("1 MARR\n2 DATE "), "marriage")))),
         F.coalesce(F.transform("kids", lambda k: F.concat(F.lit("1 CHIL "), key(k, "I"))), F.array().cast("array<string>")),
     ).alias("ls"))
-    fam = f.select(F.lit("FAM").alias("section"), F.col("husband").alias("record_key"), F.posexplode("ls").alias("line_no", "line"))
+    fam = f.select(F.lit("FAM").alias("section"), F.col("husband").alias("record_key"), F.col("wife").alias("other_key"), F.posexplode("ls").alias("line_no", "line"))
     return indi.unionByName(fam)
 
 
 def write_gedcom(lines: DataFrame, path: str, files: int = 8) -> None:
     """Ordered within and over the files."""
-    lines.repartitionByRange(files, F.desc("section"), "record_key").sortWithinPartitions(F.desc("section"), "record_key", "line_no").select("line").write.mode("overwrite").text(path)
+    lines.repartitionByRange(files, F.desc("section"), "record_key").sortWithinPartitions(F.desc("section"), "record_key", "other_key", "line_no").select("line").write.mode("overwrite").text(path)

@@ -22,12 +22,26 @@ def dedup_source_stream(docs: DataFrame, delay: str = "1 day") -> DataFrame:
 
 
 def registry_counts(names: DataFrame) -> DataFrame:
-    """State for each normalized name: hits and the first time seen; as a stream (complete or update mode) or as a batch."""
-    return names.groupBy(F.lower("full_name").alias("key")).agg(F.count("*").alias("hits"), F.min("ts").alias("first_seen"))
+    """names (full_name, ts, source) -> for each normalized name: hits, when and under what spelling it was first seen, and its sources."""
+    first = F.min(F.struct(F.col("ts").alias("first_seen"), F.col("full_name").alias("first_name"))).alias("first")
+    return names.groupBy(F.lower("full_name").alias("key")).agg(F.count("*").alias("hits"), first, F.array_sort(F.collect_set("source")).alias("sources")).select("key", "hits", "first.first_seen", "first.first_name", "sources")
 
 
-def registry_upsert_stream(names: DataFrame, checkpoint: str, table: str) -> StreamingQuery:
-    return registry_counts(names).writeStream.outputMode("complete").format("memory").queryName(table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def registry_upsert_stream(names: DataFrame, checkpoint: str, path: str) -> StreamingQuery:
+    """Each batch's entries go to a folder of their own under ``path``: a batch that runs again after a failure replaces what it wrote."""
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        registry_counts(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return names.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def registry_of(spark: SparkSession, path: str) -> DataFrame:
+    """The registry as of now, merged from the entries of all batches."""
+    entries = spark.read.parquet(path)
+    first = F.min(F.struct("first_seen", "first_name")).alias("first")
+    sources = F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources")
+    return entries.groupBy("key").agg(F.sum("hits").alias("hits"), first, sources).select("key", "hits", "first.first_seen", "first.first_name", "sources")
 
 
 def running_stats(events: DataFrame, window: str = "1 day", delay: str = "1 hour") -> DataFrame:

@@ -79,6 +79,23 @@ def test_relations_in_a_sentence(spark):
     assert got[1, "godfather"] == ("Charles Boucher", None, None)
 
 
+def test_relations_with_titles_between_the_parents(spark):
+    act = """
+        1651, 23 janv., inh., dans l'église, de Françoise Picot, épouse de Charles Le Boucher, 
+        éc., sr du Hausey; 24 oct., naissance, bapt. de Charlotte, fille de Jean Le Boucher 
+        et de Françoise Varin; marr.: Perrette Dupré; parr.: Charles Le Boucher.
+        """
+    texts = ["Charlotte, fille de Jean Le Boucher, éc., sr de La Granville, et de Françoise Varin", "Françoise Picot, épouse de Charles Le Boucher", "marr.: Perrette Dupré; parr.: Charles Le Boucher", act, "Anne, fille de Jean Martin, laboureur; et de Paris", "Anne, fille de Jean Martin. Louis Petit, sieur, et de Paris"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs = docs.select("doc_id", F.when(F.col("doc_id") == 3, F.trim(X.normalize_punctuation(F.regexp_replace("text", r"\s+", " ")))).otherwise(F.col("text")).alias("text"))
+    got = {(r.doc_id, r.type): (r.a, r.b, r.c) for r in E.extract_relations(docs).collect()}
+    assert got[0, "filiation"] == ("Charlotte", "Jean Le Boucher", "Françoise Varin")
+    assert got[1, "marriage"] == ("Françoise Picot", "Charles Le Boucher", None)
+    assert got[2, "godmother"][0] == "Perrette Dupré" and got[2, "godfather"][0] == "Charles Le Boucher"
+    assert {k[1] for k in got if k[0] == 3} == {"filiation", "marriage", "godfather", "godmother"} and got[3, "filiation"] == ("Charlotte", "Jean Le Boucher", "Françoise Varin")
+    assert got[4, "filiation"] == ("Anne", "Jean Martin", None) and got[5, "filiation"] == ("Anne", "Jean Martin", None)
+
+
 def test_spacing_and_inferred_spouses(spark):
     people = spark.createDataFrame([(1, None, None, 1600, None, "M"), (2, None, None, 1600, None, "F"), (3, 1, 2, 1620, None, "M"), (4, 1, 2, 1620, None, "F"), (5, 1, 2, 1640, None, "F")], "person_id long, pere_id long, mere_id long, naissance int, conjoint_id long, sexe string")
     warned = {r.person_id: r.warning for r in G.child_spacing(people).collect()}
@@ -147,6 +164,9 @@ def test_exports_and_files(spark, data, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "csv/filiations")).count() == t.persons.where("pere_id is not null").count()
     S.write_json_export(t.persons, t.actes, str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json/persons")).count() == t.persons.count()
+    grown = t.persons.select(*((F.col(c) + 1_234_567_890 if c in ("person_id", "pere_id", "mere_id", "conjoint_id") else F.col(c)).alias(c) for c in t.persons.columns))
+    heads = S.gedcom_lines(grown).where("line_no = 0")
+    assert heads.count() == heads.select("line").distinct().count() == heads.where("line like '%1234%'").count()
     S.write_gedcom(S.gedcom_lines(t.persons), str(tmp_path / "ged"))
     assert spark.read.text(str(tmp_path / "ged")).where("value like '0 @I%'").count() == t.persons.count()
     (tmp_path / "in").mkdir()
@@ -164,12 +184,14 @@ def test_streams_equal_batches(spark, data, tmp_path):
     read = spark.read.parquet(str(tmp_path / "in"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == E.extract_persons_basic(read).agg(F.sum("occurrences")).first()[0]
     events = Tables(spark, data).read("events")
-    events.write.parquet(str(tmp_path / "events"))
+    events.repartition(3).write.parquet(str(tmp_path / "events"))
     live = spark.readStream.schema(events.schema).parquet(str(tmp_path / "events"))
-    names = live.select("ts", F.col("event_type").alias("full_name"))
-    streams.registry_upsert_stream(names, str(tmp_path / "check2"), "registry").awaitTermination()
-    batch = streams.registry_counts(events.select("ts", F.col("event_type").alias("full_name")))
-    assert sorted(map(tuple, spark.table("registry").collect())) == sorted(map(tuple, batch.collect()))
+    entries = lambda df: df.select("ts", F.col("event_type").alias("full_name"), F.concat(F.lit("s"), F.col("user_id") % 5).alias("source"))
+    whole = sorted(map(str, streams.registry_counts(entries(events)).collect()))
+    few = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "events"))
+    for _ in range(2):  # a second run finds nothing new
+        streams.registry_upsert_stream(entries(few), str(tmp_path / "check2"), str(tmp_path / "registry")).awaitTermination()
+    assert sorted(map(str, streams.registry_of(spark, str(tmp_path / "registry")).collect())) == whole
     once = streams.dedup_source_stream(live.select("ts", F.col("event_type").alias("text")), "40 days")
     q = once.writeStream.format("memory").queryName("once").option("checkpointLocation", str(tmp_path / "check3")).trigger(availableNow=True).start()
     q.awaitTermination()
