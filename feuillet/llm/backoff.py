@@ -61,7 +61,7 @@ def ids_of(rows: list) -> np.ndarray:
 
 
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) -> blocks: their documents and words, the frequent words by small numbers; known by their content."""
+    """(doc_id, text) -> blocks: their documents and words, the frequent words by small numbers (equally frequent ones by hash); known by their content."""
 
     def made(ids: list, found: list[np.ndarray]) -> pa.RecordBatch:
         ends, h = np.cumsum([len(t) for t in found]), np.concatenate(found)
@@ -69,7 +69,7 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = np.argsort(-n, kind="stable")
         rank = np.empty(len(by), "<u4")
         rank[by] = np.arange(len(by))
-        a, b = ids_of(ids).tobytes() + ends.astype("<i8").tobytes() + words[by].tobytes(), planes(rank[at] if len(h) else np.zeros(0, "<u4"), "<u4")
+        a, b = ids_of(ids).tobytes() + ends.astype("<i8").tobytes() + planes(np.diff(words[by], prepend=np.uint64(0)), "<u8"), planes(rank[at] if len(h) else np.zeros(0, "<u4"), "<u4")
         block = int(np.uint64(xxhash.xxh3_64_intdigest(a + b)).astype(np.int64))
         return pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip((block, block, 0, 0, len(ids), a, b), DEALT, strict=True)], schema=DEALT)
 
@@ -90,7 +90,7 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def opened(n: int, a: bytes, b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A block's doc_ids, where each document's words end, and the words' hashes."""
-    return np.frombuffer(a[: 8 * n], "<i8"), np.frombuffer(a[8 * n : 16 * n], "<i8"), np.frombuffer(a[16 * n :], "<u8")[numbers(b, "<u4")]
+    return np.frombuffer(a[: 8 * n], "<i8"), np.frombuffer(a[8 * n : 16 * n], "<i8"), np.cumsum(numbers(a[16 * n :], "<u8"), dtype="<u8")[numbers(b, "<u4")]
 
 
 def deal(ranges: int):
