@@ -27,7 +27,7 @@ from .common import SLICE, discard, partitions, stash, table
 
 ALPHA, LEAST = 0.4, 2
 BITS = 52
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 14_000_000
 DEALT = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("part", pa.int32()), ("n", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
 
 
