@@ -352,13 +352,13 @@ def further(nodes: DataFrame, groups: DataFrame, most: int | None, probes: DataF
         large = frontier.where(F.col("size") > small_node)
         if not large.limit(1).count():
             break
-        done = F.col("far") <= (small_node if level < levels else 2**62)
+        done = F.col("far") <= (block if level < levels else 2**62)
         ends, parts = large.where(done), F.floor(F.col("far") / block).cast("int")
         salts = F.floor(F.col("size") / block).cast("int")
         few = ends.where(F.col("group") != F.col("main")).select(*(F.col(c).alias(f"few_{c}") for c in own), F.explode(F.sequence(F.lit(0), salts)).alias("few_salt"), F.pmod(F.xxhash64("rep"), parts + 1).cast("int").alias("few_part"))
         members = ends.select(*own, F.pmod(F.xxhash64("rep"), salts + 1).cast("int").alias("salt"), F.explode(F.sequence(F.lit(0), parts)).alias("part"))
         found.append(members.groupBy("node", "salt", "part").cogroup(few.groupBy("few_node", "few_salt", "few_part")).applyInPandas(few_with_all(most), shape))
-        frontier = map_batches(large.where(~done).select(own), branch, "node long, rep long, group long, probe boolean, sig binary")
+        frontier = stash(map_batches(large.where(~done).select(own), branch, "node long, rep long, group long, probe boolean, sig binary"))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
