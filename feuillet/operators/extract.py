@@ -1,15 +1,20 @@
 """Mentions from register text: names, dates, professions, relations, periods, with their spans and confidence.
 
-A pattern's matches and their positions come from ``split`` (the gaps) and ``regexp_extract_all`` (the matches), so no
-Python runs. Where patterns overlap, the one of the first priority and then the first position is kept.
+Positions of matches have no SQL function that is linear in their number, so ``mentions`` finds them in Arrow batches: one
+pass for each pattern, a mask of what is taken, the surroundings cut on the spot. Texts are neither shuffled nor joined
+back. Where patterns overlap, the one of the first priority and then the first position is kept.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from collections.abc import Iterator
+from functools import partial, reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from feuillet.functions import dates as D
 from feuillet.functions.names import PROFESSIONS, dedup_best, split_name_mention
@@ -34,35 +39,54 @@ PERIODS = {
 }
 
 
-def find_all(text: Column, pattern: str) -> Column:
-    """array<struct(start, end, hit)> of a pattern's matches, code points from 0."""
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,hit:string>>").alias("out"))
+def resolve_overlaps(text: str, patterns: list[tuple[str, re.Pattern]]) -> Iterator[tuple[str, int, int]]:
+    """(kind, start, end) of the matches without those that overlap one of an earlier pattern; code points from 0."""
+    taken = bytearray(len(text))
+    for kind, pattern in patterns:
+        for m in pattern.finditer(text):
+            start, end = m.span()
+            if start < end and taken.find(1, start, end) < 0:
+                taken[start:end] = b"\1" * (end - start)
+                yield kind, start, end
 
-    def step(acc, x):
-        start = acc["at"] + F.length(x["g"])
-        one = F.struct(start.cast("int").alias("start"), (start + F.length(x["h"])).cast("int").alias("end"), x["h"].alias("hit"))
-        return F.struct((start + F.length(x["h"])).cast("int").alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    return F.aggregate(F.zip_with(F.slice(gaps, 1, F.greatest(F.size(hits), F.lit(0))), hits, lambda g, h: F.struct(g.alias("g"), h.alias("h"))), zero, step, lambda acc: acc["out"])
+FOUND_AT_ONCE = 10_000  # mentions in one batch that goes out
 
 
-def resolve_overlaps(hits: Column) -> Column:
-    """array<struct(prio, start, end, ...)> without what overlaps a hit of an earlier priority or, within one, position."""
-    free = lambda kept, x: ~F.exists(kept, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"]))
-    return F.aggregate(F.array_sort(hits), F.slice(hits, 1, 0), lambda kept, x: F.when(free(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
+def _mentions(batches: Iterator[pa.RecordBatch], patterns: list[tuple[str, str]], window: int, keep: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    compiled = [(kind, re.compile(p)) for kind, p in patterns]
+    for batch in batches:
+        of, found = [], []
 
+        def out(batch=batch):
+            at = pa.array(of, pa.int64())
+            kinds, starts, ends, hits, near = zip(*found, strict=True)
+            new = {"kind": pa.array(kinds, pa.string()), "start": pa.array(starts, pa.int32()), "end": pa.array(ends, pa.int32()), "hit": pa.array(hits, pa.string()), "near": pa.array(near, pa.string())}
+            return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(at), **new, **{c: batch.column(c).take(at) for c in keep}})
+
+        for row, value in enumerate(batch.column("text")):
+            text = value.as_py() or ""
+            for kind, start, end in resolve_overlaps(text, compiled):
+                left = max(start - window, 0)
+                of.append(row), found.append((kind, start, end, text[start:end], text[left : left + 2 * window + end - start]))
+                if len(of) == FOUND_AT_ONCE:
+                    yield out()
+                    of.clear(), found.clear()
+        if of:
+            yield out()
 
-def mentions(docs: DataFrame, patterns: list[tuple[str, str]]) -> DataFrame:
-    """doc_id, kind, start, end, hit: the matches of patterns in their order of priority, without overlaps."""
-    text = F.coalesce("text", F.lit(""))
 
-    def tagged(prio: int, kind: str, pattern: str) -> Column:
-        return F.transform(find_all(text, pattern), lambda h: F.struct(F.lit(prio).alias("prio"), h["start"].alias("start"), h["end"].alias("end"), F.lit(kind).alias("kind"), h["hit"].alias("hit")))
+def mentions(docs: DataFrame, patterns: list[tuple[str, str]], window: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, kind, start, end, hit, and the columns ``keep`` of docs: the matches of patterns in their order of priority, without overlaps.
 
-    each = [tagged(i, k, p) for i, (k, p) in enumerate(patterns)]
-    kept = docs.select("doc_id", F.concat(*each).alias("hits")).withColumn("kept", resolve_overlaps(F.col("hits")))
-    return kept.select("doc_id", F.explode("kept").alias("x")).select("doc_id", "x.kind", "x.start", "x.end", "x.hit")
+    With ``window`` also near: the match and so many characters before it and after it (more after it at a text's
+    beginning). Each row is searched for itself, whatever its doc_id; null and empty texts have no mentions.
+    """
+    of = {f.name: f.dataType for f in docs.schema.fields}
+    new = [StructField(n, t) for n, t in (("kind", StringType()), ("start", IntegerType()), ("end", IntegerType()), ("hit", StringType()), ("near", StringType()))]
+    schema = StructType([StructField("doc_id", of["doc_id"]), *new, *[StructField(c, of[c]) for c in keep]])
+    found = docs.select("doc_id", "text", *keep).mapInArrow(partial(_mentions, patterns=patterns, window=window, keep=keep), schema)
+    return found if window else found.drop("near")
 
 
 DATES = [("republican", rf"[0-9]{{1,2}} (?:{'|'.join(D.REPUBLICAN)}) (?:de )?l'an [IVX]+"), ("standard", rf"[0-9]{{1,2}} (?:{MONTH}) [0-9]{{4}}"), ("year_first", rf"[0-9]{{4}},? [0-9]{{1,2}} (?:{MONTH})"), ("year_only", rf"(?<![{WORD}])1[5-8][0-9]{{2}}(?![{WORD}])")]
@@ -129,27 +153,28 @@ def name_confidence(name: Column, kind: Column, base: Column, context: Column) -
 NAMES = [("title", f"(?:sieur|seigneur|écuyer|noble|damoiselle|dame) (?:de )?{FULL}"), ("particle", f"{NAME}(?: (?:de|du|des|le|la) {NAME})+"), ("compound", f"{NAME}-{NAME}(?: {NAME})*"), ("full", f"{NAME}(?: {NAME})+"), ("basic", NAME)]
 
 
+def _names(docs: DataFrame, least: float, window: int) -> DataFrame:
+    m = mentions(docs, NAMES, window).where(~name_false_positive(F.col("hit")))
+    y = m.withColumn("v", validate_name(F.col("hit"), F.col("near"))).where("v.n_errors = 0")
+    confidence = F.round(name_confidence(F.col("hit"), F.col("kind"), F.col("v.confidence"), F.col("near")), 4)
+    out = y.select("doc_id", F.col("hit").alias("full_name"), split_name_mention("hit").alias("s"), F.col("kind").alias("source_pattern"), confidence.alias("confidence"), "start", "end", "near")
+    out = out.select("doc_id", "full_name", "s.first_names", "s.family_name", "source_pattern", "confidence", "start", "end", "near").where(F.col("confidence") >= least)
+    return dedup_best(out, ["doc_id", "full_name"])
+
+
 def extract_names(docs: DataFrame, least: float = 0.4, window: int = 50) -> DataFrame:
     """doc_id, full_name, first_names, family_name, source_pattern, confidence, start, end: the best of each name in a text."""
-    m = mentions(docs, NAMES).where(~name_false_positive(F.col("hit")))
-    x = m.join(docs.select("doc_id", "text"), "doc_id")
-    context = F.substring("text", F.greatest(F.col("start") - window + 1, F.lit(1)), F.lit(2 * window) + F.col("end") - F.col("start"))
-    v = validate_name(F.col("hit"), context)
-    y = x.withColumns({"v": v, "ctx": context}).where("v.n_errors = 0")
-    out = y.select("doc_id", F.col("hit").alias("full_name"), split_name_mention("hit").alias("s"), F.col("kind").alias("source_pattern"), F.round(name_confidence(F.col("hit"), F.col("kind"), F.col("v.confidence"), F.col("ctx")), 4).alias("confidence"), "start", "end")
-    out = out.select("doc_id", "full_name", "s.first_names", "s.family_name", "source_pattern", "confidence", "start", "end").where(F.col("confidence") >= least)
-    return dedup_best(out, ["doc_id", "full_name"])
+    return _names(docs, least, window).drop("near")
 
 
 CONTEXT = {"filiation": ("fils", "fille"), "marriage": ("mariage", "épouse"), "godparent": ("parrain", "marraine"), "clerical": ("curé", "prêtre", "vicaire")}
 
 
-def name_context(found: DataFrame, docs: DataFrame, window: int = 50) -> DataFrame:
-    """doc_id, start + n_<kind> for the terms around a mention, and n_years."""
-    near = F.lower(F.substring("text", F.greatest(F.col("start") - window + 1, F.lit(1)), F.lit(2 * window) + F.col("end") - F.col("start")))
-    x = found.select("doc_id", "start", "end").join(docs.select("doc_id", "text"), "doc_id").withColumn("near", near)
-    counts = [sum((F.regexp_count("near", F.lit(t)) for t in ts), F.lit(0)).cast("int").alias(f"n_{k}") for k, ts in CONTEXT.items()]
-    return x.select("doc_id", "start", *counts, F.regexp_count("near", F.lit("[0-9]{4}")).cast("int").alias("n_years"))
+def name_context(docs: DataFrame, least: float = 0.4, window: int = 50) -> DataFrame:
+    """doc_id, start + n_<kind> for the terms around each name of ``extract_names``, and n_years."""
+    near = F.lower("near")
+    counts = [sum((F.regexp_count(near, F.lit(t)) for t in ts), F.lit(0)).cast("int").alias(f"n_{k}") for k, ts in CONTEXT.items()]
+    return _names(docs, least, window).select("doc_id", "start", *counts, F.regexp_count(near, F.lit("[0-9]{4}")).cast("int").alias("n_years"))
 
 
 TRADE_WORDS = "|".join(sorted((v for vs in PROFESSIONS.values() for v in vs), key=len, reverse=True))
@@ -168,17 +193,18 @@ RELATIONS = [("filiation", rf"({FULL}),? (?:fils|fille|filz) de ({FULL})(?:(?:,
 ROLES = {"filiation": ("child", "father", "mother"), "marriage": ("wife", "husband"), "godfather": ("godfather",), "godmother": ("godmother",)}
 
 
-def extract_relations(docs: DataFrame) -> DataFrame:
+def extract_relations(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, type, a, b, c (child, father, mother; wife, husband; godparent), confidence: by pattern and how full the names are.
 
     Up to four titles or lands of the father may stand between him and the mother. Line breaks are for ``normalize_text``.
+    ``keep``: columns of docs to go along.
     """
-    m = mentions(docs, RELATIONS)
+    m = mentions(docs, RELATIONS, keep=keep)
     part = lambda k: reduce(lambda rest, r: F.when(F.col("kind") == r[0], F.nullif(F.regexp_extract("hit", r[1], k), F.lit(""))).otherwise(rest) if k <= len(ROLES[r[0]]) else rest, RELATIONS, F.lit(None).cast("string"))
     x = m.withColumns({"a": part(1), "b": part(2), "c": part(3)})
     two = lambda c: F.coalesce((F.size(words(F.col(c))) >= 2).cast("int"), F.lit(0))
     score = F.when(F.col("kind") == "filiation", 0.6 + 0.2 + 0.1 * two("a") + 0.1 * two("b") + 0.1 * two("c")).when(F.col("kind") == "marriage", 0.85 + 0.1 * two("a") * two("b")).otherwise(0.65 + 0.2 * two("a"))
-    out = x.select("doc_id", F.col("kind").alias("type"), "a", "b", "c", F.round(F.least(F.lit(1.0), score), 4).alias("confidence"), "start", "end")
+    out = x.select("doc_id", F.col("kind").alias("type"), "a", "b", "c", F.round(F.least(F.lit(1.0), score), 4).alias("confidence"), "start", "end", *keep)
     return dedup_best(out, ["doc_id", "type", "a", "b"])
 
 
@@ -190,8 +216,9 @@ def extract_relations_context(docs: DataFrame) -> DataFrame:
     context = F.least(F.lit(1.0), 0.5 + 0.1 * count(("baptême", "église", "curé", "paroisse", "mariage", "inhumation")) + F.when(dated, 0.2).otherwise(0.0) + 0.1 * count(("sieur", "écuyer", "seigneur", "comte", "baron", "dame")))
     tags = F.array_compact(F.array(F.when(low.contains("bapt"), "baptism_context"), F.when(low.contains("mariage"), "marriage_context"), F.when(low.rlike("curé|prêtre"), "clerical_context"), F.when(dated, "dated_context")))
     base = F.when(F.col("type") == "filiation", 0.75).when(F.col("type") == "marriage", 0.80).otherwise(0.70)
-    x = extract_relations(docs).drop("confidence").join(docs.select("doc_id", "text"), "doc_id")
-    return x.select("doc_id", "type", "a", "b", F.round(F.least(F.lit(1.0), base + F.when(context > 0.8, 0.1).otherwise(0.0)), 4).alias("confidence"), F.array_join(tags, ",").alias("indicators"))
+    told = docs.select("doc_id", "text", F.when(context > 0.8, 0.1).otherwise(0.0).alias("more"), F.array_join(tags, ",").alias("indicators"))
+    x = extract_relations(told, ("more", "indicators"))
+    return x.select("doc_id", "type", "a", "b", F.round(F.least(F.lit(1.0), base + F.col("more")), 4).alias("confidence"), "indicators")
 
 
 def validate_relation(relations: DataFrame) -> DataFrame:
@@ -272,14 +299,12 @@ def parse_by_period(docs: DataFrame, forced: str | None = None) -> DataFrame:
 
 
 def combine_extractors(docs: DataFrame, kinds: tuple[str, ...] = ("names", "dates", "professions", "relations")) -> DataFrame:
-    """doc_id, kind, n, success: what each chosen extractor found in each text."""
+    """doc_id, kind, n, success: what each chosen extractor found in each document; one row for each doc_id and kind."""
     run = {"names": extract_names, "dates": extract_dates, "professions": extract_professions, "relations": extract_relations, "segments": extract_segments}
-    out = None
+    out = docs.select("doc_id", F.explode(F.array(*map(F.lit, kinds))).alias("kind"), F.lit(0).cast("long").alias("n"))
     for kind in kinds:
-        n = run[kind](docs).groupBy("doc_id").agg(F.count("*").alias("n"))
-        one = docs.select("doc_id").join(n, "doc_id", "left").select("doc_id", F.lit(kind).alias("kind"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
-        out = one if out is None else out.unionByName(one)
-    return out.withColumn("success", F.col("n") > 0)
+        out = out.unionByName(run[kind](docs).select("doc_id", F.lit(kind).alias("kind"), F.lit(1).cast("long").alias("n")))
+    return out.groupBy("doc_id", "kind").agg(F.sum("n").alias("n")).withColumn("success", F.col("n") > 0)
 
 
 def extract_persons_basic(docs: DataFrame) -> DataFrame:

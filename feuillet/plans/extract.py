@@ -83,7 +83,7 @@ N_ = lambda ts: " + ".join(f"(length(near) - length(replace(near, '{v}', ''))) /
 
 @query("ext7_name_context", f"WITH {FOUND}, c AS (SELECT n.doc_id, start, lower(substring(text, greatest(start - 49, 1), 100 + \"end\" - start)) AS near FROM names n JOIN lines USING (doc_id)) SELECT doc_id, start, {', '.join(f'({N_(ts)})::INTEGER AS n_{k}' for k, ts in E.CONTEXT.items())}, len(regexp_extract_all(near, '[0-9]{{4}}'))::INTEGER AS n_years FROM c")
 def _(t):
-    return E.name_context(E.extract_names(t.lines), t.lines)
+    return E.name_context(t.lines)
 
 
 @query("ext9_extract_professions", f"SELECT DISTINCT doc_id, hit AS profession, CASE WHEN starts_with(hit, 'sieur') THEN 'title_land' ELSE 'basic' END AS subcategory, CASE WHEN starts_with(hit, 'sieur') THEN 'title' ELSE 'secular' END AS category, CASE WHEN starts_with(hit, 'sieur') THEN 0.85 ELSE 0.7 END::DOUBLE AS confidence, start, \"end\" FROM {s_find('lines', 'sieur de [A-Z][A-Za-z]+|laboureur')}")

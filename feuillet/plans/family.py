@@ -115,8 +115,11 @@ def _(t):
     return G.child_spacing(t.persons)
 
 
-@query("val4_person_chronology", """SELECT person_id, r.rule, r.severity, r.penalty FROM (SELECT person_id, unnest(list_filter([CASE WHEN deces - naissance <= 0 THEN {'rule': 'mort avant naissance', 'severity': 'error', 'penalty': 0.4::DOUBLE} END, CASE WHEN deces - naissance > 100 THEN {'rule': 'plus de 100 ans', 'severity': 'warning', 'penalty': 0.1::DOUBLE} END,
-  CASE WHEN mariage - naissance < 12 THEN {'rule': 'marié avant 12 ans', 'severity': 'error', 'penalty': 0.3::DOUBLE} END, CASE WHEN mariage - naissance > 60 THEN {'rule': 'marié après 60 ans', 'severity': 'warning', 'penalty': 0.1::DOUBLE} END], lambda x: x IS NOT NULL)) AS r FROM persons)""")
+CHRONOLOGY = """SELECT person_id, r.rule, r.severity, r.penalty FROM (SELECT person_id, unnest(list_filter([CASE WHEN deces - naissance <= 0 THEN {'rule': 'mort avant naissance', 'severity': 'error', 'penalty': 0.4::DOUBLE} END, CASE WHEN deces - naissance > 100 THEN {'rule': 'plus de 100 ans', 'severity': 'warning', 'penalty': 0.1::DOUBLE} END,
+  CASE WHEN mariage - naissance < 12 THEN {'rule': 'marié avant 12 ans', 'severity': 'error', 'penalty': 0.3::DOUBLE} END, CASE WHEN mariage - naissance > 60 THEN {'rule': 'marié après 60 ans', 'severity': 'warning', 'penalty': 0.1::DOUBLE} END], lambda x: x IS NOT NULL)) AS r FROM persons)"""
+
+
+@query("val4_person_chronology", CHRONOLOGY)
 def _(t):
     return G.validate_person_chronology(t.persons)
 

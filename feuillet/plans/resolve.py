@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from feuillet.functions import names as N
+from feuillet.operators.config import Config, registry_checks
 from feuillet.operators import resolve as R
 from feuillet.operators.acts import acte_participants
+from feuillet.plans.family import CHRONOLOGY
 from feuillet.plans.acts import PARTS
 from feuillet.plans.registry import query
 from feuillet.plans.text import s_map, s_squeeze, s_words
@@ -254,6 +256,11 @@ def _(t):
 WOMEN = "wv AS (SELECT person_id, unnest(list_filter([CASE WHEN statut IN ('sieur', 'seigneur', 'écuyer') THEN {'rule': 'titre masculin', 'severity': 'error', 'penalty': 0.4::DOUBLE} END, CASE WHEN statut IN ('sieur', 'seigneur', 'écuyer') THEN {'rule': 'titre hérité', 'severity': 'warning', 'penalty': 0.1::DOUBLE} END, CASE WHEN list_has_any(professions, ['curé', 'prêtre']) THEN {'rule': 'profession masculine', 'severity': 'error', 'penalty': 0.3::DOUBLE} END], lambda x: x IS NOT NULL)) AS v FROM persons WHERE sexe = 'F')"
 
 
+@query("udx5_configuration", f"WITH {WOMEN} SELECT person_id, 'gender' AS \"check\", v.rule, v.severity, v.penalty FROM wv UNION ALL SELECT person_id, 'chronology', rule, severity, penalty FROM ({CHRONOLOGY})")
+def _(t):
+    return registry_checks(t.persons, Config())
+
+
 @query("val10_validate_gender", f"WITH {WOMEN} SELECT person_id, v.rule, v.severity, v.penalty FROM wv")
 def _(t):
     return R.validate_gender(t.persons, t.persons.select("person_id", F.col("sexe").alias("gender")))

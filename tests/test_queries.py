@@ -16,6 +16,7 @@ from feuillet.operators import acts as A
 from feuillet.operators import extract as E
 from feuillet.operators import family as G
 from feuillet.operators import resolve as R
+from feuillet.operators.config import Config, known_place, registry_checks, with_abbreviations
 from feuillet.plans.registry import ORACLES, QUERIES
 from feuillet.sources import pages as P
 from feuillet.sources import sinks as S
@@ -201,3 +202,28 @@ def test_streams_equal_batches(spark, data, tmp_path):
     q.awaitTermination()
     whole = set(map(tuple, streams.running_stats(events).collect()))
     assert set(map(tuple, spark.table("stats").collect())) <= whole
+
+
+def test_mentions_of_odd_texts(spark):
+    line = "3 mai 1650, Charlotte Boucher, fille de Jean Le Boucher, éc., et de Françoise Varin. "
+    docs = spark.createDataFrame([(1, "Jean Martin, 1650", "a"), (1, "le curé Paul Durand", "b"), (1, "le curé Paul Durand", "b"), (2, None, "c"), (3, "", "d"), (None, "Marie Varin", "e"), (4, line * 5000, "f")], "doc_id long, text string, near string")
+    found = E.mentions(docs.where("near <> 'f'"), E.NAMES, 8).collect()
+    assert sorted((r.doc_id or 0, r.kind, r.start, r.end, r.hit, r.near) for r in found) == [(0, "full", 0, 11, "Marie Varin", "Marie Varin"), (1, "full", 0, 11, "Jean Martin", "Jean Martin, 1650"), *[(1, "full", 8, 19, "Paul Durand", "le curé Paul Durand")] * 2]
+    assert E.name_context(docs.where("near = 'b'")).select("start", "n_clerical").collect() == [(8, 1)]  # not what another text of that id has around it
+    long = E.mentions(docs.where("near = 'f'"), E.NAMES)
+    assert {tuple(r) for r in long.groupBy("hit").count().collect()} == {(n, 5000) for n in ("Charlotte Boucher", "Jean Le Boucher", "Françoise Varin")}
+    assert E.mentions(docs.limit(0), E.DATES).count() == 0
+    assert {(r.kind, r.n) for r in E.combine_extractors(docs.where("doc_id = 2")).collect()} == {(k, 0) for k in ("names", "dates", "professions", "relations")}
+
+
+def test_configuration(spark, data, tmp_path):
+    mine = Config(gender_validation=False, abbreviations={"sgr": "seigneur"}, known_places=("Bréville",))
+    mine.write(spark, str(tmp_path / "config"))
+    assert Config.read(spark, str(tmp_path / "config")) == mine
+    (tmp_path / "some.json").write_text('{"homonym_threshold": 0.9, "cache_size": 1000, "known_places": null}', encoding="utf-8")
+    assert Config.read(spark, str(tmp_path / "some.json")) == Config(homonym_threshold=0.9)
+    assert one(spark, lambda c: with_abbreviations(c, mine), "Jean sgr de X") == "Jean seigneur de X" and one(spark, lambda c: with_abbreviations(c, Config()), "a b") == "a b"
+    assert one(spark, lambda c: known_place(c, mine), "bréville") and not one(spark, lambda c: known_place(c, Config()), "Caen")
+    persons = Tables(spark, data).persons
+    assert {r.check for r in registry_checks(persons, mine).select("check").distinct().collect()} == {"chronology"}
+    assert registry_checks(persons, Config(chronology_validation=False, gender_validation=False)).count() == 0
