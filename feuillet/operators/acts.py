@@ -69,13 +69,19 @@ def validate_acte(actes: DataFrame, persons: DataFrame) -> DataFrame:
 
 
 def redirect_to_living_homonym(actes: DataFrame, persons: DataFrame, lo: int = 15, hi: int = 65) -> DataFrame:
-    """Acts whose father was dead or of no age to be one: the first other person of his name who was alive then, else uncorrected."""
+    """Acts whose father was dead or of no age to be one: the first other person of his name who was alive then, else uncorrected.
+
+    Of persons with one name, birth and death only the first two can be wanted, and of all who were alive in a year too:
+    what is compared within a name is bounded by the calendar, not by how many have that name.
+    """
     year = create_actes(actes).where("type_acte = 'baptême' and year is not null and pere_id is not null").select("acte_id", "pere_id", "year")
     father = persons.select(F.col("person_id").alias("pere_id"), "nom", "prenom", F.col("naissance").alias("born"), F.col("deces").alias("died"))
     wrong = year.join(father, "pere_id").where(f"year > died or year - born < {lo} or year - born > {hi}")
-    other = persons.select(F.col("person_id").alias("other"), "nom", "prenom", "naissance", "deces")
-    alive = alive_at(F.col("naissance"), F.col("deces"), F.col("year"))
-    best = wrong.join(other, ["nom", "prenom"]).where((F.col("other") != F.col("pere_id")) & alive).groupBy("acte_id").agg(F.min("other").alias("new_father_id"))
+    first_two = lambda df, *by: df.withColumn("k", F.dense_rank().over(Window.partitionBy("nom", "prenom", *by).orderBy("other"))).where("k <= 2").drop("k")
+    other = first_two(persons.select(F.col("person_id").alias("other"), "nom", "prenom", "naissance", "deces"), "naissance", "deces")
+    alive = wrong.select("nom", "prenom", "year").distinct().join(other, ["nom", "prenom"]).where(alive_at(F.col("naissance"), F.col("deces"), F.col("year")))
+    two = first_two(alive.select("nom", "prenom", "year", "other"), "year")
+    best = wrong.join(two, ["nom", "prenom", "year"]).where("other <> pere_id").groupBy("acte_id").agg(F.min("other").alias("new_father_id"))
     return wrong.join(best, "acte_id", "left").select("acte_id", F.col("pere_id").alias("old_father_id"), "new_father_id", F.when(F.col("new_father_id").isNull(), "uncorrected").otherwise("redirected").alias("status"))
 
 

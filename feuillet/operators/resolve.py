@@ -184,11 +184,21 @@ def jaccard_pairs(df: DataFrame, threshold: float) -> DataFrame:
 
 
 def match_existing_person(incoming: DataFrame, registry: DataFrame, days: int = 365) -> DataFrame:
-    """incoming and registry (id, name, born) -> id, match_id: the same words in the name, births within ``days`` or both unknown, the nearest and then the first."""
+    """incoming and registry (id, name, born) -> id, match_id: the same words in the name, births within ``days`` or both unknown, the nearest and then the first.
+
+    Distinct (name, birth) meet within reach, with the first two ids of each: bounded by the days in reach, not by how
+    many have a name.
+    """
     key = F.array_join(F.array_sort(F.array_distinct(words(F.lower("name")))), " ")
+    slot = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01")) / (days + 1))
     a, b = incoming.select("id", key.alias("key"), F.col("born").alias("a")), registry.select(F.col("id").alias("match_id"), key.alias("key"), F.col("born").alias("b"))
-    near = a.join(b, "key").where((F.abs(F.datediff("a", "b")) <= days) | (F.col("a").isNull() & F.col("b").isNull())).where("id <> match_id")
-    return near.groupBy("id").agg(F.min_by("match_id", F.struct(F.coalesce(F.abs(F.datediff("a", "b")), F.lit(0)), "match_id")).alias("match_id"))
+    first_two = lambda df, by, order: df.withColumn("k", F.dense_rank().over(Window.partitionBy("key", by).orderBy(*order))).where("k <= 2").drop("k")
+    held = first_two(b, "b", ["match_id"]).withColumn("slot", F.coalesce(F.concat(F.lit("d"), slot("b")), F.lit("unknown")))
+    reach = F.when(F.col("a").isNull(), F.array(F.lit("unknown"))).otherwise(F.array(*[F.concat(F.lit("d"), slot("a") + k) for k in (-1, 0, 1)]))
+    met = a.select("key", "a").distinct().withColumn("slot", F.explode(reach)).join(held, ["key", "slot"]).withColumn("apart", F.coalesce(F.abs(F.datediff("a", "b")), F.lit(0))).where(F.col("apart") <= days)
+    two = first_two(met, "a", ["apart", "match_id"]).select(F.col("key").alias("its_key"), F.col("a").alias("its_a"), "apart", "match_id")
+    found = a.join(two, (F.col("key") == F.col("its_key")) & F.col("a").eqNullSafe(F.col("its_a"))).where("id <> match_id")
+    return found.groupBy("id").agg(F.min_by("match_id", F.struct("apart", "match_id")).alias("match_id"))
 
 
 def rewrite_ids(df: DataFrame, id_map: DataFrame, cols: list[str]) -> DataFrame:

@@ -227,3 +227,25 @@ def test_configuration(spark, data, tmp_path):
     persons = Tables(spark, data).persons
     assert {r.check for r in registry_checks(persons, mine).select("check").distinct().collect()} == {"chronology"}
     assert registry_checks(persons, Config(chronology_validation=False, gender_validation=False)).count() == 0
+
+
+def test_nearest_homonym_against_all_pairs(spark):
+    random.seed(12)
+    rows = [(i, random.choice(["Jean Martin", "martin  jean", "Anne Picot"]), random.choice([None, *(f"16{y}-0{m}-11" for y in range(50, 54) for m in (1, 6))])) for i in range(120)]
+    rows.append(rows[3])  # a repeated row
+    people = spark.createDataFrame(rows, "id long, name string, born string").withColumn("born", F.to_date("born"))
+    days = {i: b and day_number(b) for i, _, b in rows}
+    words = {i: frozenset(n.lower().split()) for i, n, _ in rows}
+    for most in (365, 20):
+        wanted = {}
+        for i in days:
+            near = [(abs(days[i] - days[j]) if days[i] else 0, j) for j in days if j != i and words[i] == words[j] and (not days[i] and not days[j] or days[i] and days[j] and abs(days[i] - days[j]) <= most)]
+            if near:
+                wanted[i] = min(near)[1]
+        assert {r.id: r.match_id for r in R.match_existing_person(people, people, most).collect()} == wanted
+
+
+def day_number(text):
+    import datetime
+
+    return datetime.date.fromisoformat(text).toordinal()
