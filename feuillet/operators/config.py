@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feuillet.operators.family import validate_person_chronology
-from feuillet.operators.resolve import duplicate_pairs, similar_names, validate_gender
+from feuillet.operators.resolve import duplicate_clusters, similar_names, validate_gender
 
 
 @dataclasses.dataclass(frozen=True)
@@ -53,9 +53,9 @@ def name_pairs(persons: DataFrame, config: Config) -> DataFrame:
     return similar_names(persons.select(F.concat_ws(" ", "prenom", "nom").alias("name")), config.similarity_threshold)
 
 
-def homonym_pairs(persons: DataFrame, config: Config) -> DataFrame:
-    """id_a, id_b, score: likely duplicates by the configured threshold."""
-    return duplicate_pairs(persons, config.homonym_threshold)
+def homonym_clusters(persons: DataFrame, config: Config) -> DataFrame:
+    """person_id, cluster_id: likely duplicates by the configured threshold."""
+    return duplicate_clusters(persons, config.homonym_threshold)
 
 
 def registry_checks(persons: DataFrame, config: Config) -> DataFrame:

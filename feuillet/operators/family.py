@@ -29,7 +29,17 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete what ``written`` wrote, once nothing that is still to run reads it."""
+    for df in frames:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def relation(a: str | Column, b: str | Column, kind: str, confidence: float, evidence: Column) -> list[Column]:
@@ -76,32 +86,52 @@ def build_network(persons: DataFrame, actes: DataFrame) -> DataFrame:
     return declared.unionByName(infer_siblings(declared)).unionByName(infer_spouses(persons, declared)).unionByName(infer_grandparents(declared))
 
 
-def generations(persons: DataFrame, relations: DataFrame, most: int = 100) -> DataFrame:
-    """person_id, generation: the fewest steps down from anyone who is nobody's child; 0 where no such person leads to them."""
+def generations(persons: DataFrame, relations: DataFrame, affordable: int | None = None) -> DataFrame:
+    """person_id, generation: the fewest steps down from anyone who is nobody's child; null where no such person leads to them
+    (who descends from a circle only).
+
+    Levels are settled in strides: with the pairs (person, ancestor ``stride`` steps up), those at ``stride`` steps or less
+    below what is settled come next. The stride doubles by joining the pairs with themselves, while that makes no more
+    than ``affordable`` pairs (some for each relation); a line of n generations takes about log n rounds, and where doubling would cost too
+    much, levels go on by the stride reached. A round that settles nobody is the last: levels have no gaps.
+    """
     p = written(parents_of(relations).distinct())
-    ids = persons.select("person_id").unionByName(p.select(F.col("parent").alias("person_id"))).unionByName(p.select(F.col("child").alias("person_id"))).distinct()
+    ids = persons.select("person_id").unionByName(p.select(F.col("parent").alias("person_id"))).unionByName(p.select(F.col("child").alias("person_id"))).where("person_id is not null").distinct()
     known = written(ids.join(p.select(F.col("child").alias("person_id")).distinct(), "person_id", "left_anti").withColumn("generation", F.lit(0)))
-    front = known
-    for depth in range(1, most + 1):
-        front = written(front.join(p, front["person_id"] == p["parent"]).select(F.col("child").alias("person_id")).distinct().join(known.select("person_id"), "person_id", "left_anti").withColumn("generation", F.lit(depth)))
-        if not front.limit(1).count():
-            break
-        known = known.unionByName(front)
-    return ids.join(known, "person_id", "left").select("person_id", F.coalesce("generation", F.lit(0)).alias("generation"))
+    pairs, level, stride, done = p.select(F.col("child").alias("x"), F.col("parent").alias("z")), 1, 1, []
+    affordable = max(1_000_000, 16 * p.count()) if affordable is None else affordable
+    while True:
+        new = pairs.join(known.where(F.col("generation") >= level - stride).withColumnRenamed("person_id", "z"), "z").groupBy(F.col("x").alias("person_id")).agg((F.min("generation") + stride).alias("generation"))
+        new = written(new.join(known.select("person_id"), "person_id", "left_anti"))
+        if not new.limit(1).count():
+            return ids.join(known, "person_id", "left").select("person_id", "generation")
+        older, known = known, written(known.unionByName(new))
+        level += stride
+        own = pairs.join(older.select(F.col("person_id").alias("x")), "x", "left_anti")  # of those settled in this round, or not yet
+        ends = own.groupBy("x").agg(F.count("*").alias("up")).join(own.groupBy("z").agg(F.count("*").alias("down")), F.col("x") == F.col("z"))
+        if (ends.agg(F.sum(F.col("up") * F.col("down")).alias("n")).first()["n"] or 0) <= affordable:
+            below = own.join(new.select(F.col("person_id").alias("x")), "x", "left_anti").select("x", F.col("z").alias("mid"))
+            pairs, stride = written(below.join(own.select(F.col("x").alias("mid"), "z"), "mid").select("x", "z").distinct()), 2 * stride
+        else:
+            pairs = written(own)
+        forget(older, new, *done)
+        done = [pairs]
 
 
 def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """edges (a, b) -> id, group_id: the least id that can be reached. Labels fall to a neighbour's and then to their label's own, so long chains shorten fast."""
     pairs = edges.where("a is not null and b is not null and a <> b").select("a", "b")
     links = written(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = written(links.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("label")))
+    before = labels = written(links.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("label")))
     for _ in range(rounds):
         near = links.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         low = labels.join(near, "id").select("id", "label", F.least("label", "near").alias("low"))
         jump = labels.select(F.col("id").alias("low"), F.col("label").alias("next"))
         new = written(low.join(jump, "low", "left").select("id", "label", F.least("low", F.coalesce("next", "low")).alias("new")))
-        labels = new.select("id", F.col("new").alias("label"))
+        forget(before)
+        before, labels = new, new.select("id", F.col("new").alias("label"))
         if not new.where("new <> label").limit(1).count():
+            forget(links)
             return labels.withColumnRenamed("label", "group_id")
     raise RuntimeError("connected: not stable after so many rounds")
 
@@ -112,20 +142,27 @@ def family_groups(persons: DataFrame, relations: DataFrame) -> DataFrame:
     return connected(kin).select(F.col("id").alias("person_id"), "group_id")
 
 
-def ancestors(relations: DataFrame, person_ids: DataFrame | None = None, max_depth: int = 20) -> DataFrame:
-    """person_id, ancestor_id, distance (the least)."""
-    p = written(parents_of(relations).distinct())
-    front = p.select(F.col("child").alias("person_id"), F.col("parent").alias("ancestor_id"))
-    if person_ids is not None:
-        front = front.join(person_ids.select("person_id").distinct(), "person_id", "left_semi")
-    known = front = written(front.distinct().withColumn("distance", F.lit(1)))
-    for depth in range(2, max_depth + 1):
-        up = front.join(p, front["ancestor_id"] == p["child"]).select("person_id", F.col("parent").alias("ancestor_id")).distinct()
-        front = written(up.join(known, ["person_id", "ancestor_id"], "left_anti").withColumn("distance", F.lit(depth)))
-        if not front.limit(1).count():
-            break
-        known = known.unionByName(front)
-    return known
+def ancestors(relations: DataFrame, person_ids: DataFrame | None = None) -> DataFrame:
+    """person_id, ancestor_id, distance (the least), without any limit of depth. Who stands in a circle is an ancestor of their own.
+
+    By doubling: a pair more than 2^k and at most 2^(k + 1) steps apart has someone exactly 2^k steps up on the way, and
+    the rest of the way is known. So the pairs at 2^k steps meet all that is known so far, in about log(depth) rounds.
+    """
+    p = written(parents_of(relations).where("parent is not null and child is not null").distinct())
+    known = reach = p.select(F.col("child").alias("person_id"), F.col("parent").alias("ancestor_id"), F.lit(1).alias("distance"))
+    steps = 1
+    while reach.limit(1).count():
+        far = known.select(F.col("person_id").alias("mid"), F.col("ancestor_id").alias("top"), F.col("distance").alias("more"))
+        up = reach.join(far, F.col("ancestor_id") == F.col("mid")).groupBy("person_id", F.col("top").alias("ancestor_id")).agg((F.min("more") + steps).alias("distance"))
+        new = written(up.join(known.select("person_id", "ancestor_id"), ["person_id", "ancestor_id"], "left_anti"))
+        known, steps = known.unionByName(new), 2 * steps
+        reach = new.where(F.col("distance") == steps)
+    return known if person_ids is None else known.join(person_ids.select("person_id").distinct(), "person_id", "left_semi")
+
+
+def descent_circles(relations: DataFrame) -> DataFrame:
+    """person_id, steps: persons who are their own ancestors, by the shortest way round."""
+    return ancestors(relations).where("person_id = ancestor_id").select("person_id", F.col("distance").alias("steps"))
 
 
 def common_ancestors(relations: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feuillet.operators.acts import create_actes
-from feuillet.operators.resolve import full_name, homonym_groups
+from feuillet.operators.resolve import full_name, grouping_key, posting_lists
 
 
 def document_outcome(docs: DataFrame, counts: DataFrame) -> DataFrame:
@@ -61,9 +61,9 @@ def export_indexes(persons: DataFrame, actes: DataFrame) -> DataFrame:
     return by(persons, "nom", full_name(), "person_id").unionByName(by(persons, "naissance", F.col("naissance"), "person_id")).unionByName(by(typed, "type", F.col("type_acte"), "acte_id")).unionByName(by(typed, "année", F.col("year"), "acte_id"))
 
 
-def index_ids(persons: DataFrame) -> DataFrame:
-    """name, ids: the ids under each name, in order."""
-    return persons.groupBy(full_name().alias("name")).agg(F.array_join(F.array_sort(F.collect_list("person_id")), ",").alias("ids"))
+def index_ids(persons: DataFrame, size: int = 1000) -> DataFrame:
+    """name, chunk, n, ids: the ids under each name, in order, in chunks of ``size`` consecutive numbers."""
+    return posting_lists(persons, full_name(), "person_id", size).withColumnRenamed("key", "name")
 
 
 def distinct_places(persons: DataFrame, actes: DataFrame) -> DataFrame:
@@ -97,9 +97,10 @@ def life(birth: Column, death: Column) -> Column:
 
 def person_report(persons: DataFrame) -> DataFrame:
     """person_id, line, homonym: name, life, professions and titles of each person."""
-    twins = homonym_groups(persons).select(F.explode(F.transform(F.split("ids", ","), lambda i: i.cast("long"))).alias("person_id")).withColumn("homonym", F.lit(True))
+    p = persons.withColumn("key", grouping_key())
+    twins = p.groupBy("key").agg((F.count("*") > 1).alias("homonym"))
     line = F.concat_ws(" ", full_name(), life(F.col("naissance"), F.col("deces")), F.nullif(F.array_join("professions", ", "), F.lit("")), F.col("statut"), F.when(F.size("terres") > 0, F.concat(F.lit("de "), F.array_join("terres", ", "))))
-    return persons.join(twins, "person_id", "left").select("person_id", line.alias("line"), F.coalesce("homonym", F.lit(False)).alias("homonym"))
+    return p.join(twins, "key").select("person_id", line.alias("line"), "homonym")
 
 
 def final_report(persons: DataFrame, actes: DataFrame) -> dict[str, DataFrame]:

@@ -5,14 +5,13 @@ from __future__ import annotations
 import difflib
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from feuillet.functions.names import PARTICLES, normalization_confidence, normalize_person_name
 from feuillet.functions.text import remove_accents, squeeze, words
-from feuillet.operators.family import connected
+from feuillet.operators.family import connected, written
+from feuillet.operators.matching import meet, string_ratio
 
 
 def full_name() -> Column:
@@ -48,27 +47,36 @@ def similar_names(names: DataFrame, threshold: float) -> DataFrame:
     by_chunk = n.select("n", F.explode(chunk_keys(F.col("n"), threshold)).alias("key"))
     by_core = n.select("n", F.concat(F.lit("core|"), without_particles(F.col("n"))).alias("key"))
     keyed = by_chunk.unionByName(by_core)
-    pairs = keyed.select("key", F.col("n").alias("name_a")).join(keyed.select("key", F.col("n").alias("name_b")), "key").where("name_a < name_b").select("name_a", "name_b").distinct()
+    pairs = meet(keyed.select("key", F.col("n").alias("name_a")), keyed.select("key", F.col("n").alias("name_b")), "key").where("name_a < name_b").select("name_a", "name_b").distinct()
     score = positional_similarity(F.col("name_a"), F.col("name_b"))
     core = without_particles(F.col("name_a")) == without_particles(F.col("name_b"))
     return pairs.withColumn("score", F.round(F.when(core, 1.0).otherwise(score), 6)).where(F.col("score") >= threshold - 1e-9)
 
 
 def similar_pairs(persons: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """id_a, id_b, score for different persons with the same or a similar name."""
-    named = persons.select("person_id", folded(full_name()).alias("n"))
+    """id_a, id_b, score: persons with the same or a similar name, in star form.
+
+    The persons of one name are a class, with the least person_id as its head. There is a row (head, person, 1.0) for each
+    other member, and one for each two heads whose names are similar, the lesser id first: rows grow with persons and
+    similar names. ``all_similar_pairs`` expands them. Empty names are like nobody's.
+    """
+    named = persons.select("person_id", folded(full_name()).alias("n")).where("n <> ''")
+    heads = named.groupBy("n").agg(F.min("person_id").alias("head"))
+    members = named.join(heads, "n").where("person_id <> head").select(F.col("head").alias("id_a"), F.col("person_id").alias("id_b"), F.lit(1.0).alias("score"))
+    a, b = (heads.select(F.col("n").alias(f"name_{k}"), F.col("head").alias(k)) for k in "ab")
+    links = similar_names(heads.select(F.col("n").alias("name")), threshold).join(a, "name_a").join(b, "name_b")
+    return members.unionByName(links.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"), "score"))
+
+
+def all_similar_pairs(persons: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """id_a < id_b, score of every two persons with the same or a similar name: as many rows as there are pairs."""
+    named = persons.select("person_id", folded(full_name()).alias("n")).where("n <> ''")
     pairs = similar_names(named.select(F.col("n").alias("name")), threshold)
     both = pairs.unionByName(named.select(F.col("n").alias("name_a"), F.col("n").alias("name_b"), F.lit(1.0).alias("score")).distinct()).unionByName(pairs.select(F.col("name_b").alias("name_a"), F.col("name_a").alias("name_b"), "score"))
     a, b = (named.select(F.col("person_id").alias(f"id_{k}"), F.col("n").alias(f"name_{k}")) for k in "ab")
     return both.join(a, "name_a").join(b, "name_b").where("id_a < id_b").select("id_a", "id_b", "score")
 
 
-@F.pandas_udf(DoubleType())
-def string_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """2 M / T of the longest common blocks, the one measure here that has no SQL form; nulls give null."""
-    return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
-
-
 #: fixed values: forms of one first name
 FIRST_VARIANTS = (("charles", "carl"), ("charles", "karol"), ("guillaume", "william"), ("guillaume", "willem"), ("jacques", "jacob"), ("jacques", "james"), ("jean", "john"), ("jean", "johan"), ("françois", "francis"), ("françois", "francisco"), ("marie", "maria"), ("marie", "mary"))
 
@@ -137,7 +145,7 @@ def near_words(a: DataFrame, b: DataFrame, least: float, rules: bool = False) ->
         keys = F.concat(keys, rule_keys(F.col(f"v{k}"))) if rules else keys
         return x.select(f"v{k}", f"l{k}", F.explode(F.array_distinct(keys)).alias("key"))
 
-    both = keyed(a, "a").join(keyed(b, "b"), "key")
+    both = meet(keyed(a, "a"), keyed(b, "b"), "key")
     common = 2 * F.size(F.array_intersect("la", "lb")) >= least * (F.size("la") + F.size("lb")) - 1e-9
     return both.where(common | (F.substring("key", 2, 1) == "|") if rules else common).select("va", "vb").distinct()
 
@@ -152,9 +160,10 @@ def name_matches(targets: DataFrame, candidates: DataFrame, threshold: float) ->
         pairs.append(near.select(F.col("va").alias(f"{part}_a"), F.col("vb").alias(f"{part}_b")))
     found = a.join(pairs[0], "nom_a").join(pairs[1], "prenom_a").join(b, ["nom_b", "prenom_b"]).select("nom_a", "prenom_a", "nom_b", "prenom_b")
     ratio = lambda v: max(difflib.SequenceMatcher(None, *w).ratio() for w in (v, v[::-1]))
-    for v in (v for v in FIRST_VARIANTS if 0.6 * 0.85 + 0.4 * ratio(v) >= threshold - 1e-4):  # enough whatever the family names are
-        for x, y in (v, v[::-1]):
-            found = found.unionByName(a.where(F.lower("prenom_a") == x).crossJoin(b.where(F.lower("prenom_b") == y)).select(*found.columns))
+    enough = [v for v in FIRST_VARIANTS if 0.6 * 0.85 + 0.4 * ratio(v) >= threshold - 1e-4]  # whatever the family names are: all these are told
+    if enough:
+        key = lambda c, turn: F.explode(F.array_compact(F.array(*[F.when(F.lower(c) == v[side ^ turn], f"{k} {side}") for k, v in enumerate(enough) for side in (0, 1)]))).alias("key")
+        found = found.unionByName(meet(a.select("*", key("prenom_a", 0)), b.select("*", key("prenom_b", 1)), "key").select(*found.columns))
     return score_name_pairs(found.distinct()).where(F.col("similarity") >= threshold).drop("confidence", "rules")
 
 
@@ -169,15 +178,22 @@ def find_best_matches(targets: DataFrame, candidates: DataFrame, threshold: floa
     return rows.select("target_id", "candidate_id", F.col("similarity").alias("score"), rank.alias("rank")).where(F.col("rank") <= k)
 
 
-def jaccard_pairs(df: DataFrame, threshold: float) -> DataFrame:
-    """df (id, name) -> id_a < id_b, score above ``threshold`` of word sets: the rarest words of each are its keys, enough that two sets at the threshold share one."""
+def jaccard_pairs(df: DataFrame, threshold: float, size: int = 2000) -> DataFrame:
+    """df (id, name) -> id_a < id_b, score above ``threshold`` of word sets.
+
+    Each set's rarest words are its keys, enough that two sets at the threshold share one. At a word that both have as a
+    key, their sizes and what stands after it in both orders bound what they can have in common; only pairs that can
+    reach the threshold go on to the comparison of whole sets. A word with more than ``size`` sets is dealt over cells.
+    """
     sets = df.select("id", F.array_distinct(words(F.lower("name"))).alias("ws")).where(F.size("ws") > 0)
     tokens = sets.select("id", F.size("ws").alias("n"), F.explode("ws").alias("w"))
     often = tokens.groupBy("w").agg(F.count("*").alias("c"))
     place = F.row_number().over(Window.partitionBy("id").orderBy("c", "w"))
-    keys = tokens.join(often, "w").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1).select("id", "w")
-    a, b = (keys.select("w", F.col("id").alias(f"id_{k}")) for k in "ab")
-    pairs = a.join(b, "w").where("id_a < id_b").select("id_a", "id_b").distinct()
+    keys = tokens.join(often, "w").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1)
+    a, b = (keys.select("w", F.col("id").alias(f"id_{k}"), F.col("n").alias(f"n_{k}"), F.col("place").alias(f"at_{k}")) for k in "ab")
+    most = 1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))  # if this is the first that they share
+    reach = (most * (1 + threshold) >= threshold * (F.col("n_a") + F.col("n_b")) - 1e-9) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9)
+    pairs = meet(a, b, "w", size).where((F.col("id_a") < F.col("id_b")) & reach).select("id_a", "id_b").distinct()
     sa, sb = (sets.select(F.col("id").alias(f"id_{k}"), F.col("ws").alias(f"w{k}")) for k in "ab")
     score = F.size(F.array_intersect("wa", "wb")) / F.size(F.array_union("wa", "wb"))
     return pairs.join(sa, "id_a").join(sb, "id_b").select("id_a", "id_b", F.round(score, 6).alias("score")).where(F.col("score") > threshold)
@@ -225,10 +241,20 @@ def homonym_factors(persons: DataFrame) -> DataFrame:
     return x.select("key", "n", F.array_join(F.array_compact(F.array(*[F.when(w, name) for w, name, _ in rules])), ",").alias("factors"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4).alias("confidence"))
 
 
-def homonym_groups(persons: DataFrame) -> DataFrame:
-    """key, n, ids (joined): names with more than one person."""
-    p = persons.withColumn("key", grouping_key()).groupBy("key").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("person_id")).alias("ids")).where("n > 1")
-    return p.select("key", "n", F.array_join("ids", ",").alias("ids"))
+def posting_lists(df: DataFrame, key: Column, item: str, size: int = 1000) -> DataFrame:
+    """key, chunk, n (of the key, all chunks), ids: the items under each key in chunks of ``size`` consecutive numbers, so no row has more.
+
+    Items are whole numbers; an item that stands under a key several times is listed as often.
+    """
+    x = df.select(key.alias("key"), F.col(item).alias("item")).where("key is not null and item is not null")
+    chunks = x.groupBy("key", F.floor(F.col("item") / size).alias("chunk")).agg(F.count("*").alias("own"), F.array_join(F.array_sort(F.collect_list("item")), ",").alias("ids"))
+    total = chunks.groupBy("key").agg(F.sum("own").alias("n"))
+    return chunks.join(total, "key").select("key", "chunk", "n", "ids")
+
+
+def homonym_groups(persons: DataFrame, size: int = 1000) -> DataFrame:
+    """key, chunk, n, ids (joined): names with more than one person, their ids in chunks of ``size`` consecutive numbers."""
+    return posting_lists(persons, grouping_key(), "person_id", size).where("n > 1")
 
 
 def homonym_resolution(persons: DataFrame, least: float = 0.7) -> DataFrame:
@@ -248,16 +274,37 @@ def merge_name_groups(persons: DataFrame, threshold: float = 0.95) -> DataFrame:
     return names.join(groups.withColumnRenamed("id", "person_id"), "person_id", "left").select(F.concat_ws(" ", "prenom", "nom").alias("key"), F.coalesce("group_id", "person_id").alias("group"))
 
 
-def duplicate_pairs(persons: DataFrame, threshold: float = 0.90) -> DataFrame:
-    """Pairs of similar names whose births and birth places don't differ."""
-    p = persons.select("person_id", "naissance", F.lower("lieu_naissance").alias("lieu"))
-    a, b = (p.select(F.col("person_id").alias(f"id_{k}"), F.col("naissance").alias(f"n{k}"), F.col("lieu").alias(f"l{k}")) for k in "ab")
-    return similar_pairs(persons, threshold).join(a, "id_a").join(b, "id_b").where("coalesce(na = nb, true) and coalesce(la = lb, true)").select("id_a", "id_b", "score")
+def duplicate_links(classes: DataFrame, threshold: float = 0.90) -> DataFrame:
+    """classes (n, born, place, head) -> a, b: heads of classes of similar names whose births and places don't differ where both are known.
+
+    Not every such two classes are listed, but all that a chain of them joins stay joined. A class meets those that have
+    its birth and place, or know less: at most four for each similar name. Where one knows only the birth and the other
+    only the place, all of the two kinds fit each other, so each meets the first of the other kind.
+    """
+    names = classes.select(F.col("n").alias("name")).distinct()
+    near = similar_names(names, threshold).select("name_a", "name_b")
+    near = near.unionByName(near.select(F.col("name_b").alias("name_a"), F.col("name_a").alias("name_b"))).unionByName(names.select(F.col("name").alias("name_a"), F.col("name").alias("name_b")))
+    a = classes.select(F.col("n").alias("name_a"), F.col("born").alias("born_a"), F.col("place").alias("place_a"), F.col("head").alias("a")).join(near, "name_a")
+    less = F.array_distinct(F.array(*[F.struct((F.col("born_a") if x else F.lit(None).cast(classes.schema["born"].dataType)).alias("born"), (F.col("place_a") if y else F.lit(None).cast("string")).alias("place")) for x in (1, 0) for y in (1, 0)]))
+    b = classes.select(F.col("n").alias("its_name"), F.col("born").alias("its_born"), F.col("place").alias("its_place"), F.col("head").alias("b"))
+    asked = a.select("a", "name_b", F.explode(less).alias("k"))
+    same = asked.join(b, (F.col("name_b") == F.col("its_name")) & F.col("k.born").eqNullSafe(F.col("its_born")) & F.col("k.place").eqNullSafe(F.col("its_place"))).select("a", "b")
+    first = lambda known, k: classes.where(f"{known[0]} is not null and {known[1]} is null").groupBy(F.col("n").alias("name_b")).agg(F.min("head").alias(k))
+    one = a.where("born_a is not null and place_a is null").join(first(("place", "born"), "b"), "name_b").select("a", "b")
+    two = a.where("born_a is null and place_a is not null").join(first(("born", "place"), "b"), "name_b").select("a", "b")
+    return same.unionByName(one).unionByName(two).where("a <> b").distinct()
 
 
 def duplicate_clusters(persons: DataFrame, threshold: float = 0.90) -> DataFrame:
-    """person_id, cluster_id (the least person_id): all that a chain of duplicate pairs joins."""
-    return connected(duplicate_pairs(persons, threshold).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))).select(F.col("id").alias("person_id"), F.col("group_id").alias("cluster_id"))
+    """person_id, cluster_id (the least person_id): all that a chain of duplicates joins, similar names whose births and
+    birth places don't differ. Persons of one name, birth and place are one node of the search, so its size doesn't
+    grow with the square of their number. Empty names are like nobody's."""
+    p = persons.select("person_id", folded(full_name()).alias("n"), F.col("naissance").alias("born"), F.lower("lieu_naissance").alias("place")).where("n <> ''")
+    classes = written(p.groupBy("n", "born", "place").agg(F.min("person_id").alias("head"), F.count("*").alias("members")))
+    groups = connected(duplicate_links(classes, threshold)).withColumnRenamed("id", "head")
+    found = classes.join(groups, "head", "left").where("members > 1 or group_id is not null").select(F.col("n").alias("its_n"), F.col("born").alias("its_born"), F.col("place").alias("its_place"), F.coalesce("group_id", "head").alias("cluster_id"))
+    same = (F.col("n") == F.col("its_n")) & F.col("born").eqNullSafe(F.col("its_born")) & F.col("place").eqNullSafe(F.col("its_place"))
+    return p.join(found, same).select("person_id", "cluster_id")
 
 
 def merge_records(persons: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -293,17 +340,39 @@ def revalidate_registry(persons: DataFrame) -> DataFrame:
     return row(changed, "persons", "n").unionByName(row(changed, "renamed", "c")).unionByName(row(merged, "merged", "n"))
 
 
-def detect_duplicates(persons: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """id_a, id_b, score: 0.7 of the name's word sets alike, 0.3 of births within ten years, at more than the threshold."""
-    key = F.array_join(F.array_sort(F.array_distinct(words(F.lower(full_name())))), " ")
-    p = persons.select("person_id", key.alias("key"), "naissance")
+def duplicate_births(persons: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """key_a, born_a, key_b, born_b, score, each two in both orders: names (word sets, in order) with births that score more than the threshold.
+
+    0.7 of the likeness of word sets, 0.3 of births within ten years. A threshold of 0.7 or more asks for births less than
+    ten years apart, so a birth meets those of its own slot of ten years and of the two beside it only.
+    """
+    if threshold < 0.7:
+        raise ValueError("duplicate_births: below 0.7 births don't bound the pairs")
+    p = persons.where("naissance is not null").select(name_key().alias("key"), F.col("naissance").alias("born")).distinct()
     names = p.select("key").distinct()
     near = jaccard_pairs(names.select(F.col("key").alias("id"), F.col("key").alias("name")), (threshold - 0.3) / 0.7 - 1e-6)  # births give at most 0.3
     near = near.unionByName(near.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"), "score")).unionByName(names.select(F.col("key").alias("id_a"), F.col("key").alias("id_b"), F.lit(1.0).alias("score")))
     near = near.select(F.col("id_a").alias("key_a"), F.col("id_b").alias("key_b"), F.col("score").alias("alike"))
-    a, b = (p.select(F.col("key").alias(f"key_{k}"), F.col("person_id").alias(f"id_{k}"), F.col("naissance").alias(f"n{k}")) for k in "ab")
-    score = 0.7 * F.col("alike") + 0.3 * F.greatest(F.lit(0.0), 1 - F.abs(F.col("na") - F.col("nb")) / 10)
-    return a.join(near, "key_a").join(b, "key_b").where("id_a < id_b").select("id_a", "id_b", F.round(score, 4).alias("score")).where(F.col("score") > threshold)
+    slot = lambda c: F.floor(F.col(c) / 10)
+    a = p.select(F.col("key").alias("key_a"), F.col("born").alias("born_a")).join(near, "key_a").withColumn("slot", F.explode(F.array(*[slot("born_a") + k for k in (-1, 0, 1)])))
+    b = p.select(F.col("key").alias("key_b"), F.col("born").alias("born_b"), slot("born").alias("slot"))
+    score = 0.7 * F.col("alike") + 0.3 * F.greatest(F.lit(0.0), 1 - F.abs(F.col("born_a") - F.col("born_b")) / 10)
+    return a.join(b, ["key_b", "slot"]).select("key_a", "born_a", "key_b", "born_b", F.round(score, 4).alias("score")).where(F.col("score") > threshold)
+
+
+def detect_duplicates(persons: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """id_a, id_b, score: 0.7 of the name's word sets alike, 0.3 of births within ten years, at more than the threshold.
+
+    Names and births meet first (``duplicate_births``); persons are put to those that do, so what is joined is what is told.
+    """
+    p = persons.where("naissance is not null").select("person_id", name_key().alias("key"), F.col("naissance").alias("born"))
+    a, b = (p.select(F.col("key").alias(f"key_{k}"), F.col("born").alias(f"born_{k}"), F.col("person_id").alias(f"id_{k}")) for k in "ab")
+    return duplicate_births(persons, threshold).join(a, ["key_a", "born_a"]).join(b, ["key_b", "born_b"]).where("id_a < id_b").select("id_a", "id_b", "score")
+
+
+def name_key() -> Column:
+    """The name's words, once each, in order."""
+    return F.array_join(F.array_sort(F.array_distinct(words(F.lower(full_name())))), " ")
 
 
 #: fixed values: phrases that mark a woman or a man
@@ -343,6 +412,11 @@ def gender_from_relations(relations: DataFrame) -> DataFrame:
     return told.groupBy("person_id").agg(F.min_by("gender", F.struct("order", "gender")).alias("gender"))
 
 
-def gedcom_gender(persons: DataFrame) -> DataFrame:
+def inferred_sex() -> Column:
+    """From professions, then titles; null where they don't tell."""
     has = lambda *v: F.arrays_overlap("professions", F.array(*map(F.lit, v)))
-    return persons.select("person_id", F.when(has("curé", "prêtre", "laboureur", "maçon", "charpentier"), "M").when(has("fileuse", "couturière", "ménagère"), "F").when(F.col("statut").isin("sieur", "seigneur", "écuyer"), "M").when(F.col("statut").isin("dame", "demoiselle"), "F").alias("sex"))
+    return F.when(has("curé", "prêtre", "laboureur", "maçon", "charpentier"), "M").when(has("fileuse", "couturière", "ménagère"), "F").when(F.col("statut").isin("sieur", "seigneur", "écuyer"), "M").when(F.col("statut").isin("dame", "demoiselle"), "F")
+
+
+def gedcom_gender(persons: DataFrame) -> DataFrame:
+    return persons.select("person_id", inferred_sex().alias("sex"))

@@ -14,7 +14,7 @@ DECLARED = f"""{TYPED}, declared AS (SELECT pere_id AS person1_id, person_id AS
 SIBLINGS = "SELECT a.child AS person1_id, b.child AS person2_id, 'sibling' AS relation_type, 0.85::DOUBLE AS confidence, 'parent ' || a.parent AS evidence FROM par a JOIN par b ON a.parent = b.parent AND a.child < b.child"
 SPOUSES = "SELECT a AS person1_id, b AS person2_id, 'spouse' AS relation_type, 0.80::DOUBLE AS confidence, n || ' enfants' AS evidence FROM (SELECT least(pere_id, mere_id) AS a, greatest(pere_id, mere_id) AS b, count(*) AS n FROM persons WHERE pere_id IS NOT NULL AND mere_id IS NOT NULL GROUP BY ALL) ANTI JOIN (SELECT least(person1_id, person2_id) AS a, greatest(person1_id, person2_id) AS b FROM declared WHERE relation_type = 'spouse') USING (a, b)"
 GRAND = "SELECT x.parent AS person1_id, y.child AS person2_id, 'grandparent' AS relation_type, 0.75::DOUBLE AS confidence, 'par ' || x.child AS evidence FROM par x JOIN par y ON y.parent = x.child"
-GEN = f"RECURSIVE {DECLARED}, down AS (SELECT person_id, 0 AS generation FROM persons WHERE person_id NOT IN (SELECT child FROM par) UNION SELECT child, generation + 1 FROM down JOIN par ON parent = person_id), gen AS (SELECT person_id, coalesce(min(generation), 0)::INTEGER AS generation FROM (SELECT person_id FROM persons UNION SELECT person2_id FROM declared WHERE relation_type = 'parent' UNION SELECT person1_id FROM declared WHERE relation_type = 'parent') LEFT JOIN down USING (person_id) GROUP BY person_id)"
+GEN = f"RECURSIVE {DECLARED}, down AS (SELECT person_id, 0 AS generation FROM persons WHERE person_id NOT IN (SELECT child FROM par) UNION SELECT child, generation + 1 FROM down JOIN par ON parent = person_id), gen AS (SELECT person_id, min(generation)::INTEGER AS generation FROM (SELECT person_id FROM persons UNION SELECT person2_id FROM declared WHERE relation_type = 'parent' UNION SELECT person1_id FROM declared WHERE relation_type = 'parent') LEFT JOIN down USING (person_id) GROUP BY person_id)"
 UP = f"RECURSIVE {DECLARED}, climb AS (SELECT child AS person_id, parent AS ancestor_id, 1 AS distance FROM par UNION SELECT person_id, parent, distance + 1 FROM climb JOIN par ON child = ancestor_id), up AS (SELECT person_id, ancestor_id, min(distance)::INTEGER AS distance FROM climb GROUP BY ALL)"
 GROUPS = "kin AS (SELECT person1_id AS a, person2_id AS b FROM declared WHERE relation_type IN ('parent', 'spouse') UNION SELECT person2_id, person1_id FROM declared WHERE relation_type IN ('parent', 'spouse')), reach AS (SELECT DISTINCT a AS id, a AS g FROM kin UNION SELECT kin.b, g FROM reach JOIN kin ON kin.a = reach.id), groups AS (SELECT id AS person_id, min(g) AS group_id FROM reach GROUP BY id)"
 PAIRS = "(SELECT person_id AS a, person_id + 2 AS b FROM persons)"

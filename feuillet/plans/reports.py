@@ -42,7 +42,7 @@ def _(t):
     return R.export_indexes(t.persons, t.actes)
 
 
-@query("agg5_index_ids", f"SELECT {NAME} AS name, string_agg(person_id::VARCHAR, ',' ORDER BY person_id) AS ids FROM persons GROUP BY 1")
+@query("agg5_index_ids", f"SELECT name, person_id // 1000 AS chunk, n, string_agg(person_id::VARCHAR, ',' ORDER BY person_id) AS ids FROM (SELECT person_id, {NAME} AS name, count(*) OVER (PARTITION BY {NAME}) AS n FROM persons) GROUP BY ALL")
 def _(t):
     return R.index_ids(t.persons)
 
@@ -111,20 +111,28 @@ def _(t):
 
 PAD = lambda c: f"(repeat('0', greatest(0, 6 - length({c}::VARCHAR))) || {c})"
 NUMBERED = lambda ls: f"unnest({ls}) AS line, (generate_subscripts({ls}, 1) - 1)::INTEGER AS line_no"
-INDI = f"""list_filter(['0 @I' || {PAD('person_id')} || '@ INDI', '1 NAME ' || prenom || ' /' || nom || '/', '1 SEX ' || sexe, '1 BIRT' || chr(10) || '2 DATE ' || naissance, '1 DEAT' || chr(10) || '2 DATE ' || deces,
-  CASE WHEN len(professions) > 0 THEN '1 OCCU ' || array_to_string(professions, ', ') END], lambda x: x IS NOT NULL)"""
+SOURCES = "srcs AS (SELECT source, row_number() OVER (ORDER BY source) AS number FROM (SELECT DISTINCT unnest(sources) AS source FROM persons))"
+EVENT = lambda tag, year, place="NULL": f"CASE WHEN {year} IS NOT NULL THEN list_filter(['1 {tag}', '2 DATE ' || {year}, '2 PLAC ' || {place}], lambda x: x IS NOT NULL) ELSE [] END"
+SEX = "CASE WHEN list_has_any(professions, ['curé', 'prêtre', 'laboureur', 'maçon', 'charpentier']) THEN 'M' WHEN list_has_any(professions, ['fileuse', 'couturière', 'ménagère']) THEN 'F' WHEN statut IN ('sieur', 'seigneur', 'écuyer') THEN 'M' WHEN statut IN ('dame', 'demoiselle') THEN 'F' ELSE sexe END"
+INDI = f"""['0 @I' || {PAD('person_id')} || '@ INDI', '1 NAME ' || prenom || ' /' || upper(nom) || '/'] || flatten(list_transform(variantes, lambda v: ['1 NAME ' || v, '2 TYPE aka'])) || ['1 SEX ' || {SEX}] || {EVENT('BIRT', 'naissance', 'lieu_naissance')} || {EVENT('DEAT', 'deces')}
+  || flatten(list_transform(professions, lambda v: ['1 OCCU ' || v, '2 NOTE Source: ' || sources[1]])) || (SELECT flatten(list(['1 SOUR @S' || {PAD('number')} || '@', '2 PAGE Acte de référence', '2 DATA', '3 TEXT ' || source] ORDER BY list_position(persons.sources, source))) FROM srcs WHERE list_contains(persons.sources, source))"""
 
 
-@query("snk3_gedcom_lines", f"SELECT 'INDI' AS section, record_key, NULL::BIGINT AS other_key, {NUMBERED('ls')} FROM (SELECT person_id AS record_key, {INDI} AS ls FROM persons)")
+@query("snk3_gedcom_lines", f"WITH {SOURCES} SELECT 'INDI' AS section, record_key, NULL::BIGINT AS other_key, {NUMBERED('ls')} FROM (SELECT person_id AS record_key, {INDI} AS ls FROM persons)")
 def _(t):
     return S.gedcom_lines(t.persons).where("section = 'INDI'")
 
 
-@query("snk3_gedcom_families", f"""WITH kids AS (SELECT pere_id AS husband, mere_id AS wife, list_sort(list(person_id)) AS ids FROM persons WHERE pere_id IS NOT NULL AND mere_id IS NOT NULL GROUP BY ALL),
+@query("snk3_gedcom_sources", f"WITH {SOURCES} SELECT 'SOUR' AS section, number AS record_key, NULL::BIGINT AS other_key, {NUMBERED('ls')} FROM (SELECT number, ['0 @S' || {PAD('number')} || '@ SOUR', '1 TITL ' || source] AS ls FROM srcs)")
+def _(t):
+    return S.gedcom_lines(t.persons).where("section = 'SOUR'")
+
+
+@query("snk3_gedcom_families", f"""WITH kids AS (SELECT pere_id AS husband, mere_id AS wife, list_sort(list(person_id)) AS ids FROM persons WHERE pere_id IS NOT NULL OR mere_id IS NOT NULL GROUP BY ALL),
   wed AS (SELECT DISTINCT CASE WHEN sexe = 'M' THEN person_id ELSE conjoint_id END AS husband, CASE WHEN sexe = 'M' THEN conjoint_id ELSE person_id END AS wife FROM persons WHERE conjoint_id IS NOT NULL),
-  fam AS (SELECT husband, wife, coalesce(ids, []::BIGINT[]) AS ids, greatest(h.mariage, w.mariage) AS wedding FROM kids FULL JOIN wed USING (husband, wife) LEFT JOIN persons h ON h.person_id = husband LEFT JOIN persons w ON w.person_id = wife WHERE husband IS NOT NULL AND wife IS NOT NULL),
-  l AS (SELECT husband, wife, list_filter(['0 @F' || {PAD('husband')} || '_' || {PAD('wife')} || '@ FAM', '1 HUSB @I' || {PAD('husband')} || '@', '1 WIFE @I' || {PAD('wife')} || '@', '1 MARR' || chr(10) || '2 DATE ' || wedding], lambda x: x IS NOT NULL) || list_transform(ids, lambda k: '1 CHIL @I' || {PAD('k')} || '@') AS ls FROM fam)
-  SELECT 'FAM' AS section, husband AS record_key, wife AS other_key, {NUMBERED('ls')} FROM l""")
+  fam AS (SELECT husband, wife, coalesce(ids, []::BIGINT[]) AS ids, greatest(h.mariage, w.mariage) AS wedding FROM kids FULL JOIN wed USING (husband, wife) LEFT JOIN persons h ON h.person_id = husband LEFT JOIN persons w ON w.person_id = wife),
+  l AS (SELECT husband, wife, list_filter(['0 @F' || coalesce({PAD('husband')}, 'X') || '_' || coalesce({PAD('wife')}, 'X') || '@ FAM', '1 HUSB @I' || {PAD('husband')} || '@', '1 WIFE @I' || {PAD('wife')} || '@'], lambda x: x IS NOT NULL) || list_transform(ids, lambda k: '1 CHIL @I' || {PAD('k')} || '@') || {EVENT('MARR', 'wedding')} AS ls FROM fam)
+  SELECT 'FAM' AS section, coalesce(husband, wife) AS record_key, wife AS other_key, {NUMBERED('ls')} FROM l""")
 def _(t):
     return S.gedcom_lines(t.persons).where("section = 'FAM'")
 
@@ -242,9 +250,9 @@ def _(t):
 
 @query("str3_registry_counts", "SELECT event_type AS key, count(*) AS hits, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen, event_type AS first_name, array_to_string(list_sort(list(DISTINCT 'day ' || strftime(ts, '%d'))), ',') AS sources FROM events GROUP BY event_type")
 def _(t):
-    names, path = stream(t, "events").select("ts", F.col("event_type").alias("full_name"), F.concat(F.lit("day "), F.date_format("ts", "dd")).alias("source")), shared_path(t.spark)
-    streams.registry_upsert_stream(names, shared_path(t.spark), path).awaitTermination()
-    return streams.registry_of(t.spark, path).withColumn("first_seen", F.date_format("first_seen", "yyyy-MM-dd HH:mm:ss")).withColumn("sources", F.array_join("sources", ","))
+    names, checkpoint = stream(t, "events").select("ts", F.col("event_type").alias("full_name"), F.concat(F.lit("day "), F.date_format("ts", "dd")).alias("source")), shared_path(t.spark)
+    streams.registry_upsert_stream(names, checkpoint).awaitTermination()
+    return streams.registry_of(t.spark, checkpoint).withColumn("first_seen", F.date_format("first_seen", "yyyy-MM-dd HH:mm:ss")).withColumn("sources", F.array_join("sources", ","))
 
 
 @query("str4_running_stats", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS start, event_type, count(*) AS n, round(sum(value), 2)::DOUBLE AS total FROM events GROUP BY 1, 2 HAVING date_trunc('day', min(ts)) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")

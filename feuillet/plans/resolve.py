@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from feuillet.functions import names as N
 from feuillet.operators.config import Config, registry_checks
 from feuillet.operators import resolve as R
+from feuillet.operators.matching import meet, string_ratio
 from feuillet.operators.acts import acte_participants
 from feuillet.plans.family import CHRONOLOGY
 from feuillet.plans.acts import PARTS
@@ -104,7 +105,7 @@ SIM = lambda th: f"nm AS (SELECT DISTINCT {FOLD} AS n FROM persons), sim AS (SEL
 IDS = lambda th: f"{SIM(th)}, both_ AS (SELECT * FROM sim UNION ALL SELECT name_b, name_a, score FROM sim UNION ALL SELECT n, n, 1.0 FROM nm), pn AS (SELECT person_id, {FOLD} AS n, naissance, lieu_naissance FROM persons), idp AS (SELECT x.person_id AS id_a, y.person_id AS id_b, score, x.naissance AS na, y.naissance AS nb, x.lieu_naissance AS la, y.lieu_naissance AS lb FROM both_ JOIN pn x ON x.n = name_a JOIN pn y ON y.n = name_b AND x.person_id < y.person_id)"
 
 
-@query("joi11_similar_pairs", f"WITH {IDS(0.7)} SELECT id_a, id_b, score FROM idp")
+@query("joi11_similar_pairs", f"WITH {SIM(0.7)}, heads AS (SELECT {FOLD} AS n, min(person_id) AS head FROM persons GROUP BY 1) SELECT head AS id_a, person_id AS id_b, 1.0::DOUBLE AS score FROM persons JOIN heads ON n = {FOLD} WHERE person_id <> head UNION ALL SELECT least(a.head, b.head), greatest(a.head, b.head), score FROM sim JOIN heads a ON a.n = name_a JOIN heads b ON b.n = name_b")
 def _(t):
     return R.similar_pairs(t.persons, 0.7)
 
@@ -128,6 +129,15 @@ def _(t):
     return R.score_name_pairs(a.join(b, "k").drop("k"))
 
 
+@query("udx4_string_ratio")
+def _(t):
+    """All names against those that begin alike or end alike."""
+    n = t.persons.select(F.lower(R.full_name()).alias("n")).distinct()
+    a, b = (n.select(F.col("n").alias(f"name_{k}"), F.explode(F.array(F.substring("n", 1, 3), F.concat(F.lit("…"), F.substring("n", -3, 3)))).alias("key")) for k in "ab")
+    pairs = meet(a, b, "key").where("name_a < name_b").select("name_a", "name_b").distinct()
+    return pairs.withColumn("ratio", F.round(string_ratio("name_a", "name_b"), 6))
+
+
 @query("joi13_find_best_matches")
 def _(t):
     return R.find_best_matches(t.persons, t.persons, 0.85, 3)
@@ -161,7 +171,7 @@ def _(t):
     return t.persons.select("person_id", "nom").join(god, "person_id", "left_semi")
 
 
-@query("agg17_homonym_groups", f"SELECT {KEY} AS key, count(*) AS n, string_agg(person_id::VARCHAR, ',' ORDER BY person_id) AS ids FROM persons GROUP BY 1 HAVING count(*) > 1")
+@query("agg17_homonym_groups", f"SELECT key, person_id // 1000 AS chunk, n, string_agg(person_id::VARCHAR, ',' ORDER BY person_id) AS ids FROM (SELECT person_id, {KEY} AS key, count(*) OVER (PARTITION BY {KEY}) AS n FROM persons) WHERE n > 1 GROUP BY ALL")
 def _(t):
     return R.homonym_groups(t.persons)
 

@@ -49,21 +49,21 @@ class Tables:
         return base.join(nation, base["c_nationkey"] == nation["n_nationkey"], "left").select(
             k.alias("person_id"),
             F.when(k % 2 == 0, "M").otherwise("F").alias("sexe"),
-            e("CASE WHEN i >= 8 THEN 64 * b + 2 * ((i - 8) div 4) END").alias("pere_id"),
-            e("CASE WHEN i >= 8 THEN 64 * b + 2 * (((i - 8) div 4) ^ 2) + 1 END").alias("mere_id"),
+            e("CASE WHEN i >= 8 AND k % 53 <> 1 THEN 64 * b + 2 * ((i - 8) div 4) END").alias("pere_id"),  # some fathers aren't known
+            e("CASE WHEN i = 63 AND b % 128 > 0 THEN k - 64 WHEN i >= 8 THEN 64 * b + 2 * (((i - 8) div 4) ^ 2) + 1 END").alias("mere_id"),  # the last of a family goes back to that of the one before: up to 128 generations
             e("CASE WHEN i < 28 AND i % 2 = 0 THEN 64 * b + 2 * ((i div 2) ^ 2) + 1 END").alias("conjoint_id"),
             "gen",
             e("CAST(1575 + 25 * gen + i % 7 + CASE WHEN k % 97 = 0 THEN 40 ELSE 0 END AS INT)").alias("naissance"),
             e("CAST(CASE WHEN k % 3 = 0 THEN NULL WHEN k % 101 = 0 THEN 1570 + 25 * gen ELSE 1575 + 25 * gen + i % 7 + 30 + (7 * k) % 75 END AS INT)").alias("deces"),
             e("CAST(CASE WHEN i < 28 THEN CASE WHEN k % 89 = 0 THEN 1575 + 25 * gen + 8 ELSE 1575 + 25 * gen + 20 + k % 10 END END AS INT)").alias("mariage"),
             F.when(k % 2 == 0, pick(MALE, e("(k div 2) % 8"))).otherwise(pick(FEMALE, e("(k div 2) % 8"))).alias("prenom"),
-            pick(SURNAMES, e("(c_nationkey + b) % 10")).alias("nom"),
+            pick(SURNAMES, e("CASE WHEN k % 3 = 1 THEN 0 ELSE (c_nationkey + b) % 10 END")).alias("nom"),  # over a third have one name
             F.when(k % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(trade)).alias("professions"),
             titled.alias("statut"),
             F.when(titled.isNotNull(), F.array("n_name")).otherwise(F.array().cast("array<string>")).alias("terres"),
             F.col("n_name").alias("lieu_naissance"),
             F.when(k % 6 == 0, F.array(F.concat(F.lit("registre "), "b"), F.concat(F.lit("copie "), "b"))).otherwise(F.array(F.concat(F.lit("registre "), "b"))).alias("sources"),
-        )
+        ).withColumn("variantes", F.when(F.col("person_id") % 10 == 0, F.array(F.concat_ws(" ", F.substring("prenom", 1, 3), "nom"))).otherwise(F.array().cast("array<string>")))
 
     @cached_property
     def actes(self) -> DataFrame:
@@ -126,19 +126,20 @@ def sql_list(values) -> str:
 SQL = {
     "persons": f"""persons AS (
   SELECT k AS person_id, CASE WHEN k % 2 = 0 THEN 'M' ELSE 'F' END AS sexe,
-    CASE WHEN i >= 8 THEN 64 * b + 2 * ((i - 8) // 4) END AS pere_id,
-    CASE WHEN i >= 8 THEN 64 * b + 2 * xor((i - 8) // 4, 2) + 1 END AS mere_id,
+    CASE WHEN i >= 8 AND k % 53 <> 1 THEN 64 * b + 2 * ((i - 8) // 4) END AS pere_id,
+    CASE WHEN i = 63 AND b % 128 > 0 THEN k - 64 WHEN i >= 8 THEN 64 * b + 2 * xor((i - 8) // 4, 2) + 1 END AS mere_id,
     CASE WHEN i < 28 AND i % 2 = 0 THEN 64 * b + 2 * xor(i // 2, 2) + 1 END AS conjoint_id,
     gen, (1575 + 25 * gen + i % 7 + CASE WHEN k % 97 = 0 THEN 40 ELSE 0 END)::INTEGER AS naissance,
     (CASE WHEN k % 3 = 0 THEN NULL WHEN k % 101 = 0 THEN 1570 + 25 * gen ELSE 1575 + 25 * gen + i % 7 + 30 + (7 * k) % 75 END)::INTEGER AS deces,
     (CASE WHEN i < 28 THEN CASE WHEN k % 89 = 0 THEN 1575 + 25 * gen + 8 ELSE 1575 + 25 * gen + 20 + k % 10 END END)::INTEGER AS mariage,
     CASE WHEN k % 2 = 0 THEN {sql_list(MALE)}[(k // 2) % 8 + 1] ELSE {sql_list(FEMALE)}[(k // 2) % 8 + 1] END AS prenom,
-    {sql_list(SURNAMES)}[(c_nationkey + b) % 10 + 1] AS nom,
+    {sql_list(SURNAMES)}[CASE WHEN k % 3 = 1 THEN 0 ELSE (c_nationkey + b) % 10 END + 1] AS nom,
     CASE WHEN k % 4 = 0 THEN []::VARCHAR[] ELSE [CASE c_mktsegment {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in TRADES.items())} END] END AS professions,
     CASE WHEN k % 5 = 0 THEN 'sieur' WHEN k % 7 = 0 THEN 'écuyer' END AS statut,
     CASE WHEN k % 5 = 0 OR k % 7 = 0 THEN [n_name] ELSE []::VARCHAR[] END AS terres,
     n_name AS lieu_naissance,
-    CASE WHEN k % 6 = 0 THEN ['registre ' || b, 'copie ' || b] ELSE ['registre ' || b] END AS sources
+    CASE WHEN k % 6 = 0 THEN ['registre ' || b, 'copie ' || b] ELSE ['registre ' || b] END AS sources,
+    CASE WHEN k % 10 = 0 THEN [prenom[:3] || ' ' || nom] ELSE []::VARCHAR[] END AS variantes
   FROM (SELECT *, c_custkey AS k, c_custkey // 64 AS b, c_custkey % 64 AS i, CASE WHEN c_custkey % 64 < 8 THEN 0 WHEN c_custkey % 64 < 24 THEN 1 WHEN c_custkey % 64 < 56 THEN 2 ELSE 3 END AS gen FROM customer)
   LEFT JOIN nation ON c_nationkey = n_nationkey)""",
     "actes": f"""actes AS (

@@ -169,6 +169,7 @@ def test_exports_and_files(spark, data, tmp_path):
     heads = S.gedcom_lines(grown).where("line_no = 0")
     assert heads.count() == heads.select("line").distinct().count() == heads.where("line like '%1234%'").count()
     S.write_gedcom(S.gedcom_lines(t.persons), str(tmp_path / "ged"))
+    S.write_gedcom(S.gedcom_lines(t.persons), str(tmp_path / "ged"))
     assert spark.read.text(str(tmp_path / "ged")).where("value like '0 @I%'").count() == t.persons.count()
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.txt").write_text("Jean Boucher")
@@ -191,8 +192,8 @@ def test_streams_equal_batches(spark, data, tmp_path):
     whole = sorted(map(str, streams.registry_counts(entries(events)).collect()))
     few = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "events"))
     for _ in range(2):  # a second run finds nothing new
-        streams.registry_upsert_stream(entries(few), str(tmp_path / "check2"), str(tmp_path / "registry")).awaitTermination()
-    assert sorted(map(str, streams.registry_of(spark, str(tmp_path / "registry")).collect())) == whole
+        streams.registry_upsert_stream(entries(few), str(tmp_path / "check2")).awaitTermination()
+    assert sorted(map(str, streams.registry_of(spark, str(tmp_path / "check2")).collect())) == whole
     once = streams.dedup_source_stream(live.select("ts", F.col("event_type").alias("text")), "40 days")
     q = once.writeStream.format("memory").queryName("once").option("checkpointLocation", str(tmp_path / "check3")).trigger(availableNow=True).start()
     q.awaitTermination()
