@@ -13,10 +13,13 @@ from array import array
 
 import tiktoken
 
+from .common import Recent
+
 #: fixed values: the vocabulary's pre-token pattern
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPACES = re.compile(r"\s\x20|\x20\s")
-MOST_WORDS = 100_000  # a worker's memory; then it starts anew
+#: white space as the pattern has it; the pattern's own search fails on very long runs, so these are cut out before it
+RUN = re.compile(r"[\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -26,10 +29,11 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Words(dict):
+class Words(Recent):
     """Word, without the space before it -> its ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
+        super().__init__(lambda word: self.whole(" " + word))
         alphabet = byte_alphabet()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -40,19 +44,19 @@ class Words(dict):
         self.added = {t["content"]: array("I", [t["id"]]).tobytes() for t in added}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
         ranks = {bytes(alphabet[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if i not in special}
-        self.size = max([*spec["model"]["vocab"].values(), *special]) + 1
+        self.ids = max([*spec["model"]["vocab"].values(), *special]) + 1
         self.core = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def whole(self, text: str) -> bytes:
-        return array("I", self.core.encode_ordinary(text)).tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        out = self[word] = self.whole(" " + word)
-        return out
+        """A run of white space is one pre-token but for its last character, which goes with what follows, if anything does."""
+        out, at = [], 0
+        for run in RUN.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            out += [*self.core.encode_ordinary(text[at : run.start()]), *self.core._encode_single_piece(text[run.start() : end])]
+            at = end
+        return array("I", [*out, *self.core.encode_ordinary(text[at:])]).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if len(self) > MOST_WORDS:
-            self.clear()
         if self.cut and len(parts := self.cut.split(text)) > 1:  # at odd places the added tokens
             return b"".join(self.added[part] if k % 2 else self.between(part) for k, part in enumerate(parts) if part)
         return self.between(text)

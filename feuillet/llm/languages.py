@@ -132,21 +132,21 @@ def fit(labelled: DataFrame) -> Model:
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """docs + lang_pred, score: `und` with score 0 where the text is null or has no letter, or where nothing was learned."""
 
+    keep = [f for f in docs.schema if f.name not in ("lang_pred", "score")]
+    mark = "lettered" + "_" * max(len(f.name) for f in keep)  # no column's name
+
     def predict(batch):
-        names, p = model.predict(texts(batch)) if batch.num_rows else ([], np.zeros(0))
-        return {"lang_pred": names, "score": p, **{c: batch.column(c) for c in keep}}
-
-    keep = [f.name for f in docs.schema if f.name not in ("lang_pred", "score")]
-    plain = docs.select(*keep)
-    lettered = plain.where(F.col("text").rlike(r"\p{L}"))
-    others = plain.where(~F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    if not model.languages:
-        others, lettered = plain, None
-    out = others.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
-    if lettered is not None:
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
-        out = out.unionByName(map_batches(lettered, predict, f"{fields}, lang_pred string, score double"))
-    return out
+        own = np.flatnonzero(batch.column(mark).to_numpy(zero_copy_only=False)) if model.languages else []
+        names, scores = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
+        if len(own):
+            found, scores[own] = model.predict(texts(batch.take(pa.array(own))))
+            for k, name in zip(own, found, strict=True):
+                names[k] = name
+        return {"lang_pred": names, "score": scores, **{f.name: batch.column(f.name) for f in keep}}
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
+    plain = docs.select(*(f"`{f.name}`" for f in keep), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias(mark))
+    return map_batches(plain, predict, f"{fields}, lang_pred string, score double")
 
 
 def op12_naive_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:

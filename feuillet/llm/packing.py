@@ -131,7 +131,7 @@ def cut(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
             for start in range(0, n, window):
                 piece = ids[4 * start : 4 * (start + window)]
                 short = len(piece) < 4 * window
-                rows.append((k, start, len(piece) // 4, zlib.crc32(piece), n, np.frombuffer(piece, "<u4").astype("<u2" if known.size <= 65536 else "<u4").tobytes() if short else None))
+                rows.append((k, start, len(piece) // 4, zlib.crc32(piece), n, np.frombuffer(piece, "<u4").astype("<u2" if known.ids <= 65536 else "<u4").tobytes() if short else None))
         at, start, length, crc, n, ids = zip(*rows, strict=True)
         return {"doc_id": batch.column("doc_id").take(list_to_index(at)), "start": start, "length": length, "ids_crc32": crc, "doc_tokens": n, "ids": ids}
 
@@ -162,7 +162,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, slack: int = SLA
     spark = docs.sparkSession
     parts = stash(cut(docs, tokenizer, window))
     plan = Plan({r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}, window, slack)
-    wide = "<u2" if words(tokenizer).size <= 65536 else "<u4"
+    wide = "<u2" if words(tokenizer).ids <= 65536 else "<u4"
 
     def run(batch):
         rows = []

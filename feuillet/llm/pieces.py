@@ -18,10 +18,9 @@ import numpy as np
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import map_batches, table, texts
+from .common import Recent, map_batches, table, texts
 
 SPACE = "▁"
-MOST_WORDS = 100_000  # a worker's memory; then it starts anew
 
 
 def fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -106,7 +105,8 @@ class Model:
         self.by_word = not (self.map.units or self.trim or inner or any(kind == 4 for *_, kind in self.pieces)) and self.dummy and self.escape
         self.bytes = {i for i, (*_, kind) in enumerate(self.pieces) if kind == 6}
         self.chars = [len(p) for p, *_ in self.pieces]
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.width = np.array([1 if i in self.bytes else len(p.lstrip(SPACE).encode()) for i, (p, *_) in enumerate(self.pieces)], "<u4")
+        self.known = Recent(lambda word: self.met([word])[0])
 
     def spans(self, text: str, ids: list[int]) -> tuple[list[int], list[int]]:
         """Begin and end bytes in the original for each id of a whole text."""
@@ -139,11 +139,18 @@ class Model:
             ends.append(chars[at - 1][2])
         return begins, ends
 
-    def meet(self, words: list[str]) -> None:
-        """Keep the ids of words that follow a space (or start a text), and the widths of the bytes that the character map's record gives each."""
+    def met(self, words: list[str]) -> list[tuple[bytes, bytes]]:
+        """The ids of words that follow a space (or start a text), and how many original bytes each stands for. Only used where the character map is empty: a piece then stands for its own bytes."""
+        made = []
         for word, ids in zip(words, self.sp.encode(words, num_threads=1), strict=True):
-            begins, ends = self.spans(word, ids)
-            self.known[word] = array("I", ids).tobytes(), array("I", [b - a for a, b in zip(begins, ends, strict=True)]).tobytes()
+            own = np.array(ids, "<u4")
+            if self.sp.unk_id() in ids:
+                begins, ends = self.spans(word, ids)
+                widths = np.array(ends, "<u4") - np.array(begins, "<u4")
+            else:
+                widths = self.width[own]
+            made.append((own.tobytes(), widths.tobytes()))
+        return made
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, begins and ends."""
@@ -151,12 +158,13 @@ class Model:
             ids = self.sp.encode(text)
             begins, ends = self.spans(text, ids)
             return np.array(ids, "<u4"), np.array(begins, "<i4"), np.array(ends, "<i4")
-        if len(self.known) > MOST_WORDS:
-            self.known.clear()
         known, words = self.known, text.split(" ")
-        if new := [w for w in dict.fromkeys(words) if w not in known]:
-            self.meet(new)
-        made = [known[w] for w in words]
+        new = [w for w in dict.fromkeys(words) if w not in known and w not in known.old]
+        fresh = dict(zip(new, self.met(new), strict=True))  # many words at a time
+        made = [fresh[w] if w in fresh else known[w] for w in words]
+        for w, m in fresh.items():
+            if len(w) <= known.LONG:
+                known.keep(w, m)
         ids = np.frombuffer(b"".join([m[0] for m in made]), "<u4")
         widths = np.frombuffer(b"".join([m[1] for m in made]), "<u4").astype("<i8")
         starts = np.cumsum([0, *[len(m[0]) // 4 for m in made[:-1]]])

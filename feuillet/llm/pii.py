@@ -30,7 +30,8 @@ KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 ZONE = re.compile(r"[+0-9][0-9\x20().+-]{5,}")
-RULES = {"ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), "card": re.compile(r"[0-9](?:[\x20-]?[0-9])+"), "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")}
+#: an ip begins where a run of digits does: what starts within one has the same rest, so a long run is looked at once
+RULES = {"ip": re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)"), "card": re.compile(r"[0-9](?:[\x20-]?[0-9])+"), "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")}
 #: fixed values: what else may be personal data
 WIDER = {
     "ip": re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
@@ -97,7 +98,9 @@ def candidates(text: str) -> list[tuple[int, int, str, int]]:
     out: dict[tuple[int, int, str], int] = {}
     for s in matches(text):
         out[s] = int(passes(s[2], text[s[0] : s[1]]))
-    sure = [s for s, label in out.items() if label]
+        for start, end in parts(text, s[0], s[1]) if s[2] == "card" and not out[s] else ():
+            out.setdefault((start, end, "card"), -1 if luhn(re.sub("[^0-9]", "", text[start:end])) else 0)
+    sure = [s for s, label in out.items() if label == 1]
     for kind, wider in WIDER.items():
         if kind == "email" and not re.search(r"[\[({]at[\])}]", text) or kind == "ip" and text.count(":") < 7:
             continue
@@ -108,6 +111,21 @@ def candidates(text: str) -> list[tuple[int, int, str, int]]:
     return [(*s, label) for s, label in out.items()]
 
 
+def parts(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """The rows of 13 to 19 digits that begin and end with a group of a failing run of digits: two numbers with one space between them are such a run."""
+    groups = [(m.start(), m.end()) for m in re.compile("[0-9]+").finditer(text, start, end)]
+    out = []
+    for k, (first, _) in enumerate(groups if len(groups) > 1 else ()):
+        digits = 0
+        for a, b in groups[k : k + 19]:
+            digits += b - a
+            if digits > 19:
+                break
+            if digits >= 13:
+                out.append((first, b))
+    return out
+
+
 def features(text: str, start: int, end: int, kind: str) -> list[float]:
     s, before, after = text[start:end], text[max(0, start - 24) : start].lower(), text[end : end + 1]
     groups = re.findall("[0-9]+", s)

@@ -9,6 +9,7 @@ pre-token's terminal node has the count that documents add up.
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ from .common import map_batches, table, texts
 from .pieces import SPACE, model
 
 MOST_NODES = 300_000  # a worker's memory; then it starts anew
+LONG = 1000  # characters; longer pre-tokens share nothing worth a place in the trie
 
 
 def zipf_scores(path: str) -> dict[str, float]:
@@ -44,6 +46,10 @@ class Trie:
         """Pieces on the best way; of ways with equal scores, the one with fewer pieces."""
         if (known := self.terminal.get(word)) is not None:
             return known
+        if len(word) > LONG:
+            return self.alone(word)
+        if len(self.best) > MOST_NODES:
+            self.clear()
         node, path = 0, [0]
         for depth, c in enumerate(word, 1):
             child = self.children.get((node, c))
@@ -66,6 +72,23 @@ class Trie:
         return self.pieces[node]
 
 
+    def alone(self, word: str) -> int:
+        """The same count with the scores of the last prefixes only, as many as a piece has characters."""
+        most = max(self.longest.values(), default=1)
+        best, pieces = deque([0.0], most), deque([0], most)
+        for depth, c in enumerate(word, 1):
+            top, n = best[-1] + self.unknown, pieces[-1] + len(c.encode("utf-8", "replace"))
+            for k in range(1, min(depth, self.longest.get(c, 0)) + 1):
+                score = self.scores.get(word[depth - k : depth])
+                if score is not None:
+                    new = best[-k] + score
+                    if new > top or new == top and pieces[-k] + 1 < n:
+                        top, n = new, pieces[-k] + 1
+            best.append(top)
+            pieces.append(n)
+        return pieces[-1]
+
+
 _tries: dict[str, Trie] = {}
 
 
@@ -85,12 +108,9 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
     def run(batch):
         t, words, tokens = trie(path), [], []
         for text in texts(batch):
-            if len(t.best) > MOST_NODES:
-                t.clear()
             found = text.split()
             words.append(len(found))
-            known = t.terminal
-            tokens.append(sum([known[w] if (w := SPACE + x) in known else t.count(w) for x in found]))
+            tokens.append(sum([t.terminal[w] if (w := SPACE + x) in t.terminal else t.count(w) for x in found]))
         return {"doc_id": batch.column("doc_id"), "n_words": words, "n_tokens": tokens}
 
     return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_words long, n_tokens long")
