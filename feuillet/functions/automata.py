@@ -13,6 +13,7 @@ import functools
 from collections.abc import Callable, Iterator
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -48,6 +49,20 @@ def word_counts(c: Column, words: tuple[str, ...]) -> Column:
     return each(c)
 
 
+def weighted_counts(c: Column, each: list[dict[str, int]], once: list[dict[str, int]]) -> Column:
+    """array<int>: for every group, the weights of ``each`` times the occurrences of its words, and those of ``once`` for words that occur at all."""
+    words = tuple(dict.fromkeys(w for group in [*each, *once] for w in group))
+    times, there = (np.array([[group.get(w, 0) for group in groups] for w in words]) for groups in (each, once))
+
+    @F.pandas_udf("array<int>")
+    def scores(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            found = np.array([counted(t or "", words) for t in part], int).reshape(len(part), len(words))
+            yield pd.Series(list((found @ times + (found > 0) @ there).astype("int32")))
+
+    return scores(c)
+
+
 def may_make(made: str, word: str) -> bool:
     """Whether ``word`` can come about where ``made`` is put into a text: one holds the other, or an end of one begins the other."""
     if word in made or made in word:
@@ -63,9 +78,8 @@ def rules(pairs: tuple[tuple[str, str], ...]) -> tuple[tuple[str, ...], list[int
     return words, [words.index(a) for a, _ in pairs], later
 
 
-def replacer(pairs: dict[str, str]) -> Callable[[str], str]:
+def replacer(ordered: tuple[tuple[str, str], ...]) -> Callable[[str], str]:
     """text -> text with the replacements one after the other, each all over the text."""
-    ordered = tuple(pairs.items())
 
     def change(text: str) -> str:
         words, which, later = rules(ordered)
@@ -85,3 +99,23 @@ def replacer(pairs: dict[str, str]) -> Callable[[str], str]:
         return text
 
     return change
+
+
+Rules = tuple[tuple[str, str], ...]
+
+
+def in_turn(*lists: dict[str, str]) -> Rules:
+    """The rules of several lists, one list after the other."""
+    return tuple(pair for pairs in lists for pair in pairs.items())
+
+
+def replaced(c: Column, pairs: dict[str, str] | Rules) -> Column:
+    """The text after all replacements in their order; null for null."""
+    change = replacer(tuple(pairs.items()) if isinstance(pairs, dict) else pairs)
+
+    @F.pandas_udf("string")
+    def each(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield part.map(change, na_action="ignore")
+
+    return each(c)

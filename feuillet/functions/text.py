@@ -5,11 +5,14 @@ Letter classes are written out and no word boundary is used, so that the same te
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from feuillet.functions.automata import in_turn, replaced, word_counts
+
 LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 WORD = f"0-9_{LETTER}"
 #: fixed values: accented letters and their plain forms
@@ -53,10 +56,18 @@ def sub(c: Column, *rules: tuple[str, str]) -> Column:
 
 
 def literal(c: Column, pairs: dict[str, str]) -> Column:
-    """Ordered literal replacement; texts without any of the left sides skip it."""
-    some = "|".join(sorted({"".join(rf"\{ch}" if ch in ".-()[]" else ch for ch in k) for k in pairs}, key=len))
-    changed = reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), pairs.items(), c)
-    return F.when(c.rlike(some), changed).otherwise(c)
+    """Ordered literal replacement: each rule all over the text, one after the other. See ``automata.replaced``."""
+    return replaced(c, pairs)
+
+
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def misread(c: Column) -> Column:
+    """Letters misread as words of their own; a rule is tried where its letters are."""
+    return reduce(lambda x, r: bound(x, lambda v: F.when(v.contains(r[0]), F.regexp_replace(v, alone(r[0]), r[1])).otherwise(v)), MISREAD.items(), c)
 
 
 def lookup(pairs: dict[str, str]) -> Column:
@@ -111,10 +122,10 @@ def tidy(c: Column) -> Column:
 
 
 def ocr_correct_text(c, corrections: dict[str, str] = CORRECTIONS) -> Column:
-    text = literal(literal(col(c), LIGATURES), corrections)
+    text = literal(col(c), in_turn(LIGATURES, corrections))
     phrases = sub(text, *[(f"(?iu){a}", b) for a, b in PHRASES.items()])
     text = F.when(text.rlike("(?i) d e"), phrases).otherwise(text)
-    return F.trim(tidy(sub(text, *[(alone(a), b) for a, b in MISREAD.items()], (r"\s+([,.;:])", "$1"))))
+    return F.trim(tidy(sub(misread(text), (r"\s+([,.;:])", "$1"))))
 
 
 def ocr_correct_name(c, corrections: dict[str, str] = CORRECTIONS) -> Column:
@@ -131,12 +142,18 @@ def ocr_correct_name(c, corrections: dict[str, str] = CORRECTIONS) -> Column:
     )
 
 
+def with_bare(c: Column, kept: str) -> Column:
+    """array of (w, b): the words, and what is left of each of letters, digits and ``kept``, in lower case. The text is cleaned once, not word by word: spaces stay, so both have the same places."""
+    bare = lambda text: F.split(F.lower(F.regexp_replace(text, f"[^{WORD}{kept}\\x20]", "")), " ")
+    both = lambda text: F.zip_with(F.split(text, " "), bare(text), lambda w, b: F.struct(w.alias("w"), b.alias("b")))
+    return F.filter(bound(squeeze(c), both), lambda x: x["w"] != "")
+
+
 def expand_abbreviations(c) -> Column:
     """struct(text, changes): each token that is an abbreviation, whatever else clings to it, in full."""
-    bare = lambda w: F.lower(F.regexp_replace(w, f"[^{WORD}.]", ""))
-    full = lambda w: F.coalesce(F.replace(w, bare(w), F.element_at(lookup(ABBREVIATIONS), bare(w))), w)
-    hit = lambda w: F.element_at(lookup(ABBREVIATIONS), bare(w)).isNotNull()
-    return F.struct(F.array_join(F.transform(words(col(c)), full), " ").alias("text"), F.transform(F.filter(words(col(c)), hit), lambda w: F.concat(w, F.lit(" → "), full(w))).alias("changes"))
+    full = lambda x: F.struct(x["w"].alias("w"), F.replace(x["w"], x["b"], F.element_at(lookup(ABBREVIATIONS), x["b"])).alias("full"))
+    changed = lambda found: F.transform(F.filter(found, lambda x: x["full"].isNotNull()), lambda x: F.concat(x["w"], F.lit(" → "), x["full"]))
+    return bound(F.transform(with_bare(col(c), "."), full), lambda found: F.struct(F.array_join(F.transform(found, lambda x: F.coalesce(x["full"], x["w"])), " ").alias("text"), changed(found).alias("changes")))
 
 
 def normalize_punctuation(c) -> Column:
@@ -144,13 +161,13 @@ def normalize_punctuation(c) -> Column:
 
 
 def drop_parasitic_tokens(c, stopwords=PARASITES) -> Column:
-    bare = lambda w: F.lower(F.regexp_replace(w, f"[^{WORD}]", ""))
-    return F.array_join(F.filter(words(col(c)), lambda w: ~bare(w).isin(*stopwords) & (F.length(bare(w)) > 1) & w.rlike(f"[{LETTER}]")), " ")
+    keep = F.filter(with_bare(col(c), ""), lambda x: (F.length(x["b"]) > 1) & ~x["b"].isin(*stopwords) & x["b"].rlike(f"[{LETTER}]"))
+    return F.array_join(F.transform(keep, lambda x: x["w"]), " ")
 
 
 def normalize_text(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    x = docs.withColumn("corrected", ocr_correct_text(text)).withColumn("e", expand_abbreviations("corrected"))
+    x = docs.withColumn("e", expand_abbreviations(ocr_correct_text(text)))
     x = x.withColumn("normalized", drop_parasitic_tokens(normalize_punctuation(F.col("e.text"))))
     return x.select(*docs.columns, "normalized", F.size("e.changes").alias("abbreviations_expanded"), F.length(text).alias("original_length"), F.length("normalized").alias("final_length"), F.round(F.length("normalized") / F.greatest(F.length(text), F.lit(1)), 4).alias("compression_ratio"))
 
@@ -159,7 +176,7 @@ def ocr_suggest(docs: DataFrame) -> DataFrame:
     """doc_id, pos, word, suggested, confidence for words that look misread and have another reading."""
     w = F.col("word")
     odd = w.rlike("[il1]{2,}|rn[a-z]|cl[aeiou]|[A-Z]{3,}|[0-9]")
-    rules = sub(w, *[(alone(a), b) for a, b in MISREAD.items()], ("([,.;:])([A-Z])", "$1 $2"))
+    rules = sub(misread(w), ("([,.;:])([A-Z])", "$1 $2"))
     found = docs.select("doc_id", F.posexplode(words(F.coalesce("text", F.lit("")))).alias("pos", "word")).where(odd)
     known = F.element_at(lookup(CORRECTIONS), w)
     made = found.withColumn("known", known).withColumn("suggested", F.coalesce("known", rules)).where("suggested <> word")
@@ -199,21 +216,21 @@ def text_quality(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.round(score, 4).alias("score"), (score > 0.3).alias("is_valid"), hits("[0-9][A-Za-z]|[|]").cast("int").alias("ocr_errors"))
 
 
+#: fixed values: words of acts and kinship
 KEYWORDS = ("fils", "fille", "filz", "épouse", "époux", "femme", "mari", "veuve", "parrain", "marraine", "parr", "marr", "père", "mère", "baptême", "mariage", "inhumation", "bapt", "inh", "naissance", "décès", "sieur", "seigneur", "dame")
 
 
 def keyword_counts(docs: DataFrame, keywords=KEYWORDS) -> DataFrame:
-    """doc_id, keyword, n for the keywords that a text has, in any case."""
-    low = F.lower(F.coalesce("text", F.lit("")))
-    each = F.array(*[F.struct(F.lit(k).alias("keyword"), F.regexp_count(low, F.lit(k)).cast("int").alias("n")) for k in keywords])
-    return docs.select("doc_id", F.explode(F.filter(each, lambda x: x["n"] > 0)).alias("x")).select("doc_id", "x.keyword", "x.n")
+    """doc_id, keyword, n for the keywords that a text has, in any case; all are found in one pass."""
+    counts = word_counts(F.lower(F.coalesce("text", F.lit(""))), tuple(keywords))
+    return docs.select("doc_id", F.posexplode(counts).alias("k", "n")).where("n > 0").select("doc_id", F.element_at(F.array(*map(F.lit, keywords)), F.col("k") + 1).alias("keyword"), "n")
 
 
 def diagnose_document(docs: DataFrame) -> DataFrame:
     """doc_id, issues, recommendations (joined by ;)."""
     text = F.coalesce("text", F.lit(""))
     low = F.lower(text)
-    few = sum((F.regexp_count(low, F.lit(k)) for k in KEYWORDS), F.lit(0)) < 10
+    few = F.aggregate(word_counts(low, KEYWORDS), F.lit(0), lambda a, n: a + n) < 10
     odd = F.regexp_count(text, F.lit(f"[^{WORD}\\s.,;:!?'\"()-]")) > 0.01 * F.length(text)
     glued = F.regexp_count(text, F.lit("[a-zà-öø-ÿ][A-ZÀ-ÖØ-Þ]")) > 20
     loose = (F.length(text) > 5000) & (F.regexp_count(text, F.lit("\n")) < 10)

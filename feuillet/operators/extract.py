@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from feuillet.functions import dates as D
+from feuillet.functions.automata import weighted_counts
 from feuillet.functions.names import PROFESSIONS, dedup_best, split_name_mention
 from feuillet.functions.text import WORD, words
 
@@ -26,6 +27,7 @@ MONTH = "|".join([*D.MONTHS, *D.SHORT_MONTHS])
 #: fixed values: given names and family names that a validator knows
 FIRST_NAMES = ("Jean", "Pierre", "Jacques", "Nicolas", "François", "Louis", "Antoine", "Michel", "Guillaume", "Charles", "Philippe", "Gabriel", "Thomas", "André", "Claude", "Henri", "Paul", "Denis", "Étienne", "Martin", "Barthélemy", "Laurent", "Julien", "Gilles", "Robert", "Christophe", "Marie", "Jeanne", "Catherine", "Marguerite", "Anne", "Françoise", "Madeleine", "Louise", "Élisabeth", "Marthe", "Agnès", "Nicole", "Barbe", "Suzanne", "Michelle", "Jacqueline", "Antoinette", "Jehan", "Michiel", "Guillemette", "Mahieu", "Anthoine", "Robinet", "Pérot", "Perrin", "Colin", "Robin", "Noël", "Mathieu", "Mathurin", "Raoul", "Renaud", "Regnault", "Thibault", "Arnaud", "Bertrand", "Germain", "Sébastien", "Vincent", "Yves", "Yvon")
 FAMILY_NAMES = ("Le Roy", "Le Comte", "Le Baron", "Le Boucher", "Le Barbier", "Le Charpentier", "Martin", "Bernard", "Thomas", "Petit", "Robert", "Richard", "Durand", "Dubois", "Moreau", "Laurent", "Simon", "Michel", "Lefebvre", "Leroy", "Roux", "David", "Bertrand", "Morel", "Fournier", "Girard", "Bonnet", "Dupont", "Lambert", "Fontaine", "Rousseau", "Vincent", "Muller", "Mercier", "Boyer", "Blanc", "Guerin", "Boucher", "Fernandez")
+#: fixed values: words that no name has, and words before places, in acts of kinship and before names
 FORBIDDEN = ("archives", "calvados", "registre", "paroisse", "page", "folio", "acte", "baptême", "mariage", "décès", "inhumation", "témoin", "inventaire", "sommaire", "table", "index", "document", "fichier")
 PLACES = ("paroisse", "église", "chapelle", "cathédrale", "abbaye", "clos", "champ", "pré", "jardin", "verger", "rue", "place")
 KIN_TERMS = ("fils", "fille", "épouse", "mari", "père", "mère", "baptême", "mariage", "décès")
@@ -272,15 +274,24 @@ def segment_quality(c: Column) -> Column:
     return F.least(F.lit(1.0), F.when(F.length(c) > 20, 0.2).otherwise(0.0) + F.least(n(NAME) * 0.15, F.lit(0.4)) + F.least(n("1[5-8][0-9]{2}") * 0.2, F.lit(0.3)) + F.least(n("(?i)(fils|fille|épouse|mari|parrain|marraine)") * 0.1, F.lit(0.2)))
 
 
+def from_the_year(pattern: str) -> str:
+    """A month and a year, looked for by the year, which is rarer than what months begin with."""
+    return re.sub(r"^(\(\?:[^()]*\)) \[0-9\]\{4\}$", r"[0-9](?<=\1 [0-9])[0-9]{3}", pattern)
+
+
 def detect_period(docs: DataFrame) -> DataFrame:
-    """doc_id, period, confidence, year_lo, year_hi: the period with most vocabulary (2 each), dates (3) and phrases (5); the earliest of equals."""
-    text, low = F.coalesce("text", F.lit("")), F.lower(F.coalesce("text", F.lit("")))
-    literal = lambda w: F.floor((F.length(low) - F.length(F.replace(low, F.lit(w), F.lit("")))) / len(w))
+    """doc_id, period, confidence, year_lo, year_hi: the period with most vocabulary (2 each), dates (3) and phrases (5); the earliest of equals.
+
+    Vocabulary and phrases of all periods are found in one pass over a text.
+    """
+    text = F.coalesce("text", F.lit(""))
+    words_ = weighted_counts(F.lower(text), [dict.fromkeys(p[0], 2) for p in PERIODS.values()], [dict.fromkeys(p[2], 5) for p in PERIODS.values()])
+    told = docs.select("doc_id", text.alias("t"), words_.alias("n"))
     rows = []
-    for k, (name, (vocabulary, dates, phrases, lo, hi)) in enumerate(PERIODS.items()):
-        score = sum((2 * literal(w) for w in vocabulary), F.lit(0)) + sum((3 * F.regexp_count(text, F.lit(f"(?i){p}")) for p in dates), F.lit(0)) + sum((F.when(low.contains(p), 5).otherwise(0) for p in phrases), F.lit(0))
+    for k, (name, (vocabulary, dates, _, lo, hi)) in enumerate(PERIODS.items()):
+        score = F.get("n", F.lit(k)) + sum((3 * F.regexp_count("t", F.lit(f"(?i){from_the_year(p)}")) for p in dates), F.lit(0))
         rows.append(F.struct((-score).cast("int").alias("s"), F.lit(k).alias("k"), F.lit(name).alias("period"), F.lit(2 * len(vocabulary) + 30).alias("most"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")))
-    x = docs.select("doc_id", F.array_min(F.array(*rows)).alias("x"))
+    x = told.select("doc_id", F.array_min(F.array(*rows)).alias("x"))
     return x.select("doc_id", "x.period", F.when(F.col("x.s") == 0, 0.3).otherwise(F.round(F.least(F.lit(1.0), -F.col("x.s") / F.col("x.most")), 4)).alias("confidence"), F.col("x.lo").alias("year_lo"), F.col("x.hi").alias("year_hi"))
 
 

@@ -6,7 +6,8 @@ from feuillet.functions import dates as D
 from feuillet.operators import extract as E
 from feuillet.plans.acts import MONTHS
 from feuillet.plans.registry import query
-from feuillet.plans.text import q
+from feuillet.functions.text import normalize_text
+from feuillet.plans.text import NORMAL, q
 
 
 def s_find(source, p):
@@ -108,6 +109,12 @@ def _(t):
     return E.extract_relations(t.lines)
 
 
+@query("ext10_relations_of_normalized_books", f"WITH {NORMAL.replace('lines', 'books')}, cleaned AS (SELECT doc_id, normalized AS text FROM norm), {RELS.replace('lines', 'cleaned')} SELECT * FROM rels")
+def _(t):
+    """The way a text goes: pages with line breaks are corrected and made one line, then relations are found."""
+    return E.extract_relations(normalize_text(t.books).select("doc_id", F.col("normalized").alias("text")))
+
+
 HAS = lambda ts: " + ".join(f"contains(low, '{v}')::INT" for v in ts)
 
 

@@ -7,7 +7,7 @@ from feuillet.operators import extract as E
 from feuillet.operators import reports as R
 from feuillet.operators.family import shared_path
 from feuillet.plans.acts import TYPED
-from feuillet.plans.registry import query
+from feuillet.plans.registry import ORACLES, query
 from feuillet.plans.resolve import NORM, raw
 from feuillet.sources import pages as P
 from feuillet.sources import sinks as S
@@ -85,11 +85,24 @@ def _(t):
     return R.person_report(t.persons)
 
 
-@query("rep4_final_report")
+#: the sections of the final report, the queries that state them, and their columns
+SECTIONS = {
+    "actes": ("agg24_acte_summary", ("lieu", "periode", "baptemes", "mariages", "inhumations", "ventes", "total")),
+    "personnes": ("rep1_person_report", ("person_id", "line", "homonym")),
+    "filiations": ("joi5_filiation_report", ("pere_id", "mere_id", "pere", "mere", "enfants", "mariage_avant")),
+    "parrainages": ("joi6_godparent_report", ("acte_id", "filleul", "parrain", "marraine")),
+    "statistiques": ("agg4_export_statistics", ("kind", "value", "n")),
+    "qualite": ("rep3_chronology_report", ("person_id", "n_issues", "n_errors", "rules", "confidence")),
+}
+
+
+@query("rep4_final_report", " UNION ALL ".join(f"SELECT '{k}' AS section, count(*) AS n, sum(length(x))::BIGINT AS letters, min(x) AS first, max(x) AS last FROM (SELECT concat_ws('|', {', '.join(f'{c}::VARCHAR' for c in columns)}) AS x FROM ({ORACLES[name]}))" for k, (name, columns) in SECTIONS.items()))
 def _(t):
+    """All rows of every section as text: how many, how long, the first and the last."""
     out = None
     for name, df in R.final_report(t.persons, t.actes).items():
-        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("section"), "n")
+        x = df.select(F.concat_ws("|", *[F.col(c).cast("string") for c in SECTIONS[name][1]]).alias("x"))
+        one = x.agg(F.count("*").alias("n"), F.sum(F.length("x")).alias("letters"), F.min("x").alias("first"), F.max("x").alias("last")).withColumn("section", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -244,8 +257,8 @@ def _(t):
 
 @query("str2_dedup_source", "SELECT DISTINCT substring(md5(text), 1, 16) AS source_id FROM documents")
 def _(t):
-    """A text's second is its doc_id, after the watermark's start: copies within a day of each other go."""
-    return drained(t, streams.dedup_source_stream(stream(t, "documents").select(F.timestamp_seconds(F.col("doc_id") + 86_400).alias("ts"), "text"))).select("source_id")
+    """A text comes in one of the seconds of an hour, by its doc_id, so copies are within a day of each other however many texts there are."""
+    return drained(t, streams.dedup_source_stream(stream(t, "documents").select(F.timestamp_seconds(F.col("doc_id") % 3600 + 86_400).alias("ts"), "text"))).select("source_id")
 
 
 @query("str3_registry_counts", "SELECT event_type AS key, count(*) AS hits, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen, event_type AS first_name, array_to_string(list_sort(list(DISTINCT 'day ' || strftime(ts, '%d'))), ',') AS sources FROM events GROUP BY event_type")

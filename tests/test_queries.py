@@ -9,6 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from feuillet.functions import automata
 from feuillet.functions import dates as D
 from feuillet.functions import names as N
 from feuillet.functions import text as X
@@ -250,3 +251,25 @@ def day_number(text):
     import datetime
 
     return datetime.date.fromisoformat(text).toordinal()
+
+
+def test_ordered_replacements_equal_one_after_the_other():
+    random.seed(15)
+    lists = [tuple(X.LIGATURES.items()) + tuple(X.CORRECTIONS.items()), (("ab", "ba"), ("a", ""), ("bb", "ab"), ("b", "aa"), ("aab", "b"), ("c", "ab")), (("aa", "a"), ("xa", "ax"), ("a", "xa"))]
+    for rules in lists:
+        change = automata.replacer(rules)
+        parts = [x for pair in rules for x in pair if x] + [" ", "-", "de"]
+        for _ in range(3000):
+            text = "".join(w if random.random() < 0.7 else w[: random.randint(0, len(w))] for w in random.choices(parts, k=random.randint(0, 9)))
+            plain = text
+            for a, b in rules:
+                plain = plain.replace(a, b)
+            assert change(text) == plain, text
+
+
+def test_words_counted_in_one_pass(spark):
+    random.seed(16)
+    words = ("aa", "ab", "aba", "b", "é", "citoyen", "citoyenne", "an")
+    texts = ["", None, "aaaa", "ababa", "citoyennes de l'an", *("".join(random.choice("abén ") for _ in range(30)) for _ in range(300))]
+    got = [r.n for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(automata.word_counts(F.col("t"), words).alias("n")).collect()]
+    assert got == [t if t is None else [t.count(w) for w in words] for t in texts]
