@@ -1,5 +1,7 @@
 """Queries over names, resolution and sex, with their SQL."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from feuillet.functions import names as N
@@ -110,23 +112,41 @@ def _(t):
     return R.similar_pairs(t.persons, 0.7)
 
 
-PAIR = "pr AS (SELECT a.nom AS nom_a, a.prenom AS prenom_a, b.nom AS nom_b, b.prenom AS prenom_b FROM (SELECT DISTINCT CASE WHEN person_id % 3 = 0 THEN 'de ' ELSE '' END || nom AS nom, prenom FROM persons) a JOIN (SELECT DISTINCT nom, prenom FROM persons) b ON lower(a.nom[-3:]) = lower(b.nom[-3:]))"
+#: how a clerk may write a name: a particle, an accent, a double letter, y for i, another language's form
+MISSPELT = {0: ("concat", "de "), 1: ("e", "é"), 2: ("r", "rr"), 3: ("i", "y")}
+FOREIGN = {"Jean": "John", "Guillaume": "William", "Charles": "Karol", "Marie": "Mary", "François": "Francis"}
+S_NOM = "CASE person_id % 5 " + " ".join(f"WHEN {k} THEN " + (f"'{b}' || nom" if a == "concat" else f"replace(nom, '{a}', '{b}')") for k, (a, b) in MISSPELT.items()) + " ELSE nom END"
+S_PRENOM = "CASE " + " ".join(f"WHEN person_id % 3 = 0 AND prenom = '{a}' THEN '{b}'" for a, b in FOREIGN.items()) + " ELSE prenom END"
+PAIR = f"pr AS (SELECT a.nom AS nom_a, a.prenom AS prenom_a, b.nom AS nom_b, b.prenom AS prenom_b FROM (SELECT DISTINCT {S_NOM} AS nom, {S_PRENOM} AS prenom, lower(nom[1]) AS k FROM persons) a JOIN (SELECT DISTINCT nom, prenom, lower(nom[1]) AS k FROM persons) b USING (k))"
+
+
+def misspelt_pairs(t):
+    """Names as a clerk may write them against those of the same first letter as they are."""
+    k, nom, prenom = F.col("person_id"), F.col("nom"), F.col("prenom")
+    for rest, (a, b) in MISSPELT.items():
+        nom = F.when(k % 5 == rest, F.concat(F.lit(b), "nom") if a == "concat" else F.replace("nom", F.lit(a), F.lit(b))).otherwise(nom)
+    for a, b in FOREIGN.items():
+        prenom = F.when((k % 3 == 0) & (F.col("prenom") == a), b).otherwise(prenom)
+    first = F.lower(F.substring("nom", 1, 1)).alias("k")
+    return meet(t.persons.select(nom.alias("nom_a"), prenom.alias("prenom_a"), first).distinct(), t.persons.select(F.col("nom").alias("nom_b"), F.col("prenom").alias("prenom_b"), first).distinct(), "k").drop("k")
+
+
+SINGLE = lambda c: reduce(lambda x, d: f"replace({x}, '{d * 2}', '{d}')", "lnmtsr", f"lower({c})")
+PLAIN = lambda c: f"translate(lower({c}), '{ACCENTS[0]}', '{ACCENTS[1]}')"
+YI = lambda c: f"replace(lower(translate({c}, '{ACCENTS[0]}', '{ACCENTS[1]}')), 'y', 'i')"
+FIRST = " OR ".join(f"(lower(prenom_a) = '{x}' AND lower(prenom_b) = '{y}')" for v in R.FIRST_VARIANTS for x, y in (v, v[::-1]))
+RULES = {"de_prefix_correction": 0.95, "y_i_variation": 0.90, "accent_loss": 0.92, "consonant_variation": 0.88, "firstname_variant": 0.85}
 
 
-@query("joi12_name_rules", f"""WITH {PAIR}, k AS (SELECT *, replace(lower(nom_a), ' ', '') AS ga, replace(lower(nom_b), ' ', '') AS gb FROM pr), r AS (SELECT *, (ga = gb AND starts_with(ga, 'de')) OR lower(replace(nom_a, 'de ', '')) = lower(nom_b) OR lower(replace(nom_b, 'de ', '')) = lower(nom_a) AS r1, replace(lower(nom_a), 'y', 'i') = replace(lower(nom_b), 'y', 'i') AS r2, lower(nom_a) = lower(nom_b) AS r3 FROM k)
-  SELECT nom_a, prenom_a, nom_b, prenom_b, greatest(0.0, CASE WHEN r1 THEN 0.95 ELSE 0 END, CASE WHEN r2 THEN 0.90 ELSE 0 END, CASE WHEN r3 THEN 0.92 ELSE 0 END, CASE WHEN r3 THEN 0.88 ELSE 0 END)::DOUBLE AS boost, array_to_string(list_filter([CASE WHEN r1 THEN 'de_prefix_correction' END, CASE WHEN r2 THEN 'y_i_variation' END, CASE WHEN r3 THEN 'accent_loss' END, CASE WHEN r3 THEN 'consonant_variation' END], lambda v: v IS NOT NULL), ',') AS rules FROM r""")
+@query("joi12_name_rules", f"""WITH {PAIR}, k AS (SELECT *, replace(lower(nom_a), ' ', '') AS ga, replace(lower(nom_b), ' ', '') AS gb FROM pr), r AS (SELECT *, (ga = gb AND starts_with(ga, 'de')) OR lower(replace(nom_a, 'de ', '')) = lower(nom_b) OR lower(replace(nom_b, 'de ', '')) = lower(nom_a) AS r0, {YI('nom_a')} = {YI('nom_b')} AS r1, {PLAIN('nom_a')} = {PLAIN('nom_b')} AS r2, {SINGLE('nom_a')} = {SINGLE('nom_b')} AS r3, {FIRST} AS r4 FROM k)
+  SELECT nom_a, prenom_a, nom_b, prenom_b, greatest(0.0, {', '.join(f'CASE WHEN r{i} THEN {s} ELSE 0 END' for i, s in enumerate(RULES.values()))})::DOUBLE AS boost, array_to_string(list_filter([{', '.join(f"CASE WHEN r{i} THEN '{n}' END" for i, n in enumerate(RULES))}], lambda v: v IS NOT NULL), ',') AS rules FROM r""")
 def _(t):
-    a = t.persons.select(F.concat(F.when(F.col("person_id") % 3 == 0, "de ").otherwise(""), "nom").alias("nom_a"), F.col("prenom").alias("prenom_a")).distinct()
-    b = t.persons.select(F.col("nom").alias("nom_b"), F.col("prenom").alias("prenom_b")).distinct()
-    pairs = a.join(b, F.lower(F.substring("nom_a", -3, 3)) == F.lower(F.substring("nom_b", -3, 3)))
-    return pairs.withColumn("r", R.rule_boost(F.col("nom_a"), F.col("nom_b"), F.col("prenom_a"), F.col("prenom_b"))).select("nom_a", "prenom_a", "nom_b", "prenom_b", "r.*")
+    return misspelt_pairs(t).withColumn("r", R.rule_boost(F.col("nom_a"), F.col("nom_b"), F.col("prenom_a"), F.col("prenom_b"))).select("nom_a", "prenom_a", "nom_b", "prenom_b", "r.*")
 
 
 @query("joi12_score_name_pairs")
 def _(t):
-    a = t.persons.select(F.col("nom").alias("nom_a"), F.col("prenom").alias("prenom_a"), F.lower(F.substring("nom", 1, 2)).alias("k")).distinct()
-    b = t.persons.select(F.col("nom").alias("nom_b"), F.col("prenom").alias("prenom_b"), F.lower(F.substring("nom", 1, 2)).alias("k")).distinct()
-    return R.score_name_pairs(a.join(b, "k").drop("k"))
+    return R.score_name_pairs(misspelt_pairs(t))
 
 
 @query("udx4_string_ratio")
