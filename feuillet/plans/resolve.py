@@ -138,18 +138,28 @@ FIRST = " OR ".join(f"(lower(prenom_a) = '{x}' AND lower(prenom_b) = '{y}')" for
 RULES = {"de_prefix_correction": 0.95, "y_i_variation": 0.90, "accent_loss": 0.92, "consonant_variation": 0.88, "firstname_variant": 0.85}
 
 
-@query("joi12_name_rules", f"""WITH {PAIR}, k AS (SELECT *, replace(lower(nom_a), ' ', '') AS ga, replace(lower(nom_b), ' ', '') AS gb FROM pr), r AS (SELECT *, (ga = gb AND starts_with(ga, 'de')) OR lower(replace(nom_a, 'de ', '')) = lower(nom_b) OR lower(replace(nom_b, 'de ', '')) = lower(nom_a) AS r0, {YI('nom_a')} = {YI('nom_b')} AS r1, {PLAIN('nom_a')} = {PLAIN('nom_b')} AS r2, {SINGLE('nom_a')} = {SINGLE('nom_b')} AS r3, {FIRST} AS r4 FROM k)
-  SELECT nom_a, prenom_a, nom_b, prenom_b, greatest(0.0, {', '.join(f'CASE WHEN r{i} THEN {s} ELSE 0 END' for i, s in enumerate(RULES.values()))})::DOUBLE AS boost, array_to_string(list_filter([{', '.join(f"CASE WHEN r{i} THEN '{n}' END" for i, n in enumerate(RULES))}], lambda v: v IS NOT NULL), ',') AS rules FROM r""")
+RULED = f"""k AS (SELECT *, replace(lower(nom_a), ' ', '') AS ga, replace(lower(nom_b), ' ', '') AS gb FROM pr), r AS (SELECT *, (ga = gb AND starts_with(ga, 'de')) OR lower(replace(nom_a, 'de ', '')) = lower(nom_b) OR lower(replace(nom_b, 'de ', '')) = lower(nom_a) AS r0, {YI('nom_a')} = {YI('nom_b')} AS r1, {PLAIN('nom_a')} = {PLAIN('nom_b')} AS r2, {SINGLE('nom_a')} = {SINGLE('nom_b')} AS r3, {FIRST} AS r4 FROM k),
+  ruled AS (SELECT nom_a, prenom_a, nom_b, prenom_b, greatest(0.0, {', '.join(f'CASE WHEN r{i} THEN {s} ELSE 0 END' for i, s in enumerate(RULES.values()))})::DOUBLE AS boost, array_to_string(list_filter([{', '.join(f"CASE WHEN r{i} THEN '{n}' END" for i, n in enumerate(RULES))}], lambda v: v IS NOT NULL), ',') AS rules FROM r)"""
+#: the longest common block of a stretch of both names, of equals the first in a and then in b, and so on before and after it
+BLOCK = "list_max(flatten(list_transform(range(alo, ahi), lambda i: list_transform(range(blo, bhi), lambda j: [len(list_filter(range(1, least(ahi - i, bhi - j) + 1), lambda k: name_a[i:i + k - 1] = name_b[j:j + k - 1])), -i, -j]))))"
+RATIOS = f"""stretch AS (SELECT name_a, name_b, alo, ahi, blo, bhi, {BLOCK} AS m FROM (SELECT *, 1::BIGINT AS alo, length(name_a) + 1 AS ahi, 1::BIGINT AS blo, length(name_b) + 1 AS bhi FROM need)
+  UNION ALL SELECT name_a, name_b, alo, ahi, blo, bhi, {BLOCK} AS m FROM (SELECT name_a, name_b, s.alo AS alo, s.ahi AS ahi, s.blo AS blo, s.bhi AS bhi FROM (SELECT name_a, name_b, unnest([{{'alo': alo, 'ahi': -m[2], 'blo': blo, 'bhi': -m[3]}}, {{'alo': m[1] - m[2], 'ahi': ahi, 'blo': m[1] - m[3], 'bhi': bhi}}]) AS s FROM stretch WHERE m[1] > 0)) WHERE alo < ahi AND blo < bhi),
+  ratios AS (SELECT name_a, name_b, 2 * sum(m[1]) / (length(name_a) + length(name_b)) AS ratio FROM stretch GROUP BY name_a, name_b)"""
+NEED = "need AS (SELECT DISTINCT lower(nom_a) AS name_a, lower(nom_b) AS name_b FROM pr UNION SELECT lower(prenom_a), lower(prenom_b) FROM pr)"
+SCORED = f"{RULED}, {NEED}, {RATIOS}, scored AS (SELECT nom_a, prenom_a, nom_b, prenom_b, rules, 0.6::DOUBLE * greatest(x.ratio, boost) + 0.4::DOUBLE * y.ratio AS s FROM ruled JOIN ratios x ON x.name_a = lower(nom_a) AND x.name_b = lower(nom_b) JOIN ratios y ON y.name_a = lower(prenom_a) AND y.name_b = lower(prenom_b))"
+
+
+@query("joi12_name_rules", f"WITH {PAIR}, {RULED} SELECT * FROM ruled")
 def _(t):
     return misspelt_pairs(t).withColumn("r", R.rule_boost(F.col("nom_a"), F.col("nom_b"), F.col("prenom_a"), F.col("prenom_b"))).select("nom_a", "prenom_a", "nom_b", "prenom_b", "r.*")
 
 
-@query("joi12_score_name_pairs")
+@query("joi12_score_name_pairs", f"WITH RECURSIVE {PAIR}, {SCORED} SELECT nom_a, prenom_a, nom_b, prenom_b, round(s, 4) AS similarity, round(least(1.0::DOUBLE, s + CASE WHEN rules <> '' THEN 0.05 ELSE 0 END), 4) AS confidence, rules FROM scored")
 def _(t):
     return R.score_name_pairs(misspelt_pairs(t))
 
 
-@query("udx4_string_ratio")
+@query("udx4_string_ratio", f"WITH RECURSIVE n AS (SELECT DISTINCT lower({NAME}) AS n FROM persons), ends AS (SELECT n, unnest([n[1:3], '…' || n[-3:]]) AS key FROM n), need AS (SELECT DISTINCT a.n AS name_a, b.n AS name_b FROM ends a JOIN ends b ON a.key = b.key AND a.n < b.n), {RATIOS} SELECT name_a, name_b, round(ratio, 6) AS ratio FROM ratios")
 def _(t):
     """All names against those that begin alike or end alike."""
     n = t.persons.select(F.lower(R.full_name()).alias("n")).distinct()
@@ -158,7 +168,11 @@ def _(t):
     return pairs.withColumn("ratio", F.round(string_ratio("name_a", "name_b"), 6))
 
 
-@query("joi13_find_best_matches")
+EVERY = lambda source: f"pr AS (SELECT a.nom AS nom_a, a.prenom AS prenom_a, b.nom AS nom_b, b.prenom AS prenom_b FROM (SELECT DISTINCT nom, prenom FROM {source}) a, (SELECT DISTINCT nom, prenom FROM {source}) b)"
+
+
+@query("joi13_find_best_matches", f"""WITH RECURSIVE {EVERY('persons')}, {SCORED}, met AS (SELECT a.person_id AS target_id, b.person_id AS candidate_id, round(s, 4) AS score FROM scored JOIN persons a ON a.nom = nom_a AND a.prenom = prenom_a JOIN persons b ON b.nom = nom_b AND b.prenom = prenom_b WHERE round(s, 4) >= 0.85 AND a.person_id <> b.person_id)
+  SELECT target_id, candidate_id, score, (row_number() OVER (PARTITION BY target_id ORDER BY score DESC, candidate_id))::INTEGER AS rank FROM met QUALIFY rank <= 3""")
 def _(t):
     return R.find_best_matches(t.persons, t.persons, 0.85, 3)
 
@@ -227,9 +241,12 @@ def _(t):
     return R.duplicate_clusters(t.persons)
 
 
-@query("grf11_merge_name_groups")
+@query("grf11_merge_name_groups", f"""WITH RECURSIVE folded_ AS (SELECT DISTINCT {PLAIN('nom')} AS nom, {PLAIN('prenom')} AS prenom FROM persons), {EVERY('folded_')}, {SCORED}, near AS (SELECT prenom_a || ' ' || nom_a AS a, prenom_b || ' ' || nom_b AS b FROM scored WHERE round(s, 4) >= 0.9 UNION SELECT prenom_b || ' ' || nom_b, prenom_a || ' ' || nom_a FROM scored WHERE round(s, 4) >= 0.9),
+  walk AS (SELECT prenom || ' ' || nom AS id, prenom || ' ' || nom AS g FROM folded_ UNION SELECT near.b, g FROM walk JOIN near ON near.a = walk.id) SELECT id AS key, min(g) AS first_key FROM walk GROUP BY id""")
 def _(t):
-    return R.merge_name_groups(t.persons, 0.9)
+    """Each name with the first in order of those that go together with it."""
+    groups = R.merge_name_groups(t.persons, 0.9)
+    return groups.join(groups.groupBy("group").agg(F.min("key").alias("first_key")), "group").select("key", "first_key")
 
 
 @query("agg21_merge_records", f"WITH RECURSIVE {DUP}, x AS (SELECT * FROM persons JOIN clusters USING (person_id)) SELECT cluster_id, count(*) AS n, first(naissance ORDER BY person_id) AS naissance, first(lieu_naissance ORDER BY person_id) AS lieu_naissance, (SELECT string_agg(DISTINCT s, ',' ORDER BY s) FROM (SELECT unnest(sources) AS s FROM x y WHERE y.cluster_id = x.cluster_id)) AS sources, coalesce((SELECT string_agg(DISTINCT s, ',' ORDER BY s) FROM (SELECT unnest(professions) AS s FROM x y WHERE y.cluster_id = x.cluster_id)), '') AS professions FROM x GROUP BY cluster_id")
