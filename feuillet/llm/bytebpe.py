@@ -1,8 +1,7 @@
-"""Byte-level BPE ids, a word at a time: words repeat, so each worker keeps the ids of those it has met.
+"""Byte-level BPE ids of whole texts, by the library that has the vocabulary's merges as ranks.
 
-The pre-token pattern never joins what stands on both sides of a lone space, so a text whose spaces are all lone
-is cut before each of them; other texts go through the pattern itself. Added tokens are found first, as the library
-does: they take their own ids, and what stands between them is encoded by itself.
+Added tokens are found first, as the vocabulary's own library does: they take their own ids, and what stands between
+them is encoded by itself. Very long runs of white space are cut out as the pre-token pattern would cut them.
 """
 
 from __future__ import annotations
@@ -13,11 +12,8 @@ from array import array
 
 import tiktoken
 
-from .common import Recent
-
 #: fixed values: the vocabulary's pre-token pattern
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SPACES = re.compile(r"\s\x20|\x20\s")
 #: white space as the pattern has it; the pattern's own search fails on very long runs, so these are cut out before it
 RUN = re.compile(r"[\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 
@@ -29,11 +25,10 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Words(Recent):
-    """Word, without the space before it -> its ids as little-endian unsigned 32-bit integers."""
+class Encoder:
+    """A text's ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
-        super().__init__(lambda word: self.whole(" " + word))
         alphabet = byte_alphabet()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -47,31 +42,28 @@ class Words(Recent):
         self.ids = max([*spec["model"]["vocab"].values(), *special]) + 1
         self.core = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def whole(self, text: str) -> bytes:
-        """A run of white space is one pre-token but for its last character, which goes with what follows, if anything does."""
-        out, at = [], 0
-        for run in RUN.finditer(text):
-            end = run.end() - (run.end() < len(text))
-            out += [*self.core.encode_ordinary(text[at : run.start()]), *self.core._encode_single_piece(text[run.start() : end])]
-            at = end
-        return array("I", [*out, *self.core.encode_ordinary(text[at:])]).tobytes()
-
     def encode(self, text: str) -> bytes:
         if self.cut and len(parts := self.cut.split(text)) > 1:  # at odd places the added tokens
             return b"".join(self.added[part] if k % 2 else self.between(part) for k, part in enumerate(parts) if part)
         return self.between(text)
 
     def between(self, text: str) -> bytes:
-        if SPACES.search(text):
-            return self.whole(text)
-        first, *rest = text.split(" ")
-        return self.whole(first) + b"".join([self[w] for w in rest])
+        """A run of white space is one pre-token but for its last character, which goes with what follows, if anything does."""
+        out, at = [], 0
+        for run in RUN.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            out += [self.plain(text[at : run.start()]), array("I", self.core._encode_single_piece(text[run.start() : end])).tobytes()]
+            at = end
+        return b"".join([*out, self.plain(text[at:])]) if out else self.plain(text)
+
+    def plain(self, text: str) -> bytes:
+        return self.core.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
-_loaded: dict[str, Words] = {}
+_loaded: dict[str, Encoder] = {}
 
 
-def words(path: str) -> Words:
+def encoder(path: str) -> Encoder:
     if path not in _loaded:
-        _loaded[path] = Words(path)
+        _loaded[path] = Encoder(path)
     return _loaded[path]

@@ -93,31 +93,6 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return ["" if t is None else t for t in batch.column(column).to_pylist()]
 
 
-class Recent(dict):
-    """A worker's cache, bounded by the size of what it holds, in two generations: when the young one is full, it becomes
-    the old one, and the old one goes but for what was met again. ``__missing__`` moves a hit among the old, or makes it."""
-
-    LONG = 256  # characters; longer keys aren't kept
-
-    def __init__(self, make: Callable, most: int = 16 << 20):
-        self.make, self.most, self.size, self.old = make, most, 0, {}
-
-    def __missing__(self, key: str):
-        value = self.old.pop(key, None)
-        if value is None:
-            value = self.make(key)
-        if len(key) <= self.LONG:
-            self.keep(key, value)
-        return value
-
-    def keep(self, key: str, value) -> None:
-        if self.size > self.most:
-            self.old, self.size = dict(self), 0
-            self.clear()
-        self[key] = value
-        self.size += 200 + 2 * len(key)  # about what key, value and entry take
-
-
 def components(edges: DataFrame, rounds: int = 60, most: int = 1_000_000) -> DataFrame:
     """Connected components of ``edges`` (a, b): (id, component_id), the smallest id reachable; ids without an edge don't appear.
 

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bytebpe import words
+from .bytebpe import encoder
 from .common import map_batches, partitions, stash, table, texts
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long"
@@ -123,7 +123,7 @@ def cut(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
     """The full windows and the tail of each document: doc_id, start, length, ids_crc32, doc_tokens, ids (of tails, 32-bit)."""
 
     def run(batch):
-        known = words(tokenizer)
+        known = encoder(tokenizer)
         rows = []
         for k, text in enumerate(texts(batch)):
             ids = known.encode(text) + bytes(4)
@@ -162,7 +162,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, slack: int = SLA
     spark = docs.sparkSession
     parts = stash(cut(docs, tokenizer, window))
     plan = Plan({r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}, window, slack)
-    wide = "<u2" if words(tokenizer).ids <= 65536 else "<u4"
+    wide = "<u2" if encoder(tokenizer).ids <= 65536 else "<u4"
 
     def run(batch):
         rows = []

@@ -3,8 +3,7 @@
 The normaliser of a model file is a compiled character map: a double-array trie of byte strings with their
 replacements. ``CharMap`` applies it by longest prefix and records which original bytes each normalised character came
 from; every piece is projected through that record to a span of the original's UTF-8 bytes. Ids come from the
-sentencepiece library itself. No piece of a model reaches over a word's start (checked when the model is read), so a
-text with lone spaces only is encoded word by word, and each worker keeps the ids and widths of the words it has met.
+sentencepiece library itself. Where the map is empty, the record is the text itself, and a piece's width its own bytes.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ import numpy as np
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import Recent, map_batches, table, texts
+from .common import map_batches, table, texts
 
 SPACE = "▁"
 
@@ -101,12 +100,10 @@ class Model:
                 spec = dict(fields(value))
         self.map = CharMap(spec.get(2, b""))
         self.dummy, self.trim, self.escape = (bool(spec.get(k, 1)) for k in (3, 4, 5))
-        inner = any(SPACE in p.lstrip(SPACE) for p, _, kind in self.pieces if kind == 1)
-        self.by_word = not (self.map.units or self.trim or inner or any(kind == 4 for *_, kind in self.pieces)) and self.dummy and self.escape
+        self.plain = not (self.map.units or self.trim or any(kind == 4 for *_, kind in self.pieces)) and self.dummy and self.escape
         self.bytes = {i for i, (*_, kind) in enumerate(self.pieces) if kind == 6}
         self.chars = [len(p) for p, *_ in self.pieces]
-        self.width = np.array([1 if i in self.bytes else len(p.lstrip(SPACE).encode()) for i, (p, *_) in enumerate(self.pieces)], "<u4")
-        self.known = Recent(lambda word: self.met([word])[0])
+        self.width = np.array([1 if i in self.bytes else len(p.replace(SPACE, " ").encode()) for i, (p, *_) in enumerate(self.pieces)], "<i8")
 
     def spans(self, text: str, ids: list[int]) -> tuple[list[int], list[int]]:
         """Begin and end bytes in the original for each id of a whole text."""
@@ -139,36 +136,15 @@ class Model:
             ends.append(chars[at - 1][2])
         return begins, ends
 
-    def met(self, words: list[str]) -> list[tuple[bytes, bytes]]:
-        """The ids of words that follow a space (or start a text), and how many original bytes each stands for. Only used where the character map is empty: a piece then stands for its own bytes."""
-        made = []
-        for word, ids in zip(words, self.sp.encode(words, num_threads=1), strict=True):
-            own = np.array(ids, "<u4")
-            if self.sp.unk_id() in ids:
-                begins, ends = self.spans(word, ids)
-                widths = np.array(ends, "<u4") - np.array(begins, "<u4")
-            else:
-                widths = self.width[own]
-            made.append((own.tobytes(), widths.tobytes()))
-        return made
-
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, begins and ends."""
-        if not self.by_word or "  " in text or text[:1] == " " or text[-1:] == " " or SPACE in text or "\0" in text or not text:
-            ids = self.sp.encode(text)
+        """Ids, begins and ends. Where the character map is empty, a piece stands for its own bytes: its width is enough."""
+        ids = self.sp.encode(text)
+        if not self.plain or SPACE in text or "\0" in text or not ids or self.sp.unk_id() in ids:
             begins, ends = self.spans(text, ids)
-            return np.array(ids, "<u4"), np.array(begins, "<i4"), np.array(ends, "<i4")
-        known, words = self.known, text.split(" ")
-        new = [w for w in dict.fromkeys(words) if w not in known and w not in known.old]
-        fresh = dict(zip(new, self.met(new), strict=True))  # many words at a time
-        made = [fresh[w] if w in fresh else known[w] for w in words]
-        for w, m in fresh.items():
-            if len(w) <= known.LONG:
-                known.keep(w, m)
-        ids = np.frombuffer(b"".join([m[0] for m in made]), "<u4")
-        widths = np.frombuffer(b"".join([m[1] for m in made]), "<u4").astype("<i8")
-        starts = np.cumsum([0, *[len(m[0]) // 4 for m in made[:-1]]])
-        widths[starts[1:]] += 1  # the space before the word; the first word's is not in the text
+            return np.array(ids, "<u4"), np.array(begins, "<i8"), np.array(ends, "<i8")
+        ids = np.array(ids, "<u4")
+        widths = self.width[ids]
+        widths[0] -= 1  # the first piece's space is not in the text
         ends = np.cumsum(widths)
         return ids, ends - widths, ends
 

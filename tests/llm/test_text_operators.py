@@ -29,7 +29,7 @@ def empty(spark):
 
 
 def test_byte_bpe_words_equal_the_library():
-    t, w = Tokenizer.from_file(BPE), bytebpe.words(BPE)
+    t, w = Tokenizer.from_file(BPE), bytebpe.encoder(BPE)
     random.seed(1)
     texts = [x or "" for x in ODD] + ["".join(random.choice("ab \n\t'sé1.日_") for _ in range(random.randint(0, 12))) for _ in range(3000)]
     for text, e in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True):
@@ -37,7 +37,7 @@ def test_byte_bpe_words_equal_the_library():
 
 
 def test_added_tokens_in_texts_equal_the_library(spark):
-    t, w = Tokenizer.from_file(BPE), bytebpe.words(BPE)
+    t, w = Tokenizer.from_file(BPE), bytebpe.encoder(BPE)
     random.seed(7)
     texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y", "<|endoftext|", "<|ENDOFTEXT|>", "\n<|endoftext|>\n"]
     texts += ["".join(random.choice(["a", " ", "\n", "'s", "<|", "|>", "<|endoftext|>", "é1"]) for _ in range(random.randint(0, 12))) for _ in range(2000)]
