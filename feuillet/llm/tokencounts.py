@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import map_batches, table, texts
 from .pieces import SPACE, model
 
-MOST_NODES = 300_000  # a worker's memory; then it starts anew
+MOST_NODES = 1_000_000  # about 250 MB of a worker's memory; then it starts anew
 LONG = 1000  # characters; longer pre-tokens share nothing worth a place in the trie
 
 
@@ -31,9 +31,11 @@ def zipf_scores(path: str) -> dict[str, float]:
 class Trie:
     def __init__(self, scores: Mapping[str, float]):
         self.scores = scores
-        self.longest: dict[str, int] = {}  # a piece that ends with this character
+        self.ends: dict[str, float | None] = {}  # what a piece ends with, and the score of what is a piece itself
         for p in scores:
-            self.longest[p[-1]] = max(len(p), self.longest.get(p[-1], 0))
+            self.ends |= {p[k:]: None for k in range(1, len(p)) if p[k:] not in self.ends}
+            self.ends[p] = scores[p]
+        self.most = max(map(len, scores), default=1)
         self.unknown = min(scores.values(), default=0.0) - 10
         self.clear()
 
@@ -50,14 +52,16 @@ class Trie:
             return self.alone(word)
         if len(self.best) > MOST_NODES:
             self.clear()
-        node, path = 0, [0]
+        node, path, ends = 0, [0], self.ends
         for depth, c in enumerate(word, 1):
             child = self.children.get((node, c))
             if child is None:
                 before = path[-1]
                 best, pieces = self.best[before] + self.unknown, self.pieces[before] + len(c.encode("utf-8", "replace"))
-                for k in range(1, min(depth, self.longest.get(c, 0)) + 1):
-                    score = self.scores.get(word[depth - k : depth])
+                for k in range(1, min(depth, self.most) + 1):
+                    score = ends.get(word[depth - k : depth], False)
+                    if score is False:  # no piece ends like this, nor like anything longer
+                        break
                     if score is not None:
                         at = path[-k]
                         new = self.best[at] + score
@@ -74,12 +78,13 @@ class Trie:
 
     def alone(self, word: str) -> int:
         """The same count with the scores of the last prefixes only, as many as a piece has characters."""
-        most = max(self.longest.values(), default=1)
-        best, pieces = deque([0.0], most), deque([0], most)
+        best, pieces, ends = deque([0.0], self.most), deque([0], self.most), self.ends
         for depth, c in enumerate(word, 1):
             top, n = best[-1] + self.unknown, pieces[-1] + len(c.encode("utf-8", "replace"))
-            for k in range(1, min(depth, self.longest.get(c, 0)) + 1):
-                score = self.scores.get(word[depth - k : depth])
+            for k in range(1, min(depth, self.most) + 1):
+                score = ends.get(word[depth - k : depth], False)
+                if score is False:
+                    break
                 if score is not None:
                     new = best[-k] + score
                     if new > top or new == top and pieces[-k] + 1 < n:
