@@ -93,3 +93,13 @@ def meet(a: DataFrame, b: DataFrame, key: str, size: int = 2000) -> DataFrame:
         return x.select(*columns, hashed.alias(own), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias(other))
 
     return dealt(a, "cell_a", "cell_b").join(dealt(b, "cell_b", "cell_a"), [key, "cell_a", "cell_b"]).drop("cell_a", "cell_b")
+
+
+def looked_up(df: DataFrame, key: str, row: str, others: DataFrame, other_key: str) -> DataFrame:
+    """A left join of df's ``key`` with ``other_key``, which df does not have.
+
+    Rows without a key match nothing and are dealt by ``row``, or all of them would be one task's. The others, which are
+    fewer, are hashed, so that no task sorts its rows of df.
+    """
+    dealt = F.coalesce(F.col(key), -1 - F.col(row))
+    return df.join(others.hint("shuffle_hash"), (dealt == F.col(other_key)) & F.col(key).isNotNull(), "left").drop(other_key)

@@ -11,6 +11,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feuillet.operators.matching import looked_up
+
 MALE = ("Jean", "Pierre", "Jacques", "Nicolas", "François", "Charles", "Guillaume", "Michel")
 FEMALE = ("Marie", "Jeanne", "Catherine", "Marguerite", "Anne", "Françoise", "Madeleine", "Louise")
 SURNAMES = ("Boucher", "Martin", "Durand", "Dubois", "Moreau", "Lefebvre", "Leroy", "Girard", "Bonnet", "Dupont")
@@ -70,10 +72,10 @@ class Tables:
         e = F.expr
         n = self.read("customer").count()
         base = self.read("orders").withColumn("o", F.col("o_orderkey")).withColumn("principal", e("CASE WHEN o % 43 <> 0 THEN o_custkey END")).withColumn("n", F.lit(n).cast("long"))
-        p = self.persons.select(F.col("person_id").alias("principal"), F.col("pere_id").alias("p_pere"), F.col("mere_id").alias("p_mere"), F.col("conjoint_id").alias("p_conjoint"), F.col("lieu_naissance").alias("p_lieu"))
+        p = self.persons.select(F.col("person_id").alias("p_id"), F.col("pere_id").alias("p_pere"), F.col("mere_id").alias("p_mere"), F.col("conjoint_id").alias("p_conjoint"), F.col("lieu_naissance").alias("p_lieu"))
         day = F.concat(F.dayofmonth("o_orderdate"), F.lit(" "), pick(MONTHS, F.month("o_orderdate") - 1))
         child = e("o % 4 IN (0, 3)")
-        return base.join(p, "principal", "left").select(
+        return looked_up(base, "principal", "o", p, "p_id").select(
             F.col("o").alias("acte_id"),
             pick(("baptême", "mariage", "inhumation", "inconnu"), e("o % 4")).alias("type_acte"),
             F.when(e("o % 37 <> 0"), F.when(e("o % 41 = 0"), day).otherwise(F.concat(day, F.lit(" "), F.year("o_orderdate") - 350))).alias("date"),
@@ -93,7 +95,7 @@ class Tables:
         named = self.persons.select("person_id", F.concat_ws(" ", "prenom", "nom").alias("name"), "sexe")
         df = self.actes
         for role, key in (("p", "personne_principale_id"), ("f", "pere_id"), ("m", "mere_id"), ("s", "conjoint_id"), ("gf", "parrain_id"), ("gm", "marraine_id")):
-            df = df.join(named.select(F.col("person_id").alias(key), F.col("name").alias(role), F.col("sexe").alias(f"{role}_sexe")), key, "left")
+            df = looked_up(df, key, "acte_id", named.select(F.col("person_id").alias(f"{role}_id"), F.col("name").alias(role), F.col("sexe").alias(f"{role}_sexe")), f"{role}_id")
         o, short = F.col("acte_id"), F.col("acte_id") % 17 == 0
         part = lambda *c: F.coalesce(F.concat(*[F.lit(x) if not isinstance(x, Column) else x for x in c]), F.lit(""))
         p, f, m, s = (F.col(c) for c in "pfms")
