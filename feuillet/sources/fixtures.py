@@ -11,7 +11,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feuillet.operators.matching import looked_up
+from feuillet.operators.matching import looked_up, spread
 
 MALE = ("Jean", "Pierre", "Jacques", "Nicolas", "François", "Charles", "Guillaume", "Michel")
 FEMALE = ("Marie", "Jeanne", "Catherine", "Marguerite", "Anne", "Françoise", "Madeleine", "Louise")
@@ -115,7 +115,7 @@ class Tables:
 
     @cached_property
     def books(self) -> DataFrame:
-        pages = self.register.groupBy("doc_id", "page_number").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("acte_id", "text"))), lambda x: x["text"]), "\n").alias("t"))
+        pages = spread(self.register, "doc_id").groupBy("doc_id", "page_number").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("acte_id", "text"))), lambda x: x["text"]), "\n").alias("t"))
         page = F.concat(F.lit("--- PAGE "), F.col("page_number"), F.lit(" ---\n"), F.col("t"))
         return pages.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", page.alias("t")))), lambda x: x["t"]), "\n").alias("text"))
 

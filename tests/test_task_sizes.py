@@ -35,3 +35,8 @@ def test_rows_without_a_key_match_nothing(spark):
     got = looked_up(left, "key", "row", right, "id")
     assert got.columns == ["row", "key", "v"]
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, None, None), (2, 7, "a"), (2, 7, "b"), (3, 8, None), (None, None, None), (4, -2, "c")], key=str)
+
+
+def test_books_are_not_merged_to_one_task(spark, data):
+    t = Tables(spark, data)
+    assert len(rows_by_task(t.books)) == 4
