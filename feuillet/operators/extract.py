@@ -20,6 +20,7 @@ from feuillet.functions import dates as D
 from feuillet.functions.automata import weighted_counts
 from feuillet.functions.names import PROFESSIONS, dedup_best, split_name_mention
 from feuillet.functions.text import WORD, words
+from feuillet.operators.matching import spread
 
 NAME = "[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ'-]{1,25}"
 FULL = f"{NAME}(?: {NAME})*"
@@ -94,8 +95,17 @@ def mentions(docs: DataFrame, patterns: list[tuple[str, str]], window: int = 0,
 DATES = [("republican", rf"[0-9]{{1,2}} (?:{'|'.join(D.REPUBLICAN)}) (?:de )?l'an [IVX]+"), ("standard", rf"[0-9]{{1,2}} (?:{MONTH}) [0-9]{{4}}"), ("year_first", rf"[0-9]{{4}},? [0-9]{{1,2}} (?:{MONTH})"), ("year_only", rf"(?<![{WORD}])1[5-8][0-9]{{2}}(?![{WORD}])")]
 
 
-def extract_dates(docs: DataFrame) -> DataFrame:
-    """doc_id, text, day, month, year, type, confidence, is_complete, era, start, end; one row for each text, the surest."""
+#: what makes two mentions of a document one
+KEYS = {"names": ["full_name"], "dates": ["text"], "professions": ["profession"], "relations": ["type", "a", "b"], "segments": []}
+
+
+def best_of(kind: str, found: DataFrame) -> DataFrame:
+    """The best of each mention in its document."""
+    keys = ["doc_id", *KEYS[kind]]
+    return dedup_best(spread(found, *keys), keys)
+
+
+def _dates(docs: DataFrame) -> DataFrame:
     m = mentions(docs, DATES)
     rep = D.parse_republican_date("hit")
     month = F.element_at(D.month_map(), F.nullif(F.regexp_extract("hit", f"({MONTH})", 1), F.lit("")))
@@ -103,7 +113,12 @@ def extract_dates(docs: DataFrame) -> DataFrame:
     x = m.withColumns({"year": F.coalesce(rep["year"], D.extract_year("hit", None)).cast("int"), "month": F.coalesce(rep["month"], month).cast("int"), "day": F.coalesce(rep["day"], day)})
     conf = D.date_confidence(F.col("year"), F.col("month"), F.col("day"), F.col("kind"))
     out = x.select("doc_id", F.col("hit").alias("text"), "day", "month", "year", F.col("kind").alias("type"), F.round(conf, 4).alias("confidence"), (F.col("day").isNotNull() & F.col("month").isNotNull()).alias("is_complete"), D.date_era(F.col("year")).alias("era"), "start", "end")
-    return dedup_best(out, ["doc_id", "text"])
+    return out
+
+
+def extract_dates(docs: DataFrame) -> DataFrame:
+    """doc_id, text, day, month, year, type, confidence, is_complete, era, start, end; one row for each text, the surest."""
+    return best_of("dates", _dates(docs))
 
 
 def date_ranges(dates: DataFrame) -> DataFrame:
@@ -155,18 +170,17 @@ def name_confidence(name: Column, kind: Column, base: Column, context: Column) -
 NAMES = [("title", f"(?:sieur|seigneur|écuyer|noble|damoiselle|dame) (?:de )?{FULL}"), ("particle", f"{NAME}(?: (?:de|du|des|le|la) {NAME})+"), ("compound", f"{NAME}-{NAME}(?: {NAME})*"), ("full", f"{NAME}(?: {NAME})+"), ("basic", NAME)]
 
 
-def _names(docs: DataFrame, least: float, window: int) -> DataFrame:
+def _names(docs: DataFrame, least: float = 0.4, window: int = 50) -> DataFrame:
     m = mentions(docs, NAMES, window).where(~name_false_positive(F.col("hit")))
     y = m.withColumn("v", validate_name(F.col("hit"), F.col("near"))).where("v.n_errors = 0")
     confidence = F.round(name_confidence(F.col("hit"), F.col("kind"), F.col("v.confidence"), F.col("near")), 4)
     out = y.select("doc_id", F.col("hit").alias("full_name"), split_name_mention("hit").alias("s"), F.col("kind").alias("source_pattern"), confidence.alias("confidence"), "start", "end", "near")
-    out = out.select("doc_id", "full_name", "s.first_names", "s.family_name", "source_pattern", "confidence", "start", "end", "near").where(F.col("confidence") >= least)
-    return dedup_best(out, ["doc_id", "full_name"])
+    return out.select("doc_id", "full_name", "s.first_names", "s.family_name", "source_pattern", "confidence", "start", "end", "near").where(F.col("confidence") >= least)
 
 
 def extract_names(docs: DataFrame, least: float = 0.4, window: int = 50) -> DataFrame:
     """doc_id, full_name, first_names, family_name, source_pattern, confidence, start, end: the best of each name in a text."""
-    return _names(docs, least, window).drop("near")
+    return best_of("names", _names(docs, least, window)).drop("near")
 
 
 CONTEXT = {"filiation": ("fils", "fille"), "marriage": ("mariage", "épouse"), "godparent": ("parrain", "marraine"), "clerical": ("curé", "prêtre", "vicaire")}
@@ -176,7 +190,7 @@ def name_context(docs: DataFrame, least: float = 0.4, window: int = 50) -> DataF
     """doc_id, start + n_<kind> for the terms around each name of ``extract_names``, and n_years."""
     near = F.lower("near")
     counts = [sum((F.regexp_count(near, F.lit(t)) for t in ts), F.lit(0)).cast("int").alias(f"n_{k}") for k, ts in CONTEXT.items()]
-    return _names(docs, least, window).select("doc_id", "start", *counts, F.regexp_count(near, F.lit("[0-9]{4}")).cast("int").alias("n_years"))
+    return best_of("names", _names(docs, least, window)).select("doc_id", "start", *counts, F.regexp_count(near, F.lit("[0-9]{4}")).cast("int").alias("n_years"))
 
 
 TRADE_WORDS = "|".join(sorted((v for vs in PROFESSIONS.values() for v in vs), key=len, reverse=True))
@@ -184,30 +198,36 @@ TRADES = [("office", "(?:conseiller|trésorier|avocat|procureur|greffier) du (?:
 TRADE_CONFIDENCE = {"office": 0.9, "ecclesiastical": 0.85, "title_land": 0.85, "basic": 0.7}
 
 
-def extract_professions(docs: DataFrame) -> DataFrame:
+def _professions(docs: DataFrame) -> DataFrame:
     m = mentions(docs, TRADES)
     category = F.when(F.col("kind") == "title_land", "title").when(F.col("hit").rlike("curé|prestre|prêtre|vicaire|chapelain"), "ecclesiastical").when(F.col("kind") == "office", "royal").otherwise("secular")
-    out = m.select("doc_id", F.col("hit").alias("profession"), F.col("kind").alias("subcategory"), category.alias("category"), F.element_at(F.create_map(*[F.lit(x) for p in TRADE_CONFIDENCE.items() for x in p]), F.col("kind")).alias("confidence"), "start", "end")
-    return dedup_best(out, ["doc_id", "profession"])
+    return m.select("doc_id", F.col("hit").alias("profession"), F.col("kind").alias("subcategory"), category.alias("category"), F.element_at(F.create_map(*[F.lit(x) for p in TRADE_CONFIDENCE.items() for x in p]), F.col("kind")).alias("confidence"), "start", "end")
+
+
+def extract_professions(docs: DataFrame) -> DataFrame:
+    return best_of("professions", _professions(docs))
 
 
 RELATIONS = [("filiation", rf"({FULL}),? (?:fils|fille|filz) de ({FULL})(?:(?:, [^,;.]{{1,40}}\.?){{0,4}}?,? et (?:de )?({FULL}))?"), ("marriage", rf"({FULL}),? (?:épouse|femme|veuve) de ({FULL})"), ("godfather", rf"(?:parrain|parr\.?) ?:? ?({FULL})"), ("godmother", rf"(?:marraine|marr\.?) ?:? ?({FULL})")]
 ROLES = {"filiation": ("child", "father", "mother"), "marriage": ("wife", "husband"), "godfather": ("godfather",), "godmother": ("godmother",)}
 
 
+def _relations(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    m = mentions(docs, RELATIONS, keep=keep)
+    part = lambda k: reduce(lambda rest, r: F.when(F.col("kind") == r[0], F.nullif(F.regexp_extract("hit", r[1], k), F.lit(""))).otherwise(rest) if k <= len(ROLES[r[0]]) else rest, RELATIONS, F.lit(None).cast("string"))
+    x = m.withColumns({"a": part(1), "b": part(2), "c": part(3)})
+    two = lambda c: F.coalesce((F.size(words(F.col(c))) >= 2).cast("int"), F.lit(0))
+    score = F.when(F.col("kind") == "filiation", 0.6 + 0.2 + 0.1 * two("a") + 0.1 * two("b") + 0.1 * two("c")).when(F.col("kind") == "marriage", 0.85 + 0.1 * two("a") * two("b")).otherwise(0.65 + 0.2 * two("a"))
+    return x.select("doc_id", F.col("kind").alias("type"), "a", "b", "c", F.round(F.least(F.lit(1.0), score), 4).alias("confidence"), "start", "end", *keep)
+
+
 def extract_relations(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, type, a, b, c (child, father, mother; wife, husband; godparent), confidence: by pattern and how full the names are.
 
     Up to four titles or lands of the father may stand between him and the mother. Line breaks are for ``normalize_text``.
     ``keep``: columns of docs to go along.
     """
-    m = mentions(docs, RELATIONS, keep=keep)
-    part = lambda k: reduce(lambda rest, r: F.when(F.col("kind") == r[0], F.nullif(F.regexp_extract("hit", r[1], k), F.lit(""))).otherwise(rest) if k <= len(ROLES[r[0]]) else rest, RELATIONS, F.lit(None).cast("string"))
-    x = m.withColumns({"a": part(1), "b": part(2), "c": part(3)})
-    two = lambda c: F.coalesce((F.size(words(F.col(c))) >= 2).cast("int"), F.lit(0))
-    score = F.when(F.col("kind") == "filiation", 0.6 + 0.2 + 0.1 * two("a") + 0.1 * two("b") + 0.1 * two("c")).when(F.col("kind") == "marriage", 0.85 + 0.1 * two("a") * two("b")).otherwise(0.65 + 0.2 * two("a"))
-    out = x.select("doc_id", F.col("kind").alias("type"), "a", "b", "c", F.round(F.least(F.lit(1.0), score), 4).alias("confidence"), "start", "end", *keep)
-    return dedup_best(out, ["doc_id", "type", "a", "b"])
+    return best_of("relations", _relations(docs, keep))
 
 
 def extract_relations_context(docs: DataFrame) -> DataFrame:
@@ -311,11 +331,16 @@ def parse_by_period(docs: DataFrame, forced: str | None = None) -> DataFrame:
 
 def combine_extractors(docs: DataFrame, kinds: tuple[str, ...] = ("names", "dates", "professions", "relations")) -> DataFrame:
     """doc_id, kind, n, success: what each chosen extractor found in each document; one row for each doc_id and kind."""
-    run = {"names": extract_names, "dates": extract_dates, "professions": extract_professions, "relations": extract_relations, "segments": extract_segments}
-    out = docs.select("doc_id", F.explode(F.array(*map(F.lit, kinds))).alias("kind"), F.lit(0).cast("long").alias("n"))
+    run = {"names": _names, "dates": _dates, "professions": _professions, "relations": _relations, "segments": extract_segments}
+    mine = lambda kind: F.array(*[F.col(c).cast("string") for c in KEYS[kind]]).cast("array<string>")
+    found = docs.select("doc_id", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("array<string>").alias("key"))
     for kind in kinds:
-        out = out.unionByName(run[kind](docs).select("doc_id", F.lit(kind).alias("kind"), F.lit(1).cast("long").alias("n")))
-    return out.groupBy("doc_id", "kind").agg(F.sum("n").alias("n")).withColumn("success", F.col("n") > 0)
+        found = found.unionByName(run[kind](docs).select("doc_id", F.lit(kind).alias("kind"), mine(kind).alias("key")))
+    each = spread(found, "doc_id").groupBy("doc_id", "kind", "key").agg(F.count("*").alias("n"))
+    n = lambda kind: F.sum(F.when(F.col("kind") == kind, F.lit(1) if KEYS[kind] else F.col("n")).otherwise(0)).cast("long")
+    by = each.groupBy("doc_id").agg(*[n(kind).alias(kind) for kind in kinds])
+    out = by.select("doc_id", F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("n")) for kind in kinds])).alias("x"))
+    return out.select("doc_id", "x.kind", "x.n").withColumn("success", F.col("n") > 0)
 
 
 def extract_persons_basic(docs: DataFrame) -> DataFrame:

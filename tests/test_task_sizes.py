@@ -4,6 +4,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
+from feuillet.operators import extract as E
 from feuillet.operators.matching import looked_up
 from feuillet.sources.fixtures import Tables
 
@@ -37,6 +38,20 @@ def test_rows_without_a_key_match_nothing(spark):
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, None, None), (2, 7, "a"), (2, 7, "b"), (3, 8, None), (None, None, None), (4, -2, "c")], key=str)
 
 
-def test_books_are_not_merged_to_one_task(spark, data):
+def test_books_and_mentions_are_not_merged_to_one_task(spark, data):
     t = Tables(spark, data)
-    assert len(rows_by_task(t.books)) == 4
+    for df in (t.books, E.extract_relations(t.lines), E.extract_dates(t.lines)):
+        assert len(rows_by_task(df)) == 4
+
+
+def test_counts_of_mentions_need_no_sort(spark):
+    line = "3 mai 1650, Charlotte Boucher, fille de Jean Boucher et de Anne Varin; Jean Boucher, laboureur. "
+    docs = spark.createDataFrame([(1, line), (1, line + "Paul Durand."), (2, None), (None, line), (None, "Marie Varin")], "doc_id long, text string")
+    kinds = ("names", "dates", "professions", "relations", "segments")
+    counts = E.combine_extractors(docs, kinds)
+    assert "Sort" not in counts._jdf.queryExecution().executedPlan().toString()
+    wanted = {(i, k): 0 for i in (1, 2, None) for k in kinds}
+    for k in kinds:
+        for r in getattr(E, f"extract_{k}")(docs).collect():
+            wanted[r.doc_id, k] += 1
+    assert {(r.doc_id, r.kind): r.n for r in counts.collect()} == wanted and all(r.success == (r.n > 0) for r in counts.collect())
