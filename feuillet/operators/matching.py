@@ -105,10 +105,14 @@ def looked_up(df: DataFrame, key: str, row: str, others: DataFrame, other_key: s
     return df.join(others.hint("shuffle_hash"), (dealt == F.col(other_key)) & F.col(key).isNotNull(), "left").drop(other_key)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows of equal keys together, over as many tasks as ``spark.sql.shuffle.partitions`` says.
+AT_A_TASK = 250_000  # rows, where their number is known
+
+
+def spread(df: DataFrame, *keys: str, rows: int = 0) -> DataFrame:
+    """Rows of equal keys together, over as many tasks as ``spark.sql.shuffle.partitions`` says, or more for ``rows`` in all.
 
     A shuffle without a number may be merged to few tasks by its compressed size, and sorted texts of a register take
     over ten times that in memory.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(tasks, -(-rows // AT_A_TASK)), *keys)

@@ -115,9 +115,11 @@ class Tables:
 
     @cached_property
     def books(self) -> DataFrame:
-        pages = spread(self.register, "doc_id").groupBy("doc_id", "page_number").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("acte_id", "text"))), lambda x: x["text"]), "\n").alias("t"))
-        page = F.concat(F.lit("--- PAGE "), F.col("page_number"), F.lit(" ---\n"), F.col("t"))
-        return pages.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", page.alias("t")))), lambda x: x["t"]), "\n").alias("text"))
+        lines = F.array_sort(F.collect_list(F.struct("page_number", "acte_id", "text"))).alias("lines")
+        by = spread(self.register, "doc_id", rows=self.read("orders").count()).groupBy("doc_id").agg(lines)  # at most a line for each order
+        told = lambda p: F.array_join(F.transform(F.filter("lines", lambda x: x["page_number"] == p), lambda x: x["text"]), "\n")
+        page = lambda p: F.concat(F.lit("--- PAGE "), p, F.lit(" ---\n"), told(p))
+        return by.select("doc_id", F.array_join(F.transform(F.array_distinct("lines.page_number"), page), "\n").alias("text"))
 
 
 def sql_list(values) -> str:

@@ -2,10 +2,13 @@
 
 from contextlib import contextmanager
 
+import pytest
 from pyspark.sql import functions as F
 
 from feuillet.operators import extract as E
+from feuillet.operators import matching
 from feuillet.operators.matching import looked_up
+from feuillet.plans.registry import QUERIES
 from feuillet.sources.fixtures import Tables
 
 
@@ -55,3 +58,16 @@ def test_counts_of_mentions_need_no_sort(spark):
         for r in getattr(E, f"extract_{k}")(docs).collect():
             wanted[r.doc_id, k] += 1
     assert {(r.doc_id, r.kind): r.n for r in counts.collect()} == wanted and all(r.success == (r.n > 0) for r in counts.collect())
+
+
+@pytest.mark.parametrize("name", ["ext13_marriages_with_source"])
+def test_acts_are_not_sorted(spark, data, name):
+    """A task that sorts its acts holds all of them, and those without a person were one task's."""
+    with conf(spark, spark__sql__adaptive__enabled="false", spark__sql__autoBroadcastJoinThreshold="-1"):
+        plan = QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and " Sort [" not in plan
+
+
+def test_a_task_of_books_does_not_grow(spark, data, monkeypatch):
+    monkeypatch.setattr(matching, "AT_A_TASK", 100)
+    assert len(rows_by_task(Tables(spark, data).books)) > 4  # 1,500 orders, 4 shuffle partitions
