@@ -60,7 +60,7 @@ def test_counts_of_mentions_need_no_sort(spark):
     assert {(r.doc_id, r.kind): r.n for r in counts.collect()} == wanted and all(r.success == (r.n > 0) for r in counts.collect())
 
 
-@pytest.mark.parametrize("name", ["ext13_marriages_with_source", "src2_split_pages", "src3_page_range", "txt16_validate_correction", "ext15_page_features", "txt14_transcription_suggest"])
+@pytest.mark.parametrize("name", ["ext13_marriages_with_source", "src2_split_pages", "src3_page_range", "txt16_validate_correction", "ext15_page_features", "txt14_transcription_suggest", "txt13_normalize_text"])
 def test_acts_are_not_sorted(spark, data, name):
     """A task that sorts its acts holds all of them, and those without a person were one task's."""
     with conf(spark, spark__sql__adaptive__enabled="false", spark__sql__autoBroadcastJoinThreshold="-1"):
