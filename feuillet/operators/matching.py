@@ -95,17 +95,20 @@ def meet(a: DataFrame, b: DataFrame, key: str, size: int = 2000) -> DataFrame:
     return dealt(a, "cell_a", "cell_b").join(dealt(b, "cell_b", "cell_a"), [key, "cell_a", "cell_b"]).drop("cell_a", "cell_b")
 
 
-def looked_up(df: DataFrame, key: str, row: str, others: DataFrame, other_key: str) -> DataFrame:
+AT_A_TASK = 250_000  # rows, where their number is known
+
+
+def looked_up(df: DataFrame, key: str, row: str, others: DataFrame, other_key: str, rows: int = 0) -> DataFrame:
     """A left join of df's ``key`` with ``other_key``, which df does not have.
 
     Rows without a key match nothing and are dealt by ``row``, or all of them would be one task's. The others, which are
-    fewer, are hashed, so that no task sorts its rows of df.
+    fewer, are hashed, so that no task sorts its rows of df. Where df has many ``rows``, tasks are not merged by their
+    compressed size: such a task may have millions, and the next shuffle gathers them in memory.
     """
-    dealt = F.coalesce(F.col(key), -1 - F.col(row))
-    return df.join(others.hint("shuffle_hash"), (dealt == F.col(other_key)) & F.col(key).isNotNull(), "left").drop(other_key)
-
-
-AT_A_TASK = 250_000  # rows, where their number is known
+    df = df.withColumn("dealt", F.coalesce(F.col(key), -1 - F.col(row)))
+    if rows > AT_A_TASK * df.sparkSession.sparkContext.defaultParallelism:
+        df = spread(df, "dealt", rows=rows)
+    return df.join(others.hint("shuffle_hash"), (F.col("dealt") == F.col(other_key)) & F.col(key).isNotNull(), "left").drop("dealt", other_key)
 
 
 def spread(df: DataFrame, *keys: str, rows: int = 0) -> DataFrame:

@@ -41,6 +41,10 @@ class Tables:
     def documents(self) -> DataFrame:
         return self.read("documents")
 
+    @cached_property
+    def n_orders(self) -> int:
+        return self.read("orders").count()
+
     @cached_property
     def persons(self) -> DataFrame:
         k, e = F.col("k"), F.expr
@@ -75,7 +79,7 @@ class Tables:
         p = self.persons.select(F.col("person_id").alias("p_id"), F.col("pere_id").alias("p_pere"), F.col("mere_id").alias("p_mere"), F.col("conjoint_id").alias("p_conjoint"), F.col("lieu_naissance").alias("p_lieu"))
         day = F.concat(F.dayofmonth("o_orderdate"), F.lit(" "), pick(MONTHS, F.month("o_orderdate") - 1))
         child = e("o % 4 IN (0, 3)")
-        return looked_up(base, "principal", "o", p, "p_id").select(
+        return looked_up(base, "principal", "o", p, "p_id", self.n_orders).select(
             F.col("o").alias("acte_id"),
             pick(("baptême", "mariage", "inhumation", "inconnu"), e("o % 4")).alias("type_acte"),
             F.when(e("o % 37 <> 0"), F.when(e("o % 41 = 0"), day).otherwise(F.concat(day, F.lit(" "), F.year("o_orderdate") - 350))).alias("date"),
@@ -95,7 +99,7 @@ class Tables:
         named = self.persons.select("person_id", F.concat_ws(" ", "prenom", "nom").alias("name"), "sexe")
         df = self.actes
         for role, key in (("p", "personne_principale_id"), ("f", "pere_id"), ("m", "mere_id"), ("s", "conjoint_id"), ("gf", "parrain_id"), ("gm", "marraine_id")):
-            df = looked_up(df, key, "acte_id", named.select(F.col("person_id").alias(f"{role}_id"), F.col("name").alias(role), F.col("sexe").alias(f"{role}_sexe")), f"{role}_id")
+            df = looked_up(df, key, "acte_id", named.select(F.col("person_id").alias(f"{role}_id"), F.col("name").alias(role), F.col("sexe").alias(f"{role}_sexe")), f"{role}_id", self.n_orders)
         o, short = F.col("acte_id"), F.col("acte_id") % 17 == 0
         part = lambda *c: F.coalesce(F.concat(*[F.lit(x) if not isinstance(x, Column) else x for x in c]), F.lit(""))
         p, f, m, s = (F.col(c) for c in "pfms")
@@ -116,7 +120,7 @@ class Tables:
     @cached_property
     def books(self) -> DataFrame:
         lines = F.array_sort(F.collect_list(F.struct("page_number", "acte_id", "text"))).alias("lines")
-        by = spread(self.register, "doc_id", rows=self.read("orders").count()).groupBy("doc_id").agg(lines)  # at most a line for each order
+        by = spread(self.register, "doc_id", rows=self.n_orders).groupBy("doc_id").agg(lines)  # at most a line for each order
         told = lambda p: F.array_join(F.transform(F.filter("lines", lambda x: x["page_number"] == p), lambda x: x["text"]), "\n")
         page = lambda p: F.concat(F.lit("--- PAGE "), p, F.lit(" ---\n"), told(p))
         return by.select("doc_id", F.array_join(F.transform(F.array_distinct("lines.page_number"), page), "\n").alias("text"))

@@ -71,3 +71,13 @@ def test_acts_are_not_sorted(spark, data, name):
 def test_a_task_of_books_does_not_grow(spark, data, monkeypatch):
     monkeypatch.setattr(matching, "AT_A_TASK", 100)
     assert len(rows_by_task(Tables(spark, data).books)) > 4  # 1,500 orders, 4 shuffle partitions
+
+
+def test_a_task_of_register_lines_does_not_grow(spark, data, monkeypatch):
+    """A join's tasks aren't merged by compressed size where there are many acts: the next shuffle would hold all rows of one."""
+    before = Tables(spark, data).register.select("acte_id", "text")
+    assert len(rows_by_task(before)) <= 4  # 1,500 orders are few
+    monkeypatch.setattr(matching, "AT_A_TASK", 100)
+    lines = Tables(spark, data).register.select("acte_id", "text")
+    assert len(rows_by_task(lines)) > 4
+    assert sorted(lines.collect()) == sorted(before.collect())
