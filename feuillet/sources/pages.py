@@ -11,13 +11,38 @@ MARKER = r"(?:---|===) PAGE ([0-9]+) (?:---|===)"
 #: fixed values: what a register page says, and the file kinds that are let in
 PARISH = "baptême|bapt\\.|mariage|mar\\.|inhumation|inh\\.|registres? paroissiaux?|curé|prêtre|église|paroisse"
 KINDS = {"txt": 10, "md": 10, "rtf": 10, "pdf": 100}
+#: in files of many documents: after a name, after a document, and what stands for these signs (and for its own first) within them
+UNIT, RECORD = "\x1f", "\x1e"
+SIGNS = {"\x1b": "\x1ba", UNIT: "\x1bb", RECORD: "\x1bc"}
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, text, file_name, file_type, size_mb of whole text files."""
+def read_documents(spark: SparkSession, path: str, many: bool = False) -> DataFrame:
+    """doc_id, text, file_name, file_type, size_mb of text files: each a whole document, or with ``many`` as ``write_documents`` makes them."""
     f = F.input_file_name()
-    name = F.regexp_extract(f, "([^/]+)$", 1)
-    return spark.read.text(path, wholetext=True).select(F.xxhash64(f).alias("doc_id"), F.col("value").alias("text"), name.alias("file_name"), F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).alias("file_type"), F.round(F.octet_length("value") / 1e6, 6).alias("size_mb"))
+    if many:
+        name, text = (signs_back(F.substring_index("value", UNIT, k)) for k in (1, -1))
+        x = spark.read.text(path, lineSep=RECORD).select(f.alias("f"), name.alias("file_name"), text.alias("text")).withColumn("doc_id", F.xxhash64("f", "file_name"))
+    else:
+        x = spark.read.text(path, wholetext=True).select(F.xxhash64(f).alias("doc_id"), F.col("value").alias("text"), F.regexp_extract(f, "([^/]+)$", 1).alias("file_name"))
+    return x.select("doc_id", "text", "file_name", F.lower(F.regexp_extract("file_name", r"\.([^.]+)$", 1)).alias("file_type"), F.round(F.octet_length("text") / 1e6, 6).alias("size_mb"))
+
+
+def write_documents(docs: DataFrame, path: str) -> None:
+    """docs (file_name, text) as text files, one for each task and not for each document: a million files take hours to make, list and open."""
+    name, text = (signs_out(F.coalesce(c, F.lit(""))) for c in ("file_name", "text"))
+    docs.select(F.concat(name, F.lit(UNIT), text)).write.text(path, lineSep=RECORD)
+
+
+def signs_out(c: Column) -> Column:
+    for sign, code in SIGNS.items():
+        c = F.replace(c, F.lit(sign), F.lit(code))
+    return c
+
+
+def signs_back(c: Column) -> Column:
+    for sign, code in reversed(SIGNS.items()):
+        c = F.replace(c, F.lit(code), F.lit(sign))
+    return c
 
 
 def split_pages(docs: DataFrame) -> DataFrame:

@@ -179,6 +179,28 @@ def test_exports_and_files(spark, data, tmp_path):
         P.page_range(P.split_pages(t.books), bounds=(3, 2))
 
 
+def test_documents_many_to_a_file(spark, tmp_path):
+    """Names and texts come back as they were, whatever signs they hold and wherever files are split."""
+    signs = "\x1b\x1e\x1fabc\n\r\ufeffé"
+    random.seed(4)
+    docs = [(f"{i}.{random.choice(['txt', 'MD', 'a.rtf'])}", "".join(random.choices(signs, k=random.choice([0, 1, 5, 300])))) for i in range(400)]
+    docs += [(signs, "x"), ("", ""), ("no kind", "\n"), ("null.txt", None)]
+    P.write_documents(spark.createDataFrame(docs, "file_name string, text string").repartition(3), str(tmp_path / "many"))
+    assert len(list((tmp_path / "many").glob("part-*"))) == 3
+    most, whole = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (whole, "997b"):
+            spark.conf.set(most, size)
+            got = P.read_documents(spark, str(tmp_path / "many"), many=True).collect()
+            assert sorted((r.file_name, r.text) for r in got) == sorted((n, x or "") for n, x in docs)
+            assert all(r.size_mb == round(len(r.text.encode()) / 1e6, 6) for r in got) and len({r.doc_id for r in got}) == len(docs)
+            assert {r.file_type for r in got if r.file_name[:1].isdigit()} == {"txt", "md", "rtf"}
+    finally:
+        spark.conf.set(most, whole)
+    P.write_documents(spark.createDataFrame([], "file_name string, text string"), str(tmp_path / "none"))
+    assert P.read_documents(spark, str(tmp_path / "none"), many=True).count() == 0
+
+
 def test_streams_equal_batches(spark, data, tmp_path):
     docs = Tables(spark, data).lines.limit(200)
     docs.write.parquet(str(tmp_path / "in"))

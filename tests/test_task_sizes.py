@@ -81,3 +81,9 @@ def test_a_task_of_register_lines_does_not_grow(spark, data, monkeypatch):
     lines = Tables(spark, data).register.select("acte_id", "text")
     assert len(rows_by_task(lines)) > 4
     assert sorted(lines.collect()) == sorted(before.collect())
+
+
+def test_books_are_not_a_file_each(spark, data):
+    """Files are as many as tasks; one for each book took hours where books are a million."""
+    got = QUERIES["src1_read_documents"](spark, data)
+    assert len(got.inputFiles()) <= 4 < got.count()
